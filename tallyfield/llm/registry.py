@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("quality_rules", "sharding")
+MODULES = ("pii", "quality_rules", "sharding")
 
 
 def queries() -> dict:
