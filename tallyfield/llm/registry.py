@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("pii", "quality_rules", "sharding")
+MODULES = ("pii", "language_id", "quality_rules", "sharding", "grading")
 
 
 def queries() -> dict:
