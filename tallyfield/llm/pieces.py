@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -221,7 +222,7 @@ def tokenize(docs: DataFrame, data: bytes | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, [*rest, "text", "ids", "n_tokens", "round_trip"])
                 at = end
 
-    shape = docs.select(*rest, "text").schema.add("ids", "array<int>").add("n_tokens", "bigint").add("round_trip", "boolean")
+    shape = docs.select(*rest, "text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
     return docs.select(*rest, "text").mapInArrow(run, shape)
 
 
