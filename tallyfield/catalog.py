@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from importlib import import_module
+
+THEMES = ("tags", "ranges")
+_modules = [import_module(f"tallyfield.suite.{m}") for m in THEMES]
+QUERIES: dict = {k: v for m in _modules for k, v in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for m in _modules for k, v in m.ORACLE.items()}
