@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import intervals
+from .sequences import running_median
 
 
 def marked(samples: DataFrame, ranges: DataFrame, key: list[str], at: str) -> DataFrame:
@@ -70,7 +71,7 @@ def spikes(samples: DataFrame, key: list[str], at: str, value: str, sigma: float
     """Ranges of samples that stray from a running median by more than sigma times the noise (the key's median absolute
     deviation if none is given), padded."""
     w = W.partitionBy(*key).orderBy(at)
-    rows = samples.withColumn("_d", F.abs(F.col(value) - F.median(value).over(w.rowsBetween(-half, half))))
+    rows = samples.withColumn("_d", F.abs(F.col(value) - running_median(F.col(value), w.rowsBetween(-half, half))))
     level = F.lit(noise) if noise is not None else F.col("_mad")
     if noise is None:
         rows = rows.join(rows.groupBy(*key).agg((1.4826 * F.median("_d")).alias("_mad")), key)
@@ -92,7 +93,7 @@ def eigenmodes(samples: DataFrame, ranges: DataFrame, group: str, key: str, at:
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         wide = frame.pivot(index=key, columns=at, values=value)
-        cut = frame.pivot(index=key, columns=at, values="cut").reindex_like(wide).fillna(True).astype(bool).to_numpy()
+        cut = ~frame.pivot(index=key, columns=at, values="cut").eq(False).to_numpy()  # a missing sample is cut too
         d = np.nan_to_num(wide.to_numpy(float))
         for _ in range(rounds):
             mean = d.mean(axis=1, keepdims=True)

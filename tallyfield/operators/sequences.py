@@ -71,13 +71,20 @@ def groups_by_start(rows: DataFrame, key: list[str], start: str, tolerance: floa
     return rows.withColumn("_most", F.max("_n").over(W.partitionBy(*key))).where("_n = _most").drop("_n", "_most")
 
 
+def running_median(value: Column, window: W) -> Column:
+    """Median over a row frame, which has to be short: its values are sorted at each row."""
+    v = F.sort_array(F.collect_list(value).over(window))
+    n = F.size(v)
+    return (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+
+
 def phase(samples: DataFrame, key: list[str], at: str, value: str, smooth: int = 3) -> DataFrame:
     """Value scaled to 0..1, falling halves as 2 - p, then a median over 2 * smooth + 1 samples (shorter at the ends)."""
     whole = W.partitionBy(*key)
     low, high = F.min(value).over(whole), F.max(value).over(whole)
     rows = samples.withColumn("_p", F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0)))
     rows = rows.withColumn("_p", F.when(direction(value, key, at) == 2, 2 - F.col("_p")).otherwise(F.col("_p")))
-    return rows.withColumn("phase", F.median("_p").over(ordered(key, at).rowsBetween(-smooth, smooth))).drop("_p")
+    return rows.withColumn("phase", running_median(F.col("_p"), ordered(key, at).rowsBetween(-smooth, smooth))).drop("_p")
 
 
 def unwrap(samples: DataFrame, key: list[str], at: str, value: str, period_: float) -> DataFrame:
@@ -136,8 +143,7 @@ def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, tak
         slots = b.select(*key, "_b").distinct().unionByName(tops.select(*key, "_b")).distinct()
         w = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1) if key else W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
         carried = slots.join(tops, [*key, "_b"], "left").withColumn("_r", F.last("_r", True).over(w)).where("_r IS NOT NULL")
-        first = b.groupBy(*key, "_b").agg(F.min("_t").alias("_t"))
-        opened = carried.drop("_t").join(first, [*key, "_b"]).select(*key, "_t", F.lit(-1).alias("_side"), "_r", "_b")
+        opened = carried.select(*key, F.lit(None).cast(dict(a.dtypes)["_t"]).alias("_t"), F.lit(-1).alias("_side"), "_r", "_b")  # null times sort first
         a = a.unionByName(opened)
         part.append("_b")
     both = a.unionByName(b, allowMissingColumns=True)
