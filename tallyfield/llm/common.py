@@ -34,6 +34,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few dozen bytes that a broadcast side may have; larger sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def narrow(side: DataFrame, cells: Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored join side, marked for broadcast if it has at most `most` rows (and array cells, if given); the join
+    finds another way for a larger one."""
+    total = F.sum(cells) if cells is not None else F.count(F.lit(1))
+    rows, size = side.agg(F.count(F.lit(1)), total).first()
+    return F.broadcast(side) if rows <= most and (size or 0) <= 4 * most else side
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -13,8 +13,8 @@ line's text stands, so copies of a line go too and the earliest stays.
    a million rows, not their pairs.
 4. The edit distance of each line and partner is verified on the words.
 
-Defined cases: null text has no lines; lines without words always stay; rows equal in doc_id and text share their
-places, so none is earlier than the other; null doc_ids come last; other columns stay as they are; an empty table
+Defined cases: null text has no lines; lines without words always stay; of lines at the same number of documents with
+the same doc_id none is earlier than the other; null doc_ids come last; other columns stay as they are; an empty table
 gives an empty one. A document that loses lines and has no word left goes altogether.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, fresh, row_key, stage, table, text_of, words_of
+from .common import BLANKS, fresh, narrow, row_key, stage, table, text_of, words_of
 
 MIN_WORDS = 8
 #: Odd base of the rolling hashes and its inverse modulo 2^64, twice (bases are fixed values).
@@ -37,20 +37,28 @@ _BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779
 _MOST_WORDS = 500_000
 
 
+def has_word(text: Column) -> Column:
+    return F.ltrim(text, F.lit(BLANKS)) != ""
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """A row per line with a word: the document's key and id, place, the line and its 128-bit hash."""
     rows = docs.select(*row_key("doc_id", "text"), "doc_id", F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-    rows = rows.where(F.translate("line", BLANKS, "") != "")
+    rows = rows.where(has_word(F.col("line")))
     return rows.withColumns({"h1": F.xxhash64(F.lit(3), "line"), "h2": F.xxhash64("line", F.lit(5))})
 
 
 def place() -> Column:
-    """The order of lines: null ids last, then id, place, and hashes to break ties of repeated ids."""
-    return F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("h1").alias("a"), F.col("h2").alias("b"))
+    """Where a line stands, as one number in the order (doc_id, line), null ids last. Numbers aggregate by hashing, structs
+    only by sorting."""
+    return F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
+
 
+HALVES = ("k0", "k1", "k2", "k3")
 
-def half_keys(words: Column) -> Column:
-    """Keys of which two lines within one edit share one: tagged with the shorter line's length."""
+
+def half_keys(words: Column) -> dict[str, Column]:
+    """Keys of which two lines within one edit share one: tagged with the shorter line's length; null for short lines."""
     n = F.size(words)
 
     def of(short: Column) -> list[Column]:
@@ -60,7 +68,7 @@ def half_keys(words: Column) -> Column:
             F.xxhash64(F.lit("last"), short, F.slice(words, n - (short - p) + 1, short - p)),
         ]
 
-    return F.when(n >= MIN_WORDS, F.array(*of(n), *of(n - 1))).otherwise(F.array().cast("array<bigint>"))
+    return {name: F.when(n >= MIN_WORDS, key) for name, key in zip(HALVES, (*of(n), *of(n - 1)), strict=True)}
 
 
 def variants(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,24 +94,27 @@ def variants(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """lines (at, words) -> key1, key2, spot, at: a row for each line and word, and one (spot -1) for the line itself."""
+    """lines (h1, h2, at, words' hashes) -> key1, key2, spot, h1, h2, at: a row for each line and word, and one (spot -1)
+    for the line itself."""
+    held = ("h1", "h2", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             start = 0
-            sizes_all = np.asarray(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), np.int64)
+            sizes_all = np.asarray(batch.column(3).value_lengths().to_numpy(zero_copy_only=False), np.int64)
             ends = np.cumsum(sizes_all)
             while start < len(batch):
                 done = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, done + _MOST_WORDS, "right")))
                 part = batch.slice(start, stop - start)
-                words = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                words = part.column(3).flatten().to_numpy(zero_copy_only=False)
                 row, spot, a, b = variants(words, sizes_all[start:stop])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(spot), part.column(0).take(pa.array(row))], ["key1", "key2", "spot", "at"])
+                own = [part.column(k).take(pa.array(row)) for k in range(len(held))]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(spot), *own], ["key1", "key2", "spot", *held])
                 start = stop
 
-    shape = lines.select(F.lit(0).cast("bigint").alias("key1"), F.lit(0).cast("bigint").alias("key2"), F.lit(0).alias("spot"), "at").schema
-    return lines.select("at", "words").mapInArrow(run, shape)
+    shape = lines.select(F.lit(0).cast("bigint").alias("key1"), F.lit(0).cast("bigint").alias("key2"), F.lit(0).alias("spot"), *held).schema
+    return lines.select(*held, "words").mapInArrow(run, shape)
 
 
 @F.pandas_udf(T.BooleanType())
@@ -122,38 +133,39 @@ def within_one(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """Hashes (h1, h2) of the distinct lines that have an earlier line within one edit."""
-    halves = firsts.select("at", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n"))
-    suspects = stage(halves.join(shared.where("n > 1"), "half").select("at").distinct(), "line-suspects")
-    first_at = lines_of(docs).withColumn("at", place()).select("h1", "h2", "at", "line")
-    wanted = suspects.select(F.col("at.a").alias("h1"), F.col("at.b").alias("h2"), F.col("at").alias("_first"))
-    held = first_at.join(wanted, ["h1", "h2"]).where(F.col("at") == F.col("_first")).dropDuplicates(["h1", "h2"]).select("at", words_of(F.col("line")).alias("words"))
-    held = stage(held, "line-words")
-    keys = stage(neighbourhood(held.select("at", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))), "line-variants")
+    halves = firsts.select("h1", "h2", "at", F.explode(F.array(*HALVES)).alias("half")).where("half IS NOT NULL")
+    shared = stage(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "line-halves")
+    suspects = stage(halves.join(narrow(shared), "half").select("h1", "h2", "at").distinct(), "line-suspects")
+    met = lines_of(docs).withColumn("own", place()).join(narrow(suspects), ["h1", "h2"]).where("own = at")
+    held = met.select("h1", "h2", "at", words_of(F.col("line")).alias("words"))
+    held = stage(held.dropDuplicates(["h1", "h2"]), "line-words")
+    keys = stage(neighbourhood(held.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))), "line-variants")
 
     # Replaced words: equal variants at an equal place. The earliest holder is everyone's partner.
     same = keys.where("spot >= 0").groupBy("key1", "key2", "spot").agg(F.min("at").alias("partner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    replaced = keys.join(same, ["key1", "key2", "spot"]).where("at > partner").select("at", "partner")
+    replaced = keys.join(same, ["key1", "key2", "spot"]).where("at > partner").select("h1", "h2", "partner")
     # Words put in or taken out: a variant equals a whole line, whichever of the two is earlier.
     gap = keys.groupBy("key1", "key2").agg(F.min(F.when(F.col("spot") < 0, F.col("at"))).alias("whole"), F.min(F.when(F.col("spot") >= 0, F.col("at"))).alias("cut"))
     gap = gap.where("whole IS NOT NULL AND cut IS NOT NULL")
-    moved = keys.join(gap, ["key1", "key2"]).select("at", F.when(F.col("spot") < 0, F.col("cut")).otherwise(F.col("whole")).alias("partner")).where("partner < at")
-    pairs = replaced.unionByName(moved).distinct()
+    moved = keys.join(gap, ["key1", "key2"]).withColumn("partner", F.when(F.col("spot") < 0, F.col("cut")).otherwise(F.col("whole"))).where("partner < at")
+    pairs = replaced.unionByName(moved.select("h1", "h2", "partner")).distinct()
     texts = held.select(F.col("at").alias("partner"), F.col("words").alias("other"))
-    found = pairs.join(held, "at").join(texts, "partner").where(within_one("words", "other"))
-    return found.select(F.col("at.a").alias("h1"), F.col("at.b").alias("h2")).distinct()
+    return pairs.join(held, ["h1", "h2"]).join(texts, "partner").where(within_one("words", "other")).select("h1", "h2").distinct()
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """Per document key (_k1, _k2): gone, the numbers of the lines that go, and how many of them are near but not equal."""
-    words = words_of(F.col("line"))
-    rows = stage(lines_of(docs).withColumn("halves", half_keys(words)).drop("line"), "lines")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(place()).alias("at"), F.count(F.lit(1)).alias("n"), F.first("halves").alias("halves"))
+    """Per document key (_k1, _k2): gone, the numbers of the lines that go, and how many of them are near but not equal.
+
+    The text is read three times (sums per line, words of suspects, marks) and never shuffled where the other side of
+    a join is small; if it isn't, that join shuffles.
+    """
+    rows = lines_of(docs).withColumn("at", place()).withColumn("words", words_of(F.col("line"))).withColumns(half_keys(F.col("words")))
+    firsts = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), *[F.min(k).alias(k) for k in HALVES])
     firsts = stage(firsts, "line-firsts")
     near = near_lines(docs, firsts).withColumn("near", F.lit(True))
-    bad = stage(firsts.drop("halves").join(near, ["h1", "h2"], "left").where("n > 1 OR near"), "line-bad")
-    hit = rows.drop("halves").withColumn("own", place()).join(bad, ["h1", "h2"]).withColumn("near", F.coalesce("near", F.lit(False)))
-    hit = hit.where(F.col("near") | (F.col("own") > F.col("at")))
+    bad = firsts.drop(*HALVES).join(near, ["h1", "h2"], "left").where("n > 1 OR near")
+    bad = stage(bad.select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near")), "line-bad")
+    hit = lines_of(docs).drop("line").withColumn("own", place()).join(narrow(bad), ["h1", "h2"]).where(F.col("near") | (F.col("own") > F.col("at")))
     return hit.groupBy("_k1", "_k2").agg(F.collect_set("line_no").alias("gone"), F.count_distinct(F.when(F.col("near"), F.col("line_no"))).alias("n_near"))
 
 
@@ -161,12 +173,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text cut, and n_lines, n_gone and n_near added (under these names, or with underscores if taken)."""
     names = fresh(docs, "n_lines", "n_gone", "n_near", "_keep", "_all", "_k1", "_k2")
     gone = dropped_lines(docs).select(F.col("_k1").alias(names["_k1"]), F.col("_k2").alias(names["_k2"]), "gone", F.col("n_near").alias(names["n_near"]))
-    gone = gone.withColumnRenamed("gone", names["_keep"])
+    gone = stage(gone.withColumnRenamed("gone", names["_keep"]), "line-gone")
     key = [c.alias(names[k]) for k, c in zip(("_k1", "_k2"), row_key("doc_id", "text"), strict=True)]
-    rows = docs.select("*", *key).join(gone, [names["_k1"], names["_k2"]], "left")
+    rows = docs.select("*", *key).join(narrow(gone, F.size(names["_keep"])), [names["_k1"], names["_k2"]], "left")
     rows = rows.withColumn(names["n_gone"], F.when(F.col(names["_keep"]).isNull(), 0).otherwise(F.size(names["_keep"])).cast("bigint"))
     rows = rows.withColumn(names["n_near"], F.coalesce(names["n_near"], F.lit(0)).cast("bigint")).withColumn(names["_all"], F.split(text_of(), "\n"))
-    rows = rows.withColumn(names["n_lines"], F.size(F.filter(names["_all"], lambda x: F.translate(x, BLANKS, "") != "")).cast("bigint"))
+    rows = rows.withColumn(names["n_lines"], F.size(F.filter(names["_all"], has_word)).cast("bigint"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(names["_all"]) - 1), F.col(names["_keep"]))
     lines = F.col(names["_all"])
     rows = rows.withColumn("text", F.when(F.col(names["n_gone"]) > 0, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise(F.col("text")))
@@ -182,7 +194,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with cut texts, without those that lost lines and have no word left; n_chars follows the text."""
     rows = dedup(docs)
     gone = rows.columns[-2]
-    rows = rows.where((F.col(gone) == 0) | (F.translate("text", BLANKS, "") != ""))
+    rows = rows.where((F.col(gone) == 0) | has_word(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
