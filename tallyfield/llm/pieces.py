@@ -12,9 +12,9 @@ infinity else. In the tropical semiring the shortest path then has weight 0 and
 (position, last piece), and as each prefix has just one reachable state of finite weight, the forward pass keeps one
 state per position: linear time, however long the text.
 
-No piece holds a mark after another character, and none holds a line end (both checked when compiling; else texts are
-composed whole), so paths of the parts between such places are found apart, and remembered up to a bounded number of
-parts.
+No piece holds a mark after another character, a line end, or certain signs after a letter (found when compiling; a model
+without such places is composed whole), so paths of the parts between such places are found apart, and remembered up
+to a bounded number of parts.
 
 Defined cases: null and empty texts have no ids and decode to ""; a mark in the text decodes to a space, as the
 vocabulary can't tell them apart (round_trip is false there); texts are encoded whole; columns other than doc_id and
@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +38,8 @@ from .common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-PARTS = 300_000
-PAIRS = 300_000
+PARTS = 200_000
+PAIRS = 400_000
 LONG = 48
 CHUNK_CHARS = 2_000_000
 
@@ -101,13 +103,30 @@ class Transducer:
                     raise ValueError("models that map characters or squeeze spaces are not supported")
         if kind != 2 or -1 in self.byte_id:
             raise ValueError("only merging models with byte fallback are supported")
-        self.longest = max(map(len, self.ids))
-        self.tails = {name[k:] for name in self.ids for k in range(len(name))}
-        self.names = {v: k for k, v in self.ids.items()}
-        apart = not any(MARK in name.lstrip(MARK) or "\n" in name for name in self.ids)
-        self.part = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if apart else r"(?s).+")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.lexicon = ahocorasick.Automaton()
+        for name in self.ids:
+            self.lexicon.add_word(name, name)
+        self.lexicon.make_automaton()
+        self.part = re.compile(self._parts())
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+
+    def _parts(self) -> str:
+        """A pattern for parts that no piece reaches across. A part starts at marks after another character, at line
+        ends, and at a sign that follows a letter or digit in no piece, when it does so in the text."""
+        before: dict[str, set[str]] = {}
+        for name in self.ids:
+            for a, b in zip(name, name[1:], strict=False):
+                before.setdefault(b, set()).add(a)
+        if "\n" in before or before.get(MARK, {MARK}) - {MARK}:
+            return r"(?s).+"
+        letter = re.compile(r"[^\W_]")
+        signs = {c for name in self.ids for c in name if not letter.match(c) and c not in (MARK, "_") and not any(map(letter.match, before.get(c, ())))}
+        own = re.escape("".join(sorted(signs)))
+        other, after = rf"(?:[^\w{MARK}\n]|_)", rf"(?:[^\w{MARK}\n{own}]|_)"
+        return rf"(?=[^\n]){MARK}*+{other}*+[^\W_]*+(?:{after}{other}*+[^\W_]*+)*+|\n"
 
     def merged(self, text: str) -> list[str]:
         """The merging rule itself, on a short text: join the best-scored neighbours, leftmost first, until none join."""
@@ -119,28 +138,44 @@ class Transducer:
             k = min(found)[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
+    def allowed(self, a: str, b: str) -> bool:
+        """Weight of the pair machine: may b stand right after a? An empty a is the start."""
+        known = self.pairs.get(a, {}).get(b)
+        return self.follows(a, b) if known is None else known
+
     def follows(self, a: str, b: str) -> bool:
-        """Weight of the pair machine: is b allowed right after a? An empty a is the start."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+        """The same, worked out anew and remembered."""
+        if self.n_pairs >= PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.pairs.setdefault(a, {})[b] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
     def path(self, text: str) -> list[str]:
-        """The zero-weight path through one part, as the strings that its arcs read."""
+        """The zero-weight path through one part, as the strings that its arcs read. At most one arc into a position
+        has finite weight; the lexicon machine gives the arcs into each position, longest first."""
         last: list[str | None] = [""] + [None] * len(text)
-        ids, tails = self.ids, self.tails
-        for end in range(1, len(text) + 1):
-            for size in range(1, min(self.longest, end) + 1):
-                piece = text[end - size : end]
-                if size > 1 and piece not in tails:
-                    break
-                before = last[end - size]  # a lone character is an arc even if it is no piece: it falls back to bytes
-                if (size == 1 or piece in ids) and before is not None and self.follows(before, piece):
-                    last[end] = piece
-                    break
+        pairs, none, done = self.pairs, {}, 0
+
+        def alone(upto: int) -> None:
+            """A lone character is an arc even if it is no piece: it falls back to bytes."""
+            nonlocal done
+            while done < upto:
+                done += 1
+                if last[done] is None and last[done - 1] is not None and self.allowed(last[done - 1], text[done - 1]):
+                    last[done] = text[done - 1]
+
+        for end, piece in self.lexicon.iter(text):
+            if done < end:
+                alone(end)
+            if last[end + 1] is None:
+                before = last[end + 1 - len(piece)]
+                if before is not None:
+                    known = pairs.get(before, none).get(piece)
+                    if known or (known is None and self.follows(before, piece)):
+                        last[end + 1] = piece
+        alone(len(text))
         out, end = [], len(text)
         while end:
             out.append(last[end])
@@ -148,18 +183,22 @@ class Transducer:
         return out[::-1]
 
     def __getitem__(self, part: str) -> bytes:
-        """The numbers of one part, as int32 bytes."""
+        """The numbers of one part, as int32 bytes. Parts are remembered in two generations: when the younger one is
+        full it becomes the elder, so that frequent parts stay and memory is bounded."""
         found = self.known.get(part)
+        if found is not None:
+            return found
+        found = self.elder.get(part)
         if found is None:
             ids: list[int] = []
             for piece in self.path(part):
                 own = self.ids.get(piece)
                 ids += [own] if own is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
-            found = np.array(ids, np.int32).tobytes()
-            if len(part) <= LONG:
-                if len(self.known) >= PARTS:
-                    self.known.clear()
-                self.known[part] = found
+            found = array("i", ids).tobytes()
+        if len(part) <= LONG:
+            if len(self.known) >= PARTS:
+                self.known, self.elder = {}, self.known
+            self.known[part] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
