@@ -27,7 +27,7 @@ def per_row(f: Callable[..., object], kind: T.DataType = DOUBLES) -> Callable:
 
     def batches(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in it:
-            yield run(*columns)
+            yield run(columns) if isinstance(columns, pd.Series) else run(*columns)  # one column comes bare
 
     batches.__annotations__ = {"it": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
     return F.pandas_udf(batches, kind)
