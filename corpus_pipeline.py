@@ -36,5 +36,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stage(docs, name)
+            docs = stage(docs, name, wide=True)
     return docs

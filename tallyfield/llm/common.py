@@ -26,11 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: later jobs neither compute it again nor lose it with an executor."""
+def stage(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: later jobs neither compute it again nor lose it with an executor.
+
+    Unless wide, it is written by two tasks a core at most, which take shuffle partitions one after the other: loops
+    over small tables would otherwise write a file for each of very many partitions in each round.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if wide else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

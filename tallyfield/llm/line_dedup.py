@@ -138,8 +138,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     suspects = stage(halves.join(narrow(shared), "half").select("h1", "h2", "at").distinct(), "line-suspects")
     met = lines_of(docs).withColumn("own", place()).join(narrow(suspects), ["h1", "h2"]).where("own = at")
     held = met.select("h1", "h2", "at", words_of(F.col("line")).alias("words"))
-    held = stage(held.dropDuplicates(["h1", "h2"]), "line-words")
-    keys = stage(neighbourhood(held.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))), "line-variants")
+    held = stage(held.dropDuplicates(["h1", "h2"]), "line-words", wide=True)
+    keys = stage(neighbourhood(held.withColumn("words", F.transform("words", lambda w: F.xxhash64(w)))), "line-variants", wide=True)
 
     # Replaced words: equal variants at an equal place. The earliest holder is everyone's partner.
     same = keys.where("spot >= 0").groupBy("key1", "key2", "spot").agg(F.min("at").alias("partner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -161,7 +161,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """
     rows = lines_of(docs).withColumn("at", place()).withColumn("words", words_of(F.col("line"))).withColumns(half_keys(F.col("words")))
     firsts = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), *[F.min(k).alias(k) for k in HALVES])
-    firsts = stage(firsts, "line-firsts")
+    firsts = stage(firsts, "line-firsts", wide=True)
     near = near_lines(docs, firsts).withColumn("near", F.lit(True))
     bad = firsts.drop(*HALVES).join(near, ["h1", "h2"], "left").where("n > 1 OR near")
     bad = stage(bad.select("h1", "h2", "at", F.coalesce("near", F.lit(False)).alias("near")), "line-bad")

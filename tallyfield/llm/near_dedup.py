@@ -12,8 +12,8 @@ sum(min) / sum(max) of multiplicities >= `LEAST`, and classes are the connected
 
 A bucket never puts out all its pairs. First its members are tested against one leader; then, `STAR_ROUNDS` times, those
 outside the bucket's largest class against a member of it that differs from bucket to bucket; what is then still apart
-is compared in blocks of about `BLOCK` members by signature (an estimate under `ESTIMATE` is over five standard errors below
-`LEAST`), and only pairs that pass are put out and verified. Buckets whose members are all in one class are done.
+is compared in blocks of about `BLOCK` members by signature (an estimate under `ESTIMATE` is over four standard errors below
+`LEAST`); pairs that pass are verified where they are found and only links are put out. Buckets whose members are all in one class are done.
 
 Defined cases: words are runs of characters outside the blanks, case counts; texts without words (null, empty)
 are a class each; the class id is the least doc_id of the class (null last); rows equal in doc_id and words are one
@@ -30,17 +30,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, stage, table, words_of
+from .common import BLANKS, fresh, narrow, stage, table, words_of
 
 SHINGLE = 5
 BANDS = 32
 ROWS = 6
 M = BANDS * ROWS
 LEAST = 0.8
-ESTIMATE = 0.65
+ESTIMATE = 0.68
 STAR_ROUNDS = 2
 BLOCK = 256
-CHUNK_WORDS = 250_000
+CHUNK_WORDS = 150_000
 _G = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -137,7 +137,7 @@ def hashed_words(text: Column) -> Column:
 
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, w1 and w2 (hash of the word sequence) and sig (M ints) of each document with a word; no shuffle."""
-    rows = docs.select("doc_id", hashed_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    rows = docs.where(F.translate("text", BLANKS, "") != "").select("doc_id", hashed_words(F.col("text")).alias("words"))
     rows = rows.select("doc_id", F.xxhash64(F.lit(1), "words").alias("w1"), F.xxhash64("words", F.lit(2)).alias("w2"), "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +204,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("v"), F.col("y").alias("c")).unionByName(roots)
 
 
-def block_pairs(rows: DataFrame, top: DataFrame, signs: DataFrame) -> DataFrame:
-    """Pairs (x, y) of bucket members in different classes whose signatures agree in a share of ESTIMATE or more.
+def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFrame) -> DataFrame:
+    """Verified links (x, y) that join what is still apart in unfinished buckets.
 
     rows: bucket, v, c; top: unfinished buckets with their largest class `most` and how many members are in it or not.
     Members are dealt into blocks by hash, those of the largest class apart from the others; blocks of others meet each
     other (i <= j) and those of the largest class (wide). Only block numbers are multiplied; a task holds two blocks.
+    A task looks at a pair if its classes differ, its signatures agree in a share of ESTIMATE or more, and this is the first
+    band that the two share (else that band's bucket looks at it), best estimates first; it verifies the pair if
+    no link found so far in the task has joined the classes. So a task puts out fewer links than it has members.
     """
     n_out, n_in = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("n_in") / BLOCK).cast("int")
     dealt = rows.join(top, "bucket").withColumn("inside", F.col("c") == F.col("most"))
@@ -223,20 +226,37 @@ def block_pairs(rows: DataFrame, top: DataFrame, signs: DataFrame) -> DataFrame:
     meets_out = F.transform(out, lambda k: task(F.least(b, k), F.greatest(b, k), False, (b > k).cast("int")))
     meets_in = F.transform(F.sequence(F.lit(0), n_in - 1), lambda k: task(b, k, True, F.lit(0)))
     tasks = F.when(F.col("inside"), F.transform(out, lambda k: task(k, b, True, F.lit(1)))).otherwise(F.concat(meets_out, meets_in))
-    sent = dealt.select("bucket", "v", F.xxhash64("c").alias("c"), F.explode(tasks).alias("t")).join(signs, "v").select("bucket", "t.*", "v", "c", "sig")
+    sent = dealt.select("bucket", "band", "v", F.xxhash64("c").alias("c"), F.explode(tasks).alias("t")).join(signs, "v").join(held, "v")
+    sent = sent.select("bucket", "t.*", "band", "v", "c", "sig", "words")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         sig = group["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, M)
-        c, side = group["c"].to_numpy(), group["side"].to_numpy()
+        c, side, band = (group[k].to_numpy() for k in ("c", "side", "band"))
         alone = group["i"][0].as_py() == group["j"][0].as_py() and not group["wide"][0].as_py()
-        xs, ys = [], []
+        near = []
         for k in range(len(sig)):
             if alone or side[k] == 0:
-                with_ = (np.arange(len(sig)) > k) if alone else side == 1
-                near = np.flatnonzero(with_ & (c != c[k]) & ((sig == sig[k]).mean(axis=1) >= ESTIMATE))
-                xs += [k] * len(near)
-                ys += near.tolist()
+                other = (np.arange(len(sig)) > k) if alone else side == 1
+                share = (sig == sig[k]).mean(axis=1)
+                for j in np.flatnonzero(other & (c != c[k]) & (share >= ESTIMATE)).tolist():
+                    if (sig[j] == sig[k]).reshape(BANDS, ROWS).all(axis=1).argmax() == band[k]:
+                        near.append((-share[j], k, j))
+        root = {x: x for x in c.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        words, xs, ys = group["words"].combine_chunks(), [], []
+        for _, k, j in sorted(near):
+            a, b = find(c[k]), find(c[j])
+            if a != b and overlap(*(words[i].values.to_numpy(zero_copy_only=False) for i in (k, j))) >= LEAST - 1e-12:
+                root[a] = b
+                xs.append(k)
+                ys.append(j)
         v = group["v"].combine_chunks()
         return pa.table({"x": v.take(pa.array(xs, pa.int64())), "y": v.take(pa.array(ys, pa.int64()))})
 
@@ -246,19 +266,18 @@ def block_pairs(rows: DataFrame, top: DataFrame, signs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, w1, w2 of documents with a word), and (w1, w2, v, c) of distinct word sequences: itself and its class."""
-    rows = stage(signed(docs), "signatures")
+    rows = stage(signed(docs), "signatures", wide=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))).alias("id")
     texts = rows.groupBy("w1", "w2").agg(first, F.first("sig").alias("sig"))
     texts = stage(texts.select(F.struct("id.n", "id.d", F.col("w1").alias("a"), F.col("w2").alias("b")).alias("v"), "sig"), "texts")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, F.lit(ROWS))))
-    members = texts.select("v", F.explode(band).alias("bucket"))
+    members = texts.select("v", F.posexplode(band).alias("band", "bucket"))
     crowded = stage(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("leader")).where("n > 1").drop("n"), "buckets")
     members = stage(members.join(crowded, "bucket"), "bucket-members")
 
-    wanted = members.select("v").distinct()
+    wanted = narrow(stage(members.select("v").distinct(), "bucket-texts"))
     met = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("v.d"))).select("v", hashed_words(F.col("text")).alias("words"))
-    met = met.where((F.xxhash64(F.lit(1), "words") == F.col("v.a")) & (F.xxhash64("words", F.lit(2)) == F.col("v.b")))
-    held = stage(met.dropDuplicates(["v"]), "held-words")
+    held = stage(met, "held-words", wide=True).where((F.xxhash64(F.lit(1), "words") == F.col("v.a")) & (F.xxhash64("words", F.lit(2)) == F.col("v.b")))
 
     links = stage(verified(members.where("v <> leader").select(F.col("leader").alias("x"), F.col("v").alias("y")).distinct(), held), "links-0")
     found = stage(components(links), "classes-0")
@@ -274,9 +293,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             by = F.min(F.when(F.col("c") == F.col("most"), F.struct(F.xxhash64("v", "bucket", F.lit(k)).alias("h"), F.col("v").alias("v"))))
             star = stage(met.groupBy("bucket").agg(by.alias("l")).select("bucket", F.col("l.v").alias("x")), f"stars-{k}")
             pairs = met.where("c <> most").join(star, "bucket").select("x", F.col("v").alias("y"))
+            more = stage(verified(pairs.distinct(), held), f"links-{k + 1}")
         else:
-            pairs = block_pairs(at, top, texts)
-        more = stage(verified(pairs.distinct(), held), f"links-{k + 1}")
+            more = stage(block_links(at, top, texts, held), f"links-{k + 1}")
         if more.isEmpty():
             continue
         links = links.unionByName(more)

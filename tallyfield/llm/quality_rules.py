@@ -181,7 +181,7 @@ def learn(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: flo
 
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    rows = stage(with_features(docs).drop("text"), "quality-features")
+    rows = stage(with_features(docs).drop("text"), "quality-features", wide=True)
     found = learn(rows, table(spark, sf_dir, "labels"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict(found).alias("kept")
@@ -194,7 +194,7 @@ def filter_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     p = "_q_"
     while any(c.lower().startswith(p) for c in docs.columns):
         p = f"_{p}"
-    rows = stage(with_features(docs, p), "quality-rows")
+    rows = stage(with_features(docs, p), "quality-rows", wide=True)
     plain = rows.select("doc_id", "lang", *[F.col(p + c).alias(c) for c in ("base_failed", *RULES)])
     return rows.where(verdict(learn(plain, table(spark, sf_dir, "labels")), p)).select(*docs.columns)
 

@@ -95,7 +95,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tup
     than one slot's rows of 24 bytes each.
     """
     spark = docs.sparkSession
-    rows = stage(keyed(docs, slots), "shard-keys")
+    rows = stage(keyed(docs, slots), "shard-keys", wide=True)
     sums = rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
     weight, count = {r.vslot: r.b for r in sums}, {r.vslot: r.n for r in sums}
     slot_map = SlotMap.deal(weight, slots, shards)
