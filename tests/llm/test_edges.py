@@ -1,0 +1,83 @@
+"""Nulls in any column, empty and very long texts, repeated rows, clashing columns and empty tables, for all operators and stages."""
+
+from __future__ import annotations
+
+import corpus_pipeline
+import pytest
+from tallyfield.llm import registry
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, words string, ids int, h1 int, _k1 int, n_lines string, pii_base string, _q_n_words int, label string, v int, sig string"
+EXTRA = (1, "w", 2, 3, 4, "n", "p", 5, "l", 6, "s")
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("edges"))
+    long = "lorem ipsum dolor sit amet " * 8000
+    plain = "This is a plain sentence with some twelve words in it here.\nAnd a second line of the same text stands below it."
+    rows = [
+        (1, plain, "en", "a"), (1, plain, "en", "a"), (2, None, "en", None), (None, plain + " More words.", None, "b"), (3, "", "de", "a"), (4, long, "en", "a"), (5, " \n\t", None, None),
+        (6, "x" * 50_000, "fr", "a"), (7, "a@b.cc +49 (123) 456-7890 1.2.3.4 4111 1111 1111 1111", "en", "a"), (None, None, None, None), (8, "😀 é ß 中文 \x00 end", "de", "a"), (2, "Same id and another text.", "en", "a"),
+        (9, "Was ist die Antwort auf alles? Zweiundvierzig ist die Antwort auf die Frage nach dem Sinn.", "de", "a"),
+    ]
+    spark.createDataFrame([(*r, len(r[1]) if r[1] else None, *EXTRA) for r in rows], DOCS).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, 0), (None, 1, 1), (3, 0, 0), (7, 0, 1), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, "Was ist die Antwort auf alles? Zweiundvierzig ist die Antwort auf die Frage nach dem Sinn."), (2, None), (3, ""), (None, "two words")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, "u", "<article><p>Some text stands here.</p></article>", 1), (1, "u", "<article><p>Some text stands here.</p></article>", 1), (None, None, None, None), (2, "u", "", 3), (3, "u", "<p>" * 5000, 4)], "page_id long, url string, html string, text int").write.parquet(f"{d}/pages.parquet")
+    return d
+
+
+@pytest.fixture(scope="module")
+def empty(spark, folder, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("empty"))
+    for t in ("documents", "labels", "benchmark", "pages"):
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_odd_rows(spark, folder, name):
+    got = registry.queries()[name](spark, folder).collect()
+    n = spark.read.parquet(f"{folder}/{'pages' if name.startswith('op2_') else 'documents'}.parquet").count()
+    if name.startswith("op9_"):
+        assert {(r.doc_id, r.item_id) for r in got} == {(9, 1)}
+    else:
+        assert len(got) == n
+    if name.startswith("op4_"):
+        assert all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (3, 5))
+    if name.startswith("op5_"):
+        assert all(r.base_failed and not r.kept and r.n_words == 0 for r in got if r.doc_id in (3, 5))
+    if name.startswith("op8_"):
+        assert [r.class_id for r in got if r.doc_id == 1] == [1, 1] and [r.class_id for r in got if r.doc_id == 3] == [3]
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_empty_tables(spark, empty, name):
+    assert registry.queries()[name](spark, empty).collect() == []
+
+
+def test_stages(spark, folder, empty):
+    for d in (folder, empty):
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, d)
+            if k + 1 < len(corpus_pipeline.STAGES):
+                assert out.columns == docs.columns
+                assert out.count() <= docs.count()
+        assert set(docs.columns) <= set(out.columns)
+    ids = [r.doc_id for r in corpus_pipeline.run(spark, folder).collect()]
+    assert 9 not in ids and ids.count(1) <= 1
+
+
+def test_stages_act(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    kept = {}
+    for name, f in corpus_pipeline.STAGES:
+        kept[name] = f(spark, docs, tiny)
+    quality = {r.doc_id for r in kept["quality_rules"].collect()}
+    assert quality and len(quality) < docs.count()
+    assert kept["near_dedup"].count() < docs.count()
+    items = [r.text for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    leaks = {r.doc_id for r in docs.collect() if any(t in r.text for t in items)}
+    clean = {r.doc_id for r in kept["decontaminate"].collect()}
+    assert leaks and not leaks & clean and len(clean) == docs.count() - len(leaks)

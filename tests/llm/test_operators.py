@@ -1,0 +1,318 @@
+"""Operators against brute force, on small fixtures."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tallyfield.llm import decontaminate, grading, html_text, language_id, line_dedup, near_dedup, pieces, pii, quality_rules, sharding
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tiny):
+    return spark.read.parquet(f"{tiny}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+# ---- 1
+
+
+def luhn(d: str) -> bool:
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(t: str) -> list[tuple[int, int, str, int]]:
+    out = []
+    patterns = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+        ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    )
+    for k, (kind, p) in enumerate(patterns):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "email" or (kind == "ip" and all(int(x) <= 255 for x in m.group().split("."))) or (kind == "card" and 14 <= len(d) <= 19 and luhn(d)) or (kind == "phone" and 10 <= len(d) <= 15):
+                out.append((m.start(), k, kind, m.end()))
+    return sorted(out)
+
+
+def test_pii_base_is_the_plain_search(spark, tiny, texts):
+    rng = random.Random(1)
+    parts = ["a@b.c", "_d@e.f-g.h", "x@y", "@", "1.2.3.4", ".5.6.7.8", "999.1.1.1", "007.0.0.00255", "4111 1111-1111 1111", "4111111111111112", "+49 (030) 123-4567", "+1", " ", " ", "é", "😀", ".", "-", "12", "++4 4 4 4 4 4 4 4 4 4", "a.b+c%d@e-f.gh.ij"]
+    made = {10_000 + k: "".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for k in range(400)} | texts
+    df = spark.createDataFrame([(k, v) for k, v in made.items()] + [(-1, None)], "doc_id long, text string")
+    for r in pii.with_spans(df).select("doc_id", pii.shown("pii_base").alias("b"), pii.shown("pii_spans").alias("s")).collect():
+        want = [f"{kind}:{a}:{e}" for a, _, kind, e in base_spans(made.get(r.doc_id) or "")]
+        assert r.b == ",".join(want), made.get(r.doc_id)
+        assert set(want) <= set(r.s.split(",")) | {""}
+    got = {r.doc_id: r for r in pii.op1_boosted_pii(spark, tiny).collect()}
+    for k, t in texts.items():
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{kind}:{a}:{e}" for a, _, kind, e in base_spans(t)).encode()).hexdigest()
+
+
+def test_pii_adds_loose_spans(spark):
+    df = spark.createDataFrame([("write to bob.x at foo dot com now",), ("the host 10[.]0[.]0[.]1 fell",), ("page 12-34-56-78 of 90.91.92",), ("meet at noon.",)], "text string")
+    assert [r.redacted for r in pii.redact(df).collect()] == ["write to <EMAIL> now", "the host <IP> fell", "page 12-34-56-78 of 90.91.92", "meet at noon."]
+
+
+def test_pii_many_matches_in_one_text(spark):
+    text = "a@b.cc " * 700
+    got = pii.with_spans(spark.createDataFrame([(text,)], "text string")).select(pii.shown("pii_base")).first()[0].split(",")
+    assert len(got) == 700 and got[-1] == f"email:{699 * 7}:{699 * 7 + 6}"
+
+
+# ---- 2
+
+
+def test_min_cut_is_least():
+    rng = random.Random(1)
+    for _ in range(150):
+        n = rng.randint(1, 9)
+        gain = [rng.gauss(0, 1.5) for _ in range(n)]
+        edges = [(a, b, rng.random() * 1.5) for a in range(n) for b in range(a) if rng.random() < 0.5]
+        cost = lambda s, gain=gain, edges=edges: sum(max(g, 0) if not k else max(-g, 0) for g, k in zip(gain, s, strict=True)) + sum(c for a, b, c in edges if s[a] != s[b])
+        assert cost(html_text.source_side(gain, edges)) == pytest.approx(min(map(cost, itertools.product((False, True), repeat=n))))
+
+
+def test_html_articles(spark, tiny):
+    w = html_text.fitted()
+    for page, good in html_text.sample_pages(60, seed=99):
+        assert html_text.main_text(page, w) == " ".join(b.text for b in html_text.blocks(page) if b.text in good)
+    page = '<nav><a href=x>Home</a></nav><div class="ad">x</div><article><h1>A &amp; B</h1><p>a < b is\n <b>bo</b>ld&nbsp;x<script>var t="</p>";</script><aside>no</aside><p>Second.<div id="comments"><p>bad comment here.</p></div></article><footer>f'
+    assert html_text.main_text(page, w) == "A & B a < b is bold x Second."
+    assert html_text.main_text(None, w) == html_text.main_text("", w) == html_text.main_text("<div", w) == ""
+    long = "<article>" + "<p>Some words stand here.</p>" * 20_000 + "</article>"
+    assert len(html_text.main_text(long, w)) == 23 * 20_000 - 1
+    got = html_text.op2_min_cut_html(spark, tiny).collect()
+    assert all(r.n_chars == len(r.text) for r in got) and len(got) == spark.read.parquet(f"{tiny}/pages.parquet").count()
+
+
+# ---- 3
+
+
+def test_pieces_equal_the_library(texts):
+    spm = pytest.importorskip("sentencepiece")
+    lib, own = spm.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Transducer(pieces.load())
+    rng = random.Random(2)
+    alphabet = ["a", "b", "th", "e", "   ", " ", "\n", "\t", "é", "😀", "ß", "1", "23", ".", ",", "▁", "中", "하", "\x00", "ing", "tion", "aaaa", " " * 20, "<0x0A>", "<s>", "\r\n", "é"]
+    made = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    for t in [*texts.values(), *made, "ab" * 30_000, " " * 5000]:
+        ids = own.encode(t)
+        assert ids.tolist() == lib.encode(t)
+        assert own.decode(ids) == lib.decode(ids.tolist())
+        assert "▁" in t or own.decode(ids) == t
+
+
+# ---- 4
+
+
+def test_language_accuracy(spark, docs):
+    model = language_id.train(docs, per_lang=60)
+    got = language_id.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 20 and np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+# ---- 5
+
+
+def test_quality_counts_are_the_plain_ones(spark, tiny, texts):
+    rng = random.Random(4)
+    made = {10_000 + k: "".join(rng.choice(["a", "b", "c d", "\n", " ", "#x", "\t\x0b", "e f"]) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 60))) for k in range(200)} | texts
+    df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    for r in quality_rules.with_features(df).collect():
+        t = made[r.doc_id]
+        w = WORD.findall(t)
+        c = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        covered = {k for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(covered))
+
+
+def test_cutoffs_keep_their_promise(spark):
+    """On data without any difference between labels, cutoffs reject at most the allowed share of good rows."""
+    rng = random.Random(5)
+    rows = [(None if k % 3 else "x", rng.random() > 0.3, False, *[rng.random() ** 2 for _ in quality_rules.RULES]) for k in range(12_000)]
+    df = spark.createDataFrame(rows, "lang string, good boolean, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
+    found = quality_rules.cutoffs(df)
+    lost = df.withColumn("kept", quality_rules.verdict(found)).where("good").groupBy("lang").agg(F.avg((~F.col("kept")).cast("int")).alias("lost")).collect()
+    assert all(r.lost <= 1.5 * quality_rules.RISK for r in lost)
+    bad = df.withColumn("symbol_share", F.when(F.col("good"), F.lit(0.0)).otherwise(F.lit(0.3)))
+    assert all(found2 < 0.3 for k, found2 in quality_rules.cutoffs(bad).items() if k[1] == "symbol_share")
+    assert quality_rules.cutoffs(df.limit(0)) == {}
+    assert quality_rules.binomial_tail(3, 10, 0.4) == pytest.approx(0.3822806016)
+
+
+# ---- 6
+
+
+def test_shards(spark, docs, tiny):
+    rows, slot_map, weight = sharding.shard_rows(docs)
+    got = rows.collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert len(got) == docs.count() and set(by) <= set(range(24))
+    for own in by.values():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    sums = [sum(r["size"] for r in own) for own in by.values()]
+    assert max(sums) - min(sums) <= max(r["size"] for r in got)
+    assert {r.doc_id: r["size"] for r in got} == {r.doc_id: len((r.text or "").encode()) + 8 for r in docs.collect()}
+    grown = slot_map.grow(weight)
+    assert grown.version == 2 and all(b in (a, 24) for a, b in zip(slot_map.shard_of, grown.shard_of, strict=True))
+    assert sum(weight.get(s, 0) for s in grown.moved) <= sum(weight.values()) / 25
+
+
+def test_slot_map_versions(spark, tmp_path):
+    one = sharding.SlotMap.deal({0: 5, 1: 3, 2: 2}, 4, 2)
+    two = one.grow({0: 5, 1: 3, 2: 2})
+    for m in (one, two):
+        m.save(spark, str(tmp_path))
+    assert sharding.SlotMap.load(spark, str(tmp_path), 1).shard_of == one.shard_of and sharding.SlotMap.load(spark, str(tmp_path), 2).shard_of == two.shard_of
+
+
+# ---- 7
+
+
+def test_grades_separate(spark, tiny):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = grading.score(docs, grading.train(docs, labels)).join(labels, "doc_id").collect()
+    mean = lambda f: np.mean([r.expected_grade for r in got if f(r)])
+    assert mean(lambda r: r.toxic) < mean(lambda r: not r.toxic and not r.quality) < mean(lambda r: r.quality and not r.toxic)
+    assert all(r.p_good <= r.p_not_toxic for r in got)
+
+
+# ---- 8
+
+
+def similarity(a: collections.Counter, b: collections.Counter) -> float:
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def bag(text: str) -> collections.Counter:
+    w = WORD.findall(text)
+    return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def test_signatures_are_unbiased():
+    rng = np.random.default_rng(1)
+    sign = lambda b: near_dedup.bag_minhash(np.zeros(len(b), int), near_dedup.mixed(np.array(list(b), np.uint64)), np.array(list(b.values())), 1, 4096)[0]
+    for most in (1, 3, 40):
+        a, b = ({k: int(rng.integers(1, most + 1)) for k in range(x, x + 200)} for x in (0, 50))
+        b |= {k: a[k] for k in range(60, 190)}
+        true = sum(min(a.get(k, 0), b.get(k, 0)) for k in {*a, *b}) / sum(max(a.get(k, 0), b.get(k, 0)) for k in {*a, *b})
+        assert (sign(a) == sign(b)).mean() == pytest.approx(true, abs=0.04)
+
+
+def test_near_classes_lose_no_link(spark, tmp_path):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    base = [rng.choice(words) for _ in range(90)]
+    made = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    for k in range(200):  # copies at growing distance, so that links, near misses and chains all occur
+        w = list(base)
+        for _ in range(k % 7):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        made.append(" ".join(w))
+    passage = base[:60]
+    made += [" ".join(passage + [rng.choice(words) for _ in range(rng.choice([2, 8, 20]))]) for _ in range(60)]
+    made += ["a b", "a  b", "a c", "x " * 50, "x " * 48, "", " \n", made[70], made[70]]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in near_dedup.op8_bag_minhash(spark, str(tmp_path)).collect()}
+    bags = {k: bag(t) for k, t in enumerate(made) if t.strip()}
+    root = {k: k for k in range(len(made))}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(bags, 2):
+        if similarity(bags[a], bags[b]) >= 0.8:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {k: find(k) for k in range(len(made))}
+
+
+# ---- 9
+
+
+def test_decontamination_is_exact():
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(80)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, f"{text(rng.randint(6, 25))}. {text(rng.randint(2, 8))}.") for k in range(40)] + [(100, "what is x"), (101, ""), (102, None)]
+    index = decontaminate.Index(items)
+    texts = [f"{text(rng.randint(0, 80))} {rng.choice(items[:41])[1]} {text(rng.randint(0, 80))}" for _ in range(60)] + [text(300) for _ in range(20)] + [""]
+    got = index.search(texts)
+    for t, own in zip(texts, got, strict=True):
+        w, want = decontaminate.tokens(t), {}
+        for p in range(len(w) // index.length + 1):
+            part = w[p * index.length : (p + 2) * index.length]
+            held = {index.vocabulary[x] for x in part if x in index.vocabulary}
+            for k in range(len(index.ids)):
+                score = sum(x for term, x in index.impacts[k].items() if term in held)
+                shares = [len(g & decontaminate.grams(part, n)) / max(1, len(g)) for n, g in index.pieces[k]]
+                if score >= decontaminate.SHARE and min(shares) >= (1.0 if len(index.words[k]) < decontaminate.SHORT else decontaminate.OVERLAP):
+                    want[k] = max(want.get(k, (0, 0, 0)), (score, shares[0], shares[-1]))
+        assert own == want
+        assert all(k in {index.ids[i] for i in own} for k, x in items if x and x in t and len(decontaminate.tokens(x)) >= decontaminate.SHORT)
+
+
+def test_benchmark_in_parts(spark, tiny, docs):
+    bench = spark.read.parquet(f"{tiny}/benchmark.parquet")
+    whole = {(r.doc_id, r.item_id) for r in decontaminate.hits(docs, bench).collect()}
+    parts = {(r.doc_id, r.item_id) for r in decontaminate.hits(docs, bench, most=15).collect()}
+    there = {(d.doc_id, b.item_id) for d in docs.collect() for b in bench.collect() if b.text in d.text}
+    assert there <= whole and there <= parts
+
+
+# ---- 10
+
+
+def within_one(x: list[str], y: list[str]) -> bool:
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y, strict=True)) <= 1
+    x, y = sorted((x, y), key=len)
+    return len(y) - len(x) == 1 and any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
+
+
+def test_line_dedup_is_the_plain_search(spark, texts):
+    rng = random.Random(3)
+    few = ["a", "b", "c", "dd", "e"]
+    rows = [(i if i != 7 else None, "\n".join(" ".join(rng.choice(few) for _ in range(rng.choice([0, 1, 3, 7, 8, 8, 9, 9, 10]))) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    for i in range(150, 200):
+        w = [f"w{k}" for k in range(12)]
+        for _ in range(rng.randint(0, 2)):
+            j, o = rng.randrange(len(w)), rng.random()
+            w[j : j + (o < 0.7)] = [] if 0.4 <= o < 0.7 else [f"x{rng.randrange(99)}"]
+        rows.append((i, " ".join(w) + "\nAnother line"))
+    rows += [(900, None), (901, ""), (902, "\n\n")] + [(1000 + k, t) for k, t in texts.items()]
+    place = lambda d, k: (d is None, d or 0, k)
+    lines = [(place(d, k), s, WORD.findall(s)) for d, t in rows for k, s in enumerate((t or "").split("\n")) if WORD.search(s)]
+    first = {}
+    for at, s, _ in lines:
+        first[s] = min(first.get(s, at), at)
+    long = collections.defaultdict(list)
+    for s, at in first.items():
+        if len(w := WORD.findall(s)) >= line_dedup.MIN_WORDS:
+            long[len(w)].append((at, s, w))
+    near = {s for n in list(long) for at, s, w in long[n] if any(a < at and within_one(w, v) for m in (n - 1, n, n + 1) for a, _, v in long.get(m, []))}
+    gone = {at for at, s, _ in lines if s in near or at > first[s]}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in line_dedup.dedup(df).collect():
+        t = dict(rows)[r.doc_id]
+        lost = [k for k in range(len((t or "").split("\n"))) if place(r.doc_id, k) in gone]
+        assert r.n_gone == len(lost)
+        assert r.text == ("\n".join(s for k, s in enumerate(t.split("\n")) if k not in lost) if lost else t)
