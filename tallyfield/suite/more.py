@@ -13,7 +13,9 @@ from ..lineage import cut
 from ..operators import binning as bn
 from ..operators import catalogs as ca
 from ..operators import filters as fi
+from ..operators import finder as fd
 from ..operators import mapmaker as mm
+from ..operators import noise as no
 from ..operators import simulate as si
 from ..operators import tables as tb
 from ..sources import text
@@ -243,4 +245,20 @@ put(
 )
 Q["moving_mask"] = lambda s, d: ca.pairs(si.raster(s, (0.0, 10.0, 0.0, 10.0), 0.5).select(C("sample").alias("id"), "x", "y"), s.range(0, 8).select(C("id"), (C("id") * 1.1).alias("x"), (5 + F.sin("id")).alias("y")), "id", "x", "y", 0.8).select("id").distinct()
 
+# ---- noise models and object search
+
+
+def scans(spark: SparkSession, d: str) -> DataFrame:
+    return samples(spark, d).withColumns({"scan": C("det") % 10, "cut": C("event_type") == "error"}).select("scan", "det", "sample", "value", "cut")
+
+
+Q["noise_weighted"] = lambda s, d: no.weighted(scans(s, d), "scan", "det", "sample", "value", 5, 6)
+Q["gapfill_constrained"] = lambda s, d: no.constrained(scans(s, d), "scan", "det", "sample", "value", "cut", rounds=1)
+Q["find_sources"] = lambda s, d: fd.find(grid(s, d).select("y", "x", "v", F.lit(1e-3).alias("w")), "v", "w", 1.2, 16, 5, 4.0)
+put(
+    "forced_amplitudes", lambda s, d: rounded(fd.forced(grid(s, d).withColumn("w", 1 + C("x") / 10), table(s, d, "supplier").select(C("s_suppkey").alias("id"), (C("s_suppkey") * 7 % 25).cast("int").alias("y"), (C("s_suppkey") * 11 % 40).cast("int").alias("x")), "v", "w", 2, 1.5), "amp", "damp"),
+    f"""WITH {LI}, {GRID}, st AS (SELECT s_suppkey AS id, s_suppkey * 7 % 25 + i AS y, s_suppkey * 11 % 40 + j AS x, exp(-(i * i + j * j) / 4.5) AS b FROM supplier, (SELECT range AS i FROM range(-2, 3)), (SELECT range AS j FROM range(-2, 3)))
+ SELECT id, round(sum(b * v * (1 + x / 10.0)) / sum(b * b * (1 + x / 10.0)), 4) AS amp, round(1 / sqrt(sum(b * b * (1 + x / 10.0))), 4) AS damp FROM st JOIN grid USING (y, x) GROUP BY 1""",
+)
+
 QUERIES, ORACLE = Q, O

@@ -162,3 +162,51 @@ def test_text_sources(spark, tmp_path):
     s.load(["n = 5 # five", "on = yes"])
     assert (s.get("n"), s.get("on"), s.get("n", 9)) == (5, True, 9)
     assert text.parse_manifest(["map: a.fits", "gain: 2.5"]) == {"map": "a.fits", "gain": 2.5}
+
+
+def test_finder_finds_what_is_injected(spark):
+    from tallyfield.operators import finder
+
+    rng = np.random.default_rng(5)
+    d = rng.normal(size=(70, 70))
+    y, x = np.mgrid[:70, :70]
+    true = [(10, 12, 20.0), (31, 32, 15.0), (33, 60, 12.0), (64, 5, 30.0)]  # two of them at tile borders
+    for a, b, amp in true:
+        d += amp * np.exp(-((y - a) ** 2 + (x - b) ** 2) / (2 * 1.5**2))
+    cells = spark.createDataFrame(pd_frame({"y": y.ravel(), "x": x.ravel(), "v": d.ravel(), "w": np.ones(4900)}))
+    got = finder.find(cells, "v", "w", 1.5, tile=32, margin=8, least=6.0).collect()
+    assert len(got) == len(true)
+    for a, b, amp in true:
+        best = min(got, key=lambda r: abs(r.y - a) + abs(r.x - b))
+        assert abs(best.y - a) <= 1 and abs(best.x - b) <= 1 and abs(best.amp - amp) < 5 * best.damp + 1
+    cat = spark.createDataFrame([(0, 10, 12), (1, 50, 50)], "id int, y int, x int")
+    forced = {r.id: r for r in finder.forced(cells, cat, "v", "w", 5, 1.5).collect()}
+    assert abs(forced[0].amp - 20) < 5 * forced[0].damp and abs(forced[1].amp) < 5 * forced[1].damp
+
+
+def pd_frame(columns):
+    import pandas as pd
+
+    return pd.DataFrame(columns)
+
+
+def test_noise_models(spark):
+    from tallyfield.operators import noise
+
+    rng = np.random.default_rng(6)
+    common = np.cumsum(rng.normal(size=128))
+    d = common + 0.1 * rng.normal(size=(6, 128))
+    model = noise.Measured(d)
+    a, b = rng.normal(size=(2, 6, 128))
+    assert np.isclose((a * model.apply(b)).sum(), (b * model.apply(a)).sum())  # symmetric
+    assert (a * model.apply(a)).sum() > 0
+    rows = [(0, i, k, float(d[i, k]), bool(i == 2 and 40 <= k < 60)) for i in range(6) for k in range(128)]
+    df = spark.createDataFrame(rows, "scan int, det int, at int, value double, cut boolean")
+    got = {(r.det, r["at"]): r.value for r in noise.constrained(df, "scan", "det", "at", "value", "cut").collect()}
+    off = [abs(got[2, k] - common[k]) for k in range(40, 60)]
+    assert np.mean(off) < 0.5 * np.std(common) and all(got[i, k] == d[i, k] for i in (0, 2) for k in range(30))
+    assert noise.weighted(df, "scan", "det", "at", "value", window=4).count() == len(rows)
+    for kind, n in (("full", 10), ("none", 0), ("bin:4", 3), ("poly:3", 3), ("exp", 7)):
+        assert noise.cut_basis(10, kind).shape[0] == 10 and abs(noise.cut_basis(10, kind).shape[1] - n) <= 1
+    with pytest.raises(ValueError):
+        noise.cut_basis(5, "what")
