@@ -210,3 +210,23 @@ def test_noise_models(spark):
         assert noise.cut_basis(10, kind).shape[0] == 10 and abs(noise.cut_basis(10, kind).shape[1] - n) <= 1
     with pytest.raises(ValueError):
         noise.cut_basis(5, "what")
+
+
+def test_motion(spark):
+    from tallyfield.operators import motion
+
+    x = np.linspace(0, 6, 25)
+    assert np.allclose(motion.natural_spline(x, np.sin(x), np.array([1.03, 3.3])), np.sin([1.03, 3.3]), atol=1e-3)
+    table = spark.createDataFrame([(0, float(t), float(np.sin(t))) for t in x], "obj int, t double, v double")
+    got = motion.spline(table, spark.createDataFrame([(0, 2.05), (0, 4.4)], "obj int, t double"), "obj", "t", ["v"]).collect()
+    assert all(abs(r.v - np.sin(r.t)) < 1e-3 for r in got)
+    with pytest.raises(Exception, match="outside"):
+        motion.spline(table, spark.createDataFrame([(0, 9.0)], "obj int, t double"), "obj", "t", ["v"]).collect()
+    track = spark.createDataFrame([(0, k, k * 0.5, 1.0) for k in range(40)], "det int, sample int, x double, y double")
+    src = spark.createDataFrame([(0, 5.0, 1.0, 100.0), (1, 15.0, 1.0, 1.0)], "id int, x double, y double, amp double")
+    assert rows(motion.cut_near(track, src, ["det"], "sample", "x", "y", 1.0), "det", "lo", "hi") == [(0, 8, 13), (0, 28, 33)]
+    assert rows(motion.cut_bright(track, src, ["det"], "sample", "x", "y", 1.0, 10.0, 50.0), "det", "lo", "hi") == [(0, 8, 13)]
+    wide = rows(motion.cut_bright(track, src, ["det"], "sample", "x", "y", 1.0, 10.0, 50.0, [(0.0, 0.0), (2.0, 0.0), (-2.0, 0.0)]), "det", "lo", "hi")
+    assert wide == [(0, 4, 17)]
+    curve = spark.createDataFrame([(0, 1.0, 9.0), (0, 2.0, 5.0), (0, 4.0, 1.0), (1, 1.0, 0.5)], "k int, r double, f double")
+    assert {r.k: r.limit_r for r in motion.limit_distance(curve, ["k"], "r", "f", 3.0).collect()} == {0: 3.0, 1: None}
