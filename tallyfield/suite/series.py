@@ -163,11 +163,8 @@ Q["gapfill_pair"] = lambda s, d: gf.pair(vals(s, d), errs(s, d), "det", "sample"
 
 # ---- filters; a block is ten detectors
 
-BLOCK = F.floor(F.col("det") / 10)
-
-
 def blocked(spark: SparkSession, d: str) -> DataFrame:
-    return vals(spark, d).withColumn("block", BLOCK.cast("long"))
+    return vals(spark, d).withColumn("block", F.floor(F.col("det") / 10).cast("long"))
 
 
 put("common_mode", lambda s, d: rounded(fi.common(blocked(s, d), ["block"], "sample", "value", 5), "value"), "SELECT det, sample, block, round(CASE WHEN n >= 5 THEN value - m ELSE value END, 6) AS value FROM (SELECT *, det // 10 AS block, avg(value) OVER w AS m, count(*) OVER w AS n FROM samples WINDOW w AS (PARTITION BY det // 10, sample))")

@@ -230,3 +230,13 @@ def test_motion(spark):
     assert wide == [(0, 4, 17)]
     curve = spark.createDataFrame([(0, 1.0, 9.0), (0, 2.0, 5.0), (0, 4.0, 1.0), (1, 1.0, 0.5)], "k int, r double, f double")
     assert {r.k: r.limit_r for r in motion.limit_distance(curve, ["k"], "r", "f", 3.0).collect()} == {0: 3.0, 1: None}
+
+
+def test_entry_imports_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) - len(e.oracle_sql()) >= 0)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "True", done.stderr[-500:]
