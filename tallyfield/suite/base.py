@@ -48,3 +48,27 @@ def ranges_sql(select: str, *more: str) -> str:
 
 ERRORS_SQL = runs_sql("errs", "event_type = 'error'")
 CLICKS_SQL = runs_sql("high", "value > 60")
+
+
+#: Added before rounding on both sides: decimal data give exact ties, which engines that sum in another order break differently.
+NUDGE = 1e-9
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n) + NUDGE, digits) for n in names})
+
+
+def nudged(sql: str) -> str:
+    """The same for each two-argument round() of a query."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, k, comma = 1, start + 6, -1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if sql[k] == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = nudged(sql[start + 6 : comma if comma > 0 else k - 1])
+        out.append(sql[at:start] + (f"round({inner} + {NUDGE}{sql[comma:k]}" if comma > 0 else f"round({inner})"))
+        at = k
+    return "".join(out) + sql[at:]

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from ..operators import binning as bn
 from ..operators import catalogs as ca
-from .base import table
+from .base import nudged, rounded as rounded_to, table
 
 Q: dict = {}
 O: dict[str, str] = {}
 SHAPE = (25, 40)
 C = F.col
 
+
+def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
+    return rounded_to(df, *names, digits=digits)
+
+
 LI = """li AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount AS c1, l_tax AS c2, CAST(l_suppkey % 25 AS INT) AS y, CAST(l_partkey % 40 AS INT) AS x,
  (l_suppkey % 25) + l_discount * 5 AS fy, (l_partkey % 40) + l_tax * 5 AS fx FROM lineitem)"""
 
@@ -32,10 +37,6 @@ def put(name: str, f: Callable[[SparkSession, str], DataFrame], select: str, *mo
     O[name] = "WITH " + ",\n".join([LI, *more]) + "\n" + select
 
 
-def rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
-
-
 def tqu() -> dict:
     return {"t": F.lit(1.0), "qq": C("c1"), "u": C("c2")}
 
@@ -182,7 +183,7 @@ Q["dedupe_radius"] = lambda s, d: ca.first_wins(cat(s, d), "id", "px", "py", 6.0
 Q["merge_nearby"] = lambda s, d: rounded(ca.merged(ca.first_wins(cat(s, d), "id", "px", "py", 6.05, "amp", 400.0), "id", "px", "py", "amp", F.abs("amp"), 0.25), "px", "py", "amp")
 Q["source_artifacts"] = lambda s, d: ca.chained(cat(s, d), "id", "px", "py", "amp", 10500.0, 0.5, 5.05, 6.05, 30.0)
 Q["merge_tiled"] = lambda s, d: ca.tile_border_merge([(cat(s, d).where("px < 210"), (0.0, 210.0, 0.0, 50.0)), (cat(s, d).where("px >= 190").withColumn("id", C("id") + 100000), (190.0, 400.0, 0.0, 50.0))], "id", "px", "py", "amp", 20.0, 1.0)
-Q["independent_groups"] = lambda s, d: ca.independent(cat(s, d).where("id % 5 = 0"), "id", "px", "py", 20.0, 400.0)
+Q["independent_groups"] = lambda s, d: ca.independent(cat(s, d).where("id % 5 = 0"), "id", "px", "py", 4.05, 400.0)
 Q["assign_round_robin"] = lambda s, d: ca.round_robin(table(s, d, "lineitem").groupBy("l_linenumber", "l_suppkey").agg(F.sum("l_quantity").alias("q")), "l_linenumber", "l_suppkey", "q", 2)
 
-QUERIES, ORACLE = Q, O
+QUERIES, ORACLE = Q, {k: nudged(v) for k, v in O.items()}
