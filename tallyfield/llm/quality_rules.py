@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RE, BLANKS, fresh, stage, table, text_of
+from .common import BLANK_RE, BLANKS, BROADCAST_ROWS, fresh, stage, table, text_of
 
 WINDOW = 5
 RISK = 0.02
@@ -189,14 +189,23 @@ def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. Texts are measured once, with the verdict applied to
-    the stored rows."""
+    """The rows of docs that the rules keep, with docs' columns.
+
+    Texts are measured twice, for the cutoffs (only labelled ones, if a list of these is small enough to broadcast) and
+    for the verdict, so that they are neither stored nor shuffled in between.
+    """
     p = "_q_"
     while any(c.lower().startswith(p) for c in docs.columns):
         p = f"_{p}"
-    rows = stage(with_features(docs, p), "quality-rows", wide=True)
-    plain = rows.select("doc_id", "lang", *[F.col(p + c).alias(c) for c in ("base_failed", *RULES)])
-    return rows.where(verdict(learn(plain, table(spark, sf_dir, "labels")), p)).select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id").distinct()
+    measured = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= BROADCAST_ROWS else docs
+    numbers = with_features(measured.select("doc_id", "text", "lang")).select("doc_id", "lang", "base_failed", *RULES)
+    found = learn(stage(numbers, "quality-features", wide=True), labels)
+    # A filter moves below what it looks at, which would measure the texts once for each number in it; it can't pass
+    # a column whose value depends on the row's place.
+    rows = with_features(docs, p).withColumn(f"{p}place", F.monotonically_increasing_id())
+    return rows.where(verdict(found, p) & (F.col(f"{p}place") >= 0)).select(*docs.columns)
 
 
 QUERIES = {"op5_risk_controlled_rules": op5_risk_controlled_rules}
