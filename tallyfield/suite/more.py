@@ -20,7 +20,7 @@ from ..operators import simulate as si
 from ..operators import tables as tb
 from ..sources import text
 from ..streaming import windows as st
-from .base import nudged, rounded as rounded_to, samples, SAMPLES, table
+from .base import NUDGE, nudged, rounded as rounded_to, samples, SAMPLES, table
 from .grids import GRID, LI, grid, li
 
 Q: dict = {}
@@ -48,7 +48,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = st.tumbling(st.events(spark, f"{d}/events.parquet"), ["event_type"], "ts", "1 day", "value")
     got = st.run_to_end(out, f"tumbling_{uuid.uuid4().hex}", "complete", scratch(spark, "stream"))
-    return got.select("event_type", F.unix_timestamp("start").alias("start_s"), "n", F.round("total", 4).alias("total"))
+    return got.select("event_type", F.unix_timestamp("start").alias("start_s"), "n", F.round(C("total") + NUDGE, 4).alias("total"))
 
 
 put("stream_tumbling", stream_tumbling, "SELECT event_type, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start_s, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -93,7 +93,7 @@ def map_make_single(spark: SparkSession, d: str) -> DataFrame:
     """With one binned signal the solution is the weighted mean per cell."""
     rows = li(spark, d).select("y", "x", C("q").alias("value"), (1 + C("c1")).alias("w"))
     x = mm.Equations(rows, [mm.Binned("sky", ["y", "x"])]).solve(steps=3)
-    return x.select(F.split("idx", ":")[1].cast("int").alias("y"), F.split("idx", ":")[2].cast("int").alias("x"), F.round("value", 4).alias("value"))
+    return x.select(F.split("idx", ":")[1].cast("int").alias("y"), F.split("idx", ":")[2].cast("int").alias("x"), F.round(C("value") + NUDGE, 4).alias("value"))
 
 
 put("map_make_single", map_make_single, f"WITH {LI} SELECT y, x, round(sum(q * (1 + c1)) / sum(1 + c1), 4) AS value FROM li GROUP BY 1, 2")
@@ -117,7 +117,7 @@ put("prior_row_means", lambda s, d: rounded(fi.row_means_penalty(grid(s, d), "v"
 put("solve_hits", lambda s, d: rounded(grid(s, d).join(li(s, d).groupBy("y", "x").agg(F.count(F.lit(1)).cast("double").alias("k")), ["y", "x"]).select("y", "x", F.when(C("k") > 3, C("v") / F.sqrt("k")).otherwise(0.0).alias("s")), "s", digits=6), f"WITH {LI} SELECT y, x, round(CASE WHEN count(*) > 3 THEN sum(q) / sqrt(count(*)) ELSE 0 END, 6) AS s FROM li GROUP BY 1, 2")
 put("binned_matrix", lambda s, d: rounded(li(s, d).groupBy(C("y").alias("i"), (C("x") % 5).cast("int").alias("j")).agg(F.sum("q").alias("m")), "m"), f"WITH {LI} SELECT y AS i, CAST(x % 5 AS INT) AS j, round(sum(q), 4) AS m FROM li GROUP BY 1, 2")
 put(
-    "safe_mean", lambda s, d: grid(s, d).groupBy(F.floor((C("y") * 40 + C("x")) / 50).alias("b")).agg(F.avg("v").alias("m")).agg(F.round(F.median("m"), 4).alias("safe_mean")),
+    "safe_mean", lambda s, d: grid(s, d).groupBy(F.floor((C("y") * 40 + C("x")) / 50).alias("b")).agg(F.avg("v").alias("m")).agg(F.round(F.median("m") + NUDGE, 4).alias("safe_mean")),
     f"WITH {LI}, {GRID} SELECT round(median(m), 4) AS safe_mean FROM (SELECT avg(v) AS m FROM grid GROUP BY (y * 40 + x) // 50)",
 )
 
@@ -126,7 +126,7 @@ def robust_reference(spark: SparkSession, d: str) -> DataFrame:
     """Median of positive values, then of those above a share of it."""
     g = grid(spark, d).where("v > 0")
     first = g.agg(F.median("v").alias("m"))
-    return g.join(F.broadcast(first)).where("v > 0.9 * m").agg(F.round(F.median("v"), 4).alias("reference"))
+    return g.join(F.broadcast(first)).where("v > 0.9 * m").agg(F.round(F.median("v") + NUDGE, 4).alias("reference"))
 
 
 put("robust_reference", robust_reference, f"WITH {LI}, {GRID} SELECT round(median(v), 4) AS reference FROM grid WHERE v > 0.9 * (SELECT median(v) FROM grid WHERE v > 0)")
@@ -221,7 +221,7 @@ Q["inject_sources"] = lambda s, d: si.add_sources(si.raster(s, (0.0, 20.0, 0.0,
 def slice_comp(spark: SparkSession, d: str) -> DataFrame:
     """One component out of array columns."""
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.round(F.element_at("embedding", 3).cast("double"), 6).alias("c"), F.size("embedding").cast("long").alias("n"))
+    return rounded(e.select("vec_id", F.element_at("embedding", 3).cast("double").alias("c"), F.size("embedding").cast("long").alias("n")), "c", digits=6)
 
 
 put("slice_component", slice_comp, "SELECT vec_id, round(CAST(embedding[3] AS DOUBLE), 6) AS c, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")
