@@ -42,10 +42,16 @@ def angles(made: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: rounded(sky(s, d).select("id", made(C("lon"), C("lat")).alias("a")).select("id", "a.lon", "a.lat"), "lon", "lat")
 
 
+def recentre_back(spark: SparkSession, d: str) -> DataFrame:
+    """There and back in two projections, so that each angle is worked out once."""
+    there = sky(spark, d).select("id", fn.recentred(C("lon"), C("lat"), 0.4, 0.2).alias("a")).select("id", "a.lon", "a.lat")
+    return rounded(there.select("id", fn.decentred(C("lon"), C("lat"), 0.4, 0.2).alias("a")).select("id", "a.lon", "a.lat"), "lon", "lat")
+
+
 put("unit_vectors", lambda s, d: rounded(sky(s, d).select("id", fn.unit(C("lon"), C("lat")).alias("u")).select("id", *[C("u")[k].alias(n) for k, n in enumerate("xyz")]), "x", "y", "z"), f"WITH {VEC} SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM v")
 put("to_galactic", angles(fn.to_galactic), f"WITH {VEC} SELECT id, {turned('x', 'y', 'z', fn.GALACTIC)} FROM v")
 put("euler_rotation", angles(lambda a, b: fn.rotate_angles(a, b, 0.3, -0.7, 1.1)), f"WITH {VEC} SELECT id, {turned('x', 'y', 'z', fn.euler_matrix(0.3, -0.7, 1.1))} FROM v")
-put("recentre_back", angles(lambda a, b: fn.decentred(*[fn.recentred(a, b, 0.4, 0.2)[k] for k in ("lon", "lat")], 0.4, 0.2)), f"WITH {VEC} SELECT id, {turned('x', 'y', 'z', [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]])} FROM v")
+put("recentre_back", recentre_back, f"WITH {VEC} SELECT id, {turned('x', 'y', 'z', [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]])} FROM v")
 put("to_ecliptic", angles(fn.to_ecliptic), f"WITH {VEC} SELECT id, {turned('x', 'y', 'z', [[1.0, 0.0, 0.0], [0.0, math.cos(fn.OBLIQUITY), math.sin(fn.OBLIQUITY)], [0.0, -math.sin(fn.OBLIQUITY), math.cos(fn.OBLIQUITY)]])} FROM v")
 put(
     "separation", lambda s, d: rounded(sky(s, d).select("id", fn.separation(C("lon"), C("lat"), F.lit(1.0), F.lit(0.5)).alias("sep")), "sep"),
