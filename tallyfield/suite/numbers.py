@@ -123,6 +123,10 @@ put(
     "covariance", lambda s, d: rounded(nu.covariance(samples(s, d).where("det < 12").select("det", "sample", "value"), "det", "sample", "value", 1), "cov", digits=4),
     f"WITH {SAMPLES} SELECT a.det AS i, b.det AS j, round(sum(a.value * b.value) / count(*), 4) AS cov FROM samples a JOIN samples b ON b.sample = a.sample + 1 WHERE a.det < 12 AND b.det < 12 GROUP BY 1, 2",
 )
+put(
+    "covariance_all", lambda s, d: rounded(nu.covariance(samples(s, d).select("det", "sample", "value"), "det", "sample", "value", 1), "cov", digits=4),
+    f"WITH {SAMPLES} SELECT a.det AS i, b.det AS j, round(sum(a.value * b.value) / count(*), 4) AS cov FROM samples a JOIN samples b ON b.sample = a.sample + 1 GROUP BY 1, 2",
+)
 put(
     "poly_filter_line", lambda s, d: rounded(nu.remove_poly(samples(s, d).select("det", "sample", "value"), ["det"], "sample", "value", 2), "value", digits=4),
     f"WITH {SAMPLES} SELECT s.det, sample, round(value - m - k * (sample - c), 4) AS value FROM samples s JOIN (SELECT det, regr_slope(value, sample) AS k, avg(value) AS m, avg(sample) AS c FROM samples GROUP BY 1) f USING (det)",
@@ -130,8 +134,8 @@ put(
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
-    """One array of the first 48 values per detector."""
-    s = samples(spark, d).where("sample < 48").groupBy("det").agg(F.sort_array(F.collect_list(F.struct("sample", "value"))).alias("v"))
+    """One array of all values per detector."""
+    s = samples(spark, d).groupBy("det").agg(F.sort_array(F.collect_list(F.struct("sample", "value"))).alias("v"))
     return s.select("det", F.transform("v", lambda x: x["value"]).alias("v"))
 
 
