@@ -6,16 +6,18 @@ the join is an equi-join on the cell and the exact distance is a filter. A perio
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..lineage import cut
 
-ROUNDS = 200
-
 
 def wrapped(d: Column, period: float | None) -> Column:
     return d if period is None else d - F.round(d / period) * period
@@ -41,19 +43,24 @@ def first_wins(cat: DataFrame, id: str, x: str, y: str, radius: float, score: st
     Adds `owner`, the best-ranked staying neighbour of a row that goes (itself if it stays).
 
     Greedy order is found in parallel: each round, rows that no undecided better neighbour has stay, and what is
-    near them goes; the result is that of the one-by-one scan.
+    near them goes; the result is that of the one-by-one scan. Each round decides the best open row at least; where none
+    is decided, as with repeated ids, that is an error.
     """
     rank = F.struct((-F.col(score)).alias("s"), F.col(id).alias("i"))
     ranked = cat.select(F.col(id), rank.alias("_r"))
     near = pairs(cat, cat, id, x, y, radius, period).where(F.col(id) != F.col("other"))
     near = cut(near.join(ranked, id).join(ranked.select(F.col(id).alias("other"), F.col("_r").alias("_ro")), "other").where("_ro < _r").select(id, "other", "_ro"))
     state = cut(ranked.select(id, F.lit(None).cast("boolean").alias("keep")))
-    for _ in range(ROUNDS):
+    left = None
+    while True:
         better = near.join(state.select(F.col(id).alias("other"), F.col("keep").alias("_k")), "other").groupBy(id).agg(F.bool_or(F.coalesce("_k", F.lit(False))).alias("_beaten"), F.bool_or(F.col("_k").isNull()).alias("_open"))
         new = state.join(better, id, "left").withColumn("keep", F.coalesce("keep", F.when(F.col("_beaten"), F.lit(False)).when(~F.coalesce("_open", F.lit(False)), F.lit(True))))
         state = cut(new.select(id, "keep"))
-        if state.where("keep IS NULL").isEmpty():
+        before, left = left, state.where("keep IS NULL").count()
+        if not left:
             break
+        if left == before:
+            raise RuntimeError(f"{left} rows can't be decided; ids have to be unique")
     owner = near.join(state.where("keep").select(F.col(id).alias("other")), "other").groupBy(id).agg(F.min_by("other", "_ro").alias("owner"))
     return cat.join(state, id).join(owner, id, "left").withColumn("owner", F.when(F.col("keep"), F.col(id)).otherwise(F.col("owner")))
 
@@ -101,7 +108,7 @@ def chained(cat: DataFrame, id: str, x: str, y: str, amp: str, strong: float, sh
     steps = cut(pairs(cat, cat, id, x, y, jump).where(F.col(id) != F.col("other")))
     found = cut(weak_of.where(F.col("dist") <= core).select("strong", id))
     n = found.count()
-    for _ in range(ROUNDS):
+    while True:
         new = found.join(steps, id).select("strong", F.col("other").alias(id)).join(weak_of, ["strong", id], "left_semi")
         found = cut(found.unionByName(new).distinct())
         m, n = n, found.count()
@@ -123,15 +130,49 @@ def tile_border_merge(cats: list[tuple[DataFrame, tuple[float, float, float, flo
 
 
 def independent(cat: DataFrame, id: str, x: str, y: str, radius: float, period: float | None = None) -> DataFrame:
-    """Splits rows into sets without near pairs: set 0 is the greedy choice by id, set 1 that of the rest, and so on."""
-    out, rest = [], cat.withColumn("_s", F.lit(0))
-    for k in range(ROUNDS):
-        done = cut(first_wins(rest, id, x, y, radius, "_s", period))
-        out.append(done.where("keep").select(id, F.lit(k).alias("grp")))
-        rest = done.where(~F.col("keep")).drop("keep", "owner")
-        if rest.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, out)
+    """Splits rows into sets without near pairs: set 0 is the greedy choice by id, set 1 that of the rest, and so on.
+
+    So a row's set is the least one that no near row of a lesser id is in. Sets depend on each other along chains of ids
+    that cross the whole plane, so one task takes the rows in order; it holds id, place and set of each row.
+    """
+    rows = cat.select(F.col(id), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        all_rows = [f for f in frames if len(f)]
+        if not all_rows:
+            return
+        frame = pd.concat(all_rows).sort_values(id, kind="stable")
+        yield pd.DataFrame({id: frame[id], "grp": least_free(frame["_x"].to_numpy(), frame["_y"].to_numpy(), radius, period)})
+
+    return rows.coalesce(1).mapInPandas(run, f"`{id}` {dict(cat.dtypes)[id]}, grp int")
+
+
+def least_free(x: np.ndarray, y: np.ndarray, radius: float, period: float | None) -> np.ndarray:
+    """Set of each point in order: the least that no earlier point at most radius away is in. Rows at one place share an entry
+    of its cell, with the sets there."""
+    n = None if period is None else max(1, int(period // radius))
+    size = radius if n is None else period / n
+    cells: dict[tuple[int, int], dict[tuple[float, float], list[int]]] = {}
+    out = np.zeros(len(x), np.int32)
+    for k, (px, py) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        if not (math.isfinite(px) and math.isfinite(py)):  # near nothing
+            continue
+        cx, cy = math.floor(px / size), math.floor(py / radius)
+        taken: set[int] = set()
+        for i in {cx + s if n is None else (cx + s) % n for s in (-1, 0, 1)}:
+            for j in (cy - 1, cy, cy + 1):
+                for (qx, qy), sets in cells.get((i, j), {}).items():
+                    dx, dy = px - qx, py - qy
+                    if period is not None:
+                        dx -= round(dx / period) * period
+                    if math.sqrt(dx * dx + dy * dy) <= radius:
+                        taken.update(sets)
+        free = 0
+        while free in taken:
+            free += 1
+        out[k] = free
+        cells.setdefault((cx if n is None else cx % n, cy), {}).setdefault((px, py), []).append(free)
+    return out
 
 
 def round_robin(scores: DataFrame, row: str, col: str, score: str, turns: int) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import collections
+import math
 
 import numpy as np
 import pytest
 from tallyfield import catalog
+from tallyfield.operators import catalogs
+from tallyfield.suite import grids
 from tallyfield.suite.base import samples
 
 
@@ -36,3 +39,35 @@ def test_covariance_of_all_detectors(spark, tiny, values):
     want = {(i, j): [x * y for x, y in zip(a, b[1:])] for i, a in values.items() for j, b in values.items()}
     assert set(got) == {k for k, v in want.items() if v}
     assert all(abs(got[k] - sum(want[k]) / len(want[k])) < 1e-3 for k in got)
+
+
+def near(a, b, radius: float, period: float) -> bool:
+    dx = a[0] - b[0]
+    return math.hypot(dx - round(dx / period) * period, a[1] - b[1]) <= radius
+
+
+def test_independent_groups_cover_the_catalogue(spark, tiny):
+    """The sets are those of one greedy pass after the other at radius 20."""
+    rest = {r.id: (r.px, r.py) for r in grids.cat(spark, tiny).collect()}
+    want: dict = {}
+    while rest:
+        kept: dict = {}
+        for i in sorted(rest):
+            if not any(near(rest[i], q, 20.0, 400.0) for q in kept.values()):
+                kept[i] = rest[i]
+        want |= dict.fromkeys(kept, max(want.values(), default=-1) + 1)
+        rest = {i: p for i, p in rest.items() if i not in kept}
+    assert {r.id: r.grp for r in catalog.QUERIES["independent_groups"](spark, tiny).collect()} == want
+
+
+def test_independent_keeps_many_rows_at_one_place(spark):
+    same = spark.range(250).selectExpr("id", "1.0D x", "1.0D y")
+    assert sorted((r.id, r.grp) for r in catalogs.independent(same, "id", "x", "y", 2.0).collect()) == [(k, k) for k in range(250)]
+
+
+def test_first_wins_decides_every_row_or_raises(spark):
+    chain = spark.range(60).selectExpr("id", "id * 1.0D x", "0.0D y", "-id * 1.0D s")
+    assert sorted(r.id for r in catalogs.first_wins(chain, "id", "x", "y", 1.0, "s").where("keep").collect()) == list(range(0, 60, 2))
+    twice = spark.createDataFrame([(1, 0.0, 0.0, 3.0), (1, 0.0, 0.0, 1.0), (2, 0.5, 0.0, 2.0)], "id long, x double, y double, s double")
+    with pytest.raises(RuntimeError, match="unique"):
+        catalogs.first_wins(twice, "id", "x", "y", 1.0, "s").collect()
