@@ -6,8 +6,8 @@ an exact binomial test rejects "it falsely rejects more than `risk / rules` of t
 `delta / (strata * rules)` (Bonferroni over pairs; fixed-sequence testing inside a pair needs no further correction,
 as the first failure ends it). So with probability 1 - delta all accepted rules together reject at most `risk` of the
 good rows of any stratum. Of the accepted cutoffs the one with the best trade is used: the share of bad rows that it
-rejects, less `PRICE` times the share of good ones. Strata with too few labels for any cutoff fall back to the test over all strata, which counts
-as one more stratum.
+rejects, less `PRICE` times the share of good ones. A stratum whose own labels prove no cutoff, or that has none, gets
+none: a test over all strata says nothing about a single one, so only the base rules hold there.
 
 All on the main path is DataFrame functions; the driver sees the histograms only (strata * rules * bins rows).
 
@@ -114,7 +114,7 @@ def holds(k: int, n: int, risk: float, level: float) -> bool:
 
 
 def cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
-    """(stratum, rule) -> cutoff. labelled: the rules' numbers, lang and a boolean `good`; all of its rows count.
+    """(stratum, rule) -> cutoff, for strata whose own rows prove one. labelled: the rules' numbers, lang and a boolean `good`; all of its rows count.
 
     Rows that already fail the base rules take no part: the guarantee is about what the cutoffs reject besides.
     """
@@ -127,7 +127,7 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> di
         .collect()
     )
     strata = sorted({r.lang for r in rows}, key=lambda x: (x is not None, x or ""))
-    level, risk = delta / ((len(strata) + 1) * len(RULES)), risk / len(RULES)
+    level, risk = delta / ((len(strata) + 1) * len(RULES)), risk / len(RULES)  # one share more than there are tests: the stricter side
 
     def scan(own: list) -> float | None:
         good, bad = [0] * (BINS + 1), [0] * (BINS + 1)
@@ -145,30 +145,22 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> di
 
     out: dict[tuple[str | None, str], float] = {}
     for rule in RULES:
-        own = [r for r in rows if r.rule == rule]
-        pooled = scan(own)
         for s in strata:
-            mine = [r for r in own if r.lang == s]
-            best = scan(mine)
-            if best is None and sum(r.good for r in mine) * risk < -math.log(level):  # too few labels to show anything
-                best = pooled
+            best = scan([r for r in rows if r.rule == rule and r.lang == s])
             if best is not None:
                 out[s, rule] = best
-        if pooled is not None:
-            out["*", rule] = pooled
     return out
 
 
 def verdict(found: dict[tuple[str | None, str], float], prefix: str = "") -> Column:
-    """True if neither the base rules nor a cutoff rejects the row; a stratum without labels gets the pooled cutoffs."""
-    strata = sorted({s for s, _ in found if s not in (None, "*")})
+    """True if neither the base rules nor a cutoff rejects the row; a stratum without cutoffs has the base rules only."""
+    strata = sorted({s for s, _ in found if s is not None})
     bad = F.lit(False)
     for rule in RULES:
         at = F.when(F.lit(False), F.lit(None).cast("double"))
         for s in (None, *strata):
             if any(k[0] == s for k in found):
                 at = at.when(F.col("lang").eqNullSafe(F.lit(s)), F.lit(found.get((s, rule))).cast("double"))
-        at = at.otherwise(F.lit(found.get(("*", rule))).cast("double"))
         bad = bad | F.coalesce(F.ceil(F.col(prefix + rule) * BINS) / F.lit(float(BINS)) > at, F.lit(False))
     return ~F.col(f"{prefix}base_failed") & ~bad
 
