@@ -71,3 +71,16 @@ def test_first_wins_decides_every_row_or_raises(spark):
     twice = spark.createDataFrame([(1, 0.0, 0.0, 3.0), (1, 0.0, 0.0, 1.0), (2, 0.5, 0.0, 2.0)], "id long, x double, y double, s double")
     with pytest.raises(RuntimeError, match="unique"):
         catalogs.first_wins(twice, "id", "x", "y", 1.0, "s").collect()
+
+
+def test_tag_queries_see_every_row(spark, tiny):
+    events = spark.read.parquet(f"{tiny}/events.parquet").select("user_id", "event_type").collect()
+    tags = collections.defaultdict(set)
+    for r in events:
+        tags[r.user_id].add(r.event_type)
+    got = {r.id: {t for t in ("click", "error", "purchase") if r[t]} for r in catalog.QUERIES["tag_pivot_all"](spark, tiny).collect()}
+    assert got == {u: t & {"click", "error", "purchase"} for u, t in tags.items()}
+    customers = {r[0] for r in spark.read.parquet(f"{tiny}/customer.parquet").select("c_custkey").collect()}
+    assert customers <= {r.id for r in catalog.QUERIES["tag_merge_outer_all"](spark, tiny).where("amount IS NOT NULL").collect()}
+    sent_back = {tuple(r) for r in spark.read.parquet(f"{tiny}/lineitem.parquet").where("l_returnflag = 'R'").select("l_suppkey", "l_linenumber").collect()}
+    assert {(r.src, r.det) for r in catalog.QUERIES["links_compact_all"](spark, tiny).collect()} == sent_back
