@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 from . import intervals
 
 
-def with_end(points: DataFrame, key: list[str], n: int) -> DataFrame:
+def before_end(rows: DataFrame, key: list[str], n: int | DataFrame) -> DataFrame:
+    """Rows with `at` before the end of their key, which is added as `_n`. n: one length for all keys, or a table of key..., n."""
+    if isinstance(n, DataFrame):
+        return rows.join(n.select(*key, F.col("n").alias("_n")), key).where(F.col("at") < F.col("_n"))
+    return rows.withColumn("_n", F.lit(n)).where(F.col("at") < n)
+
+
+def with_end(points: DataFrame, key: list[str], n: int | DataFrame) -> DataFrame:
+    if isinstance(n, DataFrame):
+        rows = before_end(points, key, n)
+        return rows.withColumn("until", F.coalesce(F.lead("at").over(W.partitionBy(*key).orderBy("at")), "_n")).drop("_n")
     return points.withColumn("until", F.lead("at", 1, n).over(W.partitionBy(*key).orderBy("at")))
 
 
@@ -40,16 +50,16 @@ def select(points: DataFrame, names: list[str], expression: str, derived_masks:
     return points.withColumn("flags", reduce(lambda a, b: a & b, conds, F.lit(True)).cast("bigint"))
 
 
-def to_ranges(points: DataFrame, key: list[str], n: int) -> DataFrame:
+def to_ranges(points: DataFrame, key: list[str], n: int | DataFrame) -> DataFrame:
     """Ranges where any flag is set."""
     rows = with_end(points, key, n).where("flags <> 0").select(*key, F.col("at").alias("lo"), F.col("until").alias("hi"))
     return intervals.merge(rows, key)
 
 
-def from_ranges(ranges: DataFrame, lengths: DataFrame, key: list[str], n: int, offset: int = 0) -> DataFrame:
+def from_ranges(ranges: DataFrame, lengths: DataFrame, key: list[str], n: int | DataFrame, offset: int = 0) -> DataFrame:
     """One flag, on inside the ranges; every key starts with a point at 0."""
     ends = intervals.merge(ranges, key).select(*key, F.explode(F.array(F.struct((F.col("lo") + offset).alias("at"), F.lit(1).alias("flags")), F.struct((F.col("hi") + offset).alias("at"), F.lit(0).alias("flags")))).alias("e"))
-    rows = ends.select(*key, "e.at", "e.flags").where(F.col("at") < n)
+    rows = before_end(ends.select(*key, "e.at", "e.flags"), key, n).drop("_n")
     start = lengths.select(*key, F.lit(0).alias("at"), F.lit(0).alias("flags"))
     return rows.unionByName(start).groupBy(*key, "at").agg(F.max("flags").cast("bigint").alias("flags"))
 
@@ -60,8 +70,8 @@ def count_ranges(points: DataFrame, names: list[str], per: list[str] = []) -> Da
     return points.select(*per, F.explode(each).alias("e")).groupBy(*per, "e.flag").agg(F.sum("e.on").cast("long").alias("n"))
 
 
-def count_samples(points: DataFrame, key: list[str], names: list[str], n: int, per: list[str] = []) -> DataFrame:  # noqa: B006
-    """Samples with each flag on; the last point holds to n."""
+def count_samples(points: DataFrame, key: list[str], names: list[str], n: int | DataFrame, per: list[str] = []) -> DataFrame:  # noqa: B006
+    """Samples with each flag on; the last point holds to n, or to its key's length."""
     rows = with_end(points, key, n).withColumn("_len", F.col("until") - F.col("at"))
     each = F.array(*[F.struct(F.lit(x).alias("flag"), F.when(F.col("flags").bitwiseAND(1 << k) != 0, F.col("_len")).otherwise(0).alias("on")) for k, x in enumerate(names)])
     return rows.select(*per, F.explode(each).alias("e")).groupBy(*per, "e.flag").agg(F.sum("e.on").cast("long").alias("n"))

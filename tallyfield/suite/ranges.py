@@ -120,6 +120,20 @@ put(
     "flag_from_ranges", lambda s, d: fl.from_ranges(errs(s, d), lengths(s, d), KEY, 60),
     "SELECT det, at, max(f) AS flags FROM (SELECT det, lo AS at, CAST(1 AS BIGINT) AS f FROM errs UNION ALL SELECT det, hi, 0 FROM errs UNION ALL SELECT det, 0, 0 FROM lengths) WHERE at < 60 GROUP BY 1, 2",
 )
+
+# the same over all change points, to each detector's own end
+
+HELD_ALL = "held AS (SELECT det, at, flags, coalesce(lead(at) OVER (PARTITION BY det ORDER BY at), n) AS until FROM points JOIN lengths USING (det))"
+put(
+    "flag_count_samples_all", lambda s, d: fl.count_samples(points(s, d), KEY, NAMES, lengths(s, d), KEY),
+    "SELECT det, 'error' AS flag, CAST(sum(CASE WHEN flags % 2 = 1 THEN until - at ELSE 0 END) AS BIGINT) AS n FROM held GROUP BY 1 UNION ALL SELECT det, 'high', CAST(sum(CASE WHEN flags >= 2 THEN until - at ELSE 0 END) AS BIGINT) FROM held GROUP BY 1",
+    POINTS, HELD_ALL,
+)
+put("flag_to_ranges_all", lambda s, d: fl.to_ranges(points(s, d), KEY, lengths(s, d)), "SELECT det, lo, hi FROM m", POINTS, HELD_ALL, merge_sql("m", "SELECT det, at AS lo, until AS hi FROM held WHERE flags <> 0"))
+put(
+    "flag_from_ranges_all", lambda s, d: fl.from_ranges(errs(s, d), lengths(s, d), KEY, lengths(s, d)),
+    "SELECT det, at, max(f) AS flags FROM (SELECT det, lo AS at, CAST(1 AS BIGINT) AS f FROM errs UNION ALL SELECT det, hi, 0 FROM errs UNION ALL SELECT det, 0, 0 FROM lengths) JOIN lengths USING (det) WHERE at < n GROUP BY 1, 2",
+)
 put(
     "flag_restrict", lambda s, d: fl.restrict(points(s, d), KEY, 10, 30),
     "SELECT det, CAST(0 AS INT) AS at, arg_max(flags, at) AS flags FROM points WHERE at <= 10 GROUP BY 1 UNION ALL SELECT det, at - 10, flags FROM points WHERE at > 10 AND at < 30", POINTS,

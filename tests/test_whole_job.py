@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from tallyfield import catalog
 from tallyfield.operators import catalogs
+from tallyfield.operators import flags as fl
 from tallyfield.suite import grids
 from tallyfield.suite.base import samples
 
@@ -84,3 +85,20 @@ def test_tag_queries_see_every_row(spark, tiny):
     assert customers <= {r.id for r in catalog.QUERIES["tag_merge_outer_all"](spark, tiny).where("amount IS NOT NULL").collect()}
     sent_back = {tuple(r) for r in spark.read.parquet(f"{tiny}/lineitem.parquet").where("l_returnflag = 'R'").select("l_suppkey", "l_linenumber").collect()}
     assert {(r.src, r.det) for r in catalog.QUERIES["links_compact_all"](spark, tiny).collect()} == sent_back
+
+
+def test_flags_hold_to_each_detectors_end(spark):
+    points = spark.createDataFrame([(0, 0, 0), (0, 60, 1), (1, 0, 1), (2, 0, 0), (2, 3, 1), (2, 9, 0)], "det int, at int, flags long")
+    n = spark.createDataFrame([(0, 99), (1, 45), (2, 5)], "det int, n int")
+    assert {r.det: r.n for r in fl.count_samples(points, ["det"], ["f"], n, ["det"]).collect()} == {0: 39, 1: 45, 2: 2}
+    ranges = fl.to_ranges(points, ["det"], n)
+    assert sorted((r.det, r.lo, r.hi) for r in ranges.collect()) == [(0, 60, 99), (1, 0, 45), (2, 3, 5)]
+    assert sorted((r.det, r.at, r.flags) for r in fl.from_ranges(ranges, n, ["det"], n).collect()) == [(0, 0, 0), (0, 60, 1), (1, 0, 1), (2, 0, 0), (2, 3, 1)]
+
+
+def test_flag_queries_cover_every_sample(spark, tiny):
+    flagged = samples(spark, tiny).selectExpr("det", "sample", "event_type = 'error' error", "value > 60 high").collect()
+    count = {(r.det, r.flag): r.n for r in catalog.QUERIES["flag_count_samples_all"](spark, tiny).collect()}
+    assert count == {(d, f): sum(r[f] for r in flagged if r.det == d) for d in {r.det for r in flagged} for f in ("error", "high")}
+    covered = {(r.det, k) for r in catalog.QUERIES["flag_to_ranges_all"](spark, tiny).collect() for k in range(r.lo, r.hi)}
+    assert covered == {(r.det, r.sample) for r in flagged if r.error or r.high}
