@@ -12,7 +12,7 @@ sum(min) / sum(max) of multiplicities >= `LEAST`, and classes are the connected
 
 A bucket never puts out all its pairs. First its members are tested against one leader; then, `STAR_ROUNDS` times, those
 outside the bucket's largest class against a member of it that differs from bucket to bucket; what is then still apart
-is compared in blocks of about `BLOCK` members by signature (an estimate under `ESTIMATE` is over four standard errors below
+is compared in blocks of about `BLOCK` members by signature (an estimate under `ESTIMATE` is over five standard errors below
 `LEAST`); pairs that pass are verified where they are found and only links are put out. Buckets whose members are all in one class are done.
 
 Defined cases: words are runs of characters outside the blanks, case counts; texts without words (null, empty)
@@ -37,7 +37,7 @@ BANDS = 32
 ROWS = 6
 M = BANDS * ROWS
 LEAST = 0.8
-ESTIMATE = 0.68
+ESTIMATE = 0.65
 STAR_ROUNDS = 2
 BLOCK = 256
 CHUNK_WORDS = 150_000
