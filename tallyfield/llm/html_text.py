@@ -8,7 +8,8 @@ cut (max-flow) is the labelling of least total cost; source-side blocks are the
 The classifier is fitted on seeded pages that `sample_pages()` spells out, so nothing is learned from the input.
 
 Defined cases: null html is empty; an empty page or one without content gives an empty text; unclosed tags end with
-their container, unmatched end tags are ignored, `<` that opens no tag is text; pages of any length are read whole;
+their container, a head without end tag ends at the body or the first tag that no head holds, raw elements without end tag
+(scripts and the like) run to the end of the page, self-closed ones are empty, unmatched end tags are ignored, `<` that opens no tag is text; pages of any length are read whole;
 repeated rows give equal results; columns other than page_id, url and html are ignored.
 """
 
@@ -31,9 +32,14 @@ from .common import table
 
 FOLLOW = 0.6
 SHARED = 1.2
+#: Comments and closed elements of a head; no groups, as groups inside a possessive repeat break the re module.
+_HELD = r"<!--.*?(?:-->|\Z)|" + "|".join(rf"<{t}\b[^>]*+(?<!/)>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|head|select|textarea|object|canvas)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|select|textarea|object|canvas)\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    # a head up to its end tag; without one before the body, its elements up to the first that is none of a head
+    r"|(?P<head><head\b[^>]*+>(?:(?:[^<]++|" + _HELD + r"|<(?!/head\s*>|body\b))*+</head\s*>"
+    r"|(?:\s++|" + _HELD + r"|</?(?:base|link|meta|html|script|style)\b[^>]*+>)*+))"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
@@ -94,7 +100,7 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
-            if m["raw"] and m["raw"].lower() not in ("svg", "iframe"):
+            if m["head"] or (m["raw"] and m["raw"].lower() not in ("svg", "iframe")):
                 close()
             continue
         tag = tag.lower()
