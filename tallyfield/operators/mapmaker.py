@@ -1,7 +1,7 @@
-"""Map making: signals, preconditioners and priors as linear operators on tables, solved by conjugate gradients.
+"""Map making: signals and preconditioners as linear operators on tables, solved by conjugate gradients.
 
 A signal turns its parameters (idx..., value) into samples (`forward`) and samples into parameters (`backward`, the transpose). The equation
-system sums P' W P over signals plus priors; its vectors are tables, dot products are joins, and each step's tables are
+system sums P' W P over signals, plus epsilon times the parameters; other priors are not built. Its vectors are tables, dot products are joins, and each step's tables are
 written before the next, so lineage stays short and a lost executor costs one step.
 """
 
