@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; if it is unset, as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. If it is unset, a session in one process, as in
+    tests, gets a local one; on a cluster, where no local folder is shared, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/tallyfield"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,7 +38,17 @@ def stage(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df if wide else df.coalesce(2 * spark.sparkContext.defaultParallelism)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the folders of frames made by stage() that no later job reads, so that loops don't pile up tables."""
+    for df in frames:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a few dozen bytes that a broadcast side may have; larger sides are shuffled.

@@ -1,8 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line goes if an earlier line (by doc_id, then place) holds the same words but for at most one edit: a word put in,
-taken out or replaced. Lines of fewer than `MIN_WORDS` words must be equal. Earlier means the first place where a
-line's text stands, so copies of a line go too and the earliest stays.
+A line goes if an earlier line (by doc_id, then place) holds the same words within the edit bound. The bound follows
+the length: one edit (a word put in, taken out or replaced) for each full `MIN_WORDS` words, at most one; so two lines
+are compared if both have as many, and shorter ones, where one word is too large a share ("Page 1", "Page 2"), have to
+be equal. Earlier means the first place where a line's text stands, so copies of a line go too and the earliest stays.
 
 1. Lines become 128-bit hashes; sums per hash give each distinct line's first place and count (map-side combined).
 2. With one edit, the first or the last half of the words is untouched. Each line of enough words puts out four half
@@ -14,8 +15,9 @@ line's text stands, so copies of a line go too and the earliest stays.
 4. The edit distance of each line and partner is verified on the words.
 
 Defined cases: null text has no lines; lines without words always stay; of lines at the same number of documents with
-the same doc_id none is earlier than the other; null doc_ids come last; other columns stay as they are; an empty table
-gives an empty one. A document that loses lines and has no word left goes altogether.
+the same doc_id none is earlier than the other; null doc_ids come last (doc_ids have to be whole numbers, else that is
+an error); lines of any length are compared whole; other columns stay as they are; an empty table gives an empty one.
+A document that loses lines and has no word left goes altogether.
 """
 
 from __future__ import annotations
@@ -171,6 +173,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the text cut, and n_lines, n_gone and n_near added (under these names, or with underscores if taken)."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id has to be a whole number: it says which line is earlier")
     names = fresh(docs, "n_lines", "n_gone", "n_near", "_keep", "_all", "_k1", "_k2")
     gone = dropped_lines(docs).select(F.col("_k1").alias(names["_k1"]), F.col("_k2").alias(names["_k2"]), "gone", F.col("n_near").alias(names["n_near"]))
     gone = stage(gone.withColumnRenamed("gone", names["_keep"]), "line-gone")
@@ -201,4 +205,31 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_deletion_line_dedup": op10_deletion_line_dedup}
-ORACLE: dict[str, str] = {}
+
+#: Two lines within one edit share the first or the last half of the shorter one (in words), so an equi-join on halves finds
+#: all pairs; a pair is within one edit if common first and last words cover all but one word of the longer line.
+_HALVES = " UNION ALL ".join(
+    f"SELECT line, pl, ws, n, {k} AS kind, {m} AS m, hash({part}) AS h FROM d WHERE n >= {MIN_WORDS}"
+    for m in ("n", "n - 1")
+    for k, part in ((0, f"ws[1:({m}) // 2]"), (1, f"ws[n - (({m}) - ({m}) // 2) + 1:n]"))
+)
+_COMMON = "coalesce(list_position(list_transform(generate_series(1, least(x.n, y.n)), lambda i: x.ws[{x}] = y.ws[{y}]), false) - 1, least(x.n, y.n))"
+ORACLE = {
+    "op10_deletion_line_dedup": r"""WITH a AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM documents),
+ l AS MATERIALIZED (SELECT doc_id, line, k, doc_id::HUGEINT * 2147483648 + k AS pl, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 0 AS has FROM a),
+ d AS MATERIALIZED (SELECT line, pl, ws, len(ws) AS n FROM (SELECT line, min(pl) AS pl, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l WHERE has GROUP BY line)),
+ h AS MATERIALIZED ("""
+    + _HALVES
+    + """),
+ p AS (SELECT DISTINCT x.line, x.pl, y.pl AS other FROM h x JOIN h y ON x.kind = y.kind AND x.m = y.m AND x.h = y.h AND y.pl < x.pl AND abs(x.n - y.n) <= 1),
+ near AS (SELECT DISTINCT x.line FROM p JOIN d x ON x.pl = p.pl JOIN d y ON y.pl = p.other WHERE """
+    + _COMMON.format(x="i", y="i")
+    + " + "
+    + _COMMON.format(x="x.n - i + 1", y="y.n - i + 1")
+    + """ >= greatest(x.n, y.n) - 1),
+ m AS (SELECT l.*, near.line IS NOT NULL AS near, has AND (near.line IS NOT NULL OR l.pl > d.pl) AS gone FROM l LEFT JOIN d ON d.line = l.line LEFT JOIN near ON near.line = l.line),
+ g AS (SELECT doc_id, count(*) FILTER (has) AS n_lines, count(*) FILTER (gone) AS n_gone, count(*) FILTER (gone AND near) AS n_near,
+  coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+ SELECT t.doc_id, CASE WHEN n_gone > 0 THEN kept ELSE t.text END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_gone, 0) AS n_gone, coalesce(n_near, 0) AS n_near
+ FROM documents t LEFT JOIN g ON g.doc_id = t.doc_id"""
+}

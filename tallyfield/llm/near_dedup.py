@@ -16,8 +16,9 @@ is compared in blocks of about `BLOCK` members by signature (an estimate under `
 `LEAST`); pairs that pass are verified where they are found and only links are put out. Buckets whose members are all in one class are done.
 
 Defined cases: words are runs of characters outside the blanks, case counts; texts without words (null, empty)
-are a class each; the class id is the least doc_id of the class (null last); rows equal in doc_id and words are one
-document; extra columns stay as they are.
+are a class each; the class id is the least doc_id of the class (null last); classes that no id tells apart, as their
+heads share one or have none, differ in `head_key`; rows equal in doc_id and text are one document; very long texts
+are signed whole, in time linear in their words; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, fresh, narrow, stage, table, words_of
+from .common import BLANKS, discard, fresh, narrow, row_key, stage, table, words_of
 
 SHINGLE = 5
 BANDS = 32
@@ -136,19 +137,21 @@ def hashed_words(text: Column) -> Column:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, w1 and w2 (hash of the word sequence) and sig (M ints) of each document with a word; no shuffle."""
-    rows = docs.where(F.translate("text", BLANKS, "") != "").select("doc_id", hashed_words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", F.xxhash64(F.lit(1), "words").alias("w1"), F.xxhash64("words", F.lit(2)).alias("w2"), "words")
+    """doc_id, _k1 and _k2 (row key), w1 and w2 (hash of the word sequence) and sig (M ints) of each document with a word;
+    no shuffle."""
+    rows = docs.where(F.translate("text", BLANKS, "") != "").select("doc_id", *row_key("doc_id", "text"), hashed_words(F.col("text")).alias("words"))
+    rows = rows.select("doc_id", "_k1", "_k2", F.xxhash64(F.lit(1), "words").alias("w1"), F.xxhash64("words", F.lit(2)).alias("w2"), "words")
+    held = ["doc_id", "_k1", "_k2", "w1", "w2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words, sizes in _parts(batch, 3, CHUNK_WORDS):
+            for part, words, sizes in _parts(batch, len(held), CHUNK_WORDS):
                 sig = bag_minhash(*bags(*shingles(words, sizes)), len(sizes))
                 fold = (mixed(sig.view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * M), pa.array(fold))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], ["doc_id", "w1", "w2", "sig"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(held))], lists], [*held, "sig"])
 
-    shape = rows.select("doc_id", "w1", "w2").schema.add("sig", T.ArrayType(T.IntegerType()))
+    shape = rows.select(*held).schema.add("sig", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(run, shape)
 
 
@@ -182,11 +185,13 @@ def verified(pairs: DataFrame, held: DataFrame, least: float = LEAST) -> DataFra
 
 def components(links: DataFrame) -> DataFrame:
     """v, c: the least vertex of each linked vertex's component; alternating large and small stars."""
+    passing: list[DataFrame] = []
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         both = both if large else both.where("y < x")
         least = stage(both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m")), "star-least")
+        passing.append(least)
         met = both.join(least, "x")
         out = met.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")) if large else met.select(F.col("y").alias("x"), F.col("m").alias("y"))
         if not large:
@@ -195,7 +200,11 @@ def components(links: DataFrame) -> DataFrame:
 
     edges, seen = stage(links.select("x", "y").distinct(), "links"), None
     while True:
-        edges = stage(star(stage(star(edges, True), "star-large"), False), "star-small")
+        large = stage(star(edges, True), "star-large")
+        discard(edges)
+        edges = stage(star(large, False), "star-small")
+        discard(large, *passing)
+        passing.clear()
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
@@ -265,19 +274,26 @@ def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFra
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, w1, w2 of documents with a word), and (w1, w2, v, c) of distinct word sequences: itself and its class."""
+    """(doc_id, w1, w2 of documents with a word), and (w1, w2, v, c) of distinct word sequences: itself and its class.
+
+    A word sequence is named by its first row: v holds its doc_id (and whether that is null) and its row key.
+    """
     rows = stage(signed(docs), "signatures", wide=True)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))).alias("id")
-    texts = rows.groupBy("w1", "w2").agg(first, F.first("sig").alias("sig"))
-    texts = stage(texts.select(F.struct("id.n", "id.d", F.col("w1").alias("a"), F.col("w2").alias("b")).alias("v"), "sig"), "texts")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_k1").alias("a"), F.col("_k2").alias("b"))).alias("v")
+    texts = stage(rows.groupBy("w1", "w2").agg(first, F.first("sig").alias("sig")), "texts")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, F.lit(ROWS))))
     members = texts.select("v", F.posexplode(band).alias("band", "bucket"))
     crowded = stage(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("leader")).where("n > 1").drop("n"), "buckets")
     members = stage(members.join(crowded, "bucket"), "bucket-members")
+    discard(crowded)
 
-    wanted = narrow(stage(members.select("v").distinct(), "bucket-texts"))
-    met = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("v.d"))).select("v", hashed_words(F.col("text")).alias("words"))
-    held = stage(met, "held-words", wide=True).where((F.xxhash64(F.lit(1), "words") == F.col("v.a")) & (F.xxhash64("words", F.lit(2)) == F.col("v.b")))
+    wanted = stage(members.select("v").distinct(), "bucket-texts")
+    own = docs.select(*row_key("doc_id", "text"), "text").join(narrow(wanted), (F.col("_k1") == F.col("v.a")) & (F.col("_k2") == F.col("v.b")))
+    held = stage(own.select("v", hashed_words(F.col("text")).alias("words")), "held-words", wide=True)
+    if held.count() > wanted.count():  # rows equal in doc_id and text
+        twice, held = held, stage(held.dropDuplicates(["v"]), "held-words-once")
+        discard(twice)
+    discard(wanted)
 
     links = stage(verified(members.where("v <> leader").select(F.col("leader").alias("x"), F.col("v").alias("y")).distinct(), held), "links-0")
     found = stage(components(links), "classes-0")
@@ -294,14 +310,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             star = stage(met.groupBy("bucket").agg(by.alias("l")).select("bucket", F.col("l.v").alias("x")), f"stars-{k}")
             pairs = met.where("c <> most").join(star, "bucket").select("x", F.col("v").alias("y"))
             more = stage(verified(pairs.distinct(), held), f"links-{k + 1}")
+            discard(star)
         else:
-            more = stage(block_links(at, top, texts, held), f"links-{k + 1}")
+            more = stage(block_links(at, top, texts.select("v", "sig"), held), f"links-{k + 1}")
+        discard(top)
         if more.isEmpty():
             continue
         links = links.unionByName(more)
+        discard(found)
         found = stage(components(links), f"classes-{k + 1}")
-    out = texts.select("v").join(found, "v", "left").select(F.col("v.a").alias("w1"), F.col("v.b").alias("w2"), "v", F.coalesce("c", "v").alias("c"))
-    return rows.select("doc_id", "w1", "w2"), stage(out, "text-classes")
+    out = stage(texts.select("w1", "w2", "v").join(found, "v", "left").select("w1", "w2", "v", F.coalesce("c", "v").alias("c")), "text-classes")
+    discard(members, held, found, texts)
+    return rows.select("doc_id", "w1", "w2"), out
 
 
 def without_words(docs: DataFrame) -> DataFrame:
@@ -309,22 +329,41 @@ def without_words(docs: DataFrame) -> DataFrame:
 
 
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and class_id (least doc_id of its class) of every document."""
+    """doc_id and class_id (least doc_id of its class) of every document. head_key is null where class_id names one class;
+    where it is null or names several, head_key tells them apart (documents without words are alone and have none)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, found = classes(docs)
-    out = rows.join(found, ["w1", "w2"]).select("doc_id", F.col("c.d").alias("class_id"))
-    return out.unionByName(without_words(docs).select("doc_id", F.col("doc_id").alias("class_id")))
+    heads = found.where("v = c").select(F.col("v.d").alias("d"), F.col("v.a").alias("head_key"))
+    shared = heads.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND d IS NOT NULL").select("d")
+    named = found.join(narrow(stage(shared, "shared-ids")), F.col("c.d") == F.col("d"), "left")
+    key = F.when(F.col("d").isNotNull() | F.col("c.d").isNull(), F.col("c.a")).alias("head_key")
+    out = rows.join(named.select("w1", "w2", F.col("c.d").alias("class_id"), key), ["w1", "w2"]).select("doc_id", "class_id", "head_key")
+    return out.unionByName(without_words(docs).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("bigint").alias("head_key")))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one whose id names the class. Documents without words all stay."""
-    d, a, b = fresh(docs, "_d", "_a", "_b").values()
+    """One document of each class: the one whose id and text name the class. Documents without words all stay."""
+    a, b, c, d = fresh(docs, "_a", "_b", "_c", "_d").values()
     _, found = classes(docs)
-    heads = found.where("v = c").select(F.col("v.d").alias(d), F.col("w1").alias(a), F.col("w2").alias(b))
-    words = hashed_words(F.col("text"))
-    met = docs.join(heads, F.col("doc_id").eqNullSafe(F.col(d))).where((F.xxhash64(F.lit(1), words) == F.col(a)) & (F.xxhash64(words, F.lit(2)) == F.col(b)))
-    return met.dropDuplicates([d, a, b]).select(*docs.columns).unionByName(without_words(docs))
+    heads = stage(found.where("v = c").select(F.col("v.a").alias(a), F.col("v.b").alias(b)), "class-heads")
+    k1, k2 = row_key("doc_id", "text")
+    met = docs.select("*", k1.alias(c), k2.alias(d)).join(narrow(heads), (F.col(a) == F.col(c)) & (F.col(b) == F.col(d)))
+    return met.dropDuplicates([c, d]).select(*docs.columns).unionByName(without_words(docs))
 
 
 QUERIES = {"op8_bag_minhash": op8_bag_minhash}
-ORACLE: dict[str, str] = {}
+
+#: All pairs of distinct texts with a common shingle, their exact similarity, and the components of the links.
+ORACLE = {
+    "op8_bag_minhash": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ t AS MATERIALIZED (SELECT ws, min(doc_id) AS v FROM w WHERE len(ws) > 0 GROUP BY ws),
+ s AS (SELECT v, hash(ws[i:i+4]) AS g FROM (SELECT v, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM t)),
+ b AS MATERIALIZED (SELECT v, g, count(*) AS k FROM s GROUP BY v, g),
+ n AS (SELECT v, sum(k) AS n FROM b GROUP BY v),
+ p AS (SELECT x.v AS a, y.v AS b, sum(least(x.k, y.k)) AS k FROM b x JOIN b y ON x.g = y.g AND x.v < y.v GROUP BY 1, 2),
+ l AS (SELECT a, b FROM p JOIN n i ON i.v = a JOIN n j ON j.v = b WHERE k >= (0.8 - 1e-12) * (i.n + j.n - k)),
+ e AS MATERIALIZED (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+ r(v, c) AS (SELECT v, v FROM t UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v WHERE r.c < e.y),
+ m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+ SELECT w.doc_id, coalesce(m.c, w.doc_id) AS class_id, CAST(NULL AS BIGINT) AS head_key FROM w LEFT JOIN t ON t.ws = w.ws LEFT JOIN m ON m.v = t.v"""
+}
