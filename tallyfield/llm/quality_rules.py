@@ -1,35 +1,43 @@
 """Quality rules whose cutoffs come from labelled holdouts with an error guarantee.
 
-Each rule compares one number of a text with a cutoff. For each stratum (language) and rule, all labelled rows give
-a histogram of the number, split by label. Going from the laxest cutoff to the strictest, a cutoff is accepted while
-an exact binomial test rejects "it falsely rejects more than `risk / rules` of the good rows" at level
-`delta / (strata * rules)` (Bonferroni over pairs; fixed-sequence testing inside a pair needs no further correction,
-as the first failure ends it). So with probability 1 - delta all accepted rules together reject at most `risk` of the
-good rows of any stratum. Of the accepted cutoffs the one with the best trade is used: the share of bad rows that it
-rejects, less `PRICE` times the share of good ones. A stratum whose own labels prove no cutoff, or that has none, gets
-none: a test over all strata says nothing about a single one, so only the base rules hold there.
+Each rule compares one number of a text with a cutoff. The labelled rows are split by a hash of doc_id. One part (`FIT` in
+256 of them) gives each rule's number a level from 0 to `LEVELS`: how pure the rejected rows would be at that cutoff, with
+`PRICE` bad rows wanted per good one; a text's level is the greatest of its rules'. So the cutoffs of all rules move
+together along one path, from the laxest level to the strictest, and the error budget is spent once and not once per rule.
 
-All on the main path is DataFrame functions; the driver sees the histograms only (strata * rules * bins rows).
+The other part certifies, stratum by stratum (language): from the laxest level on, a level is accepted while an exact
+binomial test rejects "it falsely rejects more than `risk` of the good rows of this stratum" at level `delta / strata`
+(Bonferroni over strata; fixed-sequence testing along the path needs no further correction, as the first failure ends it). So
+with probability 1 - delta, no stratum loses more than `risk` of its good rows. Of the accepted levels the one with the
+best trade on the part that was fitted is used: the share of bad rows that it rejects, less `PRICE` times the share of
+good ones. A stratum whose own labels prove no level, or that has none, gets none: a test over all strata says nothing about a
+single one, so only the base rules hold there. At the default risk and five strata 88 good rows are enough.
+
+All on the main path is DataFrame functions; the driver sees the histograms only (rules * bins and strata * levels rows).
 
 Defined cases: null text is an empty one, has no words and fails the base rules; labels without a document, null
 labels and null doc_ids take no part; repeated labels count as often as they occur; an empty label table
-accepts no cutoff, so only the base rules hold; null lang is a stratum of its own.
+accepts no level, so only the base rules hold; null lang is a stratum of its own; of equally good levels the laxer one is
+used; very long texts are measured whole; other columns are not looked at, and clash with none of the added ones.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RE, BLANKS, BROADCAST_ROWS, fresh, stage, table, text_of
+from .common import BLANK_RE, BLANKS, BROADCAST_ROWS, discard, fresh, stage, table, text_of
 
 WINDOW = 5
-RISK = 0.02
+RISK = 0.05
 DELTA = 0.05
 PRICE = 10.0
 BINS = 200
+LEVELS = 50
+FIT = 96
 #: Rule -> number that it looks at; a row is rejected if the number is above the cutoff.
 RULES = ("symbol_share", "mark_share", "upper_share", "reuse_share", "dup_line_share", "repeat_share", "long_words")
 
@@ -113,62 +121,97 @@ def holds(k: int, n: int, risk: float, level: float) -> bool:
     return binomial_tail(k, n, risk) <= level
 
 
-def cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
-    """(stratum, rule) -> cutoff, for strata whose own rows prove one. labelled: the rules' numbers, lang and a boolean `good`; all of its rows count.
+@dataclass(frozen=True)
+class Cutoffs:
+    """levels: per rule, the level of each of BINS + 1 bins of its number; least: per stratum, the least level that is rejected."""
 
-    Rows that already fail the base rules take no part: the guarantee is about what the cutoffs reject besides.
-    """
-    bins = F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.lit(BINS), F.ceil(F.col(r) * BINS)).cast("int").alias("bin")) for r in RULES])
-    rows = (
-        labelled.where(~F.col("base_failed"))
-        .select("lang", "good", F.explode(bins).alias("b"))
-        .groupBy("lang", F.col("b.rule").alias("rule"), F.col("b.bin").alias("bin"))
-        .agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-        .collect()
-    )
-    strata = sorted({r.lang for r in rows}, key=lambda x: (x is not None, x or ""))
-    level, risk = delta / ((len(strata) + 1) * len(RULES)), risk / len(RULES)  # one share more than there are tests: the stricter side
+    levels: dict[str, tuple[int, ...]]
+    least: dict[str | None, int]
+
+
+def bin_of(rule: str, prefix: str = "") -> Column:
+    return F.least(F.lit(BINS), F.ceil(F.col(prefix + rule) * BINS)).cast("int")
 
-    def scan(own: list) -> float | None:
+
+def levels_of(rows: list) -> dict[str, tuple[int, ...]]:
+    """Levels of each rule's bins from rows (rule, bin, good, bad): the purity of what a cutoff there rejects, which no
+    stricter cutoff exceeds and no laxer one falls short of."""
+    out = {}
+    for rule in RULES:
         good, bad = [0] * (BINS + 1), [0] * (BINS + 1)
-        for r in own:
-            good[r.bin] += r.good
-            bad[r.bin] += r.bad
-        n, n_bad, k, caught, best, most = sum(good), sum(bad), 0, 0, None, 0.0
-        for b in range(BINS, 0, -1):  # cutoff (b - 1) / BINS rejects bins b and above
+        for r in rows:
+            if r.rule == rule:
+                good[r.bin] += r.good
+                bad[r.bin] += r.bad
+        pure, k, caught = [0.0] * (BINS + 1), 0, 0
+        for b in range(BINS, 0, -1):
             k, caught = k + good[b], caught + bad[b]
-            if not holds(k, n, risk, level):
-                break
-            if (trade := caught / max(n_bad, 1) - PRICE * k / n) > most:
-                best, most = (b - 1) / BINS, trade
-        return best
+            pure[b] = caught / (caught + PRICE * (k + 0.5))
+        for b in range(1, BINS + 1):
+            pure[b] = max(pure[b], pure[b - 1])
+        out[rule] = tuple(int(LEVELS * x) for x in pure)
+    return out
 
-    out: dict[tuple[str | None, str], float] = {}
-    for rule in RULES:
-        for s in strata:
-            best = scan([r for r in rows if r.rule == rule and r.lang == s])
-            if best is not None:
-                out[s, rule] = best
+
+def level(levels: dict[str, tuple[int, ...]], prefix: str = "") -> Column:
+    """A row's level: the greatest of its rules'. The levels of a rule rise with its bins, so each is a few comparisons."""
+    out = F.lit(0)
+    for rule, own in levels.items():
+        steps = [(b, own[b]) for b in range(1, BINS + 1) if own[b] > own[b - 1]]
+        at = F.lit(0)
+        for b, value in steps:
+            at = F.when(bin_of(rule, prefix) >= b, F.lit(value)).otherwise(at)
+        out = F.greatest(out, at) if steps else out
     return out
 
 
-def verdict(found: dict[tuple[str | None, str], float], prefix: str = "") -> Column:
-    """True if neither the base rules nor a cutoff rejects the row; a stratum without cutoffs has the base rules only."""
-    strata = sorted({s for s, _ in found if s is not None})
-    bad = F.lit(False)
-    for rule in RULES:
-        at = F.when(F.lit(False), F.lit(None).cast("double"))
-        for s in (None, *strata):
-            if any(k[0] == s for k in found):
-                at = at.when(F.col("lang").eqNullSafe(F.lit(s)), F.lit(found.get((s, rule))).cast("double"))
-        bad = bad | F.coalesce(F.ceil(F.col(prefix + rule) * BINS) / F.lit(float(BINS)) > at, F.lit(False))
-    return ~F.col(f"{prefix}base_failed") & ~bad
+def least_levels(rows: list, fitted: list, risk: float, delta: float) -> dict[str | None, int]:
+    """Per stratum the accepted level with the best trade. rows, fitted: (lang, level, good, bad) of the certifying and of the
+    fitted part; the trade is that of all strata together, so that it is the same path everywhere."""
+    strata = sorted({r.lang for r in rows}, key=lambda x: (x is not None, x or ""))
+    n_good, n_bad = max(1, sum(r.good for r in fitted)), max(1, sum(r.bad for r in fitted))
+    trade = {v: sum(r.bad / n_bad - PRICE * r.good / n_good for r in fitted if r.level >= v) for v in range(1, LEVELS + 1)}
+    out: dict[str | None, int] = {}
+    for s in strata:
+        own = [r for r in rows if r.lang == s]
+        n, best = sum(r.good for r in own), 0.0
+        for v in range(LEVELS, 0, -1):
+            if not holds(sum(r.good for r in own if r.level >= v), n, risk, delta / len(strata)):
+                break
+            if trade[v] > best:
+                best, out[s] = trade[v], v
+    return out
+
+
+def cutoffs(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> Cutoffs:
+    """labelled: doc_id, lang, base_failed, the rules' numbers and a boolean `good`; all of its rows count.
+
+    Rows that already fail the base rules take no part: the guarantee is about what the cutoffs reject besides.
+    """
+    rows = labelled.where(~F.col("base_failed")).withColumn("_fit", F.pmod(F.xxhash64(F.lit(41), "doc_id"), F.lit(256)) < FIT)
+    good, bad = F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")
+    bins = F.array(*[F.struct(F.lit(r).alias("rule"), bin_of(r).alias("bin")) for r in RULES])
+    found = rows.where("_fit").select("good", F.explode(bins).alias("b")).groupBy(F.col("b.rule").alias("rule"), F.col("b.bin").alias("bin")).agg(good, bad)
+    levels = levels_of(found.collect())
+    marks = rows.groupBy("_fit", "lang", level(levels).alias("level")).agg(good, bad).collect()
+    return Cutoffs(levels, least_levels([r for r in marks if not r["_fit"]], [r for r in marks if r["_fit"]], risk, delta))
 
 
-def learn(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[str | None, str], float]:
+def verdict(found: Cutoffs, prefix: str = "") -> Column:
+    """True if neither the base rules nor the stratum's level rejects the row; a stratum without one has the base rules only."""
+    least = F.when(F.lit(False), F.lit(0))
+    for s, v in found.least.items():
+        least = least.when(F.col("lang").eqNullSafe(F.lit(s)), F.lit(v))
+    return ~F.col(f"{prefix}base_failed") & ~F.coalesce(level(found.levels, prefix) >= least, F.lit(False))
+
+
+def learn(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> Cutoffs:
     """features: doc_id, lang, base_failed and the rules' numbers. Only these small columns are shuffled."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", (F.col("quality") > 0).alias("good"))
-    return cutoffs(features.select("doc_id", "lang", "base_failed", *RULES).join(marks, "doc_id"), risk, delta)
+    rows = stage(features.select("doc_id", "lang", "base_failed", *RULES).join(marks, "doc_id"), "quality-labelled")
+    out = cutoffs(rows, risk, delta)
+    discard(rows)
+    return out
 
 
 def op5_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +238,7 @@ def filter_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbers = with_features(measured.select("doc_id", "text", "lang")).select("doc_id", "lang", "base_failed", *RULES)
     found = learn(stage(numbers, "quality-features", wide=True), labels)
     # A filter moves below what it looks at, which would measure the texts once for each number in it; it can't pass
-    # a column whose value depends on the row's place.
+    # a column whose value depends on the row's place. Only time depends on that: the rows are the same either way.
     rows = with_features(docs, p).withColumn(f"{p}place", F.monotonically_increasing_id())
     return rows.where(verdict(found, p) & (F.col(f"{p}place") >= 0)).select(*docs.columns)
 
