@@ -2,15 +2,18 @@
 
 A page is cut into blocks at its block-level tags. A logistic classifier over tag, name, link and length features gives
 each block the cost of calling it content or boilerplate; these become the capacities to source and sink. Blocks that
-follow each other, and blocks that follow each other inside one container, are joined by smoothness edges. The minimum
-cut (max-flow) is the labelling of least total cost; source-side blocks are the text, in page order.
+follow each other are joined by an edge that is the weaker the more steps lie between their containers in the tree, and
+blocks that follow each other inside one container by a further one. The minimum cut (max-flow) is the labelling of
+least total cost; source-side blocks are the text, in page order.
 
 The classifier is fitted on seeded pages that `sample_pages()` spells out, so nothing is learned from the input.
 
 Defined cases: null html is empty; an empty page or one without content gives an empty text; unclosed tags end with
-their container, a head without end tag ends at the body or the first tag that no head holds, raw elements without end tag
-(scripts and the like) run to the end of the page, self-closed ones are empty, unmatched end tags are ignored, `<` that opens no tag is text; pages of any length are read whole;
-repeated rows give equal results; columns other than page_id, url and html are ignored.
+their container, a head without end tag ends at the body or the first tag that no head holds, a script or style without end
+tag runs to the end of the page, other elements that are left out (`HIDDEN`) without one hold nothing, self-closed ones
+are empty, unmatched end tags are ignored, `<` that opens no tag is text; a block whose gain is 0 after its neighbours are
+settled is left out; pages of any length are read whole; repeated rows give equal results; columns other than page_id,
+url and html are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ SHARED = 1.2
 _HELD = r"<!--.*?(?:-->|\Z)|" + "|".join(rf"<{t}\b[^>]*+(?<!/)>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title"))
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|select|textarea|object|canvas)\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style)\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
     # a head up to its end tag; without one before the body, its elements up to the first that is none of a head
     r"|(?P<head><head\b[^>]*+>(?:(?:[^<]++|" + _HELD + r"|<(?!/head\s*>|body\b))*+</head\s*>"
     r"|(?:\s++|" + _HELD + r"|</?(?:base|link|meta|html|script|style)\b[^>]*+>)*+))"
@@ -45,12 +48,15 @@ _TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
     re.S | re.I,
 )
+#: Elements that are left out with all they hold, and a pattern for their tags. Comments and scripts hold no tags.
+HIDDEN = ("noscript", "template", "svg", "iframe", "select", "textarea", "object", "canvas")
+_HIDDEN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style)\b[^>]*+>.*?(?:</(?:script|style)\s*>|\Z)|<(?P<end>/?)(?P<tag>" + "|".join(HIDDEN) + r")\b[^>]*+>", re.S | re.I)
 _NAME = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Tags that run on inside a block (fixed values).
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Flags that a tag sets for all that it holds, by tag and by words in its names.
-TAG_FLAGS = {"nav": 1, "menu": 1, "footer": 2, "header": 4, "aside": 8, "form": 16, "button": 16, "dialog": 32, "article": 64, "main": 128}
+TAG_FLAGS = {"nav": 1, "menu": 1, "footer": 2, "header": 4, "aside": 8, "form": 16, "button": 16, "option": 16, "dialog": 32, "article": 64, "main": 128}
 NAME_FLAGS = (
     (re.compile(r"\b(?:nav\w*|menu\w*|breadcrumbs?|toolbar|pagination|pager|tabs?|toc)\b", re.I), 1),
     (re.compile(r"\b(?:footer|foot|copyright|legal|colophon|contentinfo)\b", re.I), 2),
@@ -65,17 +71,50 @@ NAME_FLAGS = (
 BITS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
 
 
+#: Tags of blocks inside lists of terms, tables and figures.
+CELLS = frozenset("td th dt dd caption figcaption pre".split())
+#: Steps in the tree beyond which containers are equally far apart.
+FAR = 16
+
+
 class Block(NamedTuple):
     text: str
     flags: int
     tag: str
     box: int
     link_chars: int
+    steps: int
+
+
+def hidden(page: str) -> dict[int, int]:
+    """Start of each HIDDEN element that has an end tag -> where it ends. An end tag closes the nearest open one of its name,
+    and what is open inside that one holds nothing more."""
+    out: dict[int, int] = {}
+    opened: list[tuple[str, int]] = []
+    for m in _HIDDEN_TAG.finditer(page):
+        if not m["tag"]:
+            continue
+        tag = m["tag"].lower()
+        if not m["end"]:
+            if m[0][-2:] == "/>":
+                out[m.start()] = m.end()
+            else:
+                opened.append((tag, m.start()))
+            continue
+        for k in range(len(opened) - 1, max(-1, len(opened) - 1 - FAR), -1):
+            if opened[k][0] == tag:
+                out[opened[k][1]] = m.end()
+                del opened[k:]
+                break
+    return out
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. box numbers the container that directly holds the block."""
+    """Blocks with text, in page order. box numbers the container that directly holds the block; steps counts those in the tree
+    from the last block's container to this one's."""
     out: list[Block] = []
+    above = [0]  # container -> the one that holds it
+    depth_of = [0]
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, flags, number
     parts: list[str] = []
     boxes = linked = depth = 0
@@ -87,12 +126,22 @@ def blocks(page: str) -> list[Block]:
             if text:
                 tag, flags, own = stack[-1]
                 held = stack[-2][2] if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "dd", "dt", "blockquote", "pre") and len(stack) > 1 else own
-                out.append(Block(text, flags, tag, held, linked))
+                a, b, steps = (out[-1].box if out else held), held, 0
+                while a != b and steps < FAR:
+                    if depth_of[a] >= depth_of[b]:
+                        a = above[a]
+                    else:
+                        b = above[b]
+                    steps += 1
+                out.append(Block(text, flags, tag, held, linked, steps))
             parts.clear()
         linked = 0
 
     at = 0
+    gone, until = hidden(page), 0
     for m in _TOKEN.finditer(page):
+        if m.start() < until:
+            continue
         if m.start() > at:
             parts.append(page[at : m.start()])
             if depth:
@@ -100,11 +149,16 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
-            if m["head"] or (m["raw"] and m["raw"].lower() not in ("svg", "iframe")):
+            if m["head"] or m["raw"]:
                 close()
             continue
         tag = tag.lower()
         end = bool(m["end"] or m["end2"])
+        if tag in HIDDEN:
+            at = until = max(at, gone.get(m.start(), at))
+            if tag not in ("svg", "iframe"):
+                close()
+            continue
         if tag == "a":
             depth = 0 if end else 1
         if tag in INLINE:
@@ -130,6 +184,8 @@ def blocks(page: str) -> list[Block]:
                     if not flags & bit and pattern.search(value):
                         flags |= bit
         boxes += 1
+        above.append(stack[-1][2])
+        depth_of.append(depth_of[stack[-1][2]] + 1)
         stack.append((tag, flags, boxes))
     parts.append(page[at:])
     close()
@@ -138,7 +194,7 @@ def blocks(page: str) -> list[Block]:
 
 def numbers(found: list[Block]) -> np.ndarray:
     """A row of features for each block."""
-    out = np.zeros((len(found), len(BITS) + 8))
+    out = np.zeros((len(found), len(BITS) + 9))
     for i, b in enumerate(found):
         out[i, : len(BITS)] = [bool(b.flags & bit) for bit in BITS]
         n = len(b.text)
@@ -147,6 +203,7 @@ def numbers(found: list[Block]) -> np.ndarray:
             b.tag == "p",
             b.tag[:1] == "h" and len(b.tag) == 2,
             b.tag == "li",
+            b.tag in CELLS,
             min(1.0, b.link_chars / n),
             min(1.0, math.log1p(n) / 7),
             b.text[-1] in ".!?…\"”»:",
@@ -169,10 +226,15 @@ def sample_pages(n: int = 400, seed: int = 7) -> list[tuple[str, set[str]]]:
         def content(good: list[str] = good) -> str:
             body = []
             for k in range(rng.randint(3, 12)):
-                tag = "h1" if k == 0 else rng.choice(["p", "p", "p", "p", "h2", "li", "blockquote"])
-                text = line(2, 8) if tag in ("h1", "h2") else line(3, 60)
+                tag = "h1" if k == 0 else rng.choice(["p", "p", "p", "p", "p", "p", "h2", "li", "li", "blockquote", "pre", "table", "figure"])
+                if tag == "table":
+                    cells = [rng.choice([short(), str(rng.randint(1, 999)), rng.choice(["kg", "cm", "%"])]) for _ in range(rng.randint(2, 8))]
+                    good += cells
+                    body.append("<table><tr>" + "".join(f"<{(c := rng.choice(['td', 'td', 'td', 'th']))}>{x}</{c}>" for x in cells) + "</tr></table>")
+                    continue
+                text = line(2, 8) if tag in ("h1", "h2", "figure") else line(3, 60)
                 good.append(text)
-                body.append(f"<ul><li>{text}</li></ul>" if tag == "li" else f"<{tag}>{text}</{tag}>")
+                body.append(f"<ul><li>{text}</li></ul>" if tag == "li" else f"<figure><img src=x><figcaption>{text}</figcaption></figure>" if tag == "figure" else f"<{tag}>{text}</{tag}>")
             return "".join(body)
 
         box = lambda tag, name, inner: f"<{tag}>{inner}</{tag}>" if rng.random() < 0.5 else f'<div class="{name}">{inner}</div>'
@@ -292,7 +354,7 @@ def main_text(page: str | None, weights: tuple[float, ...]) -> str:
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, FOLLOW))
+            edges.append((i - 1, i, FOLLOW * 2.0 ** (-max(0, b.steps - 1) / 2)))
         if b.box in last:
             edges.append((last[b.box], i, SHARED))
         last[b.box] = i
