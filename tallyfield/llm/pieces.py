@@ -6,23 +6,26 @@ Three machines are compiled from a model file and composed with each text:
 2. the piece lexicon: arcs that read a piece's characters and write its number;
 3. byte fallback: a character that no piece has is read by an arc that writes its UTF-8 bytes' numbers.
 
-The model is of the merging kind (BPE). Its result is the one segmentation in which every two neighbours would merge to
-just themselves; so a fourth machine over pairs of pieces weighs an arc 0 after a piece that it may follow and
-infinity else. In the tropical semiring the shortest path then has weight 0 and is unique; states are
-(position, last piece), and as each prefix has just one reachable state of finite weight, the forward pass keeps one
-state per position: linear time, however long the text.
+In the tropical semiring the path of least weight gives the pieces. For a model of the unigram kind an arc weighs its
+piece's negative log-probability, a fallback arc ten more than the rarest piece, and states are positions. For a model of
+the merging kind (BPE) the result is the one segmentation in which every two neighbours would merge to just themselves; so
+a fourth machine over pairs of pieces weighs an arc 0 after a piece that it may follow and infinity else, and states are
+(position, last piece). As each prefix has just one such state of finite weight, the forward pass keeps one state per
+position there too. Time is linear in the text for both kinds, however long it is.
 
 No piece holds a mark after another character, a line end, or certain signs after a letter (found when compiling; a model
 without such places is composed whole), so paths of the parts between such places are found apart, and remembered up
 to a bounded number of parts.
 
 Defined cases: null and empty texts have no ids and decode to ""; a mark in the text decodes to a space, as the
-vocabulary can't tell them apart (round_trip is false there); texts are encoded whole; columns other than doc_id and
-text are ignored.
+vocabulary can't tell them apart (round_trip is false there); texts are encoded whole, very long ones and very long parts
+too; equal texts get equal ids; of paths of equal weight the one whose last piece is longest is used; added columns that
+would clash with those there get underscores before their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from array import array
@@ -34,13 +37,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 PARTS = 200_000
 PAIRS = 400_000
 LONG = 48
+UNIGRAM, MERGING = 1, 2
+#: How much more than the rarest piece a fallback arc of the unigram kind weighs (fixed value of the format).
+UNKNOWN = 10.0
 CHUNK_CHARS = 2_000_000
 
 
@@ -79,7 +85,7 @@ class Transducer:
         self.raw: list[bytes] = []
         self.byte_id = [-1] * 256
         self.prefix = self.escape = True
-        kind = 1
+        self.kind = UNIGRAM
         for number, value in fields(data):
             if number == 1:
                 own = dict(fields(value))
@@ -95,14 +101,15 @@ class Transducer:
                 else:  # control pieces and the unknown piece are never written
                     self.raw.append(b"")
             elif number == 2:
-                kind = dict(fields(value)).get(3, 1)
+                self.kind = dict(fields(value)).get(3, UNIGRAM)
             elif number == 3:
                 own = dict(fields(value))
                 self.prefix, self.escape = bool(own.get(3, 1)), bool(own.get(5, 1))
                 if own.get(2) or own.get(4, 1):
                     raise ValueError("models that map characters or squeeze spaces are not supported")
-        if kind != 2 or -1 in self.byte_id:
-            raise ValueError("only merging models with byte fallback are supported")
+        if self.kind not in (UNIGRAM, MERGING) or -1 in self.byte_id:
+            raise ValueError("only unigram and merging models with byte fallback are supported")
+        self.unknown = UNKNOWN - min(self.score.values(), default=0.0)
         self.lexicon = ahocorasick.Automaton()
         for name in self.ids:
             self.lexicon.add_word(name, name)
@@ -153,8 +160,42 @@ class Transducer:
         return known
 
     def path(self, text: str) -> list[str]:
-        """The zero-weight path through one part, as the strings that its arcs read. At most one arc into a position
-        has finite weight; the lexicon machine gives the arcs into each position, longest first."""
+        """The path of least weight through one part, as the strings that its arcs read."""
+        return self.lightest(text) if self.kind == UNIGRAM else self.only(text)
+
+    def lightest(self, text: str) -> list[str]:
+        """The unigram kind: least sums of weights by position. The lexicon machine gives the arcs into each position,
+        longest first; a character that is no piece has a fallback arc."""
+        least: list[float] = [0.0] + [math.inf] * len(text)
+        last = [""] * (len(text) + 1)
+        done, score = 0, self.score
+
+        def fall_back(upto: int) -> None:
+            nonlocal done
+            while done < upto:
+                done += 1
+                if text[done - 1] not in score and least[done - 1] + self.unknown < least[done]:
+                    least[done], last[done] = least[done - 1] + self.unknown, text[done - 1]
+
+        for end, piece in self.lexicon.iter(text):
+            if done < end:
+                fall_back(end)
+            weight = least[end + 1 - len(piece)] - score[piece]
+            if weight < least[end + 1]:
+                least[end + 1], last[end + 1] = weight, piece
+        fall_back(len(text))
+        return self._back(text, last)
+
+    @staticmethod
+    def _back(text: str, last: list) -> list[str]:
+        out, end = [], len(text)
+        while end:
+            out.append(last[end])
+            end -= len(last[end])
+        return out[::-1]
+
+    def only(self, text: str) -> list[str]:
+        """The merging kind: at most one arc into a position has finite weight, so the first found is the lightest."""
         last: list[str | None] = [""] + [None] * len(text)
         pairs, none, done = self.pairs, {}, 0
 
@@ -176,11 +217,7 @@ class Transducer:
                     if known or (known is None and self.follows(before, piece)):
                         last[end + 1] = piece
         alone(len(text))
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+        return self._back(text, last)
 
     def __getitem__(self, part: str) -> bytes:
         """The numbers of one part, as int32 bytes. Parts are remembered in two generations: when the younger one is
@@ -230,13 +267,14 @@ def compiled(data: bytes) -> Transducer:
 
 
 def tokenize(docs: DataFrame, data: bytes | None = None) -> DataFrame:
-    """docs plus ids (array of int), n_tokens and round_trip (does decoding give the text back), row by row, no shuffle.
+    """docs plus ids (array of int), n_tokens and round_trip (does decoding give the text back; names that are taken get an
+    underscore), row by row, no shuffle.
 
     The model (half a megabyte, read on the driver) goes to the executors with the function.
     """
     data = load() if data is None else data
-    clash = {"ids", "n_tokens", "round_trip"}
-    rest = [c for c in docs.columns if c.lower() not in clash and c != "text"]
+    names = list(fresh(docs, "ids", "n_tokens", "round_trip").values())
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(data)
@@ -258,10 +296,10 @@ def tokenize(docs: DataFrame, data: bytes | None = None) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 arrays = [part.column(part.schema.get_field_index(c)) for c in (*rest, "text")]
                 arrays += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sizes, pa.int64()), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(arrays, [*rest, "text", "ids", "n_tokens", "round_trip"])
+                yield pa.RecordBatch.from_arrays(arrays, [*rest, "text", *names])
                 at = end
 
-    shape = docs.select(*rest, "text").schema.add("ids", T.ArrayType(T.IntegerType())).add("n_tokens", T.LongType()).add("round_trip", T.BooleanType())
+    shape = docs.select(*rest, "text").schema.add(names[0], T.ArrayType(T.IntegerType())).add(names[1], T.LongType()).add(names[2], T.BooleanType())
     return docs.select(*rest, "text").mapInArrow(run, shape)
 
 
