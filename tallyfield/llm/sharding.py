@@ -4,26 +4,32 @@ Every row is hashed into one of `slots` virtual slots. Rows and bytes are summed
 driver sees: at most `slots` rows, whatever the input). A slot map, stored with a version, names the shard of each
 slot; rebalancing edits the map and never hashes rows anew.
 
-The law is `bytes`: shards' byte sums are near equal, because slots are dealt largest first to the lightest shard.
+The law is `bytes`: shards' byte sums are near equal, because slots are dealt largest first to the lightest shard. Rows
+that can't be told apart (equal in doc_id, size and text_crc32) are counted first and then dealt in runs of `RUN` copies, each
+run hashed on its own, so that however many copies a row has, they spread over all slots.
 
 Defined cases: null text has no bytes (size 8, crc32 0); null doc_id is hashed like a value of its own; repeated
-rows get places of their own; extra columns are ignored; an empty table gives an empty result and a map dealt by
-slot number alone.
+rows get places of their own; of rows that tie, any has any of their places; a very long text is one row of its size, so
+shards can't be nearer equal than the largest row allows; extra columns are ignored; an empty table gives an empty
+result and a map dealt by slot number alone.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_of
+from .common import shared_dir, stage, table, text_of
 
 SLOTS = 8192
 SHARDS = 24
+#: Copies of a row that stay in one virtual slot.
+RUN = 256
 
 
 @dataclass(frozen=True)
@@ -65,8 +71,8 @@ class SlotMap:
             moved.append(slot)
         return SlotMap(self.shards + 1, tuple(new), self.version + 1, tuple(moved))
 
-    def frame(self, spark: SparkSession, more: dict[int, tuple] | None = None) -> DataFrame:
-        return spark.createDataFrame([(s, x, self.version) for s, x in enumerate(self.shard_of)], "vslot int, shard int, version int")
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(s, x, self.shards) for s, x in enumerate(self.shard_of)], "vslot int, shard int, shards int")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes this version under path; earlier versions stay."""
@@ -74,40 +80,49 @@ class SlotMap:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
-        rows = sorted((r.vslot, r.shard) for r in spark.read.parquet(f"{path}/version={version}").select("vslot", "shard").collect())
-        return cls(max((s for _, s in rows), default=-1) + 1, tuple(s for _, s in rows), version)
+        found = spark.read.schema("vslot int, shard int, shards int").parquet(f"{path}/version={version}")
+        rows = sorted((r.vslot, r.shard, r.shards) for r in found.collect())
+        return cls(rows[0][2] if rows else 0, tuple(s for _, s, _ in rows), version)
 
 
 def keyed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and vslot of each row; the text itself is read once and goes nowhere."""
+    """Runs of equal rows: doc_id, size, text_crc32, vslot and how many copies; the text itself is read once and goes nowhere."""
     raw = F.encode(text_of(), "UTF-8")
-    return docs.select(
-        F.col("doc_id"),
-        (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-    ).withColumn("vslot", F.pmod(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    rows = docs.select(F.col("doc_id"), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    # Blocks of runs, then runs: no row ever holds an array that grows with the number of copies beyond n / RUN^2.
+    block = RUN * RUN
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))).alias("b")).withColumn("n", F.least(F.lit(block), F.col("n") - F.col("b") * block))
+    rows = rows.select("doc_id", "size", "text_crc32", "b", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))).alias("r"))
+    vslot = F.pmod(F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_crc32", F.col("b"), F.col("r")), F.lit(slots)).cast("int")
+    return rows.select("doc_id", "size", "text_crc32", vslot.alias("vslot"), F.least(F.lit(RUN), F.col("n") - F.col("r") * RUN).cast("int").alias("copies"))
 
 
-def shard_rows(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, SlotMap, dict[int, int]]:
+def shard_rows(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, SlotMap, dict[int, int]]:
     """Each row with its shard and its place there (0, 1, ... without gaps), the map, and bytes per virtual slot.
 
-    A place is the rows in the shard's earlier slots plus the row's rank in its own slot, so no task ever holds more
-    than one slot's rows of 24 bytes each.
+    The map is stored as version 1 under path (a new folder in the shared one, if none is given) and read from there. A
+    place is the rows in the shard's earlier slots plus those in earlier runs of its own slot plus the copy's number, so no
+    task ever holds more than one slot's runs of 32 bytes each.
     """
     spark = docs.sparkSession
-    rows = stage(keyed(docs, slots), "shard-keys", wide=True)
-    sums = rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    runs = stage(keyed(docs, slots), "shard-keys", wide=True)
+    sums = runs.groupBy("vslot").agg(F.sum(F.col("size") * F.col("copies")).alias("b"), F.sum("copies").alias("n")).collect()
     weight, count = {r.vslot: r.b for r in sums}, {r.vslot: r.n for r in sums}
-    slot_map = SlotMap.deal(weight, slots, shards)
+    path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    SlotMap.deal(weight, slots, shards).save(spark, path)
+    slot_map = SlotMap.load(spark, path, 1)
     base, seen = [], [0] * shards
     for slot, shard in enumerate(slot_map.shard_of):
         base.append((slot, shard, seen[shard]))
         seen[shard] += count.get(slot, 0)
     places = spark.createDataFrame(base, "vslot int, shard int, base long")
-    in_slot = W.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
+    before = W.partitionBy("vslot").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size", "copies").rowsBetween(W.unboundedPreceding, -1)
     # The map has `slots` rows, fixed by the parameter, so broadcasting it is bounded.
-    out = rows.withColumn("rank", F.row_number().over(in_slot) - 1).join(F.broadcast(places), "vslot")
-    return out.withColumn("slot", (F.col("base") + F.col("rank")).cast("long")), slot_map, weight
+    out = runs.withColumn("before", F.coalesce(F.sum("copies").over(before), F.lit(0))).join(F.broadcast(places), "vslot")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    out = out.withColumn("slot", (F.col("base") + F.col("before") + F.col("copy")).cast("long"))
+    return out.select("doc_id", "size", "text_crc32", "vslot", "shard", "slot"), slot_map, weight
 
 
 def op6_virtual_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
