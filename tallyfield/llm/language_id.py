@@ -9,7 +9,8 @@ once, so that a batch takes one product.
 Fitted on about `PER_LANG` rows per language (the bound is this parameter), chosen by a hash of doc_id among rows whose
 crc32(doc_id) mod 4 is not 2, with non-null lang and some letter. lang, source and doc_id are never inputs of a prediction.
 
-Defined cases: a null text or one without letters is `und` with score 0; whole texts are read, of any length;
+Defined cases: a null text or one without letters is `und` with score 0; whole texts are read, of any length (batches are
+cut by their characters); equal texts get equal predictions, so repeated rows do; other columns are not looked at;
 ties go to the first language in alphabetical order; if nothing can be learned (no labelled rows), all rows are `und`.
 """
 

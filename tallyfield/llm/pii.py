@@ -9,8 +9,10 @@ least `PRECISION` is used. Base spans always stay; loose ones that overlap a cho
 
 Trees become nested CASE expressions over arrays inside a row: no shuffle, no Python, one pass over the texts.
 
-Defined cases: null text is empty; positions count code points; equal rows give equal results; extra columns are
-ignored by the query and kept by `redact`; empty tables give empty results.
+Defined cases: null text is empty; positions count code points; equal rows give equal results; texts are searched whole,
+and matches are numbered in chunks, so that very many in one text cost little more than linear time; of added spans that
+overlap the one that starts first stays, then the earlier kind; extra columns are ignored by the query and kept by
+`redact`, and columns added get underscores before their names where these are taken; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -319,21 +321,21 @@ def fitted(spark: SparkSession, n: int = 1500, seed: int = 5) -> tuple[list, tup
     return trees, tuple(least)
 
 
-def with_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df plus `pii_base` and `pii_spans`: arrays of (at, kind, end), sorted."""
+def with_spans(df: DataFrame, text: str = "text", base: str = "pii_base", spans: str = "pii_spans") -> DataFrame:
+    """df plus base and all spans, under names that have to be free: arrays of (at, kind, end), sorted."""
     trees, least = fitted(df.sparkSession)
     t, c, z = fresh(df, "_pt", "_pcand", "_pz").values()
     df = with_candidates(df.withColumn(t, text_of(text)), t, c)
     score = " + ".join(f"({tree_sql(x, 'c.f')})" for x in trees)
     bar = "CASE c.kind " + " ".join(f"WHEN {k} THEN {('1e300' if math.isinf(v) else repr(v))}D" for k, v in enumerate(least)) + " END"
-    df = df.withColumn("pii_base", F.expr(f"array_sort(transform(filter({c}, c -> c.ok), c -> struct(c.at, c.kind, c.end)))"))
+    df = df.withColumn(base, F.expr(f"array_sort(transform(filter({c}, c -> c.ok), c -> struct(c.at, c.kind, c.end)))"))
     df = df.withColumn(z, F.expr(f"array_sort(transform(filter({c}, c -> NOT c.ok AND {score} >= {bar}), c -> struct(c.at, c.kind, c.end)))"))
-    free = f"filter({z}, s -> NOT exists(pii_base, b -> b.at < s.end AND s.at < b.end))"
+    free = f"filter({z}, s -> NOT exists({base}, b -> b.at < s.end AND s.at < b.end))"
     walk = (
         f"aggregate({free}, struct(0 AS last, cast(array() AS array<struct<at:int,kind:int,end:int>>) AS out),"
         " (a, s) -> CASE WHEN s.at >= a.last THEN struct(s.end AS last, concat(a.out, array(s)) AS out) ELSE a END).out"
     )
-    return df.withColumn("pii_spans", F.expr(f"array_sort(concat(pii_base, {walk}))")).drop(t, c, z)
+    return df.withColumn(spans, F.expr(f"array_sort(concat({base}, {walk}))")).drop(t, c, z)
 
 
 def shown(spans: str) -> Column:
@@ -343,11 +345,13 @@ def shown(spans: str) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", out: str = "redacted") -> DataFrame:
-    """df plus the text with each span replaced by its kind in angle brackets; spans inside another go with it."""
-    df = with_spans(df, text)
+    """df plus base and all spans and the text with each span replaced by its kind in angle brackets; spans inside another go
+    with it."""
+    base, spans, out = fresh(df, "pii_base", "pii_spans", out).values()
+    df = with_spans(df, text, base, spans)
     names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
     walk = (
-        f"aggregate(pii_spans, struct(0 AS last, cast(array() AS array<string>) AS out), (a, s) -> CASE WHEN s.at >= a.last THEN"
+        f"aggregate({spans}, struct(0 AS last, cast(array() AS array<string>) AS out), (a, s) -> CASE WHEN s.at >= a.last THEN"
         f" struct(s.end AS last, concat(a.out, array(substring({text}, a.last + 1, s.at - a.last), {names}[s.kind])) AS out) ELSE a END)"
     )
     return df.withColumn(out, F.expr(f"transform(array({walk}), w -> concat(array_join(w.out, ''), substring({text}, w.last + 1)))[0]"))
