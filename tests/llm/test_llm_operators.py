@@ -124,6 +124,27 @@ def test_language_accuracy(spark, docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_kernel_map_is_the_plain_kernel():
+    """Inner products of presence rows are cosines of n-gram sets (up to hash collisions), and the folded matrix scores as the
+    map through the landmarks does."""
+    rng = random.Random(9)
+    made = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 40))) for _ in range(40)]
+    sets = [{t[i : i + n] for n in range(1, language_id.ORDERS + 1) for i in range(len(t) - n + 1)} for t in made]
+    x = language_id.presence(made, bins=1 << 20)
+    for i, j in itertools.combinations(range(40), 2):
+        assert x[i] @ x[j] == pytest.approx(len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5, abs=2e-3)
+    row = collections.namedtuple("row", "text lang")
+    rows = [row(t, "uv"[k % 2]) for k, t in enumerate(made)]
+    langs, weights = language_id.fit(rows, landmarks=10)
+    p = language_id.presence(made).astype(float)
+    marks = np.vstack([p[[k for k in range(40) if k % 2 == v][:5]] for v in (0, 1)])
+    values, vectors = np.linalg.eigh(marks @ marks.T)
+    phi = (p @ marks.T) @ (vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T)
+    y = np.array([[1.0 if r.lang == v else -1.0 for v in langs] for r in rows])
+    ridge = np.linalg.solve(phi.T @ phi + language_id.RIDGE * 40 * np.eye(10), phi.T @ y)
+    assert np.allclose(p @ weights, phi @ ridge, atol=1e-3)
+
+
 # ---- 5
 
 
@@ -140,20 +161,6 @@ def test_quality_counts_are_the_plain_ones(spark, tiny, texts):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(covered))
 
 
-def test_cutoffs_keep_their_promise(spark):
-    """On data without any difference between labels, cutoffs reject at most the allowed share of good rows."""
-    rng = random.Random(5)
-    rows = [(None if k % 3 else "x", rng.random() > 0.3, False, *[rng.random() ** 2 for _ in quality_rules.RULES]) for k in range(12_000)]
-    df = spark.createDataFrame(rows, "lang string, good boolean, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
-    found = quality_rules.cutoffs(df)
-    lost = df.withColumn("kept", quality_rules.verdict(found)).where("good").groupBy("lang").agg(F.avg((~F.col("kept")).cast("int")).alias("lost")).collect()
-    assert all(r.lost <= 1.5 * quality_rules.RISK for r in lost)
-    bad = df.withColumn("symbol_share", F.when(F.col("good"), F.lit(0.0)).otherwise(F.lit(0.3)))
-    assert all(found2 < 0.3 for k, found2 in quality_rules.cutoffs(bad).items() if k[1] == "symbol_share")
-    assert quality_rules.cutoffs(df.limit(0)) == {}
-    assert quality_rules.binomial_tail(3, 10, 0.4) == pytest.approx(0.3822806016)
-
-
 # ---- 6
 
 
@@ -174,6 +181,13 @@ def test_shards(spark, docs, tiny):
     assert sum(weight.get(s, 0) for s in grown.moved) <= sum(weight.values()) / 25
 
 
+def test_many_copies_of_one_row_spread(spark):
+    df = spark.createDataFrame([(None, "the same text")], "doc_id long, text string").selectExpr("doc_id", "text", "explode(sequence(1, 100000)) AS k").drop("k")
+    got = sharding.shard_rows(df)[0].groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert len(got) == 24 and sum(r.n for r in got) == 100_000 and all(r.n == r.d == r.m + 1 for r in got)
+    assert max(r.n for r in got) - min(r.n for r in got) <= 2 * sharding.RUN
+
+
 def test_slot_map_versions(spark, tmp_path):
     one = sharding.SlotMap.deal({0: 5, 1: 3, 2: 2}, 4, 2)
     two = one.grow({0: 5, 1: 3, 2: 2})
@@ -185,11 +199,30 @@ def test_slot_map_versions(spark, tmp_path):
 # ---- 7
 
 
-def test_grades_separate(spark, tiny):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    got = grading.score(docs, grading.train(docs, labels)).join(labels, "doc_id").collect()
-    mean = lambda f: np.mean([r.expected_grade for r in got if f(r)])
-    assert mean(lambda r: r.toxic) < mean(lambda r: not r.toxic and not r.quality) < mean(lambda r: r.quality and not r.toxic)
+def test_slopes_are_those_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    loss = lambda z, cuts, g: -np.log(np.concatenate([[1.0], 1 / (1 + np.exp(cuts - z)), [0.0]])[[g, g + 1]] @ [1, -1])
+    for _ in range(50):
+        z, cuts, g, e = rng.normal(), np.sort(rng.normal(size=2)) + [0, 0.2], int(rng.integers(3)), 1e-6
+        by_z, by_cut = grading.slopes(z, cuts, g)
+        assert by_z == pytest.approx((loss(z + e, cuts, g) - loss(z - e, cuts, g)) / (2 * e), abs=1e-4)
+        for k in range(2):
+            step = np.eye(2)[k] * e
+            assert by_cut[k] == pytest.approx((loss(z, cuts + step, g) - loss(z, cuts - step, g)) / (2 * e), abs=1e-4)
+
+
+def test_grades_of_rows_not_fitted(spark):
+    """A quarter of the labels is kept from the fit: grades separate there, most good texts are selected and few others, and
+    probabilities are near the shares."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = F.pmod(F.xxhash64(F.lit(77), "doc_id"), F.lit(4)) == 0
+    got = grading.score(docs, grading.train(docs, labels.where(~out))).join(labels.where(out), "doc_id").collect()
+    grade = lambda r: 0 if r.toxic else 2 if r.quality else 1
+    by = [[r for r in got if grade(r) == g] for g in range(3)]
+    means = [np.mean([r.expected_grade for r in own]) for own in by]
+    assert means[0] < means[1] - 0.2 < means[2] - 0.6
+    assert np.mean([r.selected for r in by[2]]) > 0.95 and np.mean([r.selected for r in by[0] + by[1]]) < 0.2
+    assert abs(np.mean([r.p_good for r in got]) - len(by[2]) / len(got)) < 0.05
     assert all(r.p_good <= r.p_not_toxic for r in got)
 
 
@@ -245,6 +278,17 @@ def test_near_classes_lose_no_link(spark, tmp_path):
     assert got == {k: find(k) for k in range(len(made))}
 
 
+def test_ids_that_repeat_merge_no_classes(spark, tmp_path):
+    texts = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[4]), (7, texts[4] + " more"), (5, texts[2]), (None, texts[0]), (8, texts[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = collections.Counter((r.doc_id, r.class_id, r.head_key is None) for r in near_dedup.op8_bag_minhash(spark, str(tmp_path)).collect())
+    assert got == {(None, None, False): 3, (5, 5, False): 3, (6, 6, True): 1, (7, 6, True): 1, (8, 8, True): 1}
+    assert len({r.head_key for r in near_dedup.op8_bag_minhash(spark, str(tmp_path)).where("doc_id = 5 OR doc_id IS NULL").collect()}) == 4
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id or 0, r.text) for r in near_dedup.keep_one(spark, docs, "").collect()) == sorted((d or 0, t) for d, t in {*rows} - {(7, texts[4] + " more")})
+
+
 # ---- 9
 
 
@@ -270,6 +314,35 @@ def test_decontamination_is_exact():
         assert all(k in {index.ids[i] for i in own} for k, x in items if x and x in t and len(decontaminate.tokens(x)) >= decontaminate.SHORT)
 
 
+def test_altered_copies_are_found():
+    """Copies with some words changed: shares found by how much of the item is left."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(20)) + ". " + " ".join(rng.choice(words) for _ in range(8)) + ".") for k in range(200)]
+    index = decontaminate.Index(items)
+
+    def found(changes: int) -> float:
+        hits = 0
+        for k, t in items:
+            w = t.split()
+            for _ in range(changes):
+                w[rng.randrange(len(w))] = "zz"
+            hits += k in index.search([" ".join(rng.choice(words) for _ in range(30)) + " " + " ".join(w)])[0]
+        return hits / len(items)
+
+    assert found(0) == 1.0 and found(1) > 0.8
+    assert not any(index.search([" ".join(rng.choice(words) for _ in range(200)) for _ in range(50)]))
+
+
+def test_long_texts_in_chunks(monkeypatch):
+    rng = random.Random(11)
+    items = [(k, " ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(30))) for k in range(50)]
+    text = " ".join(t for _, t in items for _ in range(3))
+    whole = decontaminate.Index(items).search([text])
+    monkeypatch.setattr(decontaminate, "CELLS", 1)
+    assert decontaminate.Index(items).search([text]) == whole and len(whole[0]) == 50
+
+
 def test_benchmark_in_parts(spark, tiny, docs):
     bench = spark.read.parquet(f"{tiny}/benchmark.parquet")
     whole = {(r.doc_id, r.item_id) for r in decontaminate.hits(docs, bench).collect()}
