@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -295,3 +296,51 @@ def diagonal(div: Column, n: int, pol: float = 0.5) -> Column:
 
 def padded(v: Column, n: int, fill: float = 0.0) -> Column:
     return F.slice(F.concat(v, F.array_repeat(F.lit(fill), n)), 1, n)
+
+
+def az_slope(az: Column, el: Column, az0: float, per_az: float, per_el: float) -> Column:
+    """Pointing that drifts in proportion to the azimuth's distance from az0 (degrees; slopes in arc minutes a degree)."""
+    d = F.pmod(az - az0 + 180.0, F.lit(360.0)) - 180.0
+    return F.struct((az + per_az / 60 * d).alias("az"), (el + per_el / 60 * d).alias("el"))
+
+
+def to_sun_by_sun_distance(position: Column, distance: Column, sun: Column) -> Column:
+    """(direction from the Sun, distance from Earth) of what is seen in a direction from Earth and stands at a distance from the
+    Sun; sun: Earth-to-Sun vector. Of two such places the farther one."""
+    along = F.aggregate(F.zip_with(position, sun, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    size2 = F.aggregate(sun, F.lit(0.0), lambda a, b: a + b * b)
+    far = along + F.sqrt(along * along - size2 + distance * distance)
+    return F.struct(normed(F.zip_with(F.transform(position, lambda p: p * far), sun, lambda a, b: a - b)).alias("position"), far.alias("distance"))
+
+
+def bisected(f: Callable[[Column], Column], a: Column, b: Column, steps: int = 60) -> Column:
+    """A root of f between a and b by halving; the end where f is nearer 0 if f has one sign at both."""
+    start = F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
+
+    def half(s: Column, _: Column) -> Column:
+        m = (s["a"] + s["b"]) / 2
+        left = f(s["a"]) * f(m) <= 0
+        return F.struct(F.when(left, s["a"]).otherwise(m).alias("a"), F.when(left, m).otherwise(s["b"]).alias("b"))
+
+    root = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half)
+    fa, fb = f(start["a"]), f(start["b"])
+    return F.when(fa * fb < 0, (root["a"] + root["b"]) / 2).when(F.abs(fa) <= F.abs(fb), start["a"]).otherwise(start["b"])
+
+
+def log_all_positive(means: Column, sigmas: Column) -> Column:
+    """Log probability that independent normal variables are all positive; far in the tail by its expansion."""
+
+    def one(z: Column) -> Column:
+        tail = -0.5 * math.log(2 * math.pi) - F.ln(-z) - z * z / 2 + F.ln(1 - 1 / (z * z) + 3 / F.pow(z, F.lit(4.0)))
+        return F.when(z > -5, F.ln(normal_cdf(z))).otherwise(tail)
+
+    return F.aggregate(F.zip_with(means, sigmas, lambda m, s: one(m / s)), F.lit(0.0), lambda a, b: a + b)
+
+
+def shared_mode(det: Column, per: int, n: int, mode: Column) -> Column:
+    """A detector's part in a correlated noise mode: a cosine over the groups of `per` detectors."""
+    return F.cos(2 * math.pi * mode * F.floor(det / per) / (n // per + 1))
+
+
+def shared_power(f: Column, mode: Column, sigma: float, knee: float = 0.2, alpha: float = 1.0) -> Column:
+    return F.pow(f / knee * (mode + 1), F.lit(-alpha)) * sigma * sigma

@@ -54,12 +54,24 @@ def scatter(samples: DataFrame, cells: Column, value: str, comps: dict[str, Colu
     return rows.groupBy(*split, F.col("_c.y").alias("y"), F.col("_c.x").alias("x")).agg(*[F.sum(f"_v_{k}").alias(k) for k in comps])
 
 
-def gather(samples: DataFrame, cells: Column, grid: DataFrame, comps: dict[str, Column], key: list[str]) -> DataFrame:
-    """Per sample: the sum over its cells of weight * (grid components . sample components); the transpose of scatter."""
-    rows = samples.withColumn("_c", F.explode(cells)).withColumns({"y": F.col("_c.y"), "x": F.col("_c.x"), "_w": F.col("_c.w")})
-    rows = rows.withColumns({f"_k_{k}": c for k, c in comps.items()}).select(*key, "y", "x", "_w", *[f"_k_{k}" for k in comps])
-    model = reduce(lambda a, b: a + b, [F.coalesce(F.col(k), F.lit(0.0)) * F.col(f"_k_{k}") for k in comps])
-    return rows.join(grid, ["y", "x"], "left").groupBy(*key).agg(F.sum(F.col("_w") * model).alias("model"))
+#: Places of the cells of nearest(), bilinear() and bicubic() from their first one.
+ONE, FOUR, SIXTEEN = [(0, 0)], [(0, 0), (0, 1), (1, 0), (1, 1)], [(dy, dx) for dy in range(4) for dx in range(4)]
+
+
+def gather(samples: DataFrame, cells: Column, grid: DataFrame, comps: dict[str, Column], key: list[str], places: list[tuple[int, int]] = FOUR) -> DataFrame:
+    """Per sample: the sum over its cells of weight * (grid components . sample components); the transpose of scatter.
+
+    Each grid cell is sent to the samples' first cells that it serves, so that one row there holds all that a sample needs:
+    samples are joined once, on their first cell, and neither multiplied nor summed up again.
+    """
+    spread = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x")) for k, (dy, dx) in enumerate(places)]))
+    held = grid.select(spread.alias("_s"), *comps).groupBy(F.col("_s.y").alias("y"), F.col("_s.x").alias("x"))
+    held = held.agg(*[F.sum(F.when(F.col("_s.k") == k, F.col(c))).alias(f"_g{k}_{c}") for k in range(len(places)) for c in comps])
+    rows = samples.withColumns({"_c": cells, **{f"_k_{k}": c for k, c in comps.items()}})
+    rows = rows.select(*key, F.col("_c")[0]["y"].alias("y"), F.col("_c")[0]["x"].alias("x"), F.transform("_c", lambda c: c["w"]).alias("_w"), *[f"_k_{k}" for k in comps])
+    at = lambda k: reduce(lambda a, b: a + b, [F.coalesce(F.col(f"_g{k}_{c}"), F.lit(0.0)) * F.col(f"_k_{c}") for c in comps])
+    model = reduce(lambda a, b: a + b, [F.col("_w")[k] * at(k) for k in range(len(places))])
+    return rows.join(held, ["y", "x"], "left").select(*key, model.alias("model"))
 
 
 def clamped(samples: DataFrame, y: Column, x: Column, value: str, shape: tuple[int, int]) -> DataFrame:

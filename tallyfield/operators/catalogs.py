@@ -147,13 +147,16 @@ def independent(cat: DataFrame, id: str, x: str, y: str, radius: float, period:
     return rows.coalesce(1).mapInPandas(run, f"`{id}` {dict(cat.dtypes)[id]}, grp int")
 
 
-def least_free(x: np.ndarray, y: np.ndarray, radius: float, period: float | None) -> np.ndarray:
+def least_free(x: np.ndarray, y: np.ndarray, radius: float, period: float | None, decided: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Set of each point in order: the least that no earlier point at most radius away is in. Rows at one place share an entry
-    of its cell, with the sets there."""
+    of its cell, with the sets there. decided: places and sets of points that come before all."""
     n = None if period is None else max(1, int(period // radius))
     size = radius if n is None else period / n
     cells: dict[tuple[int, int], dict[tuple[float, float], list[int]]] = {}
     out = np.zeros(len(x), np.int32)
+    for px, py, own in zip(*(c.tolist() for c in decided), strict=True) if decided else ():
+        cx, cy = math.floor(px / size), math.floor(py / radius)
+        cells.setdefault((cx if n is None else cx % n, cy), {}).setdefault((px, py), []).append(own)
     for k, (px, py) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
         if not (math.isfinite(px) and math.isfinite(py)):  # near nothing
             continue
@@ -175,6 +178,41 @@ def least_free(x: np.ndarray, y: np.ndarray, radius: float, period: float | None
     return out
 
 
+def independent_by_cells(cat: DataFrame, id: str, x: str, y: str, radius: float, period: float | None = None) -> DataFrame:
+    """The same in another order that needs no single task: cells of the radius' width are taken in four turns, like the fields
+    of a board, in which no two cells are within the radius of each other; inside a cell the order is that of ids. A row's set
+    is the least one that no near row before it is in. A task holds one cell and what is decided around it.
+
+    A wrapped axis needs an even number of cells, so they are up to twice as wide there. Rows without a place are in set 0.
+    """
+    n = None if period is None else max(2, 2 * int(period // radius // 2))
+    if period is not None and period / n < radius:
+        return independent(cat, id, x, y, radius, period)  # the whole period is within two radii
+    size = radius if n is None else period / n
+    turn = lambda c: c if n is None else F.pmod(c, F.lit(n))
+    cx, cy = turn(F.floor(F.col(x).cast("double") / size)), F.floor(F.col(y).cast("double") / radius)
+    finite = F.coalesce((F.abs(F.col(x)) < float("inf")) & (F.abs(F.col(y)) < float("inf")), F.lit(False)) & ~F.isnan(x) & ~F.isnan(y)
+    rows = cat.select(F.col(id), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), cx.cast("long").alias("_cx"), cy.cast("long").alias("_cy"), finite.alias("_ok"))
+    lost = rows.where("NOT _ok").select(id, F.lit(0).alias("grp"))
+    rows = cut(rows.where("_ok").drop("_ok").withColumn("_turn", (F.pmod("_cx", F.lit(2)) * 2 + F.pmod("_cy", F.lit(2))).cast("int")))
+    near = F.array(*[F.struct(turn(F.col("_cx") + i).cast("long").alias("cx"), (F.col("_cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    kind = dict(cat.dtypes)[id]
+
+    def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        new = new.sort_values(id, kind="stable")
+        grp = least_free(new["_x"].to_numpy(), new["_y"].to_numpy(), radius, period, (old["_x"].to_numpy(), old["_y"].to_numpy(), old["grp"].to_numpy()))
+        return new.assign(grp=grp)[[id, "_x", "_y", "_cx", "_cy", "grp"]]
+
+    done = None
+    for k in range(4):
+        own = rows.where(F.col("_turn") == k).drop("_turn")
+        around = own.limit(0).withColumn("grp", F.lit(0)) if done is None else done
+        around = around.withColumn("_n", F.explode(F.array_distinct(near))).select("_x", "_y", F.col("_n.cx").alias("_cx"), F.col("_n.cy").alias("_cy"), "grp")
+        found = own.groupBy("_cx", "_cy").cogroup(around.groupBy("_cx", "_cy")).applyInPandas(run, f"`{id}` {kind}, _x double, _y double, _cx long, _cy long, grp int")
+        done = cut(found if done is None else done.unionByName(found))
+    return done.select(id, "grp").unionByName(lost)
+
+
 def round_robin(scores: DataFrame, row: str, col: str, score: str, turns: int) -> DataFrame:
     """Each turn, every row in order takes its best free column. Rows choose one after the other, so this is one task over a
     score matrix that has to be small; it is checked to be."""

@@ -32,20 +32,19 @@ def linear(samples: DataFrame, ranges: DataFrame, key: list[str], at: str, value
     """A line between the means of up to `context` uncut samples on either side, which don't reach across the next gap;
     with one side only its mean, with neither 0. The line runs through the two contexts' centres of mass."""
     rows = marked(samples, ranges, key, at)
-    gaps = rows.where("cut").select(*key, "range_lo", "range_hi").distinct()
-    free = rows.where("NOT cut").select(*key, F.col(at).alias("_t"), F.col(value).alias("_v"))
-    # A context sample belongs to the gap next to it: only gaps' neighbours are looked up, by exploding at most 2 * context places.
-    side = lambda name, places: gaps.select(*key, "range_lo", "range_hi", F.explode(places).alias("_t"), F.lit(name).alias("_side"))
-    near = side(0, F.sequence(F.col("range_lo") - context, F.col("range_lo") - 1)).unionByName(side(1, F.sequence(F.col("range_hi"), F.col("range_hi") + context - 1)))
-    bounds = W.partitionBy(*key).orderBy("range_lo")
-    limits = gaps.withColumn("_before", F.lag("range_hi").over(bounds)).withColumn("_after", F.lead("range_lo").over(bounds))
-    near = near.join(limits, [*key, "range_lo", "range_hi"])
-    near = near.where(((F.col("_side") == 0) & (F.col("_before").isNull() | (F.col("_t") >= F.col("_before")))) | ((F.col("_side") == 1) & (F.col("_after").isNull() | (F.col("_t") < F.col("_after")))))
-    means = near.join(free, [*key, "_t"]).groupBy(*key, "range_lo", "range_hi").agg(*[F.avg(F.when(F.col("_side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("_v", "_t")])
+    # The gap behind and the gap ahead of each sample; a cut sample's own gap is both.
+    back, ahead = (W.partitionBy(*key).orderBy(at).rowsBetween(a, b) for a, b in ((W.unboundedPreceding, 0), (0, W.unboundedFollowing)))
+    rows = rows.withColumns({"_blo": F.last("range_lo", True).over(back), "_bhi": F.last("range_hi", True).over(back), "_ahead": F.first("range_lo", True).over(ahead)})
+    before = ~F.col("cut") & (F.col(at) >= F.col("_ahead") - context)
+    after = ~F.col("cut") & (F.col(at) < F.col("_bhi") + context)
+    means = {}
+    for k, near, gap in ((0, before, "_ahead"), (1, after, "_blo")):
+        w = W.partitionBy(*key, gap)
+        means |= {f"_v{k}": F.avg(F.when(near, F.col(value))).over(w), f"_t{k}": F.avg(F.when(near, F.col(at))).over(w)}
+    rows = rows.withColumns(means)
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(at) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
     fill = F.coalesce(line, F.col("_v0"), F.col("_v1"), F.lit(0.0))
-    out = rows.join(means, [*key, "range_lo", "range_hi"], "left")
-    return out.withColumn(value, F.when(F.col("cut"), fill).otherwise(F.col(value))).select(*samples.columns)
+    return rows.withColumn(value, F.when(F.col("cut"), fill).otherwise(F.col(value))).select(*samples.columns)
 
 
 def common(samples: DataFrame, ranges: DataFrame, key: list[str], at: str, value: str, inner: Callable[..., DataFrame] = linear) -> DataFrame:

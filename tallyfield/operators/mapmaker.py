@@ -1,7 +1,8 @@
 """Map making: signals and preconditioners as linear operators on tables, solved by conjugate gradients.
 
 A signal turns its parameters (idx..., value) into samples (`forward`) and samples into parameters (`backward`, the transpose). The equation
-system sums P' W P over signals, plus epsilon times the parameters; other priors are not built. Its vectors are tables, dot products are joins, and each step's tables are
+system sums P' W P over signals, plus epsilon times the parameters, plus what other priors (functions of the parameters)
+give. Its vectors are tables, dot products are joins, and each step's tables are
 written before the next, so lineage stays short and a lost executor costs one step.
 """
 
@@ -69,11 +70,13 @@ def gains(name: str, model: str) -> Binned:
 
 @dataclass
 class Equations:
-    """A x = P' W d with A = P' W P + epsilon; samples have value d and weight w."""
+    """A x = P' W d with A = P' W P + epsilon + priors; samples have value d and weight w. A prior turns parameters (idx, value)
+    into (idx, value) and has to be symmetric and not negative."""
 
     samples: DataFrame
     signals: list[Binned]
     epsilon: float = 0.0
+    priors: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
     trace: list[float] = field(default_factory=list)
 
     def rhs(self) -> DataFrame:
@@ -84,6 +87,8 @@ class Equations:
         rows = reduce(lambda df, s: s.forward(x, df), self.signals, self.samples.withColumn("m", F.lit(0.0)))
         rows = rows.withColumn("r", F.col("w") * F.col("m"))
         out = reduce(DataFrame.unionByName, [s.backward(rows) for s in self.signals])
+        if self.priors:
+            out = reduce(DataFrame.unionByName, [p(x).select("idx", "value") for p in self.priors], out).groupBy("idx").agg(F.sum("value").alias("value"))
         if not self.epsilon:
             return out
         return out.join(x.select("idx", F.col("value").alias("_x")), "idx").select("idx", (F.col("value") + self.epsilon * F.col("_x")).alias("value"))

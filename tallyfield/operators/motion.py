@@ -16,7 +16,7 @@ from . import catalogs, intervals
 def spline(table: DataFrame, queries: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
     """Natural cubic splines through each key's (at, values); times outside the table are an error. One task holds one object."""
     a = table.select(key, at, *values)
-    b = queries.select(key, at)
+    b = queries.select(F.col(key).alias(key), F.col(at).alias(at))
     shape = f"{key} {dict(queries.dtypes)[key]}, {at} double, " + ", ".join(f"{v} double" for v in values)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -35,9 +35,14 @@ def spline(table: DataFrame, queries: DataFrame, key: str, at: str, values: list
 def natural_spline(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
     n, h = len(x), np.diff(x)
     m = np.zeros(n)
-    if n > 2:
-        a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        m[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(y) / h))
+    if n > 2:  # the system has three diagonals: one sweep down, one up
+        diagonal, right = (2 * (h[:-1] + h[1:])).tolist(), (6 * np.diff(np.diff(y) / h)).tolist()
+        for i in range(1, n - 2):
+            w = h[i] / diagonal[i - 1]
+            diagonal[i] -= w * h[i]
+            right[i] -= w * right[i - 1]
+        for i in range(n - 3, -1, -1):
+            m[i + 1] = (right[i] - h[i + 1] * m[i + 2]) / diagonal[i]
     k = np.clip(np.searchsorted(x, t, "right") - 1, 0, n - 2)
     u, w = t - x[k], x[k + 1] - t
     return (m[k] * w**3 + m[k + 1] * u**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * w + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * u

@@ -6,10 +6,12 @@ Nothing here holds more than one group (a scan, a cell, a matrix) in a task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,23 +204,57 @@ def projected(basis: np.ndarray, d: np.ndarray, weight: np.ndarray | None = None
     return basis @ np.linalg.lstsq(basis * w[:, None], d * w, rcond=None)[0]
 
 
-def remove_poly(df: DataFrame, group: list[str], at: str, value: str, n_t: int, az: str | None = None, n_az: int = 0, cut: str | None = None) -> DataFrame:
-    """Joint fit of polynomials in time and azimuth, cut samples left out; subtracted. A negative count is fitted but kept."""
-    more = [c for c in (az, cut) if c]
+def legendre_columns(c: Column, low: Column, high: Column, n: int) -> list[Column]:
+    """The same polynomials as Columns, by their recurrence."""
+    u = F.when(high > low, 2 * (c - low) / (high - low) - 1).otherwise(0.0)
+    out = [F.lit(1.0), u]
+    for k in range(1, n - 1):
+        out.append(((2 * k + 1) * u * out[k] - k * out[k - 1]) / (k + 1))
+    return out[:n]
+
 
-    def f(t: np.ndarray, d: np.ndarray, frame: pd.DataFrame) -> np.ndarray:
-        parts = [(legendre(t, abs(n_t)), n_t > 0)] if n_t else []
-        if az and n_az:
-            parts.append((legendre(frame[az].to_numpy(float), abs(n_az) + 1)[:, 1:], n_az > 0))
-        basis = np.hstack([p for p, _ in parts])
-        ok = np.ones(len(d), bool) if cut is None else ~frame[cut].to_numpy(bool)
-        if not ok.any():
-            return d
-        amps = np.linalg.lstsq(basis[ok], d[ok], rcond=None)[0]
-        take = np.concatenate([np.full(p.shape[1], on) for p, on in parts])
-        return d - basis @ (amps * take)
+def least_norm(n: int, columns: list[Column]) -> Column:
+    """Least-norm solutions of symmetric n x n systems, many at once; columns: the upper triangle row by row, then the right side."""
 
-    return group_map(df, group, at, value, f, more)
+    def run(*parts: pd.Series) -> pd.Series:
+        values = np.column_stack([p.to_numpy(float) for p in parts])
+        a = np.empty((len(values), n, n))
+        i, j = np.triu_indices(n)
+        a[:, i, j] = a[:, j, i] = values[:, : len(i)]
+        return pd.Series(list((np.linalg.pinv(a, rcond=1e-12, hermitian=True) @ values[:, len(i) :, None])[:, :, 0]))
+
+    def batches(it: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for parts in it:
+            yield run(*parts)
+
+    batches.__annotations__ = {"it": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(batches, DOUBLES)(*columns)
+
+
+def remove_poly(df: DataFrame, group: list[str], at: str, value: str, n_t: int, az: str | None = None, n_az: int = 0, cut: str | None = None) -> DataFrame:
+    """Joint fit of polynomials in time and azimuth, cut samples left out; subtracted. A negative count is fitted but kept.
+
+    The normal equations are sums per group (partial before the shuffle); only they, one row a group, reach Python.
+    """
+    cols = [*group, at, value, *[c for c in (az, cut) if c]]
+    whole = W.partitionBy(*group)
+    rows = df.select(*cols).withColumn(value, F.col(value).cast("double"))
+    take: list[bool] = []
+    basis: list[Column] = []
+    for c, n, skip in ((at, n_t, 0), (az, n_az, 1)):
+        if c and n:
+            rows = rows.withColumns({f"_low{skip}": F.min(c).over(whole), f"_high{skip}": F.max(c).over(whole)})
+            made = legendre_columns(F.col(c), F.col(f"_low{skip}"), F.col(f"_high{skip}"), abs(n) + skip)[skip:]
+            basis += made
+            take += [n > 0] * len(made)
+    names = [f"_b{k}" for k in range(len(basis))]
+    rows = rows.withColumns(dict(zip(names, basis, strict=True)))
+    used = rows if cut is None else rows.where(~F.coalesce(F.col(cut), F.lit(False)))
+    sums = [F.col(a) * F.col(b) for k, a in enumerate(names) for b in names[k:]] + [F.col(a) * F.col(value) for a in names]
+    sums = used.groupBy(*group).agg(*[F.sum(x).alias(f"_s{k}") for k, x in enumerate(sums)])
+    amps = sums.select(*group, least_norm(len(names), [F.col(c) for c in sums.columns[len(group) :]]).alias("_amps"))
+    model = reduce(lambda a, b: a + b, [F.get("_amps", F.lit(k)) * F.col(name) for k, name in enumerate(names) if take[k]], F.lit(0.0))
+    return rows.join(amps, group, "left").withColumn(value, F.col(value) - F.coalesce(model, F.lit(0.0))).select(*cols)
 
 
 def deproject(df: DataFrame, group: list[str], at: str, value: str, det: str, dark: str, modes: int) -> DataFrame:
@@ -239,8 +275,38 @@ def deproject(df: DataFrame, group: list[str], at: str, value: str, det: str, da
     return df.select(*group, det, at, dark, value).groupBy(*group).applyInPandas(run, shape)
 
 
+#: Keys, and places, that one task of covariance() holds.
+TILE, SPAN = 256, 4096
+
+
 def covariance(df: DataFrame, det: str, at: str, value: str, lag: int = 0) -> DataFrame:
-    """Sum of d_i(t) d_j(t + lag) / (n - lag) for all pairs: the matrix of n_det^2 cells that is asked for, made per sample place."""
-    a = df.select(F.col(det).alias("i"), F.col(at), F.col(value).alias("_a"))
-    b = df.select(F.col(det).alias("j"), (F.col(at) - lag).alias(at), F.col(value).alias("_b"))
-    return a.join(b, at).groupBy("i", "j").agg((F.sum(F.col("_a") * F.col("_b")) / F.count(F.lit(1))).alias("cov"))
+    """Sum of d_i(t) d_j(t + lag) over the places that both have, divided by their number, for all pairs: the matrix of
+    n_det^2 cells that is asked for. Null values are missing.
+
+    As a blocked product: keys are dealt into tiles and places into spans; a task multiplies one tile of left keys by one
+    of right keys over one span. A sample is sent once per tile, and pairs leave a task already summed over the span.
+    """
+    held = df.where(F.col(value).isNotNull()).select(F.col(det).alias("det"), F.col(at).cast("long").alias("at"), F.col(value).cast("double").alias("v"))
+    n = max(1, -(-held.select("det").distinct().count() // TILE))
+    own, other = F.pmod(F.xxhash64("det"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = held.select("det", "at", "v", F.lit(0).alias("side"), own.alias("i"), other.alias("j"))
+    right = held.select("det", (F.col("at") - lag).alias("at"), "v", F.lit(1).alias("side"), other.alias("i"), own.alias("j"))
+    kind = dict(df.dtypes)[det]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        places, t = np.unique(frame["at"].to_numpy(), return_inverse=True)
+        parts = []
+        for side in (0, 1):
+            mine = (frame["side"] == side).to_numpy()
+            dets, d = np.unique(frame["det"].to_numpy()[mine], return_inverse=True)
+            m, there = np.zeros((len(dets), len(places))), np.zeros((len(dets), len(places)))
+            np.add.at(m, (d, t[mine]), frame["v"].to_numpy()[mine])
+            np.add.at(there, (d, t[mine]), 1.0)
+            parts.append((dets, m, there))
+        (a, x, nx), (b, y, ny) = parts
+        count = nx @ ny.T
+        k, q = np.nonzero(count)
+        return pd.DataFrame({"i": a[k], "j": b[q], "s": (x @ y.T)[k, q], "n": count[k, q]})
+
+    sums = left.unionByName(right).groupBy("i", "j", F.floor(F.col("at") / SPAN).alias("k")).applyInPandas(run, f"i {kind}, j {kind}, s double, n double")
+    return sums.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("cov"))

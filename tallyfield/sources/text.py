@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import re
 import shlex
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import formatted
+
 MOST_LINES = 100_000
 
 
@@ -195,8 +199,6 @@ def read_fixed(spark: SparkSession, path: str, columns: list[tuple[str, int, int
 
 def read_floats(spark: SparkSession, path: str, width: int, header: int) -> DataFrame:
     """Binary records of `width` little-endian 32-bit floats after a header, as array<float> rows with their number."""
-    from collections.abc import Iterator
-
     import numpy as np
     import pandas as pd
 
@@ -275,3 +277,75 @@ class Settings:
 
     def dump(self) -> list[str]:
         return [f"{k} = {v!r}" for k, (v, _) in sorted(self.values.items())]
+
+    @contextmanager
+    def scoped(self, name: str, value: object, priority: int = 2) -> Iterator[Settings]:
+        """A value that holds inside a block and is taken back after it, errors included."""
+        before = self.values[name]
+        self.set(name, value, priority)
+        try:
+            yield self
+        finally:
+            self.values[name] = before
+
+    def parse(self, words: list[str]) -> list[str]:
+        """Takes --name value and --name=value of declared settings out of a command line (priority 2); returns what is left."""
+        rest, k = [], 0
+        while k < len(words):
+            name, sep, value = words[k].removeprefix("--").partition("=")
+            if words[k].startswith("--") and name in self.values:
+                if not sep:
+                    if k + 1 == len(words):
+                        raise FormatError(f"no value for {words[k]}")
+                    value, k = words[k + 1], k + 1
+                old = self.values[name][0]
+                self.set(name, value.lower() in ("1", "true", "yes") if isinstance(old, bool) else value, 2)
+            else:
+                rest.append(words[k])
+            k += 1
+        return rest
+
+
+def evaluated(ids: DataFrame, steps: list[tuple[str, str]], templates: dict[str, str]) -> DataFrame:
+    """ids with `paths`: variables made one after the other by SQL expressions over the row and earlier variables, and templates
+    with {name} filled in, again and again while variables name others (at most as often as there are variables)."""
+    names = [n for n, _ in steps]
+    df = ids
+    for name, sql in steps:
+        df = df.withColumn(name, F.expr(sql))
+    known = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))])
+    made = F.create_map(*[x for n, t in templates.items() for x in (F.lit(n), F.lit(t))])
+    for _ in names:
+        made = F.transform_values(made, lambda _, t: formatted(t, known))
+    return df.withColumn("paths", made).select(*ids.columns, "paths")
+
+
+def read_beam(spark: SparkSession, path: str) -> DataFrame:
+    """A beam profile (l, b): lines of `l b`, or of b alone, whose l is then the line's number from 0."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))).alias("k", "line"))
+    parts = F.split(F.trim("line"), r"\s+")
+    return rows.select(F.when(F.size(parts) > 1, parts[0].cast("double")).otherwise(F.col("k").cast("double")).alias("l"), F.element_at(parts, -1).cast("double").alias("b"))
+
+
+def write_flags(points: DataFrame, path: str, flags: list[str], derived: dict[str, tuple[list[str], list[str]]] | None = None) -> None:
+    """Flag change points, and beside them the flags' names and the derived ones (include, exclude)."""
+    spark = points.sparkSession
+    points.write.mode("overwrite").parquet(f"{path}/points")
+    rows = [(k, n, None, None) for k, n in enumerate(flags)] + [(None, n, a, b) for n, (a, b) in (derived or {}).items()]
+    spark.createDataFrame(rows, "bit int, name string, include array<string>, exclude array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+
+def read_flags(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], dict[str, tuple[list[str], list[str]]]]:
+    names = spark.read.parquet(f"{path}/names").collect()  # as many rows as there are names
+    flags = [r.name for r in sorted((r for r in names if r.bit is not None), key=lambda r: r.bit)]
+    return spark.read.parquet(f"{path}/points"), flags, {r.name: (r.include, r.exclude) for r in names if r.bit is None}
+
+
+def write_noise(models: DataFrame, path: str) -> None:
+    """Noise models as nested rows (scan, kind, bins: array of structs); one file format for all kinds."""
+    models.write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def read_noise(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    out = spark.read.parquet(path)
+    return out if kind is None else out.where(F.col("kind") == kind)

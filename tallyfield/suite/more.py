@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
-from ..lineage import cut
+from ..lineage import cut, shared_dir
 from ..operators import binning as bn
 from ..operators import catalogs as ca
 from ..operators import filters as fi
@@ -38,8 +38,7 @@ def put(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str) -> Non
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tallyfield"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # ---- streams, driven to their end
@@ -47,7 +46,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     out = st.tumbling(st.events(spark, f"{d}/events.parquet"), ["event_type"], "ts", "1 day", "value")
-    got = st.run_to_end(out, f"tumbling_{uuid.uuid4().hex}", "complete", scratch(spark, "stream"))
+    got = st.run_to_end(out, "complete", scratch(spark, "stream"))
     return got.select("event_type", F.unix_timestamp("start").alias("start_s"), "n", F.round(C("total") + NUDGE, 4).alias("total"))
 
 
@@ -56,7 +55,7 @@ put("stream_tumbling", stream_tumbling, "SELECT event_type, CAST(epoch(date_trun
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     out = st.sessions(st.events(spark, f"{d}/events.parquet"), "user_id", "ts", "6 hours")
-    got = st.run_to_end(out, f"sessions_{uuid.uuid4().hex}", "complete", scratch(spark, "stream"))
+    got = st.run_to_end(out, "complete", scratch(spark, "stream"))
     return got.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
@@ -66,9 +65,7 @@ put("stream_sessions", stream_sessions, """SELECT user_id, min(t) AS start_us, c
 
 def stream_moments(spark: SparkSession, d: str) -> DataFrame:
     out = st.moments(st.events(spark, f"{d}/events.parquet"), "event_type", "value")
-    got = st.run_to_end(out, f"moments_{uuid.uuid4().hex}", "update", scratch(spark, "stream"))
-    last = got.groupBy("name").agg(F.max_by(F.struct("n", "mean", "dev"), "n").alias("r")).select("name", "r.*")
-    return rounded(last, "mean", "dev")
+    return rounded(st.run_to_end(out, "complete", scratch(spark, "stream")), "mean", "dev")
 
 
 put("stream_moments", stream_moments, "SELECT event_type AS name, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS dev FROM events GROUP BY 1")
