@@ -215,7 +215,7 @@ def contours(grid: DataFrame, value: str, levels: list[float]) -> DataFrame:
     """Cells whose right or lower neighbour lies on the other side of a level."""
     right = F.lead(value).over(W.partitionBy("y").orderBy("x"))
     down = F.lead(value).over(W.partitionBy("x").orderBy("y"))
-    rows = grid.withColumns({"_r": right, "_d": down, "level": F.explode(F.array(*map(F.lit, levels)))})
+    rows = grid.withColumns({"_r": right, "_d": down}).withColumn("level", F.explode(F.array(*map(F.lit, levels))))  # neighbours first
     above = lambda c: c >= F.col("level")
     crossed = (above(F.col(value)) != above(F.col("_r"))) | (above(F.col(value)) != above(F.col("_d")))
     return rows.where(crossed).select("y", "x", "level")

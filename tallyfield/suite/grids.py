@@ -132,8 +132,8 @@ put(
 )
 put("argmax_merge", lambda s, d: bn.best(li(s, d), ["y", "x"], "q", ["l_orderkey", "l_linenumber"]), "SELECT y, x, max(q) AS q, arg_max(l_orderkey, (q, l_orderkey, l_linenumber)) AS l_orderkey, arg_max(l_linenumber, (q, l_orderkey, l_linenumber)) AS l_linenumber, count(*) FILTER (WHERE q <> 0) AS hits FROM li GROUP BY 1, 2")
 put(
-    "contours", lambda s, d: bn.contours(grid(s, d), "v", [100.0, 150.0]),
-    "SELECT y, x, CAST(l AS DOUBLE) AS level FROM (SELECT y, x, v, lead(v) OVER (PARTITION BY y ORDER BY x) AS r, lead(v) OVER (PARTITION BY x ORDER BY y) AS u FROM grid), (VALUES (100), (150)) t(l) WHERE ((v >= l) <> (r >= l)) OR ((v >= l) <> (u >= l))", GRID,
+    "contours", lambda s, d: bn.contours(grid(s, d), "v", [100.0, 150.0, 1500.0, 1600.0]),
+    "SELECT y, x, CAST(l AS DOUBLE) AS level FROM (SELECT y, x, v, lead(v) OVER (PARTITION BY y ORDER BY x) AS r, lead(v) OVER (PARTITION BY x ORDER BY y) AS u FROM grid), (VALUES (100), (150), (1500), (1600)) t(l) WHERE ((v >= l) <> (r >= l)) OR ((v >= l) <> (u >= l))", GRID,
 )
 
 
@@ -179,11 +179,67 @@ pput(
 pput("flux_at_sources", lambda s, d: rounded(ca.flux_at(cat(s, d), "id", "px", "py", "amp", 2.0, 5.05, **P), "flux", digits=3), "SELECT id, round(sum(amp2 * exp(-dist * dist / 8)), 3) AS flux FROM near GROUP BY 1", near_sql(5.05))
 pput("prune_contained", lambda s, d: ca.contained(cat(s, d), "id", "px", "py", "amp", 3.0, 5.05, **P).select("id"), "SELECT id FROM cat WHERE id NOT IN (SELECT id FROM near WHERE amp2 > amp AND amp2 * exp(-dist * dist / 18) > amp)", near_sql(5.05))
 pput("top_sources", lambda s, d: cat(s, d).orderBy(F.desc("amp"), "id").limit(25).select("id", "amp"), "SELECT id, amp FROM cat ORDER BY amp DESC, id LIMIT 25")
-Q["dedupe_radius"] = lambda s, d: ca.first_wins(cat(s, d), "id", "px", "py", 6.05, "amp", 400.0).select("id", "keep", "owner")
-Q["merge_nearby"] = lambda s, d: rounded(ca.merged(ca.first_wins(cat(s, d), "id", "px", "py", 6.05, "amp", 400.0), "id", "px", "py", "amp", F.abs("amp"), 0.25), "px", "py", "amp")
-Q["source_artifacts"] = lambda s, d: ca.chained(cat(s, d), "id", "px", "py", "amp", 10500.0, 0.5, 5.05, 6.05, 30.0)
-Q["merge_tiled"] = lambda s, d: ca.tile_border_merge([(cat(s, d).where("px < 210"), (0.0, 210.0, 0.0, 50.0)), (cat(s, d).where("px >= 190").withColumn("id", C("id") + 100000), (190.0, 400.0, 0.0, 50.0))], "id", "px", "py", "amp", 20.0, 1.0)
-Q["independent_groups"] = lambda s, d: ca.independent(cat(s, d), "id", "px", "py", 20.0, 400.0)
+
+
+def rput(name: str, f: Callable[[SparkSession, str], DataFrame], select: str, *more: str) -> None:
+    """Twins that go through the rows one by one."""
+    Q[name] = f
+    O[name] = "WITH RECURSIVE " + ",\n".join([CAT, *more]) + "\n" + select
+
+
+def scan_sql(source: str, near: str) -> tuple[str, ...]:
+    """The scan in order of amplitude: a row stays unless a kept one is near; owned(id, other, keep). near: (id, other)."""
+    return (
+        f"ord AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY amp DESC, id) AS k FROM {source})",
+        near,
+        "nb AS MATERIALIZED (SELECT a.k, list(b.k ORDER BY b.k) FILTER (b.k < a.k) AS ks FROM ord a LEFT JOIN near n ON n.id = a.id LEFT JOIN ord b ON b.id = n.other GROUP BY a.k)",
+        "walk(k, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT w.k + 1, CASE WHEN list_has_any(w.kept, coalesce(nb.ks, [])) THEN w.kept ELSE list_append(w.kept, nb.k) END FROM walk w JOIN nb ON nb.k = w.k + 1)",
+        "kept AS MATERIALIZED (SELECT unnest(kept) AS k FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1))",
+        "best AS (SELECT u.k, min(u.j) AS j FROM (SELECT k, unnest(ks) AS j FROM nb) u JOIN kept ON kept.k = u.j GROUP BY u.k)",
+        "owned AS MATERIALIZED (SELECT o.id, kept.k IS NOT NULL AS keep, CASE WHEN kept.k IS NOT NULL THEN o.id ELSE p.id END AS owner FROM ord o LEFT JOIN kept ON kept.k = o.k LEFT JOIN best ON best.k = o.k LEFT JOIN ord p ON p.k = best.j)",
+    )
+
+
+rput("dedupe_radius", lambda s, d: ca.first_wins(cat(s, d), "id", "px", "py", 6.05, "amp", 400.0).select("id", "keep", "owner"), "SELECT id, keep, owner FROM owned", *scan_sql("cat", near_sql(6.05)))
+rput(
+    "merge_nearby", lambda s, d: rounded(ca.merged(ca.first_wins(cat(s, d), "id", "px", "py", 6.05, "amp", 400.0), "id", "px", "py", "amp", F.abs("amp"), 0.25), "px", "py", "amp"),
+    """SELECT owner, round(sum(px * abs(amp)) / nullif(sum(abs(amp)), 0), 4) AS px, round(sum(py * abs(amp)) / nullif(sum(abs(amp)), 0), 4) AS py, round(sum(amp * abs(amp)) / nullif(sum(abs(amp)), 0), 4) AS amp, arg_max(id, (abs(amp), -id)) AS strongest, count(*) AS members
+ FROM (SELECT *, max(abs(amp)) OVER (PARTITION BY owner) AS top FROM cat JOIN owned USING (id)) WHERE abs(amp) >= 0.25 * top GROUP BY owner""",
+    *scan_sql("cat", near_sql(6.05)),
+)
+rput(
+    "source_artifacts", lambda s, d: ca.chained(cat(s, d), "id", "px", "py", "amp", 10500.0, 0.5, 5.05, 6.05, 30.0), "SELECT strong, id FROM chain",
+    "pr AS MATERIALIZED (SELECT a.id, b.id AS other, a.amp, b.amp AS amp2, sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) AS dist FROM cat a, cat b WHERE a.id <> b.id AND abs(a.py - b.py) <= 30)",
+    "weak AS MATERIALIZED (SELECT id AS strong, other AS id, dist FROM pr WHERE amp >= 10500 AND amp2 < 0.5 * amp AND dist <= 30)",
+    "steps AS MATERIALIZED (SELECT id, other FROM pr WHERE dist <= 6.05)",
+    "chain(strong, id) AS (SELECT strong, id FROM weak WHERE dist <= 5.05 UNION SELECT c.strong, w.id FROM chain c JOIN steps s ON s.id = c.id JOIN weak w ON w.strong = c.strong AND w.id = s.other)",
+)
+BORDER = "border AS MATERIALIZED (SELECT id, px, py, amp FROM cat WHERE px < 210 AND NOT (px >= 20 AND px < 190 AND py >= 20 AND py < 30) UNION ALL SELECT id + 100000, px, py, amp FROM cat WHERE px >= 190 AND NOT (px >= 210 AND px < 380 AND py >= 20 AND py < 30))"
+rput(
+    "merge_tiled", lambda s, d: ca.tile_border_merge([(cat(s, d).where("px < 210"), (0.0, 210.0, 0.0, 50.0)), (cat(s, d).where("px >= 190").withColumn("id", C("id") + 100000), (190.0, 400.0, 0.0, 50.0))], "id", "px", "py", "amp", 20.0, 1.0),
+    "SELECT id, px, py, amp FROM cat WHERE px >= 20 AND px < 190 AND py >= 20 AND py < 30 UNION ALL SELECT id + 100000, px, py, amp FROM cat WHERE px >= 210 AND px < 380 AND py >= 20 AND py < 30 UNION ALL SELECT b.id, px, py, amp FROM border b JOIN owned o ON o.id = b.id AND o.keep",
+    BORDER, *scan_sql("border", "near AS (SELECT a.id, b.id AS other FROM border a, border b WHERE abs(a.py - b.py) <= 1 AND sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) <= 1 AND a.id <> b.id)"),
+)
+
+
+def sets_sql(order: str) -> tuple[str, ...]:
+    """Least free sets, row by row."""
+    return (
+        f"ord AS MATERIALIZED (SELECT id, px, py, row_number() OVER (ORDER BY {order}) AS k FROM cat)",
+        near_sql(20.0),
+        "nb AS MATERIALIZED (SELECT a.k, list(b.k) FILTER (b.k < a.k) AS ks FROM ord a LEFT JOIN near n ON n.id = a.id LEFT JOIN ord b ON b.id = n.other GROUP BY a.k)",
+        "walk(k, sets) AS (SELECT 0::BIGINT, []::INT[] UNION ALL SELECT w.k + 1, list_append(w.sets, list_min(list_filter(range(0, len(coalesce(nb.ks, [])) + 1), lambda x: NOT list_contains(list_transform(coalesce(nb.ks, []), lambda j: w.sets[j]), x)))::INT) FROM walk w JOIN nb ON nb.k = w.k + 1)",
+        "done AS (SELECT unnest(sets) AS grp, generate_subscripts(sets, 1) AS k FROM (SELECT sets FROM walk ORDER BY k DESC LIMIT 1))",
+    )
+
+
+rput("independent_groups", lambda s, d: ca.independent(cat(s, d), "id", "px", "py", 20.0, 400.0), "SELECT id, grp FROM ord JOIN done USING (k)", *sets_sql("id"))
+rput("independent_cells", lambda s, d: ca.independent_by_cells(cat(s, d), "id", "px", "py", 20.0, 400.0), "SELECT id, grp FROM ord JOIN done USING (k)", *sets_sql("floor(px / 20) % 2 * 2 + floor(py / 20) % 2, id"))
 Q["assign_round_robin"] = lambda s, d: ca.round_robin(table(s, d, "lineitem").groupBy("l_linenumber", "l_suppkey").agg(F.sum("l_quantity").alias("q")), "l_linenumber", "l_suppkey", "q", 2)
+O["assign_round_robin"] = """WITH RECURSIVE q AS (SELECT l_linenumber, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+ c AS MATERIALIZED (SELECT l_linenumber, list(l_suppkey ORDER BY q DESC, l_suppkey) AS cs, row_number() OVER (ORDER BY l_linenumber) - 1 AS r, count(*) OVER () AS n FROM q GROUP BY 1),
+ walk(k, taken, l_linenumber, l_suppkey, turn) AS (SELECT -1::BIGINT, []::BIGINT[], NULL::INT, NULL::BIGINT, NULL::INT UNION ALL SELECT k + 1, list_append(taken, p), l_linenumber, p, turn
+  FROM (SELECT w.k, w.taken, c.l_linenumber, list_filter(c.cs, lambda x: NOT list_contains(w.taken, x))[1] AS p, CAST((w.k + 1) // c.n AS INT) AS turn FROM walk w JOIN c ON c.r = (w.k + 1) % c.n WHERE w.k + 1 < 2 * c.n))
+ SELECT l_linenumber, l_suppkey, turn FROM walk WHERE k >= 0 AND l_suppkey IS NOT NULL"""
 
 QUERIES, ORACLE = Q, {k: nudged(v) for k, v in O.items()}

@@ -241,7 +241,10 @@ put(
     f"""WITH {LI}, {GRID}, t AS (SELECT CAST(i AS INT) AS ty, CAST(j AS INT) AS tx, i * 10 AS y0, least(i * 10 + 10, 25) AS y1, j * 10 AS x0, least(j * 10 + 10, 40) AS x1 FROM range(3) a(i), range(4) b(j)),
  p AS (SELECT *, row_number() OVER (PARTITION BY ty, tx ORDER BY v DESC, y, x) AS k FROM grid JOIN t ON y >= y0 - 1 AND y < y1 + 1 AND x >= x0 - 1 AND x < x1 + 1) SELECT ty, tx, y, x, round(v, 4) AS v FROM p WHERE k = 1 AND y >= y0 AND y < y1 AND x >= x0 AND x < x1""",
 )
-Q["moving_mask"] = lambda s, d: ca.pairs(si.raster(s, (0.0, 10.0, 0.0, 10.0), 0.5).select(C("sample").alias("id"), "x", "y"), s.range(0, 8).select(C("id"), (C("id") * 1.1).alias("x"), (5 + F.sin("id")).alias("y")), "id", "x", "y", 0.8).select("id").distinct()
+put(
+    "moving_mask", lambda s, d: ca.pairs(si.raster(s, (0.0, 10.0, 0.0, 10.0), 0.5).select(C("sample").alias("id"), "x", "y"), s.range(0, 8).select(C("id"), (C("id") * 1.1).alias("x"), (5 + F.sin("id")).alias("y")), "id", "x", "y", 0.8).select("id").distinct(),
+    "SELECT DISTINCT c.i AS id FROM (SELECT range AS i, (range % 20 + 0.5) * 0.5 AS x, (range // 20 + 0.5) * 0.5 AS y FROM range(400)) c, (SELECT range * 1.1 AS x, 5 + sin(range) AS y FROM range(8)) t WHERE sqrt(pow(c.x - t.x, 2) + pow(c.y - t.y, 2)) <= 0.8",
+)
 
 # ---- noise models and object search
 

@@ -116,9 +116,17 @@ put(
     "eigpow_square", lambda s, d: rounded(systems(s, d).select("p_partkey", nu.per_row(lambda a: nu.power(a, 2.0))("a").alias("m")).select("p_partkey", C("m")[0].alias("m00"), C("m")[1].alias("m01"), C("m")[8].alias("m22")), "m00", "m01", "m22"),
     f"WITH {SYS} SELECT p_partkey, round(a * a + b * b, 6) AS m00, round(a * b + b * (a + 1), 6) AS m01, round(b * b + (a + 2) * (a + 2), 6) AS m22 FROM sys",
 )
-Q["eigpow_inverse_root"] = lambda s, d: systems(s, d).select("p_partkey", nu.per_row(lambda a: nu.power(a, -0.5))("a").alias("m"))
-Q["condition_numbers"] = lambda s, d: systems(s, d).select("p_partkey", nu.per_row(nu.condition, T.DoubleType())("a").alias("k"))
-Q["low_rank_inverse"] = lambda s, d: systems(s, d).select("p_partkey", nu.per_row(nu.invert_low_rank)(F.array(*[F.lit(x) for x in (1.0, 2.0, 3.0)]), "b", F.array(F.lit(0.5))).alias("m"))
+#: The matrix is (a + 1) I + M with M of eigenvalues -s, 0 and s, so its powers are quadratics in M.
+EIG = f"{SYS}, e AS (SELECT *, sqrt(1 + 2 * b * b) AS s FROM sys), r AS (SELECT *, pow(a + 1, -0.5) AS f, (pow(a + 1 + s, -0.5) - pow(a + 1 - s, -0.5)) / (2 * s) AS g, (pow(a + 1 + s, -0.5) + pow(a + 1 - s, -0.5) - 2 * pow(a + 1, -0.5)) / (2 * s * s) AS h FROM e)"
+put(
+    "eigpow_inverse_root", lambda s, d: rounded(systems(s, d).select("p_partkey", nu.per_row(lambda a: nu.power(a, -0.5))("a").alias("m")).select("p_partkey", *[C("m")[k].alias(f"m{k}") for k in (0, 1, 2, 4, 8)]), *[f"m{k}" for k in (0, 1, 2, 4, 8)]),
+    f"WITH {EIG} SELECT p_partkey, round(f - g + h * (1 + b * b), 6) AS m0, round(g * b - h * b, 6) AS m1, round(h * b * b, 6) AS m2, round(f + 2 * h * b * b, 6) AS m4, round(f + g + h * (1 + b * b), 6) AS m8 FROM r",
+)
+put("condition_numbers", lambda s, d: rounded(systems(s, d).select("p_partkey", nu.per_row(nu.condition, T.DoubleType())("a").alias("k")), "k"), f"WITH {EIG} SELECT p_partkey, round((a + 1 + s) / (a + 1 - s), 6) AS k FROM e")
+put(
+    "low_rank_inverse", lambda s, d: rounded(systems(s, d).select("p_partkey", nu.per_row(nu.invert_low_rank)(F.array(*[F.lit(x) for x in (1.0, 2.0, 3.0)]), "b", F.array(F.lit(0.5))).alias("m")).select("p_partkey", *[C("m")[k].alias(f"m{k}") for k in (0, 1, 8)]), "m0", "m1", "m8"),
+    f"WITH {SYS}, k AS (SELECT *, 2 + 1 + b * b / 2 + a * a / 3 AS k FROM sys) SELECT p_partkey, round(1 - 1 / k, 6) AS m0, round(-b / 2 / k, 6) AS m1, round(1 / 3.0 - a * a / 9 / k, 6) AS m8 FROM k",
+)
 put(
     "covariance", lambda s, d: rounded(nu.covariance(samples(s, d).where("det < 12").select("det", "sample", "value"), "det", "sample", "value", 1), "cov", digits=4),
     f"WITH {SAMPLES} SELECT a.det AS i, b.det AS j, round(sum(a.value * b.value) / count(*), 4) AS cov FROM samples a JOIN samples b ON b.sample = a.sample + 1 WHERE a.det < 12 AND b.det < 12 GROUP BY 1, 2",
@@ -147,4 +155,33 @@ Q["hwp_notch"] = lambda s, d: series(s, d).select("det", nu.per_row(lambda v: nu
 Q["broaden_beam"] = lambda s, d: series(s, d).select("det", nu.per_row(lambda v: nu.broaden(v, 2.0))("v").alias("v"))
 Q["power_spectra"] = lambda s, d: series(s, d).select("det", nu.per_row(nu.spectrum)("v").alias("p"))
 
+
+
+def unrolled(name: str, column: str = "v", as_: str = "value") -> Callable[[SparkSession, str], DataFrame]:
+    """A row per element of a query's arrays."""
+    return lambda s, d: rounded(Q[name](s, d).select("det", F.posexplode(column).alias("k", as_)), as_, digits=4)
+
+
+def dft_sql(weight: str) -> str:
+    """Sums of cosines and sines of each detector's samples, weighted per frequency, and summed back."""
+    return f"""WITH {SAMPLES}, n AS (SELECT det, count(*) AS n FROM samples GROUP BY 1), fr AS (SELECT det, n, CAST(unnest(range(n // 2 + 1)) AS BIGINT) AS j FROM n),
+ x AS MATERIALIZED (SELECT det, n, j, sum(value * cos(2 * pi() * (j * sample % n) / n)) AS re, -sum(value * sin(2 * pi() * (j * sample % n) / n)) AS im FROM fr JOIN samples USING (det) GROUP BY 1, 2, 3),
+ y AS MATERIALIZED (SELECT *, j / n::DOUBLE AS f FROM x), z AS MATERIALIZED (SELECT *, CASE WHEN j = 0 OR 2 * j = n THEN 1 ELSE 2 END * ({weight}) / n AS w FROM y)
+ SELECT det, sample AS k, round(sum(w * (re * cos(2 * pi() * (j * sample % n) / n) - im * sin(2 * pi() * (j * sample % n) / n))), 4) AS value FROM z JOIN samples USING (det) GROUP BY 1, 2"""
+
+
+def butter_sql(knee: float, alpha: float) -> str:
+    return f"CASE WHEN f = 0 THEN 0 ELSE 1 / (1 + pow(f / {knee}, {alpha})) END"
+
+
+put("highpass_rows", unrolled("highpass"), dft_sql(butter_sql(0.05, -3.0)))
+put("bandpass_rows", unrolled("bandpass"), dft_sql(f"{butter_sql(0.05, -5.0)} - {butter_sql(0.2, -5.0)}"))
+put("hwp_notch_rows", unrolled("hwp_notch"), dft_sql("CASE WHEN least(abs(f - 0.1), abs(f - 0.2), abs(f - 0.1 * 3)) > 0.05 THEN 1 ELSE 0 END"))
+put("broaden_beam_rows", unrolled("broaden_beam"), dft_sql("exp(-2 * pow(pi() * f * 2, 2))"))
+put(
+    "power_spectra_rows", unrolled("power_spectra", "p", "power"),
+    f"""WITH {SAMPLES}, n AS (SELECT det, count(*) AS n, avg(value) AS m FROM samples GROUP BY 1), fr AS (SELECT det, n, m, CAST(unnest(range(n // 2 + 1)) AS BIGINT) AS j FROM n)
+ SELECT det, CAST(j AS INT) AS k, round((pow(sum((value - m) * cos(2 * pi() * (j * sample % n) / n)), 2) + pow(sum((value - m) * sin(2 * pi() * (j * sample % n) / n)), 2)) / n, 4) AS power FROM fr JOIN samples USING (det) GROUP BY det, n, j""",
+)
+
 QUERIES, ORACLE = Q, {k: nudged(v) for k, v in O.items()}

@@ -11,7 +11,7 @@ from ..operators import filters as fi
 from ..operators import gapfill as gf
 from ..operators import intervals as iv
 from ..operators import sequences as sq
-from .base import ERRORS_SQL, lengths, LENGTHS, nudged, rounded, SAMPLES, samples, table
+from .base import ERRORS_SQL, lengths, LENGTHS, merge_sql, nudged, rounded, runs_sql, SAMPLES, samples, table
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -153,9 +153,19 @@ put(
     """m AS (SELECT det, CAST(min(lo) AS INT) AS lo, CAST(max(hi) AS INT) AS hi FROM (SELECT *, sum(f) OVER (PARTITION BY det ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY det ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM
  (SELECT det, greatest(lo - 2, 0) AS lo, least(hi + 2, n) AS hi FROM hotruns JOIN lengths USING (det)))) GROUP BY det, i)""",
 )
-Q["deglitch"] = lambda s, d: rounded(gf.deglitch(vals(s, d), KEY, "sample", "value", 6.0, 7, 2), "value")
+TEN = LINEAR.replace("g.lo - 4", "g.lo - 10").replace("g.hi + 3", "g.hi + 9")
+put(
+    "deglitch", lambda s, d: rounded(gf.deglitch(vals(s, d), KEY, "sample", "value", 6.0, 7, 2), "value"), "SELECT det, sample, round(v, 6) AS value FROM filled",
+    "dev AS (SELECT *, abs(value - median(value) OVER (PARTITION BY det ORDER BY sample ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)) AS x FROM samples)",
+    "spk AS (SELECT dev.*, x > 6 * 1.4826 * m AS hot FROM dev JOIN (SELECT det, median(x) AS m FROM dev GROUP BY 1) USING (det))",
+    runs_sql("hotruns", "hot", "spk"), LENGTHS, merge_sql("errs", "SELECT det, greatest(lo - 2, 0) AS lo, least(hi + 2, n) AS hi FROM hotruns JOIN lengths USING (det)"), "base AS (SELECT det, sample, value AS v FROM samples)", TEN,
+)
 Q["gapfill_modes"] = lambda s, d: gf.eigenmodes(vals(s, d).withColumn("obs", (F.col("det") % 10)), errs(s, d).withColumn("obs", F.col("det") % 10), "obs", "det", "sample", "value")
-Q["gapfill_pair"] = lambda s, d: gf.pair(vals(s, d), errs(s, d), "det", "sample", "value", F.col("det").bitwiseXOR(1))
+put(
+    "gapfill_pair", lambda s, d: rounded(gf.pair(vals(s, d), errs(s, d), "det", "sample", "value", F.col("det").bitwiseXOR(1)), "value"),
+    "SELECT a.det, a.sample, round(CASE WHEN a.event_type = 'error' AND b.event_type <> 'error' THEN b.value + f.v ELSE a.value END, 6) AS value FROM samples a LEFT JOIN samples b ON b.det = xor(a.det, 1) AND b.sample = a.sample LEFT JOIN filled f ON f.det = a.det AND f.sample = a.sample",
+    runs_sql("own", "event_type = 'error'"), merge_sql("errs", "SELECT det, lo, hi FROM own UNION SELECT xor(det, 1), lo, hi FROM own"), "base AS (SELECT a.det, a.sample, a.value - b.value AS v FROM samples a JOIN samples b ON b.det = xor(a.det, 1) AND b.sample = a.sample)", TEN,
+)
 
 # ---- filters; a block is ten detectors
 

@@ -64,13 +64,13 @@ O["tag_query_aggregate"] = """WITH a AS (SELECT * FROM orders WHERE o_orderstatu
 
 
 def tag_query_functions(spark: SparkSession, d: str) -> DataFrame:
-    t = TagTable(table(spark, d, "part"), "p_partkey", default="p_retailprice>1000", functions={"cube": lambda c: c * c * c})
+    t = TagTable(table(spark, d, "part"), "p_partkey", default="p_retailprice>950", functions={"cube": lambda c: c * c * c})
     return t.query("sqrt(p_size)>4,isin(p_type,['ECONOMY','SMALL']),(floor(p_retailprice)%2==0)|(cube(p_size)>60000)").select("p_partkey", "p_size", "p_type")
 
 
 Q["tag_query_functions"] = tag_query_functions
 O["tag_query_functions"] = """SELECT p_partkey, p_size, p_type FROM part WHERE sqrt(p_size) > 4 AND p_type IN ('ECONOMY', 'SMALL')
- AND (CAST(floor(p_retailprice) AS BIGINT) % 2 = 0 OR CAST(p_size AS BIGINT) * p_size * p_size > 60000) AND p_retailprice > 1000"""
+ AND (CAST(floor(p_retailprice) AS BIGINT) % 2 = 0 OR CAST(p_size AS BIGINT) * p_size * p_size > 60000) AND p_retailprice > 950"""
 
 
 def tag_query_id_tag(spark: SparkSession, d: str) -> DataFrame:

@@ -405,7 +405,7 @@ def rand_sources(spark: SparkSession, d: str) -> DataFrame:
 
 put("random_sources", rand_sources, "SELECT 4000::BIGINT AS n, true AS inside, true AS mean_amp, true AS centred")
 put(
-    "moving_mask_sql", lambda s, d: mo.near_track(si.raster(s, (0.0, 10.0, 0.0, 10.0), 0.5).select(C("sample").alias("id"), "x", "y"), s.range(0, 8).select(C("id"), (C("id") * 1.1).alias("x"), (5 + F.sin("id")).alias("y")), 0.8),
+    "track_mask", lambda s, d: mo.near_track(si.raster(s, (0.0, 10.0, 0.0, 10.0), 0.5).select(C("sample").alias("id"), "x", "y"), s.range(0, 8).select(C("id"), (C("id") * 1.1).alias("x"), (5 + F.sin("id")).alias("y")), 0.8),
     "SELECT DISTINCT c.i AS id FROM (SELECT range AS i, (range % 20 + 0.5) * 0.5 AS x, (range // 20 + 0.5) * 0.5 AS y FROM range(400)) c, (SELECT range * 1.1 AS x, 5 + sin(range) AS y FROM range(8)) t WHERE sqrt(pow(c.x - t.x, 2) + pow(c.y - t.y, 2)) <= 0.8",
 )
 
