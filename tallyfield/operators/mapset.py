@@ -199,3 +199,37 @@ def source_response(samples: DataFrame, sources: DataFrame, key: str, x: str, y:
     """Summed beam response of all sources at each sample, for amplitudes that belong to samples: key, response."""
     near = catalogs.pairs(samples.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y")), sources.select("id", "x", "y"), "id", "x", "y", reach * sigma)
     return near.groupBy(F.col("id").alias(key)).agg(F.sum(catalogs.beam_at(F.col("dist"), sigma)).alias("response"))
+
+
+def smoothed(grid: DataFrame, value: str, sigma: float, reach: float = 4.0) -> DataFrame:
+    """Gaussian mean of the cells around each cell, by their weights: along x, then along y. Cells that are missing have none."""
+    n = int(reach * sigma)
+    rows = grid.select("y", "x", F.col(value).alias("_v"), F.lit(1.0).alias("_w"))
+    for c in ("x", "y"):
+        other = "y" if c == "x" else "x"
+        sent = rows.select("y", "x", "_v", "_w", F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("_d"))
+        g = F.exp(-F.col("_d") * F.col("_d") / (2 * sigma * sigma))
+        rows = sent.groupBy((F.col(c) + F.col("_d")).alias(c), other).agg(F.sum(F.col("_v") * g).alias("_v"), F.sum(F.col("_w") * g).alias("_w"))
+    return rows.join(grid.select("y", "x"), ["y", "x"]).select("y", "x", (F.col("_v") / F.col("_w")).alias(value))
+
+
+def reprojected(grid: DataFrame, value: str, shape: tuple[int, int], y: Column, x: Column) -> DataFrame:
+    """A map of another shape whose cell (oy, ox) reads the grid linearly at (y, x), functions of oy and ox; outside is 0."""
+    spark = grid.sparkSession
+    out = spark.range(shape[0] * shape[1]).select(F.floor(F.col("id") / shape[1]).cast("int").alias("oy"), (F.col("id") % shape[1]).cast("int").alias("ox"))
+    got = binning.gather(out.withColumns({"_fy": y, "_fx": x}), binning.bilinear(F.col("_fy"), F.col("_fx")), grid.select("y", "x", value), {value: F.lit(1.0)}, ["oy", "ox"])
+    return got.select(F.col("oy").alias("y"), F.col("ox").alias("x"), F.col("model").alias(value))
+
+
+def coadded(maps: list[tuple[DataFrame, float]], value: str, weight: str) -> DataFrame:
+    """Maps of one sky seen with different responses: sum(g w v) / sum(g^2 w) per cell and that weight; (map, response g)."""
+    rows = reduce(DataFrame.unionByName, [m.select("y", "x", F.col(value).alias("_v"), F.col(weight).alias("_w"), F.lit(g).alias("_g")) for m, g in maps])
+    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    sums = rows.groupBy("y", "x").agg(F.sum(F.col("_g") * F.col("_w") * F.col("_v")).alias("_s"), F.sum(F.col("_g") * F.col("_g") * F.col("_w")).alias(weight))
+    return sums.select("y", "x", F.coalesce(F.try_divide("_s", weight), F.lit(0.0)).alias(value), weight)
+
+
+def shrunk(grid: DataFrame, value: str, weight: str, signal: Column) -> DataFrame:
+    """The expectation of a signal of known variance given a map with inverse variance, cell by cell, and its deviation."""
+    share = signal * F.col(weight) / (1 + signal * F.col(weight))
+    return grid.withColumns({value: share * F.col(value), "dev": F.sqrt(signal / (1 + signal * F.col(weight)))})

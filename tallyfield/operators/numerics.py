@@ -5,6 +5,7 @@ Nothing here holds more than one group (a scan, a cell, a matrix) in a task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -175,6 +176,21 @@ def spectrum(d: object) -> list[float]:
     return (np.abs(np.fft.rfft(d - d.mean())) ** 2 / len(d)).tolist()
 
 
+def knee(power: object, l: object, alpha: float = -4.0) -> float:
+    """Knee of power = w (1 + (l / knee)^alpha) by least squares in logarithms from the spectrum's peak on: the white level has a
+    closed form, the knee is searched on a grid of logarithms that narrows."""
+    p, l = np.asarray(power, float), np.asarray(l, float)  # noqa: E741
+    first = int(np.argmax(p))
+    p, l = np.log(p[first:]), np.maximum(l[first:], 1.0)  # noqa: E741
+    low, high = math.log(l[0] / 10), math.log(l[-1] * 10)
+    for _ in range(12):
+        at = np.linspace(low, high, 33)
+        r = p - np.log1p((l / np.exp(at)[:, None]) ** alpha)
+        k = int(np.argmin(((r - r.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)))
+        low, high = at[max(0, k - 1)], at[min(32, k + 1)]
+    return float(math.exp((low + high) / 2))
+
+
 # ---- fits over a group
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 
 def events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A stream of event files (Parquet) with their batch schema."""
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name).parquet(folder)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    """A stream of event files (Parquet) with their batch schema: one file, or a folder of them."""
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        path, _, name = path.rpartition("/")
+        rows = rows.option("pathGlobFilter", name)
+    return rows.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def sessions(rows: DataFrame, key: str, at: str, gap: str, late: str = "1 hour") -> DataFrame:

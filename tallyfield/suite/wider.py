@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as fn
 from ..operators import binning as bn
@@ -487,4 +488,33 @@ put(
     f"WITH {CAT}, {BODIES} SELECT c.id, round(sum(exp(-(pow(px - x, 2) + pow(py - y, 2)) / 4.5)), 6) AS response FROM cat c JOIN bodies b ON sqrt(pow(px - x, 2) + pow(py - y, 2)) <= 4.5 GROUP BY 1",
 )
 
+put(
+    "smoothed_map", lambda s, d: rounded(ms.smoothed(grid(s, d), "v", 1.2, 3.0), "v", digits=5),
+    f"WITH {LI}, {GRID} SELECT a.y, a.x, round(sum(b.v * exp(-(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 2.88)) / sum(exp(-(pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) / 2.88)), 5) AS v FROM grid a JOIN grid b ON abs(a.y - b.y) <= 3 AND abs(a.x - b.x) <= 3 GROUP BY 1, 2",
+)
+put(
+    "reprojected_map", lambda s, d: rounded(ms.reprojected(grid(s, d), "v", (12, 30), C("oy") * 2.25 - 1.5, C("ox") * 1.5 - 2.25), "v", digits=4),
+    f"""WITH {LI}, {GRID}, o AS (SELECT i AS oy, j AS ox, i * 2.25::DOUBLE - 1.5 AS fy, j * 1.5::DOUBLE - 2.25 AS fx FROM range(12) a(i), range(30) b(j))
+ SELECT CAST(oy AS INT) AS y, CAST(ox AS INT) AS x, round(sum(coalesce(v, 0) * (CASE WHEN dy = 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE WHEN dx = 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END)), 4) AS v
+ FROM o CROSS JOIN (VALUES (0), (1)) a(dy) CROSS JOIN (VALUES (0), (1)) b(dx) LEFT JOIN grid ON grid.y = floor(fy) + dy AND grid.x = floor(fx) + dx GROUP BY 1, 2""",
+)
+put(
+    "coadded_maps", lambda s, d: rounded(ms.coadded([(grid(s, d).select("y", "x", "v", (C("x") * 1.0).alias("w")), 1.0), (grid(s, d).where("y > 5").select("y", "x", (C("v") / 2 + 1).alias("v"), F.lit(3.0).alias("w")), 0.5)], "v", "w"), "v", "w", digits=4),
+    f"WITH {LI}, {GRID} SELECT y, x, round(coalesce(sum(g * w * v) / nullif(sum(g * g * w), 0), 0), 4) AS v, round(sum(g * g * w), 4) AS w FROM (SELECT y, x, v, x * 1.0::DOUBLE AS w, 1.0::DOUBLE AS g FROM grid UNION ALL SELECT y, x, v / 2 + 1, 3, 0.5 FROM grid WHERE y > 5) GROUP BY 1, 2",
+)
+put(
+    "shrunk_map", lambda s, d: rounded(ms.shrunk(grid(s, d).withColumn("w", C("x") / 10.0), "v", "w", F.lit(2.5)).select("y", "x", "v", "dev"), "v", "dev", digits=5),
+    f"WITH {LI}, {GRID} SELECT y, x, round(v * 0.25 * x / (1 + 0.25 * x), 5) AS v, round(sqrt(2.5 / (1 + 0.25 * x)), 5) AS dev FROM grid",
+)
+
+
+def knees(spark: SparkSession, d: str) -> DataFrame:
+    """Spectra made with known knees, found again."""
+    rows = spark.range(1, 12).select((C("id") * 150.0).alias("knee"), F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: k * 50.0).alias("l"))
+    rows = rows.withColumn("p", F.transform("l", lambda x: 3.0 * (1 + F.pow(x / C("knee"), F.lit(-4.0)))))
+    return rows.select("knee", (F.abs(nu.per_row(nu.knee, T.DoubleType())("p", "l") - C("knee")) < 0.5).alias("found"))
+
+
+put("spectral_knees", knees, "SELECT range * 150::DOUBLE AS knee, true AS found FROM range(1, 12)")
+
 QUERIES, ORACLE = Q, {k: nudged(v) for k, v in O.items()}
