@@ -23,19 +23,25 @@ def wrapped(d: Column, period: float | None) -> Column:
     return d if period is None else d - F.round(d / period) * period
 
 
-def pairs(a: DataFrame, b: DataFrame, id: str, x: str, y: str, radius: float, period: float | None = None) -> DataFrame:
-    """(id, other, dist) of rows of a and b at most radius apart."""
+def pairs(a: DataFrame, b: DataFrame, id: str, x: str, y: str, radius: float, period: float | None = None, once: bool = False) -> DataFrame:
+    """(id, other, dist) of rows of a and b at most radius apart. once: a and b are one table; each pair of different ids is given
+    once, the lesser id first, from half the cells around."""
     n = None if period is None else max(1, int(period // radius))
+    once, half = once and (n is None or n > 2), [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     size = radius if n is None else period / n
     cell = lambda c: F.floor(c / size).cast("long")
     turn = lambda c: c if n is None else F.pmod(c, F.lit(n))
     left = a.select(F.col(id), F.col(x).alias("_x1"), F.col(y).alias("_y1"), turn(cell(F.col(x))).alias("_cx"), F.floor(F.col(y) / radius).cast("long").alias("_cy"))
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if not once or (i, j) in half])
     right = b.select(F.col(id).alias("other"), F.col(x).alias("_x2"), F.col(y).alias("_y2"), F.explode(shifts).alias("_s"))
-    right = right.select("other", "_x2", "_y2", turn(cell(F.col("_x2")) + F.col("_s.i")).alias("_cx"), (F.floor(F.col("_y2") / radius) + F.col("_s.j")).cast("long").alias("_cy"))
+    same = ((F.col("_s.i") == 0) & (F.col("_s.j") == 0)).alias("_same")
+    right = right.select("other", "_x2", "_y2", turn(cell(F.col("_x2")) + F.col("_s.i")).alias("_cx"), (F.floor(F.col("_y2") / radius) + F.col("_s.j")).cast("long").alias("_cy"), same)
     right = right.dropDuplicates(["other", "_cx", "_cy"]) if n is not None and n < 3 else right
     dx, dy = wrapped(F.col("_x1") - F.col("_x2"), period), F.col("_y1") - F.col("_y2")
-    return left.join(right, ["_cx", "_cy"]).withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius).select(id, "other", "dist")
+    met = left.join(right, ["_cx", "_cy"])
+    met = met.where(~F.col("_same") | (F.col(id) < F.col("other"))) if once else met
+    met = met.withColumn("dist", F.sqrt(dx * dx + dy * dy)).where(F.col("dist") <= radius).select(id, "other", "dist")
+    return met.where(F.col(id) != F.col("other")).select(F.least(id, "other").alias(id), F.greatest(id, "other").alias("other"), "dist") if once else met
 
 
 def first_wins(cat: DataFrame, id: str, x: str, y: str, radius: float, score: str, period: float | None = None) -> DataFrame:

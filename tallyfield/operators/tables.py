@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lineage import numbered
+
 
 def outer_merge(parts: list[DataFrame], id: str, fill: bool = True) -> DataFrame:
     """Full outer merge by id: booleans are OR-ed, other columns take the last part that has the row; with fill, gaps
@@ -53,7 +55,7 @@ def stack_detectors(parts: list[DataFrame], det: str) -> DataFrame:
 
 def restrict(field: DataFrame, det: str, wanted: DataFrame) -> DataFrame:
     """Exactly the wanted detectors, with their place `_pos` in the list; a missing one is an error."""
-    out = F.broadcast(wanted).join(field.withColumn("_there", F.lit(True)), det, "left")
+    out = wanted.join(field.withColumn("_there", F.lit(True)), det, "left")
     found = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("missing detector "), F.col(det).cast("string")))).otherwise(F.lit(True))
     return out.where(found).drop("_there")
 
@@ -76,15 +78,12 @@ def last_source(parts: list[DataFrame], key: str) -> DataFrame:
 
 def zipped(parts: dict[str, tuple[DataFrame, list[str], str]]) -> DataFrame:
     """Heterogeneous tables as one flat vector (part, idx, value); idx is the rank by the part's order."""
-    out = []
-    for name, (df, order, value) in parts.items():
-        # idx by a range of the order columns: numbering is over the part, whose size is a vector that fits one column
-        out.append(df.select(F.lit(name).alias("part"), (F.row_number().over(W.orderBy(*order)) - 1).alias("idx"), F.col(value).cast("double").alias("value"), *[F.col(c).cast("string").alias(f"_o{k}") for k, c in enumerate(order)]).select("part", "idx", "value"))
+    out = [numbered(df.select(*dict.fromkeys([*order, value])), order, "idx").select(F.lit(name).alias("part"), "idx", F.col(value).cast("double").alias("value")) for name, (df, order, value) in parts.items()]
     return reduce(DataFrame.unionByName, out)
 
 
 def compact(links: DataFrame, ranges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (src, det, range_id) of the kept (src, det); ranges that no link uses go, and the rest are numbered anew."""
     kept = links.join(keep, ["src", "det"], "left_semi")
-    used = kept.select("range_id").distinct().withColumn("new_id", F.row_number().over(W.orderBy("range_id")) - 1)
+    used = numbered(kept.select("range_id").distinct(), ["range_id"], "new_id")
     return kept.join(used, "range_id").drop("range_id").withColumnRenamed("new_id", "range_id"), ranges.join(used, "range_id").drop("range_id").withColumnRenamed("new_id", "range_id")

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import numbered as in_order
+
 SCALARS: dict[str, Callable[..., Column]] = {
     "abs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log": F.ln, "log10": F.log10, "sin": F.sin, "cos": F.cos, "tan": F.tan,
     "arcsin": F.asin, "arccos": F.acos, "arctan2": F.atan2, "floor": F.floor, "ceil": F.ceil, "round": F.round,
@@ -186,12 +188,13 @@ class TagTable:
             raise QueryError("a slice needs a step")
         if not start and step == 1 and stop is not None and stop >= 0:
             top = df.orderBy(*order).limit(stop)
-            return top.withColumn("_pos", F.row_number().over(W.orderBy(*order)) - 1) if stop else df.limit(0).withColumn("_pos", F.lit(0))
-        numbered = df.withColumn("_pos", F.row_number().over(W.orderBy(*order)) - 1)
+            place = F.row_number().over(W.orderBy(*order)).cast("long") - 1  # of the rows of the slice
+            return top.withColumn("_pos", place) if stop else df.limit(0).withColumn("_pos", F.lit(0).cast("long"))
+        numbered = in_order(df, order, "_pos")
         if (start, stop, step) == (None, None, 1):
             return numbered
         if (start is not None and start < 0) or (stop is not None and stop < 0) or step < 0:
-            numbered = numbered.join(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
+            numbered = numbered.join(F.broadcast(numbered.agg(F.count(F.lit(1)).alias("_n"))))
         else:
             numbered = numbered.withColumn("_n", F.lit(None).cast("long"))
         n, pos = F.col("_n"), F.col("_pos")
@@ -204,7 +207,7 @@ class TagTable:
         high = n - 1 if start is None else F.least(at(start), n - 1)
         keep = (pos <= high) & ((high - pos) % -step == 0)
         keep = keep if stop is None else keep & (pos > at(stop))
-        return numbered.where(keep).withColumn("_pos", F.floor((high - pos) / -step).cast("int")).drop("_n")
+        return numbered.where(keep).withColumn("_pos", F.floor((high - pos) / -step)).drop("_n")
 
     def with_defaults(self, **values: object) -> TagTable:
         """Columns that are always there: missing ones are added with a value."""

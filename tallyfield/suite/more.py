@@ -128,7 +128,7 @@ def robust_reference(spark: SparkSession, d: str) -> DataFrame:
 
 put("robust_reference", robust_reference, f"WITH {LI}, {GRID} SELECT round(median(v), 4) AS reference FROM grid WHERE v > 0.9 * (SELECT median(v) FROM grid WHERE v > 0)")
 put("fix_bad", lambda s, d: rounded(li(s, d).select("l_orderkey", "l_linenumber", fn.fix_bad(F.when(C("c2") == 0, F.lit(float("nan"))).otherwise(1 / F.nullif(C("c2"), F.lit(0.0))), -1.0).alias("v")), "v"), f"WITH {LI} SELECT l_orderkey, l_linenumber, round(CASE WHEN c2 = 0 THEN -1 ELSE 1 / c2 END, 4) AS v FROM li")
-put("zipped_vector", lambda s, d: tb.zipped({"size": (table(s, d, "part"), ["p_partkey"], "p_size"), "balance": (table(s, d, "supplier"), ["s_suppkey"], "s_acctbal")}), "SELECT 'size' AS part, CAST(p_partkey AS INT) AS idx, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT 'balance', CAST(s_suppkey AS INT), s_acctbal FROM supplier")
+put("zipped_vector", lambda s, d: tb.zipped({"size": (table(s, d, "part"), ["p_partkey"], "p_size"), "balance": (table(s, d, "supplier"), ["s_suppkey"], "s_acctbal")}).withColumn("idx", C("idx").cast("int")), "SELECT 'size' AS part, CAST(p_partkey AS INT) AS idx, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT 'balance', CAST(s_suppkey AS INT), s_acctbal FROM supplier")
 
 
 # ---- sources and sinks
