@@ -291,7 +291,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate:
 
 def tree_sql(tree: tuple | float, row: str) -> str:
     if isinstance(tree, float):
-        return f"{tree:.10f}D"
+        return f"{tree!r}D"
     return f"CASE WHEN {row}.{COLUMNS[tree[0]]} <= {tree[1]!r}D THEN {tree_sql(tree[2], row)} ELSE {tree_sql(tree[3], row)} END"
 
 
@@ -327,7 +327,7 @@ def with_spans(df: DataFrame, text: str = "text", base: str = "pii_base", spans:
     t, c, z = fresh(df, "_pt", "_pcand", "_pz").values()
     df = with_candidates(df.withColumn(t, text_of(text)), t, c)
     score = " + ".join(f"({tree_sql(x, 'c.f')})" for x in trees)
-    bar = "CASE c.kind " + " ".join(f"WHEN {k} THEN {('1e300' if math.isinf(v) else repr(v))}D" for k, v in enumerate(least)) + " END"
+    bar = "CASE c.kind " + " ".join(f"WHEN {k} THEN {('1e300' if math.isinf(v) else repr(v - 1e-9))}D" for k, v in enumerate(least)) + " END"
     df = df.withColumn(base, F.expr(f"array_sort(transform(filter({c}, c -> c.ok), c -> struct(c.at, c.kind, c.end)))"))
     df = df.withColumn(z, F.expr(f"array_sort(transform(filter({c}, c -> NOT c.ok AND {score} >= {bar}), c -> struct(c.at, c.kind, c.end)))"))
     free = f"filter({z}, s -> NOT exists({base}, b -> b.at < s.end AND s.at < b.end))"
