@@ -11,7 +11,7 @@ binomial test rejects "it falsely rejects more than `risk` of the good rows of t
 with probability 1 - delta, no stratum loses more than `risk` of its good rows. Of the accepted levels the one with the
 best trade on the part that was fitted is used: the share of bad rows that it rejects, less `PRICE` times the share of
 good ones. A stratum whose own labels prove no level, or that has none, gets none: a test over all strata says nothing about a
-single one, so only the base rules hold there. At the default risk and five strata 88 good rows are enough.
+single one, so only the base rules hold there. At the default risk and five strata 90 good rows are enough.
 
 All on the main path is DataFrame functions; the driver sees the histograms only (rules * bins and strata * levels rows).
 
