@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as fn
 from ..operators import binning as bn
-from ..operators import catalogs as ca
 from ..operators import filters as fi
 from ..operators import intervals as iv
 from ..operators import mapmaker as mm
@@ -28,7 +28,7 @@ from ..sources import text
 from .base import ERRORS_SQL, lengths, LENGTHS, nudged, rounded, samples, SAMPLES, table
 from .grids import CAT, cat, GRID, grid, LI, li
 from .more import scratch
-from .numbers import DET, sky, SYS, systems, VEC
+from .numbers import sky, SYS, systems, VEC
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -143,8 +143,6 @@ put("fixed_lines", fixed_lines, "SELECT s_suppkey AS id, s_name AS name, s_acctb
 
 def float_records(spark: SparkSession, d: str) -> DataFrame:
     """A binary file with a header of three numbers, as some catalogues come."""
-    import numpy as np
-
     path = f"{scratch(spark, 'floats')}/catalog.bin"
     data = np.array([40, 0, 0], "<u4").tobytes() + (np.arange(400, dtype="<f4") / 8).tobytes()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
@@ -285,7 +283,7 @@ put(
 
 
 def basis(spark: SparkSession, d: str) -> DataFrame:
-    out = [(kind, n, i, j, float(v)) for kind in ("bin:3", "full", "none", "poly:2") for n in (4, 7) for (i, j), v in __import__("numpy").ndenumerate(no.cut_basis(n, kind)) if abs(v) > 1e-12]
+    out = [(kind, n, i, j, float(v)) for kind in ("bin:3", "full", "none", "poly:2") for n in (4, 7) for (i, j), v in np.ndenumerate(no.cut_basis(n, kind)) if abs(v) > 1e-12]
     return rounded(spark.createDataFrame(out, "kind string, n int, i int, j int, v double"), "v")
 
 
