@@ -105,28 +105,27 @@ class Index:
 
     def candidates(self, ids: np.ndarray, passage: np.ndarray, n: int) -> Iterator[np.ndarray]:
         """Keys passage * blocks + block whose upper bound reaches SHARE, of n passages, in order; ids: terms, and where they
-        stand."""
-        size = len(self.column)
-        pair = np.unique(passage * size + ids)
-        passage, ids = pair // size, pair % size
+        stand. In the first test a term counts as often as it stands there, which only makes the bound looser."""
         pivots = np.flatnonzero(np.bincount(passage, self.most[ids], n) >= SHARE - 1e-4)
         step = max(1, CELLS // max(1, self.blocks))
         for at in range(0, len(pivots), step):
             own = pivots[at : at + step]
-            low, high = np.searchsorted(passage, [own[0], own[-1] + 1])
-            place = np.searchsorted(own, passage[low:high])
-            there = own[np.minimum(place, len(own) - 1)] == passage[low:high]
-            found = self.bounds(ids[low:high][there], place[there], len(own))
+            place = np.full(n, -1)
+            place[own] = np.arange(len(own))
+            there = place[passage] >= 0
+            found = self.bounds(ids[there], place[passage[there]], len(own))
             yield own[found // self.blocks] * self.blocks + found % self.blocks
 
     def bounds(self, ids: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
         """The same for passages that all have a pivot. Frequent terms: presence times block maxima, one product. Rare terms:
-        their few blocks are added to that. Each pair of passage and term stands here once."""
+        their few blocks are added to that."""
         column = self.column[ids]
         there = np.zeros((n, len(self.maxima)), np.float32)
         there[passage[column >= 0], column[column >= 0]] = 1
         bound = (there @ self.maxima).ravel() if len(self.maxima) else np.zeros(n * self.blocks, np.float32)
-        at, term = passage[column < 0], ids[column < 0]
+        size = len(self.column)
+        pair = np.unique((passage * size + ids)[column < 0])
+        at, term = pair // size, pair % size
         k = self.start[term + 1] - self.start[term]
         first = np.repeat(self.start[term] - np.cumsum(k) + k, k) + np.arange(k.sum())
         bound += np.bincount(np.repeat(at, k) * self.blocks + self.block_of[first], self.bound[first], len(bound)).astype(np.float32)
