@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and ORACLE.
-MODULES = ("pii", "html_text", "pieces", "language_id", "quality_rules", "sharding", "grading", "near_dedup", "decontaminate", "line_dedup")
+MODULES = ("pii", "html_text", "pieces", "language_id", "quality_rules", "sharding", "grading", "near_dedup", "decontaminate", "line_dedup", "vector_codes", "hard_negatives", "exact_search")
 
 
 def queries() -> dict:

@@ -24,13 +24,14 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, 0), (None, 1, 1), (3, 0, 0), (7, 0, 1), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, "Was ist die Antwort auf alles? Zweiundvierzig ist die Antwort auf die Frage nach dem Sinn."), (2, None), (3, ""), (None, "two words")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(1, "u", "<article><p>Some text stands here.</p></article>", 1), (1, "u", "<article><p>Some text stands here.</p></article>", 1), (None, None, None, None), (2, "u", "", 3), (3, "u", "<p>" * 5000, 4)], "page_id long, url string, html string, text int").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(k, [k / 90 - 0.3] * 16, k % 3) for k in range(60)] + [(100, None, 1), (None, [0.5] * 16, None)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return d
 
 
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{folder}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return d
 
@@ -39,7 +40,9 @@ def empty(spark, folder, tmp_path_factory):
 def test_odd_rows(spark, folder, name):
     got = registry.queries()[name](spark, folder).collect()
     n = spark.read.parquet(f"{folder}/{'pages' if name.startswith('op2_') else 'documents'}.parquet").count()
-    if name.startswith("op9_"):
+    if name.startswith(("op11_", "op12_", "op13_")):
+        assert len(got) == 61 if name.startswith("op11_") else {r[0] for r in got} <= {0, 50}
+    elif name.startswith("op9_"):
         assert {(r.doc_id, r.item_id) for r in got} == {(9, 1)}
     else:
         assert len(got) == n
