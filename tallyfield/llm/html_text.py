@@ -9,8 +9,9 @@ least total cost; source-side blocks are the text, in page order.
 The classifier is fitted on seeded pages that `sample_pages()` spells out, so nothing is learned from the input.
 
 Defined cases: null html is empty; an empty page or one without content gives an empty text; unclosed tags end with
-their container, a head without end tag ends at the body or the first tag that no head holds, a script or style without end
-tag runs to the end of the page, other elements that are left out (`HIDDEN`) without one hold nothing, self-closed ones
+their container, a head without end tag before the body holds only what shows nothing (titles, scripts, links), a script or
+style without end tag runs to the end of the page, a `<` without `>` after it is text, quotes count no more once a tag's run
+to the end of the page, other elements that are left out (`HIDDEN`) without one hold nothing, self-closed ones
 are empty, unmatched end tags are ignored, `<` that opens no tag is text; a block whose gain is 0 after its neighbours are
 settled is left out; pages of any length are read whole; repeated rows give equal results; columns other than page_id,
 url and html are ignored.
@@ -22,7 +23,7 @@ import html
 import math
 import random
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -35,22 +36,13 @@ from .common import table
 
 FOLLOW = 0.6
 SHARED = 1.2
-#: Comments and closed elements of a head; no groups, as groups inside a possessive repeat break the re module.
-_HELD = r"<!--.*?(?:-->|\Z)|" + "|".join(rf"<{t}\b[^>]*+(?<!/)>.*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "title"))
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style)\b[^>]*+(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    # a head up to its end tag; without one before the body, its elements up to the first that is none of a head
-    r"|(?P<head><head\b[^>]*+>(?:(?:[^<]++|" + _HELD + r"|<(?!/head\s*>|body\b))*+</head\s*>"
-    r"|(?:\s++|" + _HELD + r"|</?(?:base|link|meta|html|script|style)\b[^>]*+>)*+))"
-    r"|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs2>[^>]*+)>",
-    re.S | re.I,
-)
-#: Elements that are left out with all they hold, and a pattern for their tags. Comments and scripts hold no tags.
-HIDDEN = ("noscript", "template", "svg", "iframe", "select", "textarea", "object", "canvas")
-_HIDDEN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style)\b[^>]*+>.*?(?:</(?:script|style)\s*>|\Z)|<(?P<end>/?)(?P<tag>" + "|".join(HIDDEN) + r")\b[^>]*+>", re.S | re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+#: The rest of a tag; a `>` in quotes doesn't end it.
+_QUOTED = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+>")
+#: Elements whose content holds no tags.
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "title")}
+#: Elements that are left out with all they hold.
+HIDDEN = frozenset("noscript template svg iframe select textarea object canvas".split())
 _NAME = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: Tags that run on inside a block (fixed values).
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -86,26 +78,88 @@ class Block(NamedTuple):
     steps: int
 
 
-def hidden(page: str) -> dict[int, int]:
+class Token(NamedTuple):
+    """A tag, or with an empty name a comment, a declaration or a whole element without tags in it."""
+
+    start: int
+    end: int
+    name: str = ""
+    closes: bool = False
+    attrs: str = ""
+    raw: bool = False
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """The tags of a page from left to right, in time that grows with its length: a search that reaches the end of the page
+    in vain is not made again. That holds for `>` at all, for `</title>`, and for a `>` outside quotes: once a tag's quotes run
+    to the end of the page, quotes count no more."""
+    at, last, quotes, titles = 0, page.rfind(">"), True, True
+    while (at := page.find("<", at)) >= 0:
+        if page[at + 1 : at + 2] in ("!", "?"):
+            mark = "-->" if page.startswith("<!--", at) else ">"
+            found = page.find(mark, at + (4 if mark == "-->" else 1))
+            end = found + len(mark) if found >= 0 else len(page)
+            yield Token(at, end)
+        elif (m := _OPEN.match(page, at)) and m.end() <= last:
+            rest = _QUOTED.match(page, m.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            name, closes = m[2].lower(), bool(m[1])
+            if not closes and name in _RAW_END and page[end - 2] != "/" and (titles or name != "title"):
+                stop = _RAW_END[name].search(page, end)
+                if stop or name != "title":
+                    end = stop.end() if stop else len(page)
+                    yield Token(at, end, raw=True)
+                    at = end
+                    continue
+                titles = False
+            yield Token(at, end, name, closes, page[m.end() : end - 1])
+        else:
+            end = at + 1
+        at = end
+
+
+def hidden(found: list[Token]) -> dict[int, int]:
     """Start of each HIDDEN element that has an end tag -> where it ends. An end tag closes the nearest open one of its name,
     and what is open inside that one holds nothing more."""
     out: dict[int, int] = {}
-    opened: list[tuple[str, int]] = []
-    for m in _HIDDEN_TAG.finditer(page):
-        if not m["tag"]:
-            continue
-        tag = m["tag"].lower()
-        if not m["end"]:
-            if m[0][-2:] == "/>":
-                out[m.start()] = m.end()
-            else:
-                opened.append((tag, m.start()))
+    opened: list[Token] = []
+    places: dict[str, list[int]] = {t: [] for t in HIDDEN}  # of the open ones of each name in `opened`
+    for t in found:
+        if t.name not in HIDDEN:
             continue
-        for k in range(len(opened) - 1, max(-1, len(opened) - 1 - FAR), -1):
-            if opened[k][0] == tag:
-                out[opened[k][1]] = m.end()
+        if t.closes:
+            if places[t.name]:
+                k = places[t.name][-1]
+                out[opened[k].start] = t.end
+                for gone in reversed(opened[k:]):
+                    places[gone.name].pop()
                 del opened[k:]
-                break
+        elif t.attrs.endswith("/"):
+            out[t.start] = t.end
+        else:
+            places[t.name].append(len(opened))
+            opened.append(t)
+    return out
+
+
+def heads(found: list[Token], gone: dict[int, int]) -> dict[int, int]:
+    """Start of each head that has an end tag before the body -> where it ends."""
+    out: dict[int, int] = {}
+    waiting: list[int] = []
+    until = 0
+    for t in found:
+        if t.start < until:
+            continue
+        if t.name in HIDDEN:
+            until = gone.get(t.start, 0)
+        elif t.name == "head" and not t.closes:
+            waiting.append(t.start)
+        elif t.name == "body" and not t.closes:
+            waiting.clear()
+        elif t.name == "head":
+            out |= dict.fromkeys(waiting, t.end)
+            waiting.clear()
     return out
 
 
@@ -116,6 +170,7 @@ def blocks(page: str) -> list[Block]:
     above = [0]  # container -> the one that holds it
     depth_of = [0]
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, flags, number
+    standing: Counter[str] = Counter()  # tags on the stack
     parts: list[str] = []
     boxes = linked = depth = 0
 
@@ -137,25 +192,28 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
-    at = 0
-    gone, until = hidden(page), 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < until:
+    found = list(tokens(page))
+    gone = hidden(found)
+    head_ends = heads(found, gone)
+    at = until = 0
+    for t in found:
+        if t.start < until:
             continue
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+        if t.start > at:
+            parts.append(page[at : t.start])
             if depth:
-                linked += m.start() - at
-        at = m.end()
-        tag = m["tag"] or m["tag2"]
+                linked += t.start - at
+        at, tag, end = t.end, t.name, t.closes
         if not tag:
-            if m["head"] or m["raw"]:
+            if t.raw:
                 close()
             continue
-        tag = tag.lower()
-        end = bool(m["end"] or m["end2"])
+        if tag == "head":
+            close()
+            at = until = head_ends.get(t.start, at) if not end else at
+            continue
         if tag in HIDDEN:
-            at = until = max(at, gone.get(m.start(), at))
+            at = until = max(at, gone.get(t.start, at))
             if tag not in ("svg", "iframe"):
                 close()
             continue
@@ -168,15 +226,16 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while standing[tag]:  # down to the nearest one of its name
+                name = stack.pop()[0]
+                standing[name] -= 1
+                if name == tag:
                     break
             continue
         if stack[-1][0] == "p" or (tag in ("li", "dd", "dt", "tr", "td", "option") and stack[-1][0] == tag):
-            stack.pop()  # a new block ends an open paragraph
+            standing[stack.pop()[0]] -= 1  # a new block ends an open paragraph
         flags = stack[-1][1] | TAG_FLAGS.get(tag, 0)
-        attrs = m["attrs"] or m["attrs2"]
+        attrs = t.attrs
         if attrs and tag not in ("body", "html"):
             for name in _NAME.finditer(attrs):
                 value = re.sub(r"[_]+|(?<=[a-z])(?=[A-Z])", "-", name[1] or name[2] or name[3] or "")
@@ -187,6 +246,7 @@ def blocks(page: str) -> list[Block]:
         above.append(stack[-1][2])
         depth_of.append(depth_of[stack[-1][2]] + 1)
         stack.append((tag, flags, boxes))
+        standing[tag] += 1
     parts.append(page[at:])
     close()
     return out
