@@ -27,9 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
-    """df with the rows' places 0, 1, ... in an order (long). The sorted rows are written once, so that their partitions stay as
-    they are; a place is the row's number in its partition plus the rows of the partitions before, one number each."""
-    rows = cut(df.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id())  # partition number and place in it
+    """df with the rows' places 0, 1, ... in an order (long)."""
+    return placed(df.orderBy(*order), name)
+
+
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """df with its rows' places 0, 1, ... as they stand (long). The rows are written once, so that their partitions stay as they
+    are; a place is the row's number in its partition plus the rows of the partitions before, one number each."""
+    rows = cut(df).withColumn("_at", F.monotonically_increasing_id())  # partition number and place in it
     part = F.shiftrightunsigned("_at", 33)
     sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))

@@ -3,7 +3,7 @@
 `conjunct, conjunct, ... : field[element][slice]`. Conjuncts are expressions over columns; each sees the rows that the
 earlier ones left, so `t > mean(t)` depends on its place. `@name` keeps ids that a list holds, `~@name` drops them,
 `@@name` returns the list as it is, `/all` switches the stored default conjuncts off. A known id stands for
-`id == 'that id'`. Rows are sorted by the field (ties: id) and sliced like a list.
+`id == 'that id'`. Rows are sorted by the field (ties: id) and sliced like a list; where neither is asked for, nothing is sorted.
 
 Expressions are parsed with Python's grammar and translated node by node into Columns; anything outside the whitelist
 is an error and nothing is evaluated. Only conjuncts with an aggregate start a new stage; others fuse into one filter.
@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..lineage import numbered as in_order
+from ..lineage import placed
 
 SCALARS: dict[str, Callable[..., Column]] = {
     "abs": F.abs, "sqrt": F.sqrt, "exp": F.exp, "log": F.ln, "log10": F.log10, "sin": F.sin, "cos": F.cos, "tan": F.tan,
@@ -72,8 +73,10 @@ class TagTable:
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
     functors: dict[str, Callable[[DataFrame], Callable[..., Column]]] = field(default_factory=dict)
 
-    def query(self, text: str = "") -> DataFrame:
-        """The selected rows, in order; column `_pos` is their place."""
+    def query(self, text: str = "", places: bool = False) -> DataFrame:
+        """The selected rows. A slice comes with column `_pos`, the rows' places in the order; so does any query with places=True,
+        which numbers rows in the default order, or those of a list as they stand. Without them a query is a plan of filters and
+        semi joins, plus a sort where it names a field: nothing is run or written while it is made."""
         head, *tail = split_outside(text or "", ":")
         conjuncts, use_default, wanted = [], True, None
         for c in split_outside(head, ","):
@@ -87,13 +90,13 @@ class TagTable:
             elif c:
                 conjuncts.append(c)
         if wanted is not None:
-            return self._list(wanted).withColumn("_pos", F.monotonically_increasing_id())
+            return placed(self._list(wanted), "_pos") if places else self._list(wanted)
         if use_default:
             conjuncts += [c for c in split_outside(self.default, ",") if c.strip()]
         df = self.df
         for c in conjuncts:
             df = self._restrict(df, c.strip())
-        return self._ordered(df, ":".join(tail))
+        return self._ordered(df, ":".join(tail), places)
 
     def _list(self, name: str) -> DataFrame:
         if name not in self.lists:
@@ -167,8 +170,10 @@ class TagTable:
                 return go(args[0]).isin([n.value for n in args[1].elts if isinstance(n, ast.Constant)])
         raise QueryError(f"{ast.dump(node)[:60]} is not allowed")
 
-    def _ordered(self, df: DataFrame, tail: str) -> DataFrame:
+    def _ordered(self, df: DataFrame, tail: str, places: bool) -> DataFrame:
         """Sort and slice. A slice from the start with a positive stop is a limit; others number the rows."""
+        if not tail.strip() and not places:
+            return df
         name, *brackets = tail.replace("]", "").split("[")
         name = name.strip() or self.sort or self.id
         if name not in df.columns:
@@ -190,6 +195,8 @@ class TagTable:
             top = df.orderBy(*order).limit(stop)
             place = F.row_number().over(W.orderBy(*order)).cast("long") - 1  # of the rows of the slice
             return top.withColumn("_pos", place) if stop else df.limit(0).withColumn("_pos", F.lit(0).cast("long"))
+        if (start, stop, step) == (None, None, 1) and not places:
+            return df.orderBy(*order)
         numbered = in_order(df, order, "_pos")
         if (start, stop, step) == (None, None, 1):
             return numbered

@@ -87,7 +87,7 @@ def test_gapfill_edges(spark):
 
 def test_query_language(spark):
     t = TagTable(spark.createDataFrame([(k, float(k % 5), k % 3 == 0) for k in range(20)], "id long, t double, night boolean"), default="t<4")
-    ids = lambda q: [r.id for r in t.query(q).orderBy("_pos").collect()]
+    ids = lambda q: [r.id for r in t.query(q, places=True).orderBy("_pos").collect()]
     assert ids("night:t[1:3]") == sorted((k for k in range(20) if k % 3 == 0 and k % 5 < 4), key=lambda k: (k % 5, k))[1:3]
     assert ids("/all,night") == [k for k in range(20) if k % 3 == 0]
     every = sorted((k for k in range(20) if k % 5 < 4), key=lambda k: k)
@@ -101,6 +101,16 @@ def test_query_language(spark):
             t.query(bad)
 
 
+def test_queries_without_a_slice_are_plain_plans(spark):
+    t = TagTable(spark.range(40).select("id", (F.col("id") % 7).alias("t")).repartition(5), lists={"f": spark.range(9, 0, -2).select("id")})
+    for q in ("t>2", "@f,t>1", "@@f", "t>2:t"):
+        plan = t.query(q)._jdf.queryExecution().toString()
+        assert "Scan ExistingRDD" not in plan and "_pos" not in t.query(q).columns
+    assert "Sort" not in t.query("t>2")._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.t for r in t.query("t>2:t").collect()] == sorted(k % 7 for k in range(40) if k % 7 > 2)
+    assert [(r.id, r._pos) for r in t.query("@@f", places=True).orderBy("_pos").collect()] == [(9 - 2 * k, k) for k in range(5)]
+
+
 def test_greedy_dedupe_is_the_scan(spark):
     rng = random.Random(3)
     pts = [(k, rng.uniform(0, 20), rng.uniform(0, 20), float(rng.randint(0, 9))) for k in range(150)]
