@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import intervals
+from ..lineage import cut as cut_lineage
+from . import intervals, lowrank
 from .sequences import running_median
 
 
@@ -83,28 +83,14 @@ def deglitch(samples: DataFrame, key: list[str], at: str, value: str, sigma: flo
 
 
 def eigenmodes(samples: DataFrame, ranges: DataFrame, group: str, key: str, at: str, value: str, threshold: float = 4.0, rounds: int = 4) -> DataFrame:
-    """Fills gaps from the strong joint modes of a group's keys, iterated from a linear start. One task holds one group (an
-    observation), never the whole table."""
-    import numpy as np
-
+    """Fills gaps from the strong joint modes of a group's keys, iterated from a linear start: those whose variance is over
+    `threshold` times the median mode's. Each round factorises all groups' samples in blocks; samples that a key lacks count as its mean."""
     start = linear(samples, ranges, [group, key], at, value)
-    rows = marked(start, ranges, [group, key], at).select(group, key, at, value, "cut")
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index=key, columns=at, values=value)
-        cut = ~frame.pivot(index=key, columns=at, values="cut").eq(False).to_numpy()  # a missing sample is cut too
-        d = np.nan_to_num(wide.to_numpy(float))
-        for _ in range(rounds):
-            mean = d.mean(axis=1, keepdims=True)
-            values, vectors = np.linalg.eigh(np.cov(d) if len(d) > 1 else np.array([[d.var()]]))
-            strong = vectors[:, values > threshold * np.median(values)]
-            model = strong @ (strong.T @ (d - mean)) + mean
-            d = np.where(cut, model, d)
-        out = pd.DataFrame(d, index=wide.index, columns=wide.columns).stack().rename(value).reset_index()
-        return frame[[group, key, at]].merge(out, on=[key, at])[[group, key, at, value]]
-
-    kinds = dict(samples.dtypes)
-    return rows.groupBy(group).applyInPandas(fit, f"{group} {kinds[group]}, {key} {kinds[key]}, {at} {kinds[at]}, {value} double")
+    rows = cut_lineage(marked(start, ranges, [group, key], at).select(group, key, at, value, "cut"))
+    for _ in range(rounds):
+        model = lowrank.strong_model(rows, [group], key, at, value, threshold)
+        rows = cut_lineage(model.select(group, key, at, F.when(F.col("cut"), F.col("_model")).otherwise(F.col(value)).alias(value), "cut"))
+    return rows.drop("cut")
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"linear": linear, "common": common, "constant": constant, "none": nothing}

@@ -11,6 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -273,24 +274,6 @@ def remove_poly(df: DataFrame, group: list[str], at: str, value: str, n_t: int,
     return rows.join(amps, group, "left").withColumn(value, F.col(value) - F.coalesce(model, F.lit(0.0))).select(*cols)
 
 
-def deproject(df: DataFrame, group: list[str], at: str, value: str, det: str, dark: str, modes: int) -> DataFrame:
-    """Takes the strongest joint modes of the dark detectors out of the others; one task holds one group."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        wide = frame.pivot(index=det, columns=at, values=value).fillna(0.0)
-        is_dark = frame.groupby(det)[dark].first().reindex(wide.index).to_numpy(bool)
-        d = wide.to_numpy(float)
-        d = d - d.mean(axis=1, keepdims=True)
-        if is_dark.any() and (~is_dark).any():
-            basis = np.linalg.svd(d[is_dark], full_matrices=False)[2][:modes].T
-            d[~is_dark] -= (basis @ np.linalg.lstsq(basis, d[~is_dark].T, rcond=None)[0]).T
-        out = pd.DataFrame(d, index=wide.index, columns=wide.columns).stack().rename(value).reset_index()
-        return frame[[*group, det, at, dark]].merge(out, on=[det, at])[[*group, det, at, dark, value]]
-
-    shape = T.StructType([f if f.name != value else T.StructField(value, T.DoubleType()) for f in df.select(*group, det, at, dark, value).schema])
-    return df.select(*group, det, at, dark, value).groupBy(*group).applyInPandas(run, shape)
-
-
 #: Keys, and places, that one task of covariance() holds.
 TILE, SPAN = 256, 4096
 
@@ -299,30 +282,55 @@ def covariance(df: DataFrame, det: str, at: str, value: str, lag: int = 0) -> Da
     """Sum of d_i(t) d_j(t + lag) over the places that both have, divided by their number, for all pairs: the matrix of
     n_det^2 cells that is asked for. Null values are missing.
 
-    As a blocked product: keys are dealt into tiles and places into spans; a task multiplies one tile of left keys by one
-    of right keys over one span. A sample is sent once per tile, and pairs leave a task already summed over the span.
+    As a blocked product: keys are dealt into tiles and places into spans, and each tile's span is packed into one row, a
+    matrix and which of its cells there are. Packed rows, not samples, are sent to the tiles they meet (at lag 0 to those that
+    come after); a task multiplies two of them, and pairs leave it already summed over the span.
     """
     held = df.where(F.col(value).isNotNull()).select(F.col(det).alias("det"), F.col(at).cast("long").alias("at"), F.col(value).cast("double").alias("v"))
-    n = max(1, -(-held.select("det").distinct().count() // TILE))
-    own, other = F.pmod(F.xxhash64("det"), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = held.select("det", "at", "v", F.lit(0).alias("side"), own.alias("i"), other.alias("j"))
-    right = held.select("det", (F.col("at") - lag).alias("at"), "v", F.lit(1).alias("side"), other.alias("i"), own.alias("j"))
+    keys, low, high = held.agg(F.approx_count_distinct("det"), F.min("at"), F.max("at")).first()
+    n = max(1, -(-keys // TILE))
     kind = dict(df.dtypes)[det]
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        places, t = np.unique(frame["at"].to_numpy(), return_inverse=True)
-        parts = []
-        for side in (0, 1):
-            mine = (frame["side"] == side).to_numpy()
-            dets, d = np.unique(frame["det"].to_numpy()[mine], return_inverse=True)
-            m, there = np.zeros((len(dets), len(places))), np.zeros((len(dets), len(places)))
-            np.add.at(m, (d, t[mine]), frame["v"].to_numpy()[mine])
-            np.add.at(there, (d, t[mine]), 1.0)
-            parts.append((dets, m, there))
-        (a, x, nx), (b, y, ny) = parts
-        count = nx @ ny.T
-        k, q = np.nonzero(count)
-        return pd.DataFrame({"i": a[k], "j": b[q], "s": (x @ y.T)[k, q], "n": count[k, q]})
-
-    sums = left.unionByName(right).groupBy("i", "j", F.floor(F.col("at") / SPAN).alias("k")).applyInPandas(run, f"i {kind}, j {kind}, s double, n double")
+    tile = F.pmod(F.xxhash64("det"), F.lit(n)).cast("int").alias("tile")
+    rows = held.select("det", "at", "v", F.lit(0).alias("side"), tile)
+    if lag:
+        rows = rows.unionByName(held.select("det", (F.col("at") - lag).alias("at"), "v", F.lit(1).alias("side"), tile))
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        dets, d = np.unique(frame["det"].to_numpy(), return_inverse=True)
+        t = frame["at"].to_numpy()
+        first = int(t.min())
+        cells = np.zeros((2, len(dets), int(t.max()) - first + 1))
+        np.add.at(cells[0], (d, t - first), frame["v"].to_numpy())
+        np.add.at(cells[1], (d, t - first), 1.0)
+        return pd.DataFrame([(*key, dets.tolist(), first, cells[0].tobytes(), cells[1].astype(np.float32).tobytes())], columns=["side", "tile", "k", "dets", "first", "m", "there"])
+
+    packed = rows.groupBy("side", "tile", F.floor(F.col("at") / SPAN).alias("k")).applyInPandas(pack, f"side int, tile int, k long, dets array<{kind}>, first long, m binary, there binary")
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if lag:
+        i, j = (F.when(F.col("side") == s, F.col("tile")).otherwise(F.col("o")) for s in (0, 1))
+        sent = packed.withColumn("o", other).select("side", "k", i.alias("i"), j.alias("j"), "dets", "first", "m", "there")
+    else:  # the smaller number is the left tile
+        sent = packed.withColumn("o", other).select((F.col("tile") > F.col("o")).cast("int").alias("side"), "k", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "dets", "first", "m", "there")
+
+    def times(table: pa.Table) -> pa.Table:
+        parts, frame = [], table.sort_by("side").to_pydict()
+        for dets, first, m, there in zip(frame["dets"], frame["first"], frame["m"], frame["there"], strict=True):
+            parts.append((np.asarray(dets), first, np.frombuffer(m).reshape(len(dets), -1), np.frombuffer(there, np.float32).reshape(len(dets), -1)))
+        own = lag == 0 and frame["i"][0] == frame["j"][0]
+        (a, p, x, nx), (b, q, y, ny) = parts[0], parts[-1]
+        low, high = max(p, q), min(p + x.shape[1], q + y.shape[1])
+        if len(parts) < 2 and not own:
+            high = low  # nothing to meet
+        left, right = slice(low - p, max(low, high) - p), slice(low - q, max(low, high) - q)
+        s, count = x[:, left] @ y[:, right].T, nx[:, left] @ ny[:, right].T
+        k, o = np.nonzero(count)
+        i, j, s, count = a[k], b[o], s[k, o], count[k, o].astype(float)
+        if lag == 0 and not own:
+            i, j, s, count = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(s, 2), np.tile(count, 2)
+        key = table.schema.field("dets").type.value_type
+        return pa.table({"i": pa.array(i, key), "j": pa.array(j, key), "s": s, "n": count})
+
+    sums = sent.groupBy("i", "j", "k").applyInArrow(times, f"i {kind}, j {kind}, s double, n double")
+    if low is not None and (low - max(lag, 0)) // SPAN == (high - min(lag, 0)) // SPAN:  # one span: a pair is there once
+        return sums.select("i", "j", (F.col("s") / F.col("n")).alias("cov"))
     return sums.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("cov"))

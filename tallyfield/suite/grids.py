@@ -104,8 +104,8 @@ def grid(spark: SparkSession, d: str) -> DataFrame:
 put("az_bins", lambda s, d: rounded(bn.by_azimuth(li(s, d), ["l_linenumber"], C("fx"), 3.0, 2.5, "q", 12), "total"), "SELECT l_linenumber, CAST(floor((fx - 3) / 2.5) AS INT) AS bin, round(sum(q), 4) AS total, count(*) AS hits FROM li WHERE floor((fx - 3) / 2.5) BETWEEN 0 AND 11 GROUP BY 1, 2")
 put("flat_histogram", lambda s, d: bn.flat_histogram(li(s, d), ["l_linenumber"], C("y") * 40 + C("x"), 40, 10), "SELECT l_linenumber, CAST(y % 10 AS INT) AS bin, count(*) AS hits FROM li GROUP BY 1, 2")
 put(
-    "add_rows", lambda s, d: rounded(bn.add_rows(li(s, d).where("l_linenumber = 1").select("y", (C("x") - 5).alias("x1"), (C("x") - 5 + C("q")).cast("int").alias("x2"), (C("c1") + 1).alias("w")), 40).where("abs(total) > 1e-9"), "total"),
-    "SELECT y, CAST(((k % 40) + 40) % 40 AS INT) AS x, round(sum(w), 4) AS total FROM (SELECT y, c1 + 1 AS w, unnest(range(x - 5, CAST(x - 5 + q AS INT))) AS k FROM li WHERE l_linenumber = 1) GROUP BY 1, 2",
+    "add_rows", lambda s, d: rounded(bn.add_rows(li(s, d).select("y", (C("x") - 5).alias("x1"), (C("x") - 5 + C("q")).cast("int").alias("x2"), (C("c1") + 1).alias("w")), 40).where("abs(total) > 1e-9"), "total"),
+    "SELECT y, CAST(((k % 40) + 40) % 40 AS INT) AS x, round(sum(w), 4) AS total FROM (SELECT y, c1 + 1 AS w, unnest(range(x - 5, CAST(x - 5 + q AS INT))) AS k FROM li) GROUP BY 1, 2",
 )
 put(
     "block_mu_sigma", lambda s, d: rounded(bn.block_stats(grid(s, d).where("x % 7 < 4 OR y < 10"), "v", 5, 8, 30).withColumn("n", C("n").cast("long")), "mu", "sigma"),

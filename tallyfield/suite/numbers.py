@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as fn
+from ..operators import lowrank
 from ..operators import numerics as nu
 from .base import nudged, rounded, samples, SAMPLES, table
 
@@ -128,11 +129,7 @@ put(
     f"WITH {SYS}, k AS (SELECT *, 2 + 1 + b * b / 2 + a * a / 3 AS k FROM sys) SELECT p_partkey, round(1 - 1 / k, 6) AS m0, round(-b / 2 / k, 6) AS m1, round(1 / 3.0 - a * a / 9 / k, 6) AS m8 FROM k",
 )
 put(
-    "covariance", lambda s, d: rounded(nu.covariance(samples(s, d).where("det < 12").select("det", "sample", "value"), "det", "sample", "value", 1), "cov", digits=4),
-    f"WITH {SAMPLES} SELECT a.det AS i, b.det AS j, round(sum(a.value * b.value) / count(*), 4) AS cov FROM samples a JOIN samples b ON b.sample = a.sample + 1 WHERE a.det < 12 AND b.det < 12 GROUP BY 1, 2",
-)
-put(
-    "covariance_all", lambda s, d: rounded(nu.covariance(samples(s, d).select("det", "sample", "value"), "det", "sample", "value", 1), "cov", digits=4),
+    "covariance", lambda s, d: rounded(nu.covariance(samples(s, d).select("det", "sample", "value"), "det", "sample", "value", 1), "cov", digits=4),
     f"WITH {SAMPLES} SELECT a.det AS i, b.det AS j, round(sum(a.value * b.value) / count(*), 4) AS cov FROM samples a JOIN samples b ON b.sample = a.sample + 1 GROUP BY 1, 2",
 )
 put(
@@ -148,7 +145,7 @@ def series(spark: SparkSession, d: str) -> DataFrame:
 
 
 Q["poly_filter"] = lambda s, d: nu.remove_poly(samples(s, d).withColumns({"az": F.sin("sample"), "cut": C("event_type") == "error"}).select("det", "sample", "value", "az", "cut"), ["det"], "sample", "value", 4, "az", -3, "cut").select("det", "sample", F.round("value", 4).alias("value"))
-Q["dark_deprojection"] = lambda s, d: nu.deproject(samples(s, d).withColumns({"scan": C("det") % 5, "dark": C("det") % 3 == 0}), ["scan"], "sample", "value", "det", "dark", 3)
+Q["dark_deprojection"] = lambda s, d: lowrank.deproject(samples(s, d).withColumns({"scan": C("det") % 5, "dark": C("det") % 3 == 0}), ["scan"], "sample", "value", "det", "dark", 3)
 Q["highpass"] = lambda s, d: series(s, d).select("det", nu.per_row(lambda v: nu.highpass(v, 0.05))("v").alias("v"))
 Q["bandpass"] = lambda s, d: series(s, d).select("det", nu.per_row(lambda v: nu.bandpass(v, 0.05, 0.2))("v").alias("v"))
 Q["hwp_notch"] = lambda s, d: series(s, d).select("det", nu.per_row(lambda v: nu.notch(v, 0.1, 3))("v").alias("v"))

@@ -90,7 +90,6 @@ put("insert_samples", insert_samples, "SELECT det, sample, CASE WHEN event_type
 NAMES = ["error", "high"]
 POINTS = """points AS (SELECT det, CAST(sample AS INT) AS at, f AS flags FROM (SELECT det, sample, f, lag(f) OVER (PARTITION BY det ORDER BY sample) AS p FROM
  (SELECT det, sample, CAST((event_type = 'error')::INT + 2 * (value > 60)::INT AS BIGINT) AS f FROM samples)) WHERE p IS NULL OR p <> f)"""
-HELD = "held AS (SELECT *, lead(at, 1, 50) OVER (PARTITION BY det ORDER BY at) AS until FROM points WHERE at < 50)"
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
@@ -102,36 +101,21 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return s.where(F.col("p").isNull() | (F.col("p") != F.col("flags"))).select("det", F.col("sample").alias("at"), "flags")
 
 
-def cut50(spark: SparkSession, d: str) -> DataFrame:
-    return points(spark, d).where("at < 50")
-
-
 put("flag_points", points, "SELECT det, at, flags FROM points", POINTS)
 put("flag_count_ranges", lambda s, d: fl.count_ranges(points(s, d), NAMES), "SELECT 'error' AS flag, count(*) AS n FROM points WHERE flags % 2 = 1 UNION ALL SELECT 'high', count(*) FROM points WHERE flags >= 2", POINTS)
-put(
-    "flag_count_samples", lambda s, d: fl.count_samples(cut50(s, d), KEY, NAMES, 50, KEY),
-    "SELECT det, 'error' AS flag, CAST(sum(CASE WHEN flags % 2 = 1 THEN until - at ELSE 0 END) AS BIGINT) AS n FROM held GROUP BY 1 UNION ALL SELECT det, 'high', CAST(sum(CASE WHEN flags >= 2 THEN until - at ELSE 0 END) AS BIGINT) FROM held GROUP BY 1",
-    POINTS, HELD,
-)
 put("flag_select", lambda s, d: fl.select(points(s, d), NAMES, "high,~error"), "SELECT det, at, CAST(flags = 2 AS BIGINT) AS flags FROM points", POINTS)
 put("flag_derived", lambda s, d: fl.select(points(s, d), NAMES, "!clean", {"clean": (2, 1)}), "SELECT det, at, CAST(NOT flags = 2 AS BIGINT) AS flags FROM points", POINTS)
-put("flag_to_ranges", lambda s, d: fl.to_ranges(cut50(s, d), KEY, 50), "SELECT det, lo, hi FROM m", POINTS, HELD, merge_sql("m", "SELECT det, at AS lo, until AS hi FROM held WHERE flags <> 0"))
-put(
-    "flag_from_ranges", lambda s, d: fl.from_ranges(errs(s, d), lengths(s, d), KEY, 60),
-    "SELECT det, at, max(f) AS flags FROM (SELECT det, lo AS at, CAST(1 AS BIGINT) AS f FROM errs UNION ALL SELECT det, hi, 0 FROM errs UNION ALL SELECT det, 0, 0 FROM lengths) WHERE at < 60 GROUP BY 1, 2",
-)
+# flags hold to each detector's own end
 
-# the same over all change points, to each detector's own end
-
-HELD_ALL = "held AS (SELECT det, at, flags, coalesce(lead(at) OVER (PARTITION BY det ORDER BY at), n) AS until FROM points JOIN lengths USING (det))"
+HELD = "held AS (SELECT det, at, flags, coalesce(lead(at) OVER (PARTITION BY det ORDER BY at), n) AS until FROM points JOIN lengths USING (det))"
 put(
-    "flag_count_samples_all", lambda s, d: fl.count_samples(points(s, d), KEY, NAMES, lengths(s, d), KEY),
+    "flag_count_samples", lambda s, d: fl.count_samples(points(s, d), KEY, NAMES, lengths(s, d), KEY),
     "SELECT det, 'error' AS flag, CAST(sum(CASE WHEN flags % 2 = 1 THEN until - at ELSE 0 END) AS BIGINT) AS n FROM held GROUP BY 1 UNION ALL SELECT det, 'high', CAST(sum(CASE WHEN flags >= 2 THEN until - at ELSE 0 END) AS BIGINT) FROM held GROUP BY 1",
-    POINTS, HELD_ALL,
+    POINTS, HELD,
 )
-put("flag_to_ranges_all", lambda s, d: fl.to_ranges(points(s, d), KEY, lengths(s, d)), "SELECT det, lo, hi FROM m", POINTS, HELD_ALL, merge_sql("m", "SELECT det, at AS lo, until AS hi FROM held WHERE flags <> 0"))
+put("flag_to_ranges", lambda s, d: fl.to_ranges(points(s, d), KEY, lengths(s, d)), "SELECT det, lo, hi FROM m", POINTS, HELD, merge_sql("m", "SELECT det, at AS lo, until AS hi FROM held WHERE flags <> 0"))
 put(
-    "flag_from_ranges_all", lambda s, d: fl.from_ranges(errs(s, d), lengths(s, d), KEY, lengths(s, d)),
+    "flag_from_ranges", lambda s, d: fl.from_ranges(errs(s, d), lengths(s, d), KEY, lengths(s, d)),
     "SELECT det, at, max(f) AS flags FROM (SELECT det, lo AS at, CAST(1 AS BIGINT) AS f FROM errs UNION ALL SELECT det, hi, 0 FROM errs UNION ALL SELECT det, 0, 0 FROM lengths) JOIN lengths USING (det) WHERE at < n GROUP BY 1, 2",
 )
 put(

@@ -47,9 +47,9 @@ put(
     'SELECT det, round(p, 3) AS gap_start, round(start, 3) AS gap_end FROM (SELECT det, start, max("end") OVER (PARTITION BY det ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ses) WHERE start - p > 100000', SESS,
 )
 put(
-    "start_groups", lambda s, d: sq.groups_by_start(samples(s, d).where("det < 60"), ["event_type"], "t", 3000.0).groupBy("event_type", F.col("grp").cast("long").alias("grp")).agg(F.count(F.lit(1)).alias("n")),
+    "start_groups", lambda s, d: sq.groups_by_start(samples(s, d), ["event_type"], "t", 3000.0).groupBy("event_type", F.col("grp").cast("long").alias("grp")).agg(F.count(F.lit(1)).alias("n")),
     """SELECT event_type, CAST(grp AS BIGINT) AS grp, n FROM (SELECT event_type, grp, count(*) AS n, max(count(*)) OVER (PARTITION BY event_type) AS most FROM
- (SELECT event_type, sum(f) OVER (PARTITION BY event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY event_type ORDER BY t) <= 3000 THEN 0 ELSE 1 END AS f FROM samples WHERE det < 60)) GROUP BY 1, 2) WHERE n = most""",
+ (SELECT event_type, sum(f) OVER (PARTITION BY event_type ORDER BY t ROWS UNBOUNDED PRECEDING) AS grp FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY event_type ORDER BY t) <= 3000 THEN 0 ELSE 1 END AS f FROM samples)) GROUP BY 1, 2) WHERE n = most""",
 )
 put(
     "phase", lambda s, d: rounded(sq.phase(samples(s, d), KEY, "sample", "value").select("det", "sample", "phase"), "phase"),

@@ -113,47 +113,25 @@ O["list_override"] = "SELECT item_id * 1000 AS o_orderkey FROM benchmark"
 
 
 def tag_merge_outer(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("rich"), F.col("c_nationkey").alias("code"), F.col("c_acctbal").alias("amount"))
-    b = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.max("o_totalprice") > 400000).alias("rich"), F.count(F.lit(1)).cast("int").alias("n_orders"))
-    return tb.outer_merge([a, b], "id")
-
-
-Q["tag_merge_outer"] = tag_merge_outer
-O["tag_merge_outer"] = """WITH a AS (SELECT c_custkey AS id, c_acctbal > 0 AS rich, c_nationkey AS code, c_acctbal AS amount FROM customer WHERE c_custkey % 3 <> 0),
- b AS (SELECT o_custkey AS id, max(o_totalprice) > 400000 AS rich, CAST(count(*) AS INT) AS n_orders FROM orders GROUP BY 1)
- SELECT coalesce(a.id, b.id) AS id, coalesce(a.rich, false) OR coalesce(b.rich, false) AS rich, coalesce(code, -1) AS code, amount, coalesce(n_orders, -1) AS n_orders FROM a FULL JOIN b ON a.id = b.id"""
-
-
-def tag_merge_outer_all(spark: SparkSession, d: str) -> DataFrame:
     """All customers with all orders; a customer without orders is a row of one side only."""
     a = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 0).alias("rich"), F.col("c_nationkey").alias("code"), F.col("c_acctbal").alias("amount"))
     b = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((F.max("o_totalprice") > 400000).alias("rich"), F.count(F.lit(1)).cast("int").alias("n_orders"))
     return tb.outer_merge([a, b], "id")
 
 
-Q["tag_merge_outer_all"] = tag_merge_outer_all
-O["tag_merge_outer_all"] = """WITH a AS (SELECT c_custkey AS id, c_acctbal > 0 AS rich, c_nationkey AS code, c_acctbal AS amount FROM customer),
+Q["tag_merge_outer"] = tag_merge_outer
+O["tag_merge_outer"] = """WITH a AS (SELECT c_custkey AS id, c_acctbal > 0 AS rich, c_nationkey AS code, c_acctbal AS amount FROM customer),
  b AS (SELECT o_custkey AS id, max(o_totalprice) > 400000 AS rich, CAST(count(*) AS INT) AS n_orders FROM orders GROUP BY 1)
  SELECT coalesce(a.id, b.id) AS id, coalesce(a.rich, false) OR coalesce(b.rich, false) AS rich, coalesce(code, -1) AS code, amount, coalesce(n_orders, -1) AS n_orders FROM a FULL JOIN b ON a.id = b.id"""
 
 
 def tag_pivot(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("tag")).where("event_id % 40 = 0")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("tag"))
     return tb.tag_members(rows, "id", "tag", ["click", "error", "purchase"])
 
 
 Q["tag_pivot"] = tag_pivot
 O["tag_pivot"] = """SELECT user_id AS id, bool_or(event_type = 'click') AS click, bool_or(event_type = 'error') AS error, bool_or(event_type = 'purchase') AS purchase
- FROM events WHERE event_id % 40 = 0 GROUP BY 1"""
-
-
-def tag_pivot_all(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("tag"))
-    return tb.tag_members(rows, "id", "tag", ["click", "error", "purchase"])
-
-
-Q["tag_pivot_all"] = tag_pivot_all
-O["tag_pivot_all"] = """SELECT user_id AS id, bool_or(event_type = 'click') AS click, bool_or(event_type = 'error') AS error, bool_or(event_type = 'purchase') AS purchase
  FROM events GROUP BY 1"""
 
 
@@ -169,11 +147,11 @@ O["field_intersection"] = f"""WITH {SAMPLES} SELECT CAST(f AS INT) AS field, det
 
 def detector_union(spark: SparkSession, d: str) -> DataFrame:
     s = samples(spark, d).select("det", "sample", "value")
-    return tb.stack_detectors([s.where("det < 40"), tb.shift(s.where("det >= 100"), "det", "sample", by_det=1000)], "det").groupBy("det").agg(F.count(F.lit(1)).alias("n"))
+    return tb.stack_detectors([s, tb.shift(s, "det", "sample", by_det=1_000_000)], "det").groupBy("det").agg(F.count(F.lit(1)).alias("n"))
 
 
 Q["detector_union"] = detector_union
-O["detector_union"] = f"WITH {LENGTHS} SELECT CASE WHEN det < 40 THEN det ELSE det + 1000 END AS det, CAST(n AS BIGINT) AS n FROM lengths WHERE det < 40 OR det >= 100"
+O["detector_union"] = f"WITH {LENGTHS} SELECT det, CAST(n AS BIGINT) AS n FROM lengths UNION ALL SELECT det + 1000000, CAST(n AS BIGINT) FROM lengths"
 
 
 def restrict_dets(spark: SparkSession, d: str) -> DataFrame:
@@ -265,30 +243,15 @@ O["det_gain_lines"] = """WITH g AS (SELECT l_suppkey, l_linenumber, CAST(round(s
 
 
 def links_compact(spark: SparkSession, d: str) -> DataFrame:
-    """Ragged source x detector links: kept pairs, unused ranges dropped, the rest numbered anew."""
-    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_linenumber").cast("long").alias("det"), F.col("l_partkey").alias("range_id"))
-    ranges = table(spark, d, "part").select(F.col("p_partkey").alias("range_id"), F.lit(0).alias("lo"), F.col("p_size").alias("hi"))
-    keep = li.where("src < 5 AND det <= 2").select("src", "det").distinct()
-    links, used = tb.compact(li, ranges, keep)
-    return links.join(used, "range_id").groupBy("src", "det").agg(F.count(F.lit(1)).alias("n"), F.sum("range_id").alias("ids"), F.sum(F.col("hi") - F.col("lo")).alias("covered"))
-
-
-Q["links_compact"] = links_compact
-O["links_compact"] = """WITH k AS (SELECT l_suppkey AS src, CAST(l_linenumber AS BIGINT) AS det, l_partkey AS p FROM lineitem WHERE l_suppkey < 5 AND l_linenumber <= 2),
- u AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i FROM (SELECT DISTINCT p FROM k))
- SELECT src, det, count(*) AS n, CAST(sum(i) AS BIGINT) AS ids, CAST(sum(p_size) AS BIGINT) AS covered FROM k JOIN u USING (p) JOIN part ON p_partkey = p GROUP BY 1, 2"""
-
-
-def links_compact_all(spark: SparkSession, d: str) -> DataFrame:
-    """links_compact over every source and detector; the kept pairs are those with an item sent back."""
+    """Ragged source x detector links: kept pairs (those with an item sent back), unused ranges dropped, the rest numbered anew."""
     items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_linenumber").cast("long").alias("det"), F.col("l_partkey").alias("range_id"), "l_returnflag")
     ranges = table(spark, d, "part").select(F.col("p_partkey").alias("range_id"), F.lit(0).alias("lo"), F.col("p_size").alias("hi"))
     links, used = tb.compact(items.drop("l_returnflag"), ranges, items.where("l_returnflag = 'R'").select("src", "det").distinct())
     return links.join(used, "range_id").groupBy("src", "det").agg(F.count(F.lit(1)).alias("n"), F.sum("range_id").alias("ids"), F.sum(F.col("hi") - F.col("lo")).alias("covered"))
 
 
-Q["links_compact_all"] = links_compact_all
-O["links_compact_all"] = """WITH k AS (SELECT l_suppkey AS src, CAST(l_linenumber AS BIGINT) AS det, l_partkey AS p FROM lineitem WHERE (l_suppkey, l_linenumber) IN (SELECT (l_suppkey, l_linenumber) FROM lineitem WHERE l_returnflag = 'R')),
+Q["links_compact"] = links_compact
+O["links_compact"] = """WITH k AS (SELECT l_suppkey AS src, CAST(l_linenumber AS BIGINT) AS det, l_partkey AS p FROM lineitem WHERE (l_suppkey, l_linenumber) IN (SELECT (l_suppkey, l_linenumber) FROM lineitem WHERE l_returnflag = 'R')),
  u AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i FROM (SELECT DISTINCT p FROM k))
  SELECT src, det, count(*) AS n, CAST(sum(i) AS BIGINT) AS ids, CAST(sum(p_size) AS BIGINT) AS covered FROM k JOIN u USING (p) JOIN part ON p_partkey = p GROUP BY 1, 2"""
 

@@ -478,8 +478,8 @@ put(
     f"WITH {LI}, s AS (SELECT s_suppkey AS id, s_suppkey * 7 % 25 AS sy, s_suppkey * 11 % 40 AS sx FROM supplier), n AS (SELECT floor(fy + 0.5) AS ny, floor(fx + 0.5) AS nx, q FROM li) SELECT id, CAST(ny - sy AS INT) AS dy, CAST(nx - sx AS INT) AS dx, round(avg(q), 5) AS value, count(*) AS hits FROM n JOIN s ON ny BETWEEN sy - 1 AND sy + 1 AND nx BETWEEN sx - 1 AND sx + 1 GROUP BY 1, 2, 3",
 )
 put(
-    "many_beams", lambda s, d: rounded(ms.many_beams(li(s, d).where("l_linenumber = 1"), ["l_orderkey"], C("fy"), C("fx"), [(0.0, 0.0, 1.0), (2.0, -3.0, -0.25), (40.0, 0.0, 5.0)], grid(s, d), "v"), "model", digits=4),
-    f"WITH {LI}, {GRID}, b AS (SELECT l_orderkey, floor(fy + dy + 0.5) AS y, floor(fx + dx + 0.5) AS x, c FROM li, (VALUES (0.0, 0.0, 1.0), (2.0, -3.0, -0.25), (40.0, 0.0, 5.0)) t(dy, dx, c) WHERE l_linenumber = 1) SELECT l_orderkey, round(sum(coalesce(v, 0) * c), 4) AS model FROM b LEFT JOIN grid USING (y, x) GROUP BY 1",
+    "many_beams", lambda s, d: rounded(ms.many_beams(li(s, d), ["l_orderkey", "l_linenumber"], C("fy"), C("fx"), [(0.0, 0.0, 1.0), (2.0, -3.0, -0.25), (40.0, 0.0, 5.0)], grid(s, d), "v"), "model", digits=4),
+    f"WITH {LI}, {GRID}, b AS (SELECT l_orderkey, l_linenumber, floor(fy + dy + 0.5) AS y, floor(fx + dx + 0.5) AS x, c FROM li, (VALUES (0.0, 0.0, 1.0), (2.0, -3.0, -0.25), (40.0, 0.0, 5.0)) t(dy, dx, c)) SELECT l_orderkey, l_linenumber, round(sum(coalesce(v, 0) * c), 4) AS model FROM b LEFT JOIN grid USING (y, x) GROUP BY 1, 2",
 )
 put(
     "source_response", lambda s, d: rounded(ms.source_response(cat(s, d), bodies(s, d), "id", "px", "py", 1.5, 3.0), "response"),

@@ -36,7 +36,7 @@ def test_spectra_see_every_sample(spark, tiny, values):
 
 
 def test_covariance_of_all_detectors(spark, tiny, values):
-    got = {(r.i, r.j): r.cov for r in catalog.QUERIES["covariance_all"](spark, tiny).collect()}
+    got = {(r.i, r.j): r.cov for r in catalog.QUERIES["covariance"](spark, tiny).collect()}
     want = {(i, j): [x * y for x, y in zip(a, b[1:])] for i, a in values.items() for j, b in values.items()}
     assert set(got) == {k for k, v in want.items() if v}
     assert all(abs(got[k] - sum(want[k]) / len(want[k])) < 1e-3 for k in got)
@@ -79,12 +79,12 @@ def test_tag_queries_see_every_row(spark, tiny):
     tags = collections.defaultdict(set)
     for r in events:
         tags[r.user_id].add(r.event_type)
-    got = {r.id: {t for t in ("click", "error", "purchase") if r[t]} for r in catalog.QUERIES["tag_pivot_all"](spark, tiny).collect()}
+    got = {r.id: {t for t in ("click", "error", "purchase") if r[t]} for r in catalog.QUERIES["tag_pivot"](spark, tiny).collect()}
     assert got == {u: t & {"click", "error", "purchase"} for u, t in tags.items()}
     customers = {r[0] for r in spark.read.parquet(f"{tiny}/customer.parquet").select("c_custkey").collect()}
-    assert customers <= {r.id for r in catalog.QUERIES["tag_merge_outer_all"](spark, tiny).where("amount IS NOT NULL").collect()}
+    assert customers <= {r.id for r in catalog.QUERIES["tag_merge_outer"](spark, tiny).where("amount IS NOT NULL").collect()}
     sent_back = {tuple(r) for r in spark.read.parquet(f"{tiny}/lineitem.parquet").where("l_returnflag = 'R'").select("l_suppkey", "l_linenumber").collect()}
-    assert {(r.src, r.det) for r in catalog.QUERIES["links_compact_all"](spark, tiny).collect()} == sent_back
+    assert {(r.src, r.det) for r in catalog.QUERIES["links_compact"](spark, tiny).collect()} == sent_back
 
 
 def test_flags_hold_to_each_detectors_end(spark):
@@ -98,7 +98,7 @@ def test_flags_hold_to_each_detectors_end(spark):
 
 def test_flag_queries_cover_every_sample(spark, tiny):
     flagged = samples(spark, tiny).selectExpr("det", "sample", "event_type = 'error' error", "value > 60 high").collect()
-    count = {(r.det, r.flag): r.n for r in catalog.QUERIES["flag_count_samples_all"](spark, tiny).collect()}
+    count = {(r.det, r.flag): r.n for r in catalog.QUERIES["flag_count_samples"](spark, tiny).collect()}
     assert count == {(d, f): sum(r[f] for r in flagged if r.det == d) for d in {r.det for r in flagged} for f in ("error", "high")}
-    covered = {(r.det, k) for r in catalog.QUERIES["flag_to_ranges_all"](spark, tiny).collect() for k in range(r.lo, r.hi)}
+    covered = {(r.det, k) for r in catalog.QUERIES["flag_to_ranges"](spark, tiny).collect() for k in range(r.lo, r.hi)}
     assert covered == {(r.det, r.sample) for r in flagged if r.error or r.high}
