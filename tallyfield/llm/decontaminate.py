@@ -6,8 +6,11 @@ item's copy lies whole in one passage), and each passage is a query for all item
 `SHARE` of the score of the item with itself. The threshold is fixed, so the three tests of block-max WAND need no cursors
 and run for a batch of passages at once: a passage whose terms' greatest impacts anywhere don't add up to the
 threshold has no pivot and is skipped; of the others, blocks whose own greatest impacts don't are skipped; the rest is scored
-exactly. So no item above the threshold is missed. A hit counts if at least `OVERLAP` of the word n-grams of both the
-item's question (all but its last sentence) and its answer (its last sentence) stand in the passage.
+exactly. So no item above the threshold is missed. A hit counts if at least `OVERLAP` of both the item's question (all but its
+last sentence) and its answer (its last sentence) stand in the passage. The overlap of either is the share of its word n-grams
+found anywhere in the passage, or the share of its words that stand in their places when the item is laid over the passage where
+most of its words agree (ties: the earliest place), whichever is greater: the first survives insertions, the second
+changed words, which in a short answer would break most n-grams.
 
 The index holds at most `ITEMS` items. A larger benchmark is split by hash into as many parts as needed, each with an
 index of its own, and all documents are queried against each part; so what goes to the executors is bounded.
@@ -80,6 +83,7 @@ class Index:
             for t, x in self.impacts[-1].items():
                 b = i // BLOCK
                 postings[t][b] = max(postings[t].get(b, 0.0), x)
+        self.answer = [self._answer(t, w) for _, t, w in kept]
         self.blocks = -(-n // BLOCK)
         size = len(self.vocabulary)
         self.most = np.array([max(postings[t].values()) for t in range(size)])  # a term's greatest impact on any item
@@ -94,14 +98,29 @@ class Index:
         self.bound = np.array([x for p in rare for _, x in p])
 
     @staticmethod
-    def _pieces(text: str, words: list[str]) -> list[tuple[int, set]]:
+    def _answer(text: str, words: list[str]) -> int:
+        """Number of words of the answer."""
+        parts = [w for s in _SENTENCE.split(text.strip()) if (w := tokens(s))]
+        return len(parts[-1]) if len(parts) > 1 else len(words) // 3
+
+    @classmethod
+    def _pieces(cls, text: str, words: list[str]) -> list[tuple[int, set]]:
         """(n, n-grams) of the question and of the answer."""
         if len(words) < SHORT:
             return [(len(words), grams(words, len(words)))]
-        parts = [w for s in _SENTENCE.split(text.strip()) if (w := tokens(s))]
-        answer = parts[-1] if len(parts) > 1 else words[-(len(words) // 3) :]
-        question = words[: len(words) - len(answer)]
-        return [(n := min(GRAM, len(p)), grams(p, n)) for p in (question, answer)]
+        cut = len(words) - cls._answer(text, words)
+        return [(n := min(GRAM, len(p)), grams(p, n)) for p in (words[:cut], words[cut:])]
+
+    def aligned(self, item: int, passage: list[str], places: dict[str, list[int]]) -> tuple[float, float]:
+        """Shares of the question's and of the answer's words that stand in place where the item agrees best with the passage."""
+        words, cut = self.words[item], len(self.words[item]) - self.answer[item]
+        agree = Counter(i - j for j, w in enumerate(words) for i in places.get(w, ()))
+        if not agree:
+            return 0.0, 0.0
+        most = max(agree.values())
+        at = min(o for o, n in agree.items() if n == most)
+        same = [0 <= at + j < len(passage) and passage[at + j] == w for j, w in enumerate(words)]
+        return sum(same[:cut]) / max(1, cut), sum(same[cut:]) / max(1, len(words) - cut)
 
     def candidates(self, ids: np.ndarray, passage: np.ndarray, n: int) -> Iterator[np.ndarray]:
         """Keys passage * blocks + block whose upper bound reaches SHARE, of n passages, in order; ids: terms, and where they
@@ -155,7 +174,11 @@ class Index:
                 r = int(np.searchsorted(base, passage, "right")) - 1
                 low = (passage - int(base[r])) * self.length
                 own = found[r][low : low + 2 * self.length]
-                held = {k for k in map(self.vocabulary.get, own) if k is not None}
+                places: dict[str, list[int]] = defaultdict(list)
+                for k, w in enumerate(own):
+                    if w in self.vocabulary:
+                        places[w].append(k)
+                held = {self.vocabulary[w] for w in places}
                 last, known = passage, {}
             for item in range(block * BLOCK, min(len(self.ids), (block + 1) * BLOCK)):
                 score = sum(x for t, x in self.impacts[item].items() if t in held)
@@ -167,6 +190,8 @@ class Index:
                         known[n] = grams(own, n)
                     shares.append(len(wanted & known[n]) / max(1, len(wanted)))
                 need = 1.0 if len(self.words[item]) < SHORT else OVERLAP
+                if len(shares) == 2:
+                    shares = list(map(max, shares, self.aligned(item, own, places)))
                 if min(shares) >= need:
                     out[r][item] = max(out[r].get(item, (0.0, 0.0, 0.0)), (score, shares[0], shares[-1]))
         return out
@@ -260,8 +285,12 @@ ORACLE = {
  ig AS MATERIALIZED (SELECT DISTINCT item_id, part, m, n, g FROM (SELECT item_id, part, m, n, hash(ws[j : j + n - 1]) AS g FROM (SELECT *, unnest(generate_series(1, len(ws) - n + 1)) AS j FROM pn))),
  need AS (SELECT item_id, part, any_value(m) AS m, any_value(n) AS n, count(*) AS k FROM ig GROUP BY item_id, part),
  hg AS (SELECT DISTINCT doc_id, s, n, hash(ws[j : j + n - 1]) AS g FROM (SELECT doc_id, s, n, ws, unnest(generate_series(1, len(ws) - n + 1)) AS j FROM (SELECT DISTINCT doc_id, s, n, ws FROM c JOIN need USING (item_id) JOIN p USING (doc_id, s)))),
- sh AS (SELECT c.doc_id, c.s, c.item_id, need.part, any_value(c.score) AS score, any_value(need.m) AS m, count(hg.g) / any_value(need.k) AS share
-  FROM c JOIN need USING (item_id) JOIN ig ON ig.item_id = c.item_id AND ig.part = need.part LEFT JOIN hg ON hg.doc_id = c.doc_id AND hg.s = c.s AND hg.n = ig.n AND hg.g = ig.g GROUP BY 1, 2, 3, 4),
+ iw AS (SELECT item_id, j, ws[j] AS w, j > len(ws) - la AS late, len(ws) - la AS lq, la FROM (SELECT *, unnest(generate_series(1, len(ws))) AS j FROM qa WHERE len(ws) >= {SHORT})),
+ pw AS (SELECT doc_id, s, i, ws[i] AS w FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM (SELECT DISTINCT doc_id, s, ws FROM c JOIN p USING (doc_id, s)))),
+ dg AS (SELECT c.doc_id, c.s, c.item_id, i - j AS o, count(*) AS k, count(*) FILTER (NOT late) / any_value(lq) AS q, count(*) FILTER (late) / any_value(la) AS a FROM c JOIN iw USING (item_id) JOIN pw ON pw.doc_id = c.doc_id AND pw.s = c.s AND pw.w = iw.w GROUP BY 1, 2, 3, 4),
+ al AS (SELECT * FROM dg QUALIFY row_number() OVER (PARTITION BY doc_id, s, item_id ORDER BY k DESC, o) = 1),
+ sh AS (SELECT g.doc_id, g.s, g.item_id, g.part, g.score, g.m, greatest(g.share, coalesce(CASE WHEN g.part = 0 THEN al.q ELSE al.a END, 0)) AS share FROM (SELECT c.doc_id, c.s, c.item_id, need.part, any_value(c.score) AS score, any_value(need.m) AS m, count(hg.g) / any_value(need.k) AS share
+  FROM c JOIN need USING (item_id) JOIN ig ON ig.item_id = c.item_id AND ig.part = need.part LEFT JOIN hg ON hg.doc_id = c.doc_id AND hg.s = c.s AND hg.n = ig.n AND hg.g = ig.g GROUP BY 1, 2, 3, 4) g LEFT JOIN al USING (doc_id, s, item_id)),
  ok AS (SELECT q.doc_id, q.item_id, round(q.score, 6) AS score, round(q.share, 6) AS question_overlap, round(a.share, 6) AS answer_overlap FROM sh q JOIN sh a USING (doc_id, s, item_id)
   WHERE q.part = 0 AND a.part = 1 AND least(q.share, a.share) >= CASE WHEN q.m < {SHORT} THEN 1.0 ELSE {OVERLAP} END)
  SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, question_overlap DESC, answer_overlap DESC) = 1"""
