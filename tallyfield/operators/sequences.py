@@ -6,10 +6,15 @@ needs one shuffle and no range join.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 
 def ordered(key: list[str], at: str) -> W:
     return W.partitionBy(*key).orderBy(at)
@@ -192,3 +197,52 @@ def white_noise(samples: DataFrame, key: list[str], at: str, value: str, chunk:
     step = F.col(value) - F.lag(value).over(W.partitionBy(*key, "_k").orderBy(at))
     per = rows.withColumn("_d", step * step / 2).groupBy(*key, "_k").agg(F.avg("_d").alias("_v"))
     return per.groupBy(*key).agg(F.median("_v").alias("variance"))
+
+
+def smooth_length(n: int, above: bool) -> int:
+    """The nearest number from n on (or down) whose prime factors are 2, 3, 5 and 7: a length that transforms fast."""
+    while n > 1:
+        rest = n
+        for p in (2, 3, 5, 7):
+            while rest % p == 0:
+                rest //= p
+        if rest == 1:
+            return n
+        n += 1 if above else -1
+    return max(n, 1)
+
+
+def angle_uniform(samples: DataFrame, key: list[str], at: str, angle: str, quantile: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resampling of series to even steps of a turning angle (radians), and back.
+
+    Returns (shape, forward, inverse): shape holds per key nper (samples a turn), nrev (whole turns), n_in, n_out and rate (samples
+    out per sample in); forward the place among the input samples of each output sample (out, place); inverse the place among the
+    output samples of each input sample (at, place; null beyond the last whole turn). Both are linear between
+    samples, by ordered merges of two sets of knots per key. A turn has at least as many samples as at the `quantile` slowest
+    speed, and turns and samples a turn are lengths that transform fast. Angles may run either way; keys without a whole turn
+    are left out; places are counted from 0 whatever `at` starts with.
+    """
+    turn = 2 * math.pi
+    rows = unwrap(samples.where(F.col(angle).isNotNull()).select(*key, at, angle), key, at, angle, turn)
+    rows = rows.withColumns({"_k": (F.row_number().over(ordered(key, at)) - 1).cast("double"), "_a": F.abs(F.col("unwrapped") - F.first("unwrapped").over(ordered(key, at)))})
+    rows = rows.withColumn("_step", F.col("_a") - F.lag("_a").over(ordered(key, at)))
+    shape = rows.groupBy(*key).agg(F.max("_a").alias("_all"), F.percentile("_step", quantile).alias("_speed"), F.count(F.lit(1)).alias("n_in"))
+    shape = shape.where((F.col("_all") >= turn) & (F.col("_speed") > 0))
+    lengths = shape.select(*key, "n_in", F.floor(F.col("_all") / turn).cast("long").alias("_rev"), F.round(turn / F.col("_speed")).cast("long").alias("_per"))
+
+    @F.pandas_udf("nrev long, nper long")
+    def fast(rev: pd.Series, per: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"nrev": [smooth_length(n, False) for n in rev], "nper": [smooth_length(n, True) for n in per]})
+
+    shape = lengths.withColumn("_f", fast("_rev", "_per")).select(*key, "n_in", F.col("_f.nrev").alias("nrev"), F.col("_f.nper").alias("nper"))
+    shape = cut(shape.withColumn("n_out", F.col("nrev") * F.col("nper")))
+    wanted = shape.select(*key, "nper", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_out") - 1)).alias("out"))
+    wanted = wanted.select(*key, "out", (F.col("out") * turn / F.col("nper")).alias("_a"))
+    knots = rows.select(*key, "_a", F.col("_k").alias("place"))
+    forward = interpolate(wanted.select(*key, "_a"), knots, key, "_a", "place").join(wanted, [*key, "_a"]).select(*key, "out", "place")
+    forward = cut(forward)
+    ends = forward.groupBy(*key).agg(F.max("place").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    rate = ends.select(*key, ((F.col("_n") - 1) / F.col("_last")).alias("rate"))
+    back = interpolate(rows.join(shape.select(*key), key).select(*key, F.col("_k").alias("place")), forward.select(*key, "place", F.col("out").cast("double").alias("out")), key, "place", "out")
+    inverse = back.join(rows.select(*key, at, F.col("_k").alias("place")), [*key, "place"]).select(*key, at, F.col("out").alias("place"))
+    return shape.join(rate, key), forward, inverse
