@@ -5,11 +5,15 @@ A cell goes to its own tile and to those whose margin it lies in, so a task hold
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import numbered
+
 OUT = "ty int, tx int, y int, x int, amp double, damp double"
 
 
@@ -90,3 +94,48 @@ def forced(cells: DataFrame, cat: DataFrame, value: str, ivar: str, reach: int,
     met = stamps.join(cells.select("y", "x", value, ivar), ["y", "x"])
     rhs, div = F.sum(F.col("_b") * F.col(value) * F.col(ivar)), F.sum(F.col("_b") ** 2 * F.col(ivar))
     return met.groupBy("id").agg(F.try_divide(rhs, div).alias("amp"), F.try_divide(F.lit(1.0), F.sqrt(div)).alias("damp"))
+
+
+def measured_regions(cells: DataFrame, label: str, value: str, extended: float = 1.1) -> DataFrame:
+    """One row a label: id, y, x, amp. The place is the label's centre of mass and the amplitude the map there (linear between
+    cells); where the label's extreme value is over `extended` times that, it is no point, and its greatest cell is given."""
+    v = F.col(value)
+    ends = [F.max(F.struct(v.alias("v"), -F.col("y"), -F.col("x"), F.col("y").alias("y"), F.col("x").alias("x"))).alias("top"), F.min(F.struct(v.alias("v"), F.col("y").alias("y"), F.col("x").alias("x"))).alias("low")]
+    per = cells.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("id")).agg((F.sum(F.col("y") * v) / F.sum(v)).alias("cy"), (F.sum(F.col("x") * v) / F.sum(v)).alias("cx"), *ends)
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("_c")
+    fy, fx = F.col("cy") - F.floor("cy"), F.col("cx") - F.floor("cx")
+    share = F.when(F.col("_c.i") == 1, fy).otherwise(1 - fy) * F.when(F.col("_c.j") == 1, fx).otherwise(1 - fx)
+    read = per.select("id", "cy", "cx", corner).select("id", (F.floor("cy") + F.col("_c.i")).cast("int").alias("y"), (F.floor("cx") + F.col("_c.j")).cast("int").alias("x"), share.alias("_s"))
+    amp = read.join(cells.select("y", "x", v.alias("_v")), ["y", "x"]).groupBy("id").agg(F.sum(F.col("_s") * F.col("_v")).alias("_a"))
+    both = per.join(amp, "id", "left").withColumn("_a", F.coalesce("_a", F.lit(0.0)))
+    extreme = F.when(F.col("_a") < 0, F.col("low.v")).otherwise(F.col("top.v"))
+    wide = F.abs(extreme) > F.abs(F.col("_a")) * extended
+    return both.select("id", *[F.when(wide, F.col(f"top.{c}").cast("double")).otherwise(F.col(f"c{c}")).alias(c) for c in ("y", "x")], F.when(wide, F.col("top.v")).otherwise(F.col("_a")).alias("amp"))
+
+
+def prior_of(amp: Column, damp: Column, variability: float = 1.0, least: float = 1e-10) -> Column:
+    """(amp, ivar): a known amplitude as a prior for a new fit, the weaker the more the source may vary; unknown ones hardly hold."""
+    good = lambda c: F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), c).otherwise(0.0)
+    a, d = good(amp), good(damp)
+    return F.struct(a.alias("amp"), F.when(d > 0, 1 / (d * d + variability * variability * a * a)).otherwise(least).alias("ivar"))
+
+
+def significance_correction(peaks: DataFrame, value: str, independent: float, most: float = 0.1, skip: int = 50, least: int = 100) -> tuple[float, float]:
+    """(mu, sigma) such that the tail of (peak - mu) / sigma is that of `independent` normal numbers.
+
+    Peaks are ranked by one distributed sort; of rank k the value is expected where k of them lie above. A line through the ranks
+    from `skip` up to the share `most` of all gives both numbers by sums; (0, 1) if there are under `least` such ranks.
+    """
+    ranked = numbered(peaks.where(F.col(value).isNotNull()).select(value), [F.col(value).desc()], "_k")
+    last = min(round(ranked.count() * most), int(independent))
+    if last - skip < least:
+        return 0.0, 1.0
+
+    @F.pandas_udf("double")
+    def expected(rank: pd.Series) -> pd.Series:
+        return pd.Series([-NormalDist().inv_cdf(k / independent) for k in rank])
+
+    rows = ranked.where((F.col("_k") >= skip) & (F.col("_k") < last)).select(F.col(value).alias("v"), expected((F.col("_k") + 1).cast("double")).alias("t"))
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"), F.sum("v").alias("v"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("t") * F.col("v")).alias("tv")).first()
+    sigma = (r.n * r.tv - r.t * r.v) / (r.n * r.tt - r.t * r.t)
+    return (r.v - sigma * r.t) / r.n, sigma

@@ -156,6 +156,15 @@ def pickup_of(samples: DataFrame, grid: DataFrame, cell: list[str], bin: list[st
     return seen.join(per, bin).groupBy(*cell).agg((weight * F.sum("_p")).alias("prior"))
 
 
+def less_pickup(samples: DataFrame, grid: DataFrame, cell: list[str], bin: list[str], value: str) -> DataFrame:
+    """A map less what of it looks like pickup: read at the samples, averaged per pickup bin, and that read back as the mean of each
+    cell's samples. Cells without samples stay."""
+    seen = samples.select(*cell, *bin).join(grid.select(*cell, F.col(value).alias("_v")), cell)
+    per = seen.groupBy(*bin).agg(F.avg("_v").alias("_p"))
+    back = seen.join(per, bin).groupBy(*cell).agg(F.avg("_p").alias("_p"))
+    return grid.join(back, cell, "left").withColumn(value, F.col(value) - F.coalesce("_p", F.lit(0.0))).select(*grid.columns)
+
+
 def edge_prior(distance: Column, white: Column, edge: float, at_edge: float = 10.0, in_core: float = 0.01) -> Column:
     """Strength of a prior that falls, in logarithms, from the rim of a masked place to its core."""
     u = F.least(distance / edge, F.lit(1.0))

@@ -23,9 +23,9 @@ def _long(frame: pd.DataFrame, wide: pd.DataFrame, d: np.ndarray, det: str, at:
 
 
 def bin_edges(n: int, bins: int) -> np.ndarray:
-    """Edges of `bins` frequency ranges, growing geometrically; the constant mode is in the first."""
+    """Edges of frequency ranges that grow geometrically; the constant mode shares the first with the lowest frequencies."""
     top = n // 2 + 1
-    return np.unique(np.concatenate([[0], np.geomspace(1, top, bins).round().astype(int)]))
+    return np.unique(np.concatenate([[0], np.geomspace(1, top, bins)[1:].round().astype(int)]))
 
 
 class Measured:

@@ -79,11 +79,11 @@ def patterns(boxes: DataFrame, id: str, axes: list[str], tol: float) -> tuple[Da
         order = W.orderBy("_bin")  # as many rows as the axis is long in units of tol
         new = F.when(F.col("_lo") - F.lag("_hi").over(order) <= tol, 0).otherwise(1)
         runs = bins.withColumn("_new", new).withColumn(f"_c{k}", F.sum("_new").over(order)).select("_bin", f"_c{k}")
-        labels = labels.withColumn("_bin", F.floor(F.col(c) / tol).cast("long")).join(F.broadcast(runs), "_bin").drop("_bin")
+        labels = labels.withColumn("_bin", F.floor(F.col(c) / tol).cast("long")).join(runs, "_bin").drop("_bin")
     own = [f"_c{k}" for k in range(len(axes))]
     found = labels.groupBy(*own).agg(*[f(c).alias(f"{n}_{c}") for c in axes for n, f in (("min", F.min), ("max", F.max))])
     found = found.withColumn("pattern", F.dense_rank().over(W.orderBy(*own)) - 1)  # as many rows as there are patterns
-    return labels.join(F.broadcast(found.select(*own, "pattern")), own).select(id, "pattern"), found.drop(*own)
+    return labels.join(found.select(*own, "pattern"), own).select(id, "pattern"), found.drop(*own)
 
 
 def balanced(scans: DataFrame, id: str, cost: str, workers: int, width: int) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalogs
+from . import catalogs, fourier
 
 _STEPS = 1 << 52
 
@@ -92,3 +93,21 @@ def images(cat: DataFrame, n: int, distance: float, least: float) -> DataFrame:
     a = 2 * math.pi * F.col("_k") / n
     ring = ring.select("id", (F.col("x") + distance * F.cos(a)).alias("x"), (F.col("y") + distance * F.sin(a)).alias("y"), F.lit(0.0).alias("amp"), (F.col("_k") + 1).alias("image"))
     return cat.select("id", "x", "y", "amp", F.lit(0).alias("image")).unionByName(ring)
+
+
+def field(spark: SparkSession, shape: tuple[int, int], spectrum: Callable, seed: int = 0, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """y, x, value: a normal random field whose power per frequency, as fourier.tile_spectra counts it, is spectrum(ly, lx)."""
+    k = F.col("id")
+    cells = spark.range(shape[0] * shape[1]).select(F.floor(k / shape[1]).cast("int").alias("y"), (k % shape[1]).cast("int").alias("x"), normal(seed, k).alias("value"))
+    return fourier.filtered(cells, "value", shape, lambda ly, lx: spectrum(ly, lx) ** 0.5, pixel)
+
+
+def noise_field(cells: DataFrame, weight: str, shape: tuple[int, int], knee: float, slope: float = -2.0, seed: int = 0, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """y, x, value: noise that rises below a knee, without a mean, at the depth that each cell's inverse variance gives."""
+
+    def power(ly: object, lx: object) -> object:
+        l = fourier.radius(ly, lx)  # noqa: E741
+        return (l > 0) * (1 + ((l + (l == 0)) / knee) ** slope)
+
+    made = field(cells.sparkSession, shape, power, seed, pixel)
+    return made.join(cells.where(F.col(weight) > 0).select("y", "x", F.col(weight).alias("_w")), ["y", "x"]).select("y", "x", (F.col("value") / F.sqrt("_w")).alias("value"))

@@ -25,12 +25,11 @@ class FormatError(ValueError):
 
 
 def lines_of(spark: SparkSession, path: str) -> list[str]:
-    """All lines of one description file, in order; refuses files that are not small."""
-    rows = spark.read.text(path, wholetext=True).limit(2).collect()
-    out = [x for r in rows for x in r.value.split("\n")]
-    if len(out) > MOST_LINES:
+    """All lines of a description file, or of a folder of parts in the order of their names; refuses what is not small."""
+    if spark.read.text(path).limit(MOST_LINES + 1).count() > MOST_LINES:
         raise FormatError(f"{path} is too long for a description file")
-    return out
+    parts = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("name")).orderBy("name").collect()
+    return [x for r in parts for x in r.value.removesuffix("\n").split("\n")]
 
 
 def parse_top(lines: list[str], variables: dict[str, str] | None = None) -> list[tuple[str, list[str]]]:

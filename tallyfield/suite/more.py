@@ -16,6 +16,7 @@ from ..operators import filters as fi
 from ..operators import finder as fd
 from ..operators import mapmaker as mm
 from ..operators import noise as no
+from ..operators import noisemodels as nm
 from ..operators import simulate as si
 from ..operators import tables as tb
 from ..sources import text
@@ -75,15 +76,21 @@ put("stream_moments", stream_moments, "SELECT event_type AS name, count(*) AS n,
 
 
 def ground_and_sky(spark: SparkSession, d: str) -> DataFrame:
-    """Two signals solved together: cells and line numbers; reports whether the error fell to a millionth."""
-    rows = cut(li(spark, d).select("y", "x", "l_linenumber", C("q").alias("value"), (1 + C("c1")).alias("w")))
-    eq = mm.Equations(rows, [mm.Binned("sky", ["y", "x"]), mm.Binned("ground", ["l_linenumber"])], epsilon=1e-3)
-    x = eq.solve(steps=4)
-    solved = min(eq.trace) < 1e-6
-    return x.select(F.split("idx", ":")[0].alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.lit(solved).alias("solved"))
+    """Two signals solved together: a value a cell, and one for odd and one for even line numbers."""
+    rows = cut(li(spark, d).select("y", "x", (C("l_linenumber") % 2).cast("int").alias("odd"), (C("q") + 5 * (C("l_linenumber") % 2)).alias("value"), (1 + C("c1")).alias("w")))
+    x = mm.Equations(rows, [mm.Binned("sky", ["y", "x"]), mm.Binned("ground", ["odd"])], epsilon=0.5).solve(steps=12, enough=1e-18)
+    at = F.split("idx", ":")
+    return rounded(x.select(at[0].alias("signal"), at[1].cast("int").alias("a"), F.coalesce(F.get(at, F.lit(2)).cast("int"), F.lit(-1)).alias("b"), "value"), "value", digits=5)
 
 
-put("map_make", ground_and_sky, f"WITH {LI} SELECT 'sky' AS signal, count(*) AS n, true AS solved FROM (SELECT DISTINCT y, x FROM li) UNION ALL SELECT 'ground', count(DISTINCT l_linenumber), true FROM li")
+#: The sky's part eliminated from the normal equations leaves two equations for the ground.
+_SCHUR = f"""WITH {LI}, r AS (SELECT y, x, l_linenumber % 2 AS o, q + 5 * (l_linenumber % 2) AS v, 1 + c1 AS w FROM li),
+ c AS MATERIALIZED (SELECT y, x, sum(w) + 0.5 AS a, sum(w * v) AS r, coalesce(sum(w) FILTER (o = 0), 0) AS b0, coalesce(sum(w) FILTER (o = 1), 0) AS b1 FROM r GROUP BY 1, 2),
+ g AS (SELECT sum(w) FILTER (o = 0) + 0.5 AS d0, sum(w) FILTER (o = 1) + 0.5 AS d1, sum(w * v) FILTER (o = 0) AS r0, sum(w * v) FILTER (o = 1) AS r1 FROM r),
+ s AS (SELECT any_value(d0) - sum(b0 * b0 / a) AS s00, -sum(b0 * b1 / a) AS s01, any_value(d1) - sum(b1 * b1 / a) AS s11, any_value(r0) - sum(b0 * r / a) AS t0, any_value(r1) - sum(b1 * r / a) AS t1 FROM c, g),
+ z AS (SELECT (t0 * s11 - t1 * s01) / (s00 * s11 - s01 * s01) AS z0, (s00 * t1 - s01 * t0) / (s00 * s11 - s01 * s01) AS z1 FROM s)
+ SELECT 'sky' AS signal, y AS a, x AS b, round((r - b0 * z0 - b1 * z1) / a, 5) AS value FROM c, z UNION ALL SELECT 'ground', 0, -1, round(z0, 5) FROM z UNION ALL SELECT 'ground', 1, -1, round(z1, 5) FROM z"""
+put("map_make", ground_and_sky, _SCHUR)
 
 
 def map_make_single(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +260,7 @@ def scans(spark: SparkSession, d: str) -> DataFrame:
     return samples(spark, d).withColumns({"scan": C("det") % 10, "cut": C("event_type") == "error"}).select("scan", "det", "sample", "value", "cut")
 
 
-Q["noise_weighted"] = lambda s, d: no.weighted(scans(s, d), "scan", "det", "sample", "value", 5, 6)
+Q["noise_weighted"] = lambda s, d: nm.weighted(scans(s, d).drop("cut"), "scan", "det", "sample", "value", 5, window=6)
 Q["gapfill_constrained"] = lambda s, d: no.constrained(scans(s, d), "scan", "det", "sample", "value", "cut", rounds=1)
 Q["find_sources"] = lambda s, d: fd.find(grid(s, d).select("y", "x", "v", F.lit(1e-3).alias("w")), "v", "w", 1.2, 16, 5, 4.0)
 put(
