@@ -4,6 +4,8 @@ Every row is hashed into one of `slots` virtual slots. Rows and bytes are summed
 driver sees: at most `slots` rows, whatever the input). A slot map, stored with a version, names the shard of each
 slot; rebalancing edits the map and never hashes rows anew.
 
+A stored map is edited by `edit`: the latest version is read, changed and stored as the next one; earlier versions stay.
+
 The law is `bytes`: shards' byte sums are near equal, because slots are dealt largest first to the lightest shard. Rows
 that can't be told apart (equal in doc_id, size and text_crc32) are counted first and then dealt in runs of `RUN` copies, each
 run hashed on its own, so that however many copies a row has, they spread over all slots.
@@ -16,6 +18,7 @@ result and a map dealt by slot number alone.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import uuid
 from dataclasses import dataclass, field
@@ -71,6 +74,30 @@ class SlotMap:
             moved.append(slot)
         return SlotMap(self.shards + 1, tuple(new), self.version + 1, tuple(moved))
 
+    def rebalance(self, weight: dict[int, int], tolerance: float = 0.01) -> SlotMap:
+        """The same shards for other weights: slots move one at a time from the heaviest shard to the lightest, each the largest
+        that doesn't make that one the heavier of the two, until no shard is over the mean by more than tolerance."""
+        own: dict[int, list[int]] = {s: [] for s in range(self.shards)}
+        for slot, shard in enumerate(self.shard_of):
+            own[shard].append(slot)
+        load = {s: sum(weight.get(x, 0) for x in xs) for s, xs in own.items()}
+        for xs in own.values():
+            xs.sort(key=lambda x: (weight.get(x, 0), x))
+        most, new, moved = (1 + tolerance) * sum(load.values()) / self.shards, list(self.shard_of), []
+        while True:
+            high, low = max(load, key=lambda s: (load[s], -s)), min(load, key=lambda s: (load[s], s))
+            room = (load[high] - load[low]) / 2
+            fits = [x for x in own[high] if 0 < weight.get(x, 0) <= room]
+            if load[high] <= most or not fits:
+                break
+            slot = fits[-1]
+            own[high].remove(slot)
+            bisect.insort(own[low], slot, key=lambda x: (weight.get(x, 0), x))
+            load[high], load[low] = load[high] - weight[slot], load[low] + weight[slot]
+            new[slot] = low
+            moved.append(slot)
+        return SlotMap(self.shards, tuple(new), self.version + 1, tuple(moved)) if moved else self
+
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(s, x, self.shards) for s, x in enumerate(self.shard_of)], "vslot int, shard int, shards int")
 
@@ -85,6 +112,26 @@ class SlotMap:
         return cls(rows[0][2] if rows else 0, tuple(s for _, s, _ in rows), version)
 
 
+    @classmethod
+    def latest(cls, spark: SparkSession, path: str) -> SlotMap:
+        """The newest version stored under path."""
+        return cls.load(spark, path, spark.read.parquet(path).agg(F.max("version")).first()[0])
+
+
+def edit(docs: DataFrame, path: str, grow: bool = False, tolerance: float = 0.01) -> SlotMap:
+    """The map stored last under path, edited for these documents and stored as the next version: with grow one more shard takes
+    slots from all others, else slots move between shards until their bytes are near equal again. Nothing is stored if nothing
+    moves. Rows are hashed as before, so what changes place is the rows of the moved slots."""
+    spark = docs.sparkSession
+    now = SlotMap.latest(spark, path)
+    sums = keyed(docs, len(now.shard_of)).groupBy("vslot").agg(F.sum(F.col("size") * F.col("copies")).alias("b")).collect()  # a row a slot
+    weight = {r.vslot: r.b for r in sums}
+    new = now.grow(weight) if grow else now.rebalance(weight, tolerance)
+    if new is not now:
+        new.save(spark, path)
+    return new
+
+
 def keyed(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """Runs of equal rows: doc_id, size, text_crc32, vslot and how many copies; the text itself is read once and goes nowhere."""
     raw = F.encode(text_of(), "UTF-8")
