@@ -124,3 +124,22 @@ def cut_basis(n: int, kind: str) -> np.ndarray:
     else:
         raise ValueError(f"unknown cut type {kind}")
     return (groups[:, None] == np.arange(groups.max() + 1)).astype(float)
+
+
+def cut_parameters(ranges: DataFrame, key: list[str], kind: str) -> DataFrame:
+    """The bases of many cuts as rows: key, lo (the range's start), i (place in it), j (parameter), v; zeros are left out. Ranges are
+    taken where they lie, one at a time."""
+    kinds = dict(ranges.dtypes)
+
+    def run(frames: object) -> object:
+        for frame in frames:
+            parts = []
+            for *own, lo, hi in frame.itertuples(index=False):
+                b = cut_basis(int(hi - lo), kind)
+                i, j = np.nonzero(np.abs(b) > 1e-12)
+                parts.append(pd.DataFrame({**dict(zip(key, own, strict=True)), "lo": lo, "i": i, "j": j, "v": b[i, j].astype(float)}, index=range(len(i))))
+            if parts:
+                yield pd.concat(parts)
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in key) + ", lo int, i int, j int, v double"
+    return ranges.select(*key, "lo", "hi").where("lo < hi").mapInPandas(run, schema)

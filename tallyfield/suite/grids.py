@@ -125,7 +125,10 @@ put(
     "SELECT CAST(floor((y - 3) / 7.0) AS INT) AS ty, CAST(((x + 4) % 40) // 9 AS INT) AS tx, count(*) AS n, max(CAST((y - 3 + 7) % 7 AS INT)) AS iy, max(CAST(((x + 4) % 40) % 9 AS INT)) AS ix FROM grid GROUP BY 1, 2", GRID,
 )
 put("read_box", lambda s, d: rounded(bn.read_box(grid(s, d), (5, 12), (36, 46), 40).select("y", "x", "v", C("oy").cast("long").alias("oy"), C("ox").cast("long").alias("ox")), "v"), "SELECT y, x, round(v, 4) AS v, CAST(y - 5 AS BIGINT) AS oy, CAST((x - 36 + 40) % 40 AS BIGINT) AS ox FROM grid WHERE y BETWEEN 5 AND 11 AND (x >= 36 OR x < 6)", GRID)
-put("build_tiles", lambda s, d: bn.tiles(s, SHAPE, (7, 9)), "SELECT CAST(i AS INT) AS ty, CAST(j AS INT) AS tx, CAST(i * 7 AS INT) AS y0, CAST(least(i * 7 + 7, 25) AS INT) AS y1, CAST(j * 9 AS INT) AS x0, CAST(least(j * 9 + 9, 40) AS INT) AS x1 FROM range(4) a(i), range(5) b(j)")
+put(
+    "build_tiles", lambda s, d: rounded(bn.tiles(s, SHAPE, (7, 9)).join(grid(s, d).select(F.floor(C("y") / 7).cast("int").alias("ty"), F.floor(C("x") / 9).cast("int").alias("tx"), "v").groupBy("ty", "tx").agg(F.sum("v").alias("total")), ["ty", "tx"]), "total"),
+    "SELECT CAST(y // 7 AS INT) AS ty, CAST(x // 9 AS INT) AS tx, CAST(y // 7 * 7 AS INT) AS y0, CAST(least(y // 7 * 7 + 7, 25) AS INT) AS y1, CAST(x // 9 * 9 AS INT) AS x0, CAST(least(x // 9 * 9 + 9, 40) AS INT) AS x1, round(sum(v), 4) AS total FROM grid GROUP BY 1, 2, 3, 4, 5, 6", GRID,
+)
 put(
     "merge_maps", lambda s, d: rounded(bn.merge_weighted([grid(s, d).where("x < 25").withColumn("w", F.lit(1.0) * C("x")), grid(s, d).where("x > 15").withColumns({"w": F.lit(2.0), "v": C("v") * 3})], "v", "w"), "v", "w"),
     "SELECT y, x, round(coalesce(sum(v * w) / nullif(sum(w), 0), 0), 4) AS v, round(sum(w), 4) AS w FROM (SELECT y, x, v, x * 1.0 AS w FROM grid WHERE x < 25 UNION ALL SELECT y, x, v * 3, 2.0 FROM grid WHERE x > 15) GROUP BY 1, 2", GRID,

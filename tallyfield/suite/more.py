@@ -179,21 +179,41 @@ put("id_lists", id_lists, "SELECT n_nationkey AS id, n_regionkey < 3 AS deep, n_
 
 
 def scan_wave(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(si.back_and_forth(spark, 500, -10.0, 10.0, 0.7), "t", "az")
+    """The azimuth at every event, if a detector's samples are taken while the telescope goes back and forth."""
+    s = samples(spark, d).select("event_id", "sample", "value")
+    n = s.agg(F.max("sample")).first()[0] + 1  # one number
+    wave = si.back_and_forth(spark, n, -10.0, 10.0, 0.7)
+    return rounded(s.join(wave, "sample").select("event_id", "t", "az", "value"), "t", "az")
 
 
-put("scan_wave", scan_wave, "SELECT CAST(i AS INT) AS sample, round(i / 100.0, 4) AS t, round(-10 + CASE WHEN p <= 20 THEN p ELSE 40 - p END, 4) AS az FROM (SELECT range AS i, (range * CAST(0.7 AS DOUBLE)) % 40 AS p FROM range(500))")
-put("scan_raster", lambda s, d: rounded(si.raster(s, (0.0, 3.0, -1.0, 1.0), 0.25), "x", "y"), "SELECT range AS sample, round((range % 12 + 0.5) * 0.25, 4) AS x, round(-1 + (range // 12 + 0.5) * 0.25, 4) AS y FROM range(96)")
-put("detector_row", lambda s, d: rounded(si.layout(s, 5, 3, 2.0), "off_x", "off_y", "c1", "c2"), "SELECT range AS det, round((range // 3 / 4.0 - 0.5) * 4, 4) AS off_x, round((range // 3 / 4.0 - 0.5) * 4, 4) AS off_y, 1.0::DOUBLE AS c0, round(cos(2 * pi() * (range % 3) / 3), 4) AS c1, round(sin(2 * pi() * (range % 3) / 3), 4) AS c2 FROM range(15)")
+put("scan_wave", scan_wave, f"WITH {SAMPLES} SELECT event_id, round(sample / 100.0, 4) AS t, round(-10 + CASE WHEN p <= 20 THEN p ELSE 40 - p END, 4) AS az, value FROM (SELECT *, (sample * CAST(0.7 AS DOUBLE)) % 40 AS p FROM samples)")
+put(
+    "scan_raster", lambda s, d: rounded(si.raster(s, (0.0, 40.0, 0.0, 25.0), 1.0).withColumns({"yy": F.floor("y").cast("int"), "xx": F.floor("x").cast("int")}).join(grid(s, d).select(C("y").alias("yy"), C("x").alias("xx"), "v"), ["yy", "xx"]).select("sample", "x", "y", "v"), "x", "y", "v"),
+    f"WITH {LI}, {GRID} SELECT CAST(y * 40 + x AS BIGINT) AS sample, x + 0.5::DOUBLE AS x, y + 0.5::DOUBLE AS y, round(v, 4) AS v FROM grid",
+)
+
+
+def detector_row(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as detectors on a line, three to a place, with what each has seen."""
+    own = table(spark, d, "supplier").select(C("s_suppkey").alias("det"), "s_acctbal")
+    n = own.agg(F.max("det")).first()[0] // 3 + 1  # one number
+    return rounded(si.layout(spark, n, 3, 2.0).join(own, "det").withColumn("seen", C("s_acctbal") * C("c1")).drop("s_acctbal"), "off_x", "off_y", "c1", "c2", "seen")
+
+
+put(
+    "detector_row", detector_row,
+    """WITH n AS (SELECT max(s_suppkey) // 3 + 1 AS n FROM supplier) SELECT s_suppkey AS det, round((s_suppkey // 3 / (n - 1)::DOUBLE - 0.5) * 4, 4) AS off_x, round((s_suppkey // 3 / (n - 1)::DOUBLE - 0.5) * 4, 4) AS off_y, 1.0::DOUBLE AS c0,
+ round(cos(2 * pi() * (s_suppkey % 3) / 3), 4) AS c1, round(sin(2 * pi() * (s_suppkey % 3) / 3), 4) AS c2, round(s_acctbal * cos(2 * pi() * (s_suppkey % 3) / 3), 4) AS seen FROM supplier, n""",
+)
 
 
 def noise_moments(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded noise has the moments asked for, whatever the partitions."""
-    rows = si.noise(spark.range(40_000).withColumn("det", C("id") % 4), ["det", "id"], 2.0, 5)
-    return rows.groupBy("det").agg((F.abs(F.avg("value")) < 0.1).alias("centred"), (F.abs(F.stddev_pop("value") - 2) < 0.1).alias("scaled"))
+    """Seeded noise for every item has the moments asked for, whatever the partitions; equal items get equal noise."""
+    rows = si.noise(table(spark, d, "lineitem").select((C("l_linenumber") % 4).alias("det"), "l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber", "l_partkey"], 2.0, 5)
+    return rows.groupBy("det").agg((F.abs(F.avg("value")) < 0.3).alias("centred"), (F.abs(F.stddev_pop("value") - 2) < 0.2).alias("scaled"), F.count(F.lit(1)).alias("n"))
 
 
-put("noise_moments", noise_moments, "SELECT range AS det, true AS centred, true AS scaled FROM range(4)")
+put("noise_moments", noise_moments, "SELECT CAST(l_linenumber % 4 AS INT) AS det, true AS centred, true AS scaled, count(*) AS n FROM lineitem GROUP BY 1")
 
 
 def rendered(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +237,11 @@ put(
     "split_sources", split_sources,
     "SELECT s_suppkey AS id, 1.0::DOUBLE AS x, 2.0::DOUBLE AS y, s_acctbal AS amp, CAST(0 AS INT) AS image FROM supplier UNION ALL SELECT s_suppkey, round(1 + 0.5 * cos(pi() * k / 2), 4), round(2 + 0.5 * sin(pi() * k / 2), 4), 0, CAST(k + 1 AS INT) FROM supplier, (SELECT range AS k FROM range(4)) WHERE s_acctbal >= 5000",
 )
-Q["inject_sources"] = lambda s, d: si.add_sources(si.raster(s, (0.0, 20.0, 0.0, 20.0), 1.0).withColumn("value", F.lit(0.0)), si.sources(s, (0.0, 20.0, 0.0, 20.0), 15, 3.0, 4), "sample", "x", "y", 1.2)
+put(
+    "inject_sources", lambda s, d: rounded(si.add_sources(grid(s, d).select((C("y") * 40 + C("x")).alias("sample"), C("y").cast("double").alias("y"), C("x").cast("double").alias("x"), C("v").alias("value")), table(s, d, "supplier").select(C("s_suppkey").cast("int").alias("id"), (C("s_suppkey") * 7 % 40 + 0.25).alias("x"), (C("s_suppkey") * 3 % 25 + 0.5).alias("y"), (C("s_acctbal") / 1000).alias("amp")), "sample", "x", "y", 1.2).select("sample", "value"), "value"),
+    f"""WITH {LI}, {GRID}, c AS (SELECT (s_suppkey * 7 % 40) + 0.25::DOUBLE AS sx, (s_suppkey * 3 % 25) + 0.5::DOUBLE AS sy, s_acctbal / 1000 AS amp FROM supplier)
+ SELECT y * 40 + x AS sample, round(any_value(v) + coalesce(sum(amp * exp(-(pow(x - sx, 2) + pow(y - sy, 2)) / 2.88)), 0), 4) AS value FROM grid LEFT JOIN c ON sqrt(pow(x - sx, 2) + pow(y - sy, 2)) <= 4.8 GROUP BY y, x""",
+)
 
 # ---- chained ownership and catalogue components
 
@@ -249,8 +273,8 @@ put(
  p AS (SELECT *, row_number() OVER (PARTITION BY ty, tx ORDER BY v DESC, y, x) AS k FROM grid JOIN t ON y >= y0 - 1 AND y < y1 + 1 AND x >= x0 - 1 AND x < x1 + 1) SELECT ty, tx, y, x, round(v, 4) AS v FROM p WHERE k = 1 AND y >= y0 AND y < y1 AND x >= x0 AND x < x1""",
 )
 put(
-    "moving_mask", lambda s, d: ca.pairs(si.raster(s, (0.0, 10.0, 0.0, 10.0), 0.5).select(C("sample").alias("id"), "x", "y"), s.range(0, 8).select(C("id"), (C("id") * 1.1).alias("x"), (5 + F.sin("id")).alias("y")), "id", "x", "y", 0.8).select("id").distinct(),
-    "SELECT DISTINCT c.i AS id FROM (SELECT range AS i, (range % 20 + 0.5) * 0.5 AS x, (range // 20 + 0.5) * 0.5 AS y FROM range(400)) c, (SELECT range * 1.1 AS x, 5 + sin(range) AS y FROM range(8)) t WHERE sqrt(pow(c.x - t.x, 2) + pow(c.y - t.y, 2)) <= 0.8",
+    "moving_mask", lambda s, d: ca.pairs(grid(s, d).select((C("y") * 40 + C("x")).alias("id"), C("x").cast("double").alias("x"), C("y").cast("double").alias("y")), table(s, d, "nation").select(C("n_nationkey").alias("id"), (C("n_nationkey") * 1.55).alias("x"), (12 + 7 * F.sin("n_nationkey")).alias("y")), "id", "x", "y", 1.3).select("id").distinct(),
+    f"WITH {LI}, {GRID} SELECT DISTINCT y * 40 + x AS id FROM grid JOIN (SELECT n_nationkey * 1.55::DOUBLE AS tx, 12 + 7 * sin(n_nationkey) AS ty FROM nation) ON sqrt(pow(x - tx, 2) + pow(y - ty, 2)) <= 1.3",
 )
 
 # ---- noise models and object search

@@ -6,7 +6,9 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,60 +144,77 @@ put("fixed_lines", fixed_lines, "SELECT s_suppkey AS id, s_name AS name, s_acctb
 
 
 def float_records(spark: SparkSession, d: str) -> DataFrame:
-    """A binary file with a header of three numbers, as some catalogues come."""
-    path = f"{scratch(spark, 'floats')}/catalog.bin"
-    data = np.array([40, 0, 0], "<u4").tobytes() + (np.arange(400, dtype="<f4") / 8).tobytes()
+    """A binary file with a header of three numbers, as some catalogues come, written by Spark from suppliers and read."""
+    path = scratch(spark, "floats")
+    own = table(spark, d, "supplier").select("s_suppkey", C("s_acctbal").cast("float").alias("a"), (C("s_nationkey") / 8).cast("float").alias("b"))
+    lines = own.agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "a", "b"))).alias("v"))  # one record file, as the format is
+
+    @F.pandas_udf("binary")
+    def packed(v: pd.Series) -> pd.Series:
+        return pd.Series([np.array([len(x), 0, 0], "<u4").tobytes() + np.array([(r["a"], r["b"]) for r in x], "<f4").tobytes() for x in v])
+
+    content = lines.select(packed("v").alias("content")).first().content
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/catalog.bin")
     out = at.getFileSystem(conf).create(at)
-    out.write(bytearray(data))
+    out.write(bytearray(content))
     out.close()
-    rows = text.read_floats(spark, path, 10, 12)
-    return rows.select("row", C("values")[0].cast("double").alias("x"), C("values")[9].cast("double").alias("last"))
+    rows = text.read_floats(spark, f"{path}/catalog.bin", 2, 12)
+    return rounded(rows.select("row", C("values")[0].cast("double").alias("a"), C("values")[1].cast("double").alias("b")), "a", "b", digits=3)
 
 
-put("float_records", float_records, "SELECT range AS row, range * 10 / 8::DOUBLE AS x, (range * 10 + 9) / 8::DOUBLE AS last FROM range(40)")
+put("float_records", float_records, "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row, round(CAST(CAST(s_acctbal AS FLOAT) AS DOUBLE), 3) AS a, round(s_nationkey / 8::DOUBLE, 3) AS b FROM supplier")
 
 
 def beams(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for name, lines in (("two", [f"{10 * k} {1 / (k + 1)!r}" for k in range(20)]), ("one", ["# profile", *[repr(0.5**k) for k in range(12)]])):
-        path = scratch(spark, "beam")
-        spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
-        got = text.read_beam(spark, path).withColumn("name", F.lit(name))
-        out = got if out is None else out.unionByName(got)
-    return rounded(out, "b")
+    """Profiles as text: a line a nation of `l b`, and a line a supplier of b alone, in order."""
+    two, one = scratch(spark, "beam"), scratch(spark, "beam")
+    table(spark, d, "nation").select(F.concat_ws(" ", C("n_nationkey") * 10, 1 / (C("n_nationkey") + 1.0)).alias("value")).coalesce(1).write.text(two)
+    table(spark, d, "supplier").orderBy("s_suppkey").select(F.format_string("%.6f", C("s_acctbal")).alias("value")).coalesce(1).write.text(one)
+    parts = [text.read_beam(spark, p).withColumn("name", F.lit(n)) for n, p in (("two", two), ("one", one))]
+    return rounded(parts[0].unionByName(parts[1]), "b")
 
 
-put("beam_lines", beams, "SELECT 'two' AS name, range * 10::DOUBLE AS l, round(1 / (range + 1)::DOUBLE, 6) AS b FROM range(20) UNION ALL SELECT 'one', range::DOUBLE, round(pow(0.5, range), 6) FROM range(12)")
+put("beam_lines", beams, "SELECT 'two' AS name, n_nationkey * 10::DOUBLE AS l, round(1 / (n_nationkey + 1)::DOUBLE, 6) AS b FROM nation UNION ALL SELECT 'one', (row_number() OVER (ORDER BY s_suppkey) - 1)::DOUBLE, round(s_acctbal, 6) FROM supplier")
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest with a line a nation, and a gain and a frequency that are numbers."""
     path = scratch(spark, "manifest")
-    spark.createDataFrame([("map: a/map.parquet\ngain: 1.25\n\nfreq : 150\nbeam: b:c.txt",)], "value string").coalesce(1).write.text(path)
+    n = table(spark, d, "nation").select(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" : map"), C("n_nationkey"), F.lit(":"), C("n_regionkey"), F.lit(".parquet ")).alias("value"))
+    more = table(spark, d, "region").agg(F.count(F.lit(1)).alias("k"), F.sum("r_regionkey").alias("s")).select(F.explode(F.array(F.concat(F.lit("gain: "), C("k") / 4), F.lit(""), F.concat(F.lit("freq : "), C("s") * 10))).alias("value"))
+    n.unionByName(more).coalesce(1).write.text(path)
     found = text.parse_manifest(text.lines_of(spark, path))
     return spark.createDataFrame([(k, str(v), isinstance(v, float)) for k, v in found.items()], "name string, value string, number boolean")
 
 
-put("manifest_lines", manifest, "SELECT * FROM (VALUES ('map', 'a/map.parquet', false), ('gain', '1.25', true), ('freq', '150.0', true), ('beam', 'b:c.txt', false)) t(name, value, number)")
+put(
+    "manifest_lines", manifest,
+    """SELECT lower(n_name) AS name, 'map' || n_nationkey || ':' || n_regionkey || '.parquet' AS value, false AS number FROM nation UNION ALL SELECT 'gain', CAST(count(*) / 4 AS DOUBLE)::VARCHAR, true FROM region
+ UNION ALL SELECT 'freq', CAST(sum(r_regionkey) * 10 AS DOUBLE)::VARCHAR, true FROM region""",
+)
 
 
 def settings(spark: SparkSession, d: str) -> DataFrame:
-    """Defaults, a file, a command line, a block and an argument, each over what it may be over."""
+    """A setting a nation: defaults, a file of every second, a command line of every third, a lower value, a block, arguments."""
     s = text.Settings()
-    for name, value in (("order", 3), ("sys", "equ"), ("deep", False), ("res", 0.5), ("tol", 1.0)):
-        s.default(name, value)
-    s.load(["order = 2 # bilinear", "deep = yes", "sys = 'hor'"])
-    rest = s.parse(["in.txt", "--res=0.25", "--order", "1", "out.txt"])
-    s.set("sys", "gal", 0)
-    rows = [(n, str(s.get(n)), str(s.get(n, override=type(s.values[n][0])(7)))) for n in ("deep", "order", "res", "sys", "tol")]
-    with s.scoped("tol", 4.0):
-        rows.append(("tol inside", str(s.get("tol")), str(s.get("tol", 5.0))))
-    rows += [("tol after", str(s.get("tol")), str(len(s.dump()))), ("rest", " ".join(rest), "")]
-    return spark.createDataFrame(rows, "name string, value string, asked string")
-
-
-put("settings_priorities", settings, "SELECT * FROM (VALUES ('deep', 'True', 'True'), ('order', '1', '1'), ('res', '0.25', '0.25'), ('sys', 'hor', '7'), ('tol', '1.0', '7.0'), ('tol inside', '4.0', '4.0'), ('tol after', '1.0', '5'), ('rest', 'in.txt out.txt', '')) t(name, value, asked)")
+    names = [(r.n_name, r.n_nationkey) for r in table(spark, d, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+    name = lambda n: n.lower().replace(" ", "_")
+    for n, k in names:
+        s.default(name(n), k)
+    s.load([f"{name(n)} = {k + 100} # from a file" for n, k in names if k % 2 == 0])
+    rest = s.parse(["in.txt", *[w for n, k in names if k % 3 == 0 for w in (f"--{name(n)}", str(k + 200))]])
+    for n, k in names:
+        s.set(name(n), k + 300, 0)
+    rows = []
+    for n, k in names:
+        with s.scoped(name(n), -1):
+            inside = s.get(name(n))
+        rows.append((k, s.get(name(n)), s.get(name(n), override=7), inside, len(rest)))
+    return spark.createDataFrame(rows, "k int, value int, asked int, inside int, rest int")
+
+
+put("settings_priorities", settings, "SELECT n_nationkey AS k, n_nationkey + CASE WHEN n_nationkey % 3 = 0 THEN 200 WHEN n_nationkey % 2 = 0 THEN 100 ELSE 300 END AS value, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey + 200 ELSE 7 END AS asked, CAST(-1 AS INT) AS inside, CAST(1 AS INT) AS rest FROM nation")
 put(
     "typed_settings", lambda s, d: table(s, d, "part").select("p_partkey", fn.typed(C("p_name"), "float").alias("f"), fn.typed(F.concat(F.lit(" "), C("p_size")), "int").alias("i"), fn.typed(F.when(C("p_size") % 2 == 0, "Yes").otherwise("off"), "bool").alias("b"), fn.is_number(F.concat(C("p_size"), F.when(C("p_size") % 3 == 0, "x").otherwise(".5"))).alias("num")),
     "SELECT p_partkey, TRY_CAST(p_name AS DOUBLE) AS f, p_size::BIGINT AS i, p_size % 2 = 0 AS b, p_size % 3 <> 0 AS num FROM part",
@@ -240,8 +259,8 @@ put(
 )
 put("range_empty", lambda s, d: iv.invert(iv.empty(lengths(s, d), ["det"]), lengths(s, d), ["det"]), f"WITH {LENGTHS} SELECT det, CAST(0 AS INT) AS lo, n AS hi FROM lengths WHERE n > 0")
 put(
-    "edge_weights", lambda s, d: rounded(s.range(40).select("id", sq.feather(40, C("id"), 5).alias("feather"), sq.tent(C("id"), 40).alias("tent")), "feather", "tent"),
-    "SELECT range AS id, round(least(1, (range + 1) / 6.0, (40 - range) / 6.0), 6) AS feather, round(1 - abs(2 * (range + 0.5) / 40 - 1), 6) AS tent FROM range(40)",
+    "edge_weights", lambda s, d: rounded(grid(s, d).select("y", "x", (sq.feather(40, C("x"), 5) * C("v")).alias("feather"), (sq.tent(C("y"), 25) * C("v")).alias("tent")), "feather", "tent", digits=4),
+    f"WITH {LI}, {GRID} SELECT y, x, round(v * least(1, (x + 1) / 6.0, (40 - x) / 6.0), 4) AS feather, round(v * (1 - abs(2 * (y + 0.5) / 25 - 1)), 4) AS tent FROM grid",
 )
 
 
@@ -283,62 +302,19 @@ put(
 
 
 def basis(spark: SparkSession, d: str) -> DataFrame:
-    out = [(kind, n, i, j, float(v)) for kind in ("bin:3", "full", "none", "poly:2") for n in (4, 7) for (i, j), v in np.ndenumerate(no.cut_basis(n, kind)) if abs(v) > 1e-12]
-    return rounded(spark.createDataFrame(out, "kind string, n int, i int, j int, v double"), "v")
+    """Parameters that stand for the samples of each run of errors: det, lo, place in the run, parameter, share."""
+    errs = iv.from_mask(samples(spark, d), ["det"], "sample", C("event_type") == "error")
+    out = None
+    for kind in ("bin:2", "full", "none", "poly:2"):
+        own = no.cut_parameters(errs, ["det"], kind).withColumn("kind", F.lit(kind))
+        out = own if out is None else out.unionByName(own)
+    return rounded(out, "v")
 
 
 put(
     "cut_bases", basis,
-    "WITH n AS (SELECT unnest([4, 7])::INT AS n), k AS (SELECT n, unnest(range(n))::INT AS i FROM n) SELECT 'bin:3' AS kind, n, i, (i // 3)::INT AS j, 1.0::DOUBLE AS v FROM k UNION ALL SELECT 'full', n, i, i, 1 FROM k UNION ALL SELECT 'poly:2', n, i, 0, 1 FROM k UNION ALL SELECT 'poly:2', n, i, 1, round(2 * i / (n - 1)::DOUBLE - 1, 6) FROM k WHERE 2 * i <> n - 1",
-)
-put(
-    "line_projection", lambda s, d: rounded(nu.group_map(samples(s, d).select("det", "sample", "value"), ["det"], "sample", "value", lambda t, v, _: nu.projected(nu.legendre(t, 2), v)), "value", digits=4),
-    f"WITH {SAMPLES} SELECT det, sample, round(m + k * (sample - c), 4) AS value FROM samples JOIN (SELECT det, CASE WHEN min(sample) < max(sample) THEN regr_slope(value, sample) ELSE 0 END AS k, avg(value) AS m, avg(sample) AS c FROM samples GROUP BY 1) USING (det)",
-)
-put(
-    "source_noise", lambda s, d: rounded(ms.range_noise(samples(s, d).withColumn("range_id", F.floor(C("sample") / 10)), ["det"], "value", "sample"), "var", digits=4),
-    f"WITH {SAMPLES}, r AS (SELECT *, sample // 10 AS g FROM samples), f AS (SELECT det, g, CASE WHEN min(sample) < max(sample) THEN regr_slope(value, sample) ELSE 0 END AS k, avg(value) AS m, avg(sample) AS c FROM r GROUP BY 1, 2) SELECT det, round(avg(pow(value - m - k * (sample - c), 2)), 4) AS var, count(*) AS n FROM r JOIN f USING (det, g) GROUP BY 1",
-)
-put(
-    "source_weighted", lambda s, d: rounded(ms.range_weighted(samples(s, d).select("det", "sample", "value", F.floor(C("sample") / 10).alias("range_id"), (C("det") % 3 + 1).alias("iv")), ["det"], "value", "sample", "iv", 1).select("det", "sample", "value"), "value", digits=5),
-    f"WITH {SAMPLES} SELECT det, sample, round((value - avg(value) OVER (PARTITION BY det, sample // 10)) * (det % 3 + 1), 5) AS value FROM samples",
-)
-put(
-    "pink_power", lambda s, d: rounded(table(s, d, "part").select("p_partkey", si.pink_weight(C("p_size") / 20.0 - 0.5, 2.0, 0.4, 1.5).alias("p"), fn.shared_mode(C("p_partkey"), 4, 100, C("p_size") % 3).alias("v"), fn.shared_power(C("p_size") / 20.0, C("p_size") % 3, 2.0).alias("e")), "p", "v", "e", digits=5),
-    "SELECT p_partkey, round(CASE WHEN p_size <= 10 THEN 0 ELSE 4 * (1 + pow(0.4 / (p_size / 20.0 - 0.5), 1.5)) END, 5) AS p, round(cos(2 * pi() * (p_size % 3) * (p_partkey // 4) / 26), 5) AS v, round(4 / (p_size / 20.0 / 0.2 * (p_size % 3 + 1)), 5) AS e FROM part",
-)
-
-# ---- numbers and angles
-
-put(
-    "spectral_scaling", lambda s, d: rounded(table(s, d, "part").select("p_partkey", fn.scaling(F.when(C("p_size") % 3 == 0, "power").when(C("p_size") % 3 == 1, "sz").otherwise("flat"), F.lit(-0.7), C("p_size") * 5.0 + 30, 150.0).alias("f")), "f"),
-    "WITH p AS (SELECT p_partkey, p_size % 3 AS k, p_size * 5.0 + 30 AS f, (p_size * 5.0 + 30) * (0.0479924307 / 2.725) AS x, 150 * (0.0479924307 / 2.725) AS y FROM part) SELECT p_partkey, round(CASE k WHEN 0 THEN pow(f / 150, -0.7) WHEN 1 THEN (x * (exp(x) + 1) / (exp(x) - 1) - 4) / (y * (exp(y) + 1) / (exp(y) - 1) - 4) ELSE 1 END, 6) AS f FROM p",
-)
-SUN = (0.6, -0.8, 0.1)
-put(
-    "earth_to_sun", lambda s, d: rounded(sky(s, d).select("id", fn.from_earth_to_sun(fn.unit(C("lon"), C("lat")), F.lit(3.0), F.array(*map(F.lit, SUN))).alias("u")).select("id", *[C("u")[k].alias(n) for k, n in enumerate("xyz")]), "x", "y", "z"),
-    f"WITH {VEC}, w AS (SELECT id, 3 * x - 0.6 AS x, 3 * y + 0.8 AS y, 3 * z - 0.1 AS z FROM v) SELECT id, round(x / sqrt(x*x + y*y + z*z), 6) AS x, round(y / sqrt(x*x + y*y + z*z), 6) AS y, round(z / sqrt(x*x + y*y + z*z), 6) AS z FROM w",
-)
-put(
-    "sun_distance_known", lambda s, d: rounded(sky(s, d).select("id", fn.to_sun_by_sun_distance(fn.unit(C("lon"), C("lat")), F.lit(3.0), F.array(*map(F.lit, SUN))).alias("u")).select("id", C("u.distance").alias("far"), C("u.position")[0].alias("x")), "far", "x"),
-    f"WITH {VEC}, a AS (SELECT *, 0.6 * x - 0.8 * y + 0.1 * z AS s FROM v), w AS (SELECT *, s + sqrt(s * s - 1.01 + 9) AS f FROM a) SELECT id, round(f, 6) AS far, round((f * x - 0.6) / 3, 6) AS x FROM w",
-)
-put(
-    "azimuth_slope", lambda s, d: rounded(table(s, d, "part").select("p_partkey", fn.az_slope(C("p_size") * 20.0 - 300, F.lit(45.0), 170.0, 0.5, -0.25).alias("p")).select("p_partkey", "p.az", "p.el"), "az", "el"),
-    "WITH p AS (SELECT p_partkey, p_size * 20.0 - 300 AS az, ((p_size * 20.0 - 300 - 170 + 180) % 360 + 360) % 360 - 180 AS d FROM part) SELECT p_partkey, round(az + 0.5 / 60 * d, 6) AS az, round(45 - 0.25 / 60 * d, 6) AS el FROM p",
-)
-put(
-    "bracketed_root", lambda s, d: rounded(table(s, d, "part").select("p_partkey", fn.bisected(lambda x: x * x * x - C("p_size"), F.lit(0.0), F.lit(3.5)).alias("r")), "r"),
-    "SELECT p_partkey, round(least(cbrt(p_size), 3.5), 6) AS r FROM part",
-)
-NORMAL = "CASE WHEN {z} >= 0 THEN 1 - exp(-{z} * {z} / 2) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) / sqrt(2 * pi()) ELSE exp(-{z} * {z} / 2) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) / sqrt(2 * pi()) END"
-put(
-    "all_positive", lambda s, d: rounded(table(s, d, "part").select("p_partkey", fn.log_all_positive(F.array((C("p_size") - 25) / 10.0, F.lit(-16.0)), F.array(F.lit(1.0), F.lit(2.0))).alias("p")), "p", digits=5),
-    f"WITH p AS (SELECT p_partkey, (p_size - 25) / 10.0 AS z, 1 / (1 + 0.2316419 * abs((p_size - 25) / 10.0)) AS t FROM part) SELECT p_partkey, round(ln({NORMAL.format(z='z')}) - 0.5 * ln(2 * pi()) - ln(8) - 32 + ln(1 - 1 / 64.0 + 3 / 4096.0), 5) AS p FROM p",
-)
-put(
-    "flipped_matrix", lambda s, d: rounded(systems(s, d).select("p_partkey", nu.per_row(nu.flip)(F.transform("a", lambda x: -x)).alias("m")).select("p_partkey", *[C("m")[k].alias(f"m{k}") for k in range(9)]), *[f"m{k}" for k in range(9)], digits=5),
-    f"WITH {SYS} SELECT p_partkey, round(a, 5) AS m0, round(b, 5) AS m1, 0.0::DOUBLE AS m2, round(b, 5) AS m3, round(a + 1, 5) AS m4, round(b, 5) AS m5, 0.0::DOUBLE AS m6, round(b, 5) AS m7, round(a + 2, 5) AS m8 FROM sys",
+    f"""WITH {SAMPLES}, {ERRORS_SQL}, k AS (SELECT det, lo, hi - lo AS n, unnest(range(hi - lo))::INT AS i FROM errs) SELECT 'bin:2' AS kind, det, lo, i, (i // 2)::INT AS j, 1.0::DOUBLE AS v FROM k UNION ALL SELECT 'full', det, lo, i, i, 1 FROM k UNION ALL SELECT 'poly:2', det, lo, i, 0, 1 FROM k
+ UNION ALL SELECT 'poly:2', det, lo, i, 1, round(2 * i / (n - 1)::DOUBLE - 1, 6) FROM k WHERE n > 1 AND 2 * i <> n - 1""",
 )
 put(
     "low_rank_expanded", lambda s, d: rounded(systems(s, d).select("p_partkey", nu.per_row(nu.expand_low_rank)(F.array(*map(F.lit, (1.0, 2.0, 3.0))), "b", F.array(F.lit(0.5))).alias("m")).select("p_partkey", C("m")[0].alias("m0"), C("m")[1].alias("m1"), C("m")[8].alias("m8")), "m0", "m1", "m8"),
@@ -349,14 +325,18 @@ put(
 
 
 def ephemeris(spark: SparkSession, d: str) -> DataFrame:
-    """Values at the table's own times, and between them where the course is a straight line."""
-    base = spark.range(4).crossJoin(F.broadcast(spark.range(12).withColumnRenamed("id", "k"))).withColumn("t", C("k") * 2.0)
-    known = base.select("id", "t", F.when(C("id") < 2, C("t") * (C("id") + 1) + 3).otherwise(F.sin("t") * C("id")).alias("ra"), (C("id") * 1.0 + C("t") / 8).alias("dec"))
-    asked = base.where("k < 11").select("id", (C("t") + F.when(C("id") < 2, 0.75).otherwise(0.0)).alias("t"))
-    return rounded(mo.spline(known, asked, "id", "t", ["ra", "dec"]), "ra", "dec")
+    """Values at the table's own times, and between them where the course is a straight line: an object a detector."""
+    base = samples(spark, d).select(C("det").alias("id"), (C("sample") * 2.0).alias("t"), F.max("sample").over(W.partitionBy("det")).alias("last"))
+    known = base.select("id", "t", F.when(C("id") % 2 == 0, C("t") * (C("id") % 7 + 1) + 3).otherwise(F.sin("t") * C("id")).alias("ra"), (C("id") * 1.0 + C("t") / 8).alias("dec"))
+    asked = base.where("t < 2 * last").select("id", (C("t") + F.when(C("id") % 2 == 0, 0.75).otherwise(0.0)).alias("t"))
+    return rounded(mo.spline(known, asked, "id", "t", ["ra", "dec"]), "ra", "dec", digits=5)
 
 
-put("ephemeris_spline", ephemeris, "SELECT id, t, round(CASE WHEN id < 2 THEN t * (id + 1) + 3 ELSE sin(t) * id END, 6) AS ra, round(id + t / 8, 6) AS dec FROM (SELECT i AS id, k * 2.0::DOUBLE + CASE WHEN i < 2 THEN 0.75 ELSE 0 END AS t FROM range(4) a(i), range(11) b(k))")
+put(
+    "ephemeris_spline", ephemeris,
+    f"""WITH {SAMPLES}, b AS (SELECT det AS id, sample * 2.0::DOUBLE + CASE WHEN det % 2 = 0 THEN 0.75 ELSE 0 END AS t, sample, max(sample) OVER (PARTITION BY det) AS last FROM samples)
+ SELECT id, t, round(CASE WHEN id % 2 = 0 THEN t * (id % 7 + 1) + 3 ELSE sin(t) * id END, 5) AS ra, round(id + t / 8, 5) AS dec FROM b WHERE sample < last""",
+)
 put(
     "displaced_objects", lambda s, d: rounded(sky(s, d).select("id", mo.displaced(C("lon"), C("lat"), F.lit(5.0), (0.3, -0.9, 0.2)).alias("a")).select("id", "a.lon", "a.lat"), "lon", "lat"),
     f"WITH {VEC}, w AS (SELECT id, 5 * x - 0.3 AS x, 5 * y + 0.9 AS y, 5 * z - 0.2 AS z FROM v) SELECT id, round(atan2(y, x), 6) AS lon, round(atan2(z, sqrt(x * x + y * y)), 6) AS lat FROM w",
@@ -392,20 +372,23 @@ put(
     "SELECT p_partkey FROM part WHERE p_size * 20 BETWEEN 200 AND 900 AND sqrt(pow(p_retailprice / 1000, 2) + 0.01) <= 3 * pow(200 / (p_size * 20.0), 1.5) AND p_partkey % 90 / 60.0 <= 0.8",
 )
 put(
-    "limit_distances", lambda s, d: rounded(mo.limit_distance(s.range(200).select((C("id") % 20).alias("k"), (C("id") / 20).cast("int").cast("double").alias("r"), (100.0 - F.floor(C("id") / 20) * (C("id") % 20)).alias("f")), ["k"], "r", "f", 50.0), "limit_r"),
-    "SELECT range AS k, CASE WHEN 9 * range > 50 THEN round(50 / range::DOUBLE, 6) END AS limit_r FROM range(20)",
+    "limit_distances", lambda s, d: rounded(mo.limit_distance(table(s, d, "lineitem").select(C("l_linenumber").alias("k"), C("l_quantity").cast("double").alias("r")).distinct().withColumn("f", 100.0 - C("r") * C("k")), ["k"], "r", "f", 50.0), "limit_r"),
+    """WITH c AS (SELECT DISTINCT l_linenumber AS k, l_quantity::DOUBLE AS r FROM lineitem), n AS (SELECT k, r, lead(r) OVER (PARTITION BY k ORDER BY r) AS next FROM c)
+ SELECT c.k, (SELECT round(50 / any_value(n.k)::DOUBLE, 6) FROM n WHERE n.k = c.k AND n.r * n.k <= 50 AND n.next * n.k > 50) AS limit_r FROM (SELECT DISTINCT k FROM c) c""",
 )
 
 
 def rand_sources(spark: SparkSession, d: str) -> DataFrame:
-    r = si.sources(spark, (10.0, 30.0, -5.0, 5.0), 4000, 2.0, 9)
+    """As many random sources as there are items, tied to them by number: in the box, with the mean amplitude."""
+    n = table(spark, d, "lineitem").count()
+    r = si.sources(spark, (10.0, 30.0, -5.0, 5.0), n, 2.0, 9)
     return r.agg(F.count(F.lit(1)).alias("n"), F.bool_and(C("x").between(10, 30) & C("y").between(-5, 5) & (C("amp") > 0)).alias("inside"), (F.abs(F.avg("amp") - 2) < 0.2).alias("mean_amp"), (F.abs(F.avg("x") - 20) < 0.5).alias("centred"))
 
 
-put("random_sources", rand_sources, "SELECT 4000::BIGINT AS n, true AS inside, true AS mean_amp, true AS centred")
+put("random_sources", rand_sources, "SELECT count(*) AS n, true AS inside, true AS mean_amp, true AS centred FROM lineitem")
 put(
-    "track_mask", lambda s, d: mo.near_track(si.raster(s, (0.0, 10.0, 0.0, 10.0), 0.5).select(C("sample").alias("id"), "x", "y"), s.range(0, 8).select(C("id"), (C("id") * 1.1).alias("x"), (5 + F.sin("id")).alias("y")), 0.8),
-    "SELECT DISTINCT c.i AS id FROM (SELECT range AS i, (range % 20 + 0.5) * 0.5 AS x, (range // 20 + 0.5) * 0.5 AS y FROM range(400)) c, (SELECT range * 1.1 AS x, 5 + sin(range) AS y FROM range(8)) t WHERE sqrt(pow(c.x - t.x, 2) + pow(c.y - t.y, 2)) <= 0.8",
+    "track_mask", lambda s, d: mo.near_track(cat(s, d).select("id", C("px").alias("x"), C("py").alias("y")), samples(s, d).groupBy("det").agg(F.max("sample").alias("k")).select(C("det").cast("long").alias("id"), (C("det") * 3.5 % 400).alias("x"), (25 + 20 * F.sin(C("det") / 9)).alias("y")), 0.8, 400.0),
+    f"WITH {CAT}, t AS (SELECT DISTINCT user_id * 3.5::DOUBLE % 400 AS x, 25 + 20 * sin(user_id / 9) AS y FROM events) SELECT DISTINCT id FROM cat JOIN t ON sqrt(pow(least(abs(px - x), 400 - abs(px - x)), 2) + pow(py - y, 2)) <= 0.8",
 )
 
 # ---- sets of maps
@@ -507,12 +490,13 @@ put(
 
 
 def knees(spark: SparkSession, d: str) -> DataFrame:
-    """Spectra made with known knees, found again."""
-    rows = spark.range(1, 12).select((C("id") * 150.0).alias("knee"), F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: k * 50.0).alias("l"))
-    rows = rows.withColumn("p", F.transform("l", lambda x: 3.0 * (1 + F.pow(x / C("knee"), F.lit(-4.0)))))
-    return rows.select("knee", (F.abs(nu.per_row(nu.knee, T.DoubleType())("p", "l") - C("knee")) < 0.5).alias("found"))
+    """Spectra made with known knees, a supplier each over the frequencies of its items, found again."""
+    rows = table(spark, d, "lineitem").select(C("l_suppkey").alias("k"), (50.0 * (1 + C("l_partkey") % 100)).alias("l")).distinct()
+    rows = rows.withColumn("p", 3.0 * (1 + F.pow(C("l") / (300.0 + 40 * (C("k") % 30)), F.lit(-4.0))))
+    lists = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("l", "p"))).alias("s"))
+    return rounded(lists.select("k", nu.per_row(nu.knee, T.DoubleType())(F.transform("s", lambda x: x["p"]), F.transform("s", lambda x: x["l"])).alias("knee")), "knee", digits=2)
 
 
-put("spectral_knees", knees, "SELECT range * 150::DOUBLE AS knee, true AS found FROM range(1, 12)")
+put("spectral_knees", knees, "SELECT DISTINCT l_suppkey AS k, 300.0::DOUBLE + 40 * (l_suppkey % 30) AS knee FROM lineitem")
 
 QUERIES, ORACLE = Q, {k: nudged(v) for k, v in O.items()}
