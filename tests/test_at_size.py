@@ -4,6 +4,9 @@ from __future__ import annotations
 
 
 import duckdb
+import oracle
+from pyspark.sql import functions as F
+from tallyfield import catalog
 from tallyfield.suite.base import merge_sql
 
 
@@ -15,3 +18,12 @@ def test_equal_ranges_are_no_ties_in_sql():
     con.execute("CREATE TABLE r AS SELECT i AS det, 3 AS lo, 5 AS hi FROM range(5) t(i)")
     assert con.execute(f"SELECT count(*), count(DISTINCT det) FROM {read}").fetchone() == (5, 5)
     assert sorted(con.execute(f"WITH {sql} SELECT * FROM m").fetchall()) == [(k, 3, 5) for k in range(5)]
+
+
+def test_scan_999_is_asked_for(spark, tiny, tmp_path):
+    events = spark.read.parquet(f"{tiny}/events.parquet").withColumn("user_id", F.expr("CASE WHEN user_id % 2 = 0 THEN 9990 + user_id % 10 ELSE user_id END"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert oracle.difference(spark, con, catalog.QUERIES["scan_store"], catalog.ORACLE["scan_store"], str(tmp_path)) == ""
+    assert 999 in {r.scan for r in catalog.QUERIES["scan_store"](spark, str(tmp_path)).select("scan").collect()}
