@@ -27,3 +27,12 @@ def test_scan_999_is_asked_for(spark, tiny, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert oracle.difference(spark, con, catalog.QUERIES["scan_store"], catalog.ORACLE["scan_store"], str(tmp_path)) == ""
     assert 999 in {r.scan for r in catalog.QUERIES["scan_store"](spark, str(tmp_path)).select("scan").collect()}
+
+
+def test_half_turns_come_back_as_one_angle(spark, tmp_path):
+    """73 k = 1800 modulo 3600: a longitude of 180 degrees, on either side of the cut by its last bit."""
+    keys = spark.range(1800, 900_000, 3600).select(F.col("id").alias("c_custkey"))
+    keys.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert oracle.difference(spark, con, catalog.QUERIES["recentre_back"], catalog.ORACLE["recentre_back"], str(tmp_path)) == ""
