@@ -7,6 +7,7 @@ import duckdb
 import oracle
 from pyspark.sql import functions as F
 from tallyfield import catalog
+from tallyfield.operators import numerics
 from tallyfield.suite.base import merge_sql
 
 
@@ -36,3 +37,10 @@ def test_half_turns_come_back_as_one_angle(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     assert oracle.difference(spark, con, catalog.QUERIES["recentre_back"], catalog.ORACLE["recentre_back"], str(tmp_path)) == ""
+
+
+def test_covariance_of_one_span_is_not_summed_again(spark):
+    """At a lag too: its n^2 rows leave the tasks as they are, without a shuffle."""
+    df = spark.range(60).selectExpr("id % 3 det", "id div 3 at", "id * 1.0D v")
+    plan = numerics.covariance(df, "det", "at", "v", 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Project") and "Aggregate" not in plan.split("FlatMapGroups")[0]
