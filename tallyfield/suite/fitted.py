@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def joint_mode(spark: SparkSession, d: str) -> DataFrame:
     """One mode planted in tens of parts: its strength and its weights."""
     p = table(spark, d, "part").select((C("p_partkey") % 3).alias("grp"), F.floor(C("p_partkey") / 3 % 10).cast("int").alias("det"), F.floor(C("p_partkey") / 30).alias("at"))
     rows = p.withColumn("v", (1.0 + C("det")) * (C("at") % 7 + 1 + C("grp"))).where(C("at") < F.lit(table(spark, d, "part").agg(F.floor(F.max("p_partkey") / 30)).first()[0]))
-    found = lowrank.vectors(rows, ["grp"], "det", "at", "v", 16).where("mode = 0")
+    found = lowrank.vectors(rows, ["grp"], "det", "at", "v", 16, lambda s: np.arange(len(s)) == 0)
     return rounded(found.select("grp", "det", "v", "s"), "v", "s", digits=5)
 
 
@@ -77,7 +78,7 @@ put(
 def mode_variances(spark: SparkSession, d: str) -> DataFrame:
     """The modes of a group of detectors share its whole variance out."""
     rows = lowrank.centred(samples(spark, d).withColumn("scan", C("det") % 5).select("scan", "det", "sample", "value"), ["scan"], "det", "value")
-    modes = lowrank.vectors(rows, ["scan"], "det", "sample", "value", 32).select("scan", "mode", "s").distinct()
+    modes = lowrank.factored(rows, ["scan"], "det", "sample", "value", 32).strengths()
     return rounded(modes.groupBy("scan").agg(F.count(F.lit(1)).alias("modes"), F.sum(C("s") * C("s")).alias("total")), "total", digits=3)
 
 
