@@ -65,7 +65,9 @@ def gauss_newton(rows: DataFrame, group: list[str], value: str, weight: str, mod
     out; of a group that doesn't converge within `steps` the best point so far is given."""
     n = len(names)
     limits = [(bounds or {}).get(c, (-np.inf, np.inf)) for c in names]
-    rows = cut(rows.where(F.col(value).isNotNull() & F.col(weight).isNotNull()))
+    # Rows that differ by nothing but their weight are one row for every step.
+    same = [c for c in rows.columns if c != weight]
+    rows = cut(rows.where(F.col(value).isNotNull() & F.col(weight).isNotNull()).groupBy(*same).agg(F.sum(weight).alias(weight)))
     keep = [*group, "best", "trial", "sums", "chisq", "damping", "done"]
     state = start.select(*group, F.array(*[F.col(c).cast("double") for c in names]).alias("best"))
     size = n * (n + 1) // 2 + n
