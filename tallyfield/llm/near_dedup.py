@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLANKS, discard, fresh, narrow, row_key, stage, table, words_of
+from .common import discard, fresh, narrow, row_key, stage, table, text_of
 
 SHINGLE = 5
 BANDS = 32
@@ -41,9 +42,16 @@ LEAST = 0.8
 ESTIMATE = 0.65
 STAR_ROUNDS = 2
 BLOCK = 256
-CHUNK_WORDS = 150_000
+BLOCK_CELLS = 1 << 20
+CHUNK_BYTES = 800_000
+CELLS = 32_768
+PAIR_WORDS = 150_000
+#: What is in every text with a word: a character outside the blanks.
+WORD_RE = r"[^\x20\x09-\x0D]"
 _G = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_ONE = np.float64(1).view(np.uint64)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -68,101 +76,188 @@ def shingles(words: np.ndarray, sizes: np.ndarray, k: int = SHINGLE) -> tuple[np
     return row[first], h[first]
 
 
+def _runs(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, start): an order in which equal shingles of a row are neighbours, and where each run of them starts."""
+    key = h + mixed(row.astype(np.uint64) * _G)
+    order = np.argsort(key)
+    key, row = key[order], row[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return order, np.flatnonzero(new)
+
+
 def bags(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, multiplicity) of the distinct shingles of each row."""
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    start = np.flatnonzero(new)
-    return row[start], h[start], np.diff(np.append(start, len(h)))
+    """(row, hash, multiplicity) of the distinct shingles of each row, in no order."""
+    order, start = _runs(row, h)
+    first = order[start]
+    return row[first], h[first], np.diff(np.append(start, len(h)))
 
 
-def bag_minhash(row: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: int = M) -> np.ndarray:
-    """n x m matrix of smallest points. Every row needs a shingle."""
-    sig = np.full(n * m, np.inf)
-    total = np.bincount(row, weights=count, minlength=n)
-    limit = (np.log(m) + 4.0) / np.maximum(total, 1)
-    todo = np.arange(n)
-    while len(todo):
-        mask = np.zeros(n, bool)
-        mask[todo] = True
-        own = np.flatnonzero(mask[row])
-        level, low = 0, 0
-        while len(own):  # ranges (0, 1], (1, 2], (2, 4], ... as far as the multiplicity reaches
-            width = max(1, low)
-            _points(sig, row[own], h[own], count[own], limit, level, low, width, m)
-            low = low + width
-            level += 1
-            own = own[count[own] > low]
-        todo = todo[np.isinf(sig.reshape(n, m)[todo]).any(axis=1)]
-        limit[todo] *= 3
-    return sig.reshape(n, m)
-
-
-def _points(sig: np.ndarray, row: np.ndarray, h: np.ndarray, count: np.ndarray, limit: np.ndarray, level: int, low: int, width: int, m: int) -> None:
-    """Runs the processes of one range of multiplicities, (low, low + width], and lowers sig where their points do."""
-    state, x, most = mixed(h + np.uint64(level * int(_A) % (1 << 64))), np.zeros(len(h)), limit[row]
-    rate = float(m * width)
-    while len(state):
-        state = state + _G
-        r = mixed(state)
-        x = x - np.log(((r >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate
-        live = x <= most
-        if not live.all():
-            state, x, most, row, count = state[live], x[live], most[live], row[live], count[live]
-        r = mixed(state ^ _B)
-        part = ((r >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-        place = row * m + part.astype(np.int64)
-        if width == 1:
-            np.minimum.at(sig, place, x)
-        else:
-            reach = low + 1 + (((r & np.uint64(0xFFFFFFFF)) * np.uint64(width)) >> np.uint64(32)).astype(np.int64) <= count
-            np.minimum.at(sig, place[reach], x[reach])
+def numbered(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """h, where repeats in a row are hashed with their number: a row's bag as a set, so that the Jaccard similarity of two
+    sets is the weighted one of the bags."""
+    order, start = _runs(row, h)
+    nth = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
+    repeats = np.flatnonzero(nth)
+    out, at = h.copy(), order[repeats]
+    out[at] = mixed(h[at] + nth[repeats].astype(np.uint64) * _G)
+    return out
+
 
+def bag_minhash(row: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: int = M) -> np.ndarray:
+    """n x m matrix of smallest points. Every row needs a shingle.
 
-def _parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of about `most` words: (slice, concatenated values, sizes)."""
-    sizes = np.asarray(batch.column(column).value_lengths().to_numpy(zero_copy_only=False), np.int64)
-    ends, start = np.cumsum(sizes), 0
+    A row's processes run up to a limit, which rises until all its components have a point, then to the largest of these.
+    """
+    sig = np.full((n, m), np.inf)
+    mean = 1 / np.maximum(np.bincount(row, weights=count, minlength=n), 1)
+    limit, more = (np.log(m) + 0.5) * mean, 1.5 * mean
+    ranges, low, own = [], 0, np.arange(len(h))
+    while len(own):  # (0, 1], (1, 2], (2, 4], ... as far as the multiplicity reaches
+        ranges.append((own, np.full(len(own), low)))
+        low += max(1, low)
+        own = own[count[own] > low]
+    own, low = (np.concatenate(k) for k in zip(*ranges, strict=True)) if ranges else (own, own)
+    row, count, width = row[own], count[own], np.maximum(low, 1)
+    state, x = mixed(h[own] + low.astype(np.uint64) * _A), np.zeros(len(own))
+    live = np.arange(len(own))
+    while True:
+        while len(live):
+            left = (limit[row[live]] - x[live]) * (m * width[live])
+            power = np.round(np.log2(np.clip(left, 1, 4096))).astype(np.int64)
+            for k in np.flatnonzero(np.bincount(power)).tolist():
+                at = live[power == k]
+                for i in range(0, len(at), max(1, CELLS >> k)):
+                    _points(sig, row, count, low, width, state, x, at[i : i + max(1, CELLS >> k)], 1 << k)
+            live = live[x[live] < limit[row[live]]]
+        top = sig.max(axis=1)
+        short = top > limit
+        if not short.any():
+            return sig
+        limit[short] = np.minimum(top[short], limit[short] + more[short])
+        more[short] *= 2
+        live = np.flatnonzero(short[row])
+        live = live[x[live] < limit[row[live]]]
+
+
+def _points(sig: np.ndarray, row: np.ndarray, count: np.ndarray, low: np.ndarray, width: np.ndarray, state: np.ndarray, x: np.ndarray, at: np.ndarray, k: int) -> None:
+    """Runs each process of `at` by k more points and lowers sig where they do. A process is the same in any steps."""
+    m = sig.shape[1]
+    z = state[at][:, None] + np.arange(1, k + 1, dtype=np.uint64) * _G
+    state[at] = z[:, -1]
+    r = mixed(z)
+    wait = np.log(2.0 - ((r >> np.uint64(24) << np.uint64(12)) | _ONE).view(float))  # 40 bits: 2 - [1, 2)
+    wait /= -float(m) * width[at][:, None]
+    wait[:, 0] += x[at]
+    points = np.add.accumulate(wait, axis=1)
+    x[at] = points[:, -1]
+    part = ((r & np.uint64(0xFFFFFF)) * np.uint64(m)) >> np.uint64(24)
+    wide = width[at]
+    if (wide > 1).any():
+        reach = (((mixed(z ^ _B) >> np.uint64(32)) * wide.astype(np.uint64)[:, None]) >> np.uint64(32)).astype(np.int64)
+        points[reach + (low[at] + 1)[:, None] > count[at][:, None]] = np.inf
+    np.minimum.at(sig.reshape(-1), (part.view(np.int64) + (row[at] * m)[:, None]).ravel(), points.ravel())
+
+
+def hashed_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, one text after the other; words of each text). texts: without nulls."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32 if pa.types.is_string(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    first, size = int(ends[0]), int(ends[-1] - ends[0])
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    ends = ends - first
+    raw = np.zeros(size + 8, np.uint8)
+    raw[:size] = np.frombuffer(data, np.uint8, size, first)
+    inside = np.zeros(size + 1, bool)
+    inside[:size] = (raw[:size] != 32) & (raw[:size] - np.uint8(9) > 4)
+    before = np.append(False, inside[:size])
+    before[ends] = False
+    start = np.flatnonzero(inside & ~before)
+    after = inside.copy()
+    after[ends] = False
+    stop = np.flatnonzero(inside[:size] & ~after[1:]) + 1
+    sizes = np.diff(np.searchsorted(start, ends))
+    if not len(start):
+        return np.zeros(0, np.uint64), sizes
+    blocks = (stop - start + 7) >> 3  # of eight bytes
+    head = np.cumsum(blocks) - blocks
+    nth = np.arange(int(blocks.sum())) - np.repeat(head, blocks)
+    at = np.repeat(start, blocks) + 8 * nth
+    bytes_left = np.minimum(np.repeat(stop, blocks) - at, 8)
+    value = np.ndarray(size + 1, "<u8", raw.data, strides=(1,))[at] & _MASKS[bytes_left]
+    spread = np.add.reduceat(mixed(value + (nth + 1).astype(np.uint64) * _G), head)
+    return mixed(spread + (stop - start).astype(np.uint64) * _A), sizes
+
+
+def sequence_hashes(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text's words in their order. Every text needs a word."""
+    head = np.cumsum(sizes) - sizes
+    place = (np.arange(len(words)) - np.repeat(head, sizes) + 1).astype(np.uint64) * _G
+    once = mixed(words + place)
+    return tuple(mixed(np.add.reduceat(z, head) + sizes.astype(np.uint64)).view(np.int64) for z in (once, mixed(once ^ _B)))
+
+
+def _worded(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of about CHUNK_BYTES of text, without the texts that have no word: (slice, hashed words, sizes)."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
     while start < len(batch):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + CHUNK_BYTES, "right")))
         part = batch.slice(start, stop - start)
-        yield part, part.column(column).flatten().to_numpy(zero_copy_only=False), sizes[start:stop]
+        words, sizes = hashed_words(part.column(column))
+        if len(words):
+            yield part if sizes.all() else part.filter(pa.array(sizes > 0)), words, sizes[sizes > 0]
         start = stop
 
 
-def hashed_words(text: Column) -> Column:
-    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, _k1 and _k2 (row key), w1 and w2 (hash of the word sequence) and sig (M ints) of each document with a word;
+    """doc_id, _k1 and _k2 (row key), w1 and w2 (hash of the word sequence), sig (M numbers of 16 bits) of each document with a word;
     no shuffle."""
-    rows = docs.where(F.translate("text", BLANKS, "") != "").select("doc_id", *row_key("doc_id", "text"), hashed_words(F.col("text")).alias("words"))
-    rows = rows.select("doc_id", "_k1", "_k2", F.xxhash64(F.lit(1), "words").alias("w1"), F.xxhash64("words", F.lit(2)).alias("w2"), "words")
-    held = ["doc_id", "_k1", "_k2", "w1", "w2"]
+    rows = docs.select("doc_id", *row_key("doc_id", "text"), text_of().alias("text"))
+    held = ["doc_id", "_k1", "_k2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, words, sizes in _parts(batch, len(held), CHUNK_WORDS):
+            for part, words, sizes in _worded(batch, len(held)):
                 sig = bag_minhash(*bags(*shingles(words, sizes)), len(sizes))
-                fold = (mixed(sig.view(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel()
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * M), pa.array(fold))
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(held))], lists], [*held, "sig"])
+                fold = mixed(sig.view(np.uint64)) >> np.uint64(48)
+                fold = _lists(fold.astype(np.uint16).view(np.int16).ravel(), np.full(len(sizes), M))
+                own = [part.column(k) for k in range(len(held))] + [pa.array(w) for w in sequence_hashes(words, sizes)]
+                yield pa.RecordBatch.from_arrays([*own, fold], [*held, "w1", "w2", "sig"])
 
-    shape = rows.select(*held).schema.add("sig", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(run, shape)
+    shape = rows.select(*held).schema.add("w1", T.LongType()).add("w2", T.LongType())
+    return rows.mapInArrow(run, shape.add("sig", T.ArrayType(T.ShortType())))
+
+
+def worded(texts: DataFrame) -> DataFrame:
+    """v and words: the hashes of its text's words. texts: v and text, which has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, words, sizes in _worded(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(words.view(np.int64), sizes)], ["v", "words"])
+
+    rows = texts.select("v", "text")
+    return rows.mapInArrow(run, rows.select("v").schema.add("words", T.ArrayType(T.LongType())))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of the shingle bags of two lists of word hashes."""
-    sizes = np.array([len(a), len(b)])
-    row, h, count = bags(*shingles(np.concatenate([a, b]), sizes))
-    n = int(np.searchsorted(row, 1))
-    _, i, j = np.intersect1d(h[:n], h[n:], assume_unique=True, return_indices=True)
-    both = np.minimum(count[:n][i], count[n:][j]).sum()
-    return float(both / (count.sum() - both))
+    """Weighted Jaccard similarity of two bags that `numbered` made sets."""
+    z = np.sort(np.concatenate([a, b]))
+    both = np.count_nonzero(z[1:] == z[:-1])
+    return both / (len(z) - both)
+
+
+def _bags(words: pa.ListArray) -> list[np.ndarray]:
+    """The bags of lists of word hashes, as `numbered` has them."""
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row, h = shingles(words.flatten().to_numpy(zero_copy_only=False), sizes)
+    return np.split(numbered(row, h), np.cumsum(np.bincount(row, minlength=len(sizes)))[:-1])
 
 
 def verified(pairs: DataFrame, held: DataFrame, least: float = LEAST) -> DataFrame:
@@ -171,11 +266,11 @@ def verified(pairs: DataFrame, held: DataFrame, least: float = LEAST) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
-            na, nb = (c.value_lengths().to_numpy(zero_copy_only=False) for c in (a, b))
-            good = [
-                min(p, q) >= least * max(p, q) - SHINGLE and overlap(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) >= least - 1e-12
-                for x, y, p, q in zip(a, b, na, nb, strict=True)
-            ]
+            na, nb = (np.maximum(c.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) - SHINGLE + 1, 1) for c in (a, b))
+            good = np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-6  # no pair of other sizes can reach it
+            rows = np.flatnonzero(good)
+            for at in np.split(rows, np.flatnonzero(np.diff(np.cumsum((na + nb)[rows]) // PAIR_WORDS)) + 1) if len(rows) else []:
+                good[at] = [overlap(p, q) >= least - 1e-12 for p, q in zip(_bags(a.take(pa.array(at))), _bags(b.take(pa.array(at))), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     words = lambda v, w: held.select(F.col("v").alias(v), F.col("words").alias(w))
@@ -222,6 +317,7 @@ def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFra
     A task looks at a pair if its classes differ, its signatures agree in a share of ESTIMATE or more, and this is the first
     band that the two share (else that band's bucket looks at it), best estimates first; it verifies the pair if
     no link found so far in the task has joined the classes. So a task puts out fewer links than it has members.
+    Signatures alone meet first; words are only sent for members that have such a pair.
     """
     n_out, n_in = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("n_in") / BLOCK).cast("int")
     dealt = rows.join(top, "bucket").withColumn("inside", F.col("c") == F.col("most"))
@@ -235,22 +331,34 @@ def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFra
     meets_out = F.transform(out, lambda k: task(F.least(b, k), F.greatest(b, k), False, (b > k).cast("int")))
     meets_in = F.transform(F.sequence(F.lit(0), n_in - 1), lambda k: task(b, k, True, F.lit(0)))
     tasks = F.when(F.col("inside"), F.transform(out, lambda k: task(k, b, True, F.lit(1)))).otherwise(F.concat(meets_out, meets_in))
-    sent = dealt.select("bucket", "band", "v", F.xxhash64("c").alias("c"), F.explode(tasks).alias("t")).join(signs, "v").join(held, "v")
-    sent = sent.select("bucket", "t.*", "band", "v", "c", "sig", "words")
+    sent = dealt.select("bucket", "band", "v", F.xxhash64("c").alias("c"), F.explode(tasks).alias("t")).join(signs, "v")
+    sent = sent.select("bucket", "t.*", "band", "v", "c", "sig")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+    def near_pairs(group: pa.Table) -> list[tuple[float, int, int]]:
         sig = group["sig"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, M)
         c, side, band = (group[k].to_numpy() for k in ("c", "side", "band"))
         alone = group["i"][0].as_py() == group["j"][0].as_py() and not group["wide"][0].as_py()
+        left = np.arange(len(sig)) if alone else np.flatnonzero(side == 0)
+        right = left if alone else np.flatnonzero(side == 1)
         near = []
-        for k in range(len(sig)):
-            if alone or side[k] == 0:
-                other = (np.arange(len(sig)) > k) if alone else side == 1
-                share = (sig == sig[k]).mean(axis=1)
-                for j in np.flatnonzero(other & (c != c[k]) & (share >= ESTIMATE)).tolist():
-                    if (sig[j] == sig[k]).reshape(BANDS, ROWS).all(axis=1).argmax() == band[k]:
-                        near.append((-share[j], k, j))
+        for some in np.array_split(left, -(-(len(left) * len(right) * M) // BLOCK_CELLS)) if len(left) and len(right) else []:
+            apart = c[some][:, None] != c[right]
+            if alone:
+                apart &= right > some[:, None]
+            same = sig[some][:, None, :] == sig[right]
+            count = np.add.reduce(same.view(np.uint64), axis=2)  # eight components at once, a byte each
+            share = ((count * np.uint64(0x0101010101010101)) >> np.uint64(56)) / M
+            p, q = np.nonzero(apart & (share >= ESTIMATE))
+            first = same[p, q].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[some[p]]
+            near += zip((-share[p, q][first]).tolist(), some[p[first]].tolist(), right[q[first]].tolist(), strict=True)
+        return near
+
+    def paired(group: pa.Table) -> pa.Table:
+        near = near_pairs(group)
+        return group.take(pa.array(sorted({k for pair in near for k in pair[1:]}), pa.int64()))
+
+    def run(group: pa.Table) -> pa.Table:
+        near, c = near_pairs(group), group["c"].to_numpy()
         root = {x: x for x in c.tolist()}
 
         def find(x: int) -> int:
@@ -259,10 +367,11 @@ def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFra
                 x = root[x]
             return x
 
-        words, xs, ys = group["words"].combine_chunks(), [], []
+        bag = _bags(group["words"].combine_chunks())
+        xs, ys = [], []
         for _, k, j in sorted(near):
             a, b = find(c[k]), find(c[j])
-            if a != b and overlap(*(words[i].values.to_numpy(zero_copy_only=False) for i in (k, j))) >= LEAST - 1e-12:
+            if a != b and overlap(bag[k], bag[j]) >= LEAST - 1e-12:
                 root[a] = b
                 xs.append(k)
                 ys.append(j)
@@ -270,7 +379,9 @@ def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFra
         return pa.table({"x": v.take(pa.array(xs, pa.int64())), "y": v.take(pa.array(ys, pa.int64()))})
 
     kind = rows.schema["v"].dataType
-    return sent.groupBy("bucket", "i", "j", "wide").applyInArrow(run, T.StructType([T.StructField("x", kind), T.StructField("y", kind)]))
+    task_key = ["bucket", "i", "j", "wide"]
+    met = sent.groupBy(*task_key).applyInArrow(paired, sent.schema).join(held, "v")
+    return met.groupBy(*task_key).applyInArrow(run, T.StructType([T.StructField("x", kind), T.StructField("y", kind)]))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,23 +393,24 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_k1").alias("a"), F.col("_k2").alias("b"))).alias("v")
     texts = stage(rows.groupBy("w1", "w2").agg(first, F.first("sig").alias("sig")), "texts")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * ROWS + 1, F.lit(ROWS))))
-    members = texts.select("v", F.posexplode(band).alias("band", "bucket"))
-    crowded = stage(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("leader")).where("n > 1").drop("n"), "buckets")
-    members = stage(members.join(crowded, "bucket"), "bucket-members")
+    crowded = texts.select(F.explode(band).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    crowded = stage(crowded, "buckets")
+    members = stage(texts.select("v", F.posexplode(band).alias("band", "bucket")).join(crowded, "bucket"), "bucket-members")
     discard(crowded)
 
     wanted = stage(members.select("v").distinct(), "bucket-texts")
     own = docs.select(*row_key("doc_id", "text"), "text").join(narrow(wanted), (F.col("_k1") == F.col("v.a")) & (F.col("_k2") == F.col("v.b")))
-    held = stage(own.select("v", hashed_words(F.col("text")).alias("words")), "held-words", wide=True)
+    held = stage(worded(own), "held-words", wide=True)
     if held.count() > wanted.count():  # rows equal in doc_id and text
         twice, held = held, stage(held.dropDuplicates(["v"]), "held-words-once")
         discard(twice)
     discard(wanted)
 
-    links = stage(verified(members.where("v <> leader").select(F.col("leader").alias("x"), F.col("v").alias("y")).distinct(), held), "links-0")
+    leaders = members.groupBy("bucket").agg(F.min("v").alias("x"))
+    links = stage(verified(members.join(leaders, "bucket").where("v <> x").select("x", F.col("v").alias("y")).distinct(), held), "links-0")
     found = stage(components(links), "classes-0")
     for k in range(STAR_ROUNDS + 1):
-        at = members.drop("leader").join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
+        at = members.join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
         counts = at.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
         top = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
         top = stage(top.select("bucket", F.col("m.c").alias("most"), F.col("m.n").alias("n_in"), (F.col("n") - F.col("m.n")).alias("n_out")).where("n_out > 0"), f"top-{k}")
@@ -325,7 +437,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def without_words(docs: DataFrame) -> DataFrame:
-    return docs.where(F.size(words_of(F.col("text"))) == 0)
+    return docs.where(~text_of().rlike(WORD_RE))
 
 
 def op8_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
