@@ -308,6 +308,11 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("x").alias("v"), F.col("y").alias("c")).unionByName(roots)
 
 
+def only(held: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of held whose v is in (stored) rows: where few are, others aren't shuffled."""
+    return held.join(narrow(rows.select("v").distinct()), "v", "left_semi")
+
+
 def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFrame) -> DataFrame:
     """Verified links (x, y) that join what is still apart in unfinished buckets.
 
@@ -317,11 +322,12 @@ def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFra
     A task looks at a pair if its classes differ, its signatures agree in a share of ESTIMATE or more, and this is the first
     band that the two share (else that band's bucket looks at it), best estimates first; it verifies the pair if
     no link found so far in the task has joined the classes. So a task puts out fewer links than it has members.
-    Signatures alone meet first; words are only sent for members that have such a pair.
+    Signatures alone meet first, and only those of members of such buckets are sent; words are only sent for members that have such a pair.
     """
     n_out, n_in = F.ceil(F.col("n_out") / BLOCK).cast("int"), F.ceil(F.col("n_in") / BLOCK).cast("int")
     dealt = rows.join(top, "bucket").withColumn("inside", F.col("c") == F.col("most"))
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("v"), F.when(F.col("inside"), n_in).otherwise(n_out)).cast("int"))
+    dealt = stage(dealt, "block-members")
     b = F.col("b")
 
     def task(i: Column, j: Column, wide: bool, side: Column) -> Column:
@@ -331,7 +337,7 @@ def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFra
     meets_out = F.transform(out, lambda k: task(F.least(b, k), F.greatest(b, k), False, (b > k).cast("int")))
     meets_in = F.transform(F.sequence(F.lit(0), n_in - 1), lambda k: task(b, k, True, F.lit(0)))
     tasks = F.when(F.col("inside"), F.transform(out, lambda k: task(k, b, True, F.lit(1)))).otherwise(F.concat(meets_out, meets_in))
-    sent = dealt.select("bucket", "band", "v", F.xxhash64("c").alias("c"), F.explode(tasks).alias("t")).join(signs, "v")
+    sent = dealt.select("bucket", "band", "v", F.xxhash64("c").alias("c"), F.explode(tasks).alias("t")).join(only(signs, dealt), "v")
     sent = sent.select("bucket", "t.*", "band", "v", "c", "sig")
 
     def near_pairs(group: pa.Table) -> list[tuple[float, int, int]]:
@@ -380,8 +386,11 @@ def block_links(rows: DataFrame, top: DataFrame, signs: DataFrame, held: DataFra
 
     kind = rows.schema["v"].dataType
     task_key = ["bucket", "i", "j", "wide"]
-    met = sent.groupBy(*task_key).applyInArrow(paired, sent.schema).join(held, "v")
-    return met.groupBy(*task_key).applyInArrow(run, T.StructType([T.StructField("x", kind), T.StructField("y", kind)]))
+    met = stage(sent.groupBy(*task_key).applyInArrow(paired, sent.schema), "block-pairs", wide=True)
+    links = met.join(only(held, met), "v").groupBy(*task_key).applyInArrow(run, T.StructType([T.StructField("x", kind), T.StructField("y", kind)]))
+    links = stage(links, "block-links")
+    discard(dealt, met)
+    return links
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -424,7 +433,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             more = stage(verified(pairs.distinct(), held), f"links-{k + 1}")
             discard(star)
         else:
-            more = stage(block_links(at, top, texts.select("v", "sig"), held), f"links-{k + 1}")
+            more = block_links(at, top, texts.select("v", "sig"), held)
         discard(top)
         if more.isEmpty():
             continue

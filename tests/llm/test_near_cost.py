@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
+from test_at_size import on_disk
 
 from tallyfield.llm import near_dedup as nd
 
@@ -49,3 +51,20 @@ def test_sets_keep_the_weighted_similarity():
         for q, b in enumerate(count):
             both = sum((a & b).values())
             assert nd.overlap(bags[p], bags[q]) == both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def test_only_signatures_of_open_buckets_are_sent(spark):
+    """Two texts of 3,000 meet in blocks: the files that tasks write for others hold no signature of the rest."""
+    sig = spark.range(3000).select(F.col("id").alias("v"), F.transform(F.sequence(F.lit(0), F.lit(nd.M - 1)), lambda k: F.pmod(F.xxhash64(F.when(F.col("id") > 1, F.col("id")).otherwise(0), k), F.lit(32767)).cast("short")).alias("sig"))
+    sig = nd.stage(sig, "test-signs")
+    held = sig.select("v", F.sequence(F.lit(1).cast("long"), F.lit(40).cast("long")).alias("words"))
+    rows = spark.createDataFrame([(7, 0, 0, 0), (7, 0, 1, 1)], "bucket long, band int, v long, c long")
+    top = spark.createDataFrame([(7, 0, 1, 1)], "bucket long, most long, n_in long, n_out long")
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        before = on_disk(spark)
+        assert [set(r) for r in nd.block_links(rows, top, sig, held).collect()] == [{0, 1}]
+        assert sum(b for name, b in on_disk(spark).items() if name not in before) < 200_000 < 3000 * nd.M * 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
